@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, licenses, mixing, warc
+from millrace.llm import chat, exact_dedup, langid, licenses, line_dedup, mixing, pieces, warc
 from millrace.llm.shared import shared_dir
 
 
@@ -27,6 +29,24 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+#: The tokenizer's model file; a parameter of the operator.
+PIECES_MODEL = os.environ.get("MILLRACE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, PIECES_MODEL), PIECES_MODEL)
+    back = F.coalesce(F.translate("text", pieces.MARK, " "), F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", back.alias("round_trip"))
+
+
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    known = langid.identify(docs.select("doc_id", "text"), model)
+    return known.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf, "documents"))
     return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -37,11 +57,17 @@ def op8_chat_perspectives(spark: SparkSession, sf: str) -> DataFrame:
     return views.withColumn("spans", F.expr("array_join(transform(spans, s -> concat(s.start, '-', s.end)), ',')"))
 
 
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    cleaned = line_dedup.line_dedup(docs)
+    return cleaned.select("doc_id", "dropped_lines", "text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op6_mixing, op8_chat_perspectives, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_sentencepiece, op5_language_id, op6_mixing, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc": """
