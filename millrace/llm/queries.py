@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, langid, licenses, line_dedup, mixing, pieces, warc
+from millrace.llm import chat, exact_dedup, flac, langid, licenses, line_dedup, mixing, pieces, warc
 from millrace.llm.shared import shared_dir
 
 
@@ -29,6 +29,11 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_flac(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return flac.from_flac(flac.to_flac(docs).drop("text"), keep_payload=False)
+
+
 #: The tokenizer's model file; a parameter of the operator.
 PIECES_MODEL = os.environ.get("MILLRACE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -67,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_sentencepiece, op5_language_id, op6_mixing, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_flac, op4_sentencepiece, op5_language_id, op6_mixing, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc": """
