@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, flac, langid, licenses, line_dedup, mixing, pieces, warc
+from millrace.llm import chat, exact_dedup, flac, langid, licenses, line_dedup, mixing, ngram_join, pieces, warc
 from millrace.llm.shared import shared_dir
 
 
@@ -57,6 +57,10 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf, "documents"), words=3, percent=90)
+
+
 def op8_chat_perspectives(spark: SparkSession, sf: str) -> DataFrame:
     views = chat.perspectives(_table(spark, sf, "conversations"))
     return views.withColumn("spans", F.expr("array_join(transform(spans, s -> concat(s.start, '-', s.end)), ',')"))
@@ -72,7 +76,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_flac, op4_sentencepiece, op5_language_id, op6_mixing, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_flac, op4_sentencepiece, op5_language_id, op6_mixing, op7_ngram_jaccard, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc": """
