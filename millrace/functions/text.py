@@ -297,7 +297,7 @@ def parent_category(c: Column) -> Column:
 
 def cleaned_parts(parts: Column) -> Column:
     """Category elements without league or "College" heads, repeated heads and prices."""
-    trimmed = F.transform(parts, F.trim)
+    trimmed = F.transform(parts, lambda p: F.trim(p))
     tail = lambda a: F.when(F.size(a) > 1, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
     headless = F.when(F.get(trimmed, F.lit(0)).rlike("^(College|[A-Z]{3,6})$"), tail(trimmed)).otherwise(trimmed)
     head = F.get(headless, F.lit(0))
