@@ -388,11 +388,12 @@ def keyword_topk(spark, sf):
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-_TERMS = "list_transform(list_filter(regexp_extract_all({c}, '[\\pL\\pN]+(?:''[\\pL\\pN]+)*'), lambda x: strip_accents(x) NOT IN " + _STOPS + "), lambda x: lower(strip_accents(x)))"
-_INDEX = f"""i AS (SELECT doc_id, len({_TERMS.format(c="text")}) AS dl, unnest({_TERMS.format(c="text")}) AS term FROM documents), p AS (SELECT doc_id, dl, term, count(*) AS tf FROM i GROUP BY ALL),
-        q AS (SELECT item_id, unnest({_TERMS.format(c="text")}) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
-        st AS (SELECT count(*) AS n, avg(dl) AS mean FROM (SELECT DISTINCT doc_id, dl FROM p)), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-        sc AS (SELECT item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM p JOIN qt USING (term) JOIN df USING (term), st GROUP BY item_id, doc_id),
+_TERM = "regexp_extract_all(text, '[\\pL\\pN]+(?:''[\\pL\\pN]+)*')"
+_INDEX = f"""x AS (SELECT doc_id, strip_accents(unnest({_TERM})) AS t FROM documents), i AS MATERIALIZED (SELECT doc_id, lower(t) AS term FROM x WHERE t NOT IN {_STOPS}),
+        l AS (SELECT doc_id, count(*) AS dl FROM i GROUP BY doc_id), g AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM i GROUP BY doc_id, term),
+        y AS (SELECT item_id, strip_accents(unnest({_TERM})) AS t FROM benchmark), qt AS MATERIALIZED (SELECT item_id, lower(t) AS term, count(*) AS qtf FROM y WHERE t NOT IN {_STOPS} GROUP BY ALL),
+        st AS (SELECT count(*) AS n, avg(dl) AS mean FROM l), df AS MATERIALIZED (SELECT term, count(*) AS df FROM g GROUP BY term),
+        sc AS (SELECT item_id, g.doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM g JOIN qt USING (term) JOIN df USING (term) JOIN l ON l.doc_id = g.doc_id CROSS JOIN st GROUP BY item_id, g.doc_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
