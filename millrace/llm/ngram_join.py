@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
 A document's set is its distinct word n-grams as 64-bit hashes. Equal sets are one class from the start. Two sets that
-are similar enough share an element of their prefixes, the first elements in an order common to all sets: by hash, but
-with the elements that crowd many prefixes last, so that passages found everywhere don't bring strangers together. (Any
-order gives the same result; the bounded list of crowded elements only decides the work.)
+are similar enough share an element of their prefixes, the first elements in an order common to all sets. The order puts
+the elements with the lowest hashes first, a window somewhat larger than a prefix, those in fewest sets before others,
+and the rest after them by hash. So only the window's elements have to be counted, over all documents, and a passage found everywhere
+brings no strangers together: elements of one set only come first, and a set with enough of those has no partner.
 
 Classes with identical prefixes and size form a group. Groups that share a prefix element, and whose sizes are close
 enough, are filtered to candidate components; these are expanded to their members, whose whole sets are compared: a
@@ -79,31 +80,23 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _prefixes(words: int, percent: int, crowded=None):
-    """Per row: fingerprint of the set, its size, and its prefix; given crowded elements (ascending, with their ranks), only rows whose plain prefix has one."""
+def _windows(words: int, percent: int, window: float):
+    """Per row: fingerprint of the set, its size, its elements in the window, and what its prefix needs beyond them."""
+    below = np.uint64(int(window * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, rank = crowded.value if crowded is not None else (None, None)
+        listed = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
         for batch in pieces(batches, "text"):
-            ids, prints, sizes, prefixes = [], [], [], []
-            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words), strict=True):
-                p = prefix_length(len(s), percent)
-                first = s[:p]
-                if heavy is not None:
-                    at = np.minimum(np.searchsorted(heavy, first), len(heavy) - 1)
-                    if not (heavy[at] == first).any():
-                        continue
-                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    first = s[np.argsort(np.where(heavy[at] == s, rank[at] + 1, 0), kind="stable")[:p]]
-                ids.append(i)
+            prints, sizes, lows, tails = [], [], [], []
+            for s in shingle_sets(batch.column("text").to_pylist(), words):
+                w = int(np.searchsorted(s, below))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
-                prefixes.append(first.view(np.int64))
-            offsets = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
-            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), tokens], names=["doc_id", "print", "n", "prefix"])
+                lows.append(s[:w].view(np.int64))
+                tails.append(s[w : max(w, prefix_length(len(s), percent))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lows], pa.int64()), listed(lows), listed(tails)], names=["doc_id", "print", "n", "w", "low", "tail"])
 
-    return run, "doc_id long, print binary, n long, prefix array<long>"
+    return run, "doc_id long, print binary, n long, w long, low array<long>, tail array<long>"
 
 
 def _whole_sets(words: int):
@@ -164,7 +157,7 @@ def _linked(percent: int):
     return run, "a long, b long, links long"
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", crowd: int = 16, most_crowded: int = 200_000, block_elements: int = 500_000, block_members: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_elements: int = 500_000, block_members: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs.
 
     Rows link when 100 * intersection >= percent * union of their sets of `words`-word n-grams. component_id is the
@@ -173,27 +166,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col:
     get no component and are no bridge. No rows in, no rows out; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    run, schema = _prefixes(words, percent)
+    run, schema = _windows(words, percent, min(1.0, window * (100 - percent) / 100))
     sets = written(rows.mapInArrow(run, schema), "sets")
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
     classes = written(classes, "classes")
-
-    often = classes.select(F.explode("prefix").alias("element")).groupBy("element").count().where(F.col("count") >= crowd)
-    top = often.orderBy(F.desc("count"), "element").limit(most_crowded).collect()  # bounded: most_crowded pairs of numbers
-    if top:
-        element, count = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
-        order = np.argsort(element)
-        again = rows.sparkSession.sparkContext.broadcast((element[order], count[order]))
-        run, schema = _prefixes(words, percent, again)
-        moved = rows.where("doc_id IS NOT NULL").mapInArrow(run, schema).select(F.col("doc_id").alias("of"), F.col("print").alias("p"), F.col("prefix").alias("other"))
-        moved = moved.dropDuplicates(["of", "p"])
-        classes_now = classes.join(moved, (F.col("id") == F.col("of")) & (F.col("print") == F.col("p")), "left").select("print", "id", "n", F.coalesce("other", "prefix").alias("prefix"))
-        classes_now = written(classes_now, "prefixes")
-    else:
-        classes_now = classes
-
+    own = classes.select("id", F.col("print").alias("p"))
+    first = (F.col("doc_id") == F.col("id")) & (F.col("print") == F.col("p"))
+    elements = sets.select("doc_id", "print", "low").join(own, first).select("id", F.explode("low").alias("element"))
+    often = elements.groupBy("element").agg(F.count("*").alias("sets")).where("sets > 1")
+    # another expression than the grouping's, so that the join has its own exchange, which Spark can split where it is hot
+    often = often.select((F.col("element") + 0).alias("e"), "sets")
+    shared = elements.join(often, F.col("element") == F.col("e")).groupBy("id").agg(F.collect_set(F.struct("sets", "element")).alias("shared"))
+    shared = written(shared.withColumnRenamed("id", "of"), "shared")
+    known = sets.select("doc_id", "print", "n", "w", "tail").join(own, first).dropDuplicates(["print"]).join(shared, F.col("id") == F.col("of"), "left")
+    known = known.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<sets:bigint,element:bigint>>")))
+    # elements in no other set fill the prefix first; as nobody shares them they need not be listed
+    alone = (F.col("w") - F.size("shared")).cast("int")
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    picked = F.slice(F.sort_array("shared"), F.lit(1), F.greatest(F.lit(0), length - F.size("tail") - alone))
+    known = known.select("print", "id", "n", F.concat(F.transform(picked, lambda x: x["element"]), "tail").alias("prefix"), F.when(alone > 0, F.col("id")).alias("unlike")).where(F.size("prefix") > 0)
     # two hashes of 64 bits name a prefix and a size
-    classes_now = classes_now.select("*", F.xxhash64("prefix", "n").alias("g"), F.xxhash64("n", "prefix").alias("h"))
+    classes_now = written(known.select("*", F.xxhash64("prefix", "n", "unlike").alias("g"), F.xxhash64("unlike", "n", "prefix").alias("h")), "prefixes")
     groups = written(classes_now.groupBy("g", "h").agg(F.min("id").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
     listed = groups.select("group", "n", F.explode("prefix").alias("element"))
     by_size = Window.partitionBy("element").orderBy("n", "group")

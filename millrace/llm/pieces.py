@@ -24,6 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from millrace.llm.shared import pieces as slices
 
 MARK = "▁"
+#: Sizes of pieces of several characters that may end where a word has so many.
+_SHORT = ((), (), (2,), (3, 2))
 #: Entries that a worker's memory of words and of token pairs holds before it is emptied.
 REMEMBER = 250_000
 
@@ -95,9 +97,9 @@ class Vocabulary:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece crosses a word's beginning")
         self.split = re.compile(self._word()).findall
-        self.lengths: dict[str, list[int]] = {}  # of pieces, by their last two characters, longest first
+        self.lengths: dict[str, list[int]] = {}  # of pieces of four characters and more, by their last four, longest first
         for p in sorted(self.id, key=len, reverse=True):
-            if len(p) > 1 and len(p) not in (known := self.lengths.setdefault(p[-2:], [])):
+            if len(p) > 3 and len(p) not in (known := self.lengths.setdefault(p[-4:], [])):
                 known.append(len(p))
         self.lowest = min(self.score.values(), default=0.0) - 10
         self.words: dict[str, bytes] = {}
@@ -148,16 +150,17 @@ class Vocabulary:
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 one = word[end - 1]
+                sizes = (*lengths.get(word[end - 4 : end], ()), 3, 2) if end > 3 else _SHORT[end]
                 if self.unigram:
                     choice, top = one, best[end - 1] + score.get(one, self.lowest)
-                    for size in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+                    for size in sizes:
                         piece = word[end - size : end]
                         if size <= end and piece in score and (best[end - size] + score[piece], size) > (top, len(choice)):
                             choice, top = piece, best[end - size] + score[piece]
                     best.append(top)
                     last.append(choice)
                     continue
-                for size in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+                for size in sizes:
                     if size <= end:
                         piece = word[end - size : end]
                         if piece in score and (whole[piece] if piece in whole else self._whole(piece)):
