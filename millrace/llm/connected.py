@@ -1,4 +1,7 @@
-"""Connected components by contraction: every node moves to its smallest neighbour, edges follow, until none is left."""
+"""Connected components by contraction: every node moves to its first neighbour in a random order, edges follow, until none is left.
+
+The order is drawn anew each round, so that a long path shrinks by a constant share a round however its nodes are numbered.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +14,24 @@ from millrace.llm.shared import written
 def components(edges: DataFrame) -> DataFrame:
     """node, root of the graph with edges (a, b) of longs; the root is the smallest node that can be reached.
 
-    Each round is written to the shared folder; the driver only asks whether edges are left. A round maps each node to
-    one that is not larger, and the smallest of a component to itself, so the last one left is the smallest.
+    Each round is written to the shared folder; the driver only asks whether edges are left. Nodes that have no edge to
+    another are not in the result.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = None
+    labels, turn = None, 0
     while not edges.isEmpty():
+        turn += 1
+        drawn = lambda c, salt=turn: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("order"), F.col(c).alias("node"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "moves")
+        move = written(both.groupBy("a").agg(F.min(drawn("b")).alias("first")).select("a", F.least("first", drawn("a"))["node"].alias("to")), "moves")
         first, second = move.select(F.col("a").alias("x"), F.col("to").alias("p")), move.select(F.col("a").alias("y"), F.col("to").alias("q"))
         edges = edges.join(first, F.col("a") == F.col("x")).join(second, F.col("b") == F.col("y")).where("p <> q")
         edges = written(edges.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
         if labels is None:
-            labels = move.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            labels = move.select(F.col("a").alias("node"), F.col("to").alias("at"))
         else:
-            labels = written(labels.join(first, F.col("root") == F.col("x"), "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            labels = written(labels.join(first, F.col("at") == F.col("x"), "left").select("node", F.coalesce("p", "at").alias("at")), "labels")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    smallest = labels.groupBy("at").agg(F.min("node").alias("root")).withColumnRenamed("at", "of")
+    return labels.join(smallest, F.col("at") == F.col("of")).select("node", "root")

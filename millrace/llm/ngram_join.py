@@ -6,10 +6,13 @@ the elements with the lowest hashes first, a window somewhat larger than a prefi
 and the rest after them by hash. So only the window's elements have to be counted, over all documents, and a passage found everywhere
 brings no strangers together: elements of one set only come first, and a set with enough of those has no partner.
 
-Classes with identical prefixes and size form a group. Groups that share a prefix element, and whose sizes are close
-enough, are filtered to candidate components; these are expanded to their members, whose whole sets are compared: a
-component in blocks of bounded size, each pair of blocks a task of its own that counts common elements and returns the
-links as a forest with each member's number of links. No pair is emitted or left out.
+Classes with identical prefixes and size form a group. Groups that share a prefix element and whose sizes are close
+enough are filtered by sketches: bit i of a sketch is the parity of the elements that fall to it, so two sets differ in
+as many elements at least as their sketches in bits. What passes links groups to candidate components. Where an element
+has too many groups in reach, or sets are too large for short sketches, groups are chained instead and the chains
+filtered in blocks by longer sketches. Candidate components are expanded to their members, whose whole sets are
+compared: a component in blocks of bounded size, each pair of blocks a task of its own that counts common elements and
+returns the links as a forest with each member's number of links. No pair of documents is emitted, no link left out.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.connected import components
@@ -37,9 +40,8 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
         with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
+            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), b, np.uint64)])) for b in (_BASE, _INVERSE)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -80,6 +82,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+#: Words of 64 bits in a short sketch; sets above LONG elements also have a sketch of LONG_BITS.
+SHORT, LONG, LONG_BITS = 8, 1500, 8192
+SKETCH = [f"s{i}" for i in range(SHORT)]
+
+
+def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the elements by their low bits, as words of 64 bits."""
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def most_different(n, m, percent: int):
+    """The most elements that are in only one of two sets of n and m elements which link."""
+    return n + m + 2 * (-percent * (n + m) // (100 + percent))
+
+
 def _windows(words: int, percent: int, window: float):
     """Per row: fingerprint of the set, its size, its elements in the window, and what its prefix needs beyond them."""
     below = np.uint64(int(window * (1 << 64)))
@@ -87,16 +105,132 @@ def _windows(words: int, percent: int, window: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
         for batch in pieces(batches, "text"):
-            prints, sizes, lows, tails = [], [], [], []
+            prints, sizes, lows, tails, short, long = [], [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 w = int(np.searchsorted(s, below))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
                 lows.append(s[:w].view(np.int64))
                 tails.append(s[w : max(w, prefix_length(len(s), percent))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lows], pa.int64()), listed(lows), listed(tails)], names=["doc_id", "print", "n", "w", "low", "tail"])
+                short.append(sketch(s, 64 * SHORT))
+                long.append(sketch(s, LONG_BITS).tobytes() if len(s) > LONG else None)
+            parts = [pa.array(c) for c in np.array(short, np.int64).reshape(-1, SHORT).T.copy()]
+            columns = [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lows], pa.int64()), listed(lows), listed(tails), *parts, pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "w", "low", "tail", *SKETCH, "long"])
+
+    return run, "doc_id long, print binary, n long, w long, low array<long>, tail array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", long binary"
+
+
+def _close(percent: int, reach: int, rows: int = 1 << 17):
+    """Links of groups from rows sorted by element, size and group: each row with those after it, by sketch and size.
+
+    Pairs of long sets, and rows with more than `reach` others after them in a size that can link, are chained, as loose links.
+    """
+    names = ["element", "n", "group", "radius", *SKETCH]
+
+    def block(c: np.ndarray, old: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """c holds a column per name; of the first `old` rows, pairs among themselves are known."""
+        element, n, group, radius, sk = c[0], c[1], c[2], c[3], c[4:].T.copy().view(np.uint64)
+        active = np.arange(len(n))
+        for d in range(1, reach + 1):
+            active = active[active + d < len(n)]
+            other = active + d
+            ok = (element[active] == element[other]) & (n[other] * percent <= n[active] * 100)
+            active, other = active[ok], other[ok]
+            if not len(active):
+                return
+            new = other >= old
+            a, b = active[new], other[new]
+            both = n[a] > LONG
+            differ = np.bitwise_count(sk[a] ^ sk[b]).sum(1, dtype=np.int64)
+            hit = differ <= most_different(n[a], n[b], percent) + radius[a] + radius[b]
+            yield group[a[hit & ~both]], group[b[hit & ~both]], False
+            yield group[a[hit & both]], group[b[hit & both]], True
+        # rows that reach further: all neighbours within what they reach form a chain, linked to its first
+        last = np.full(len(n), -1)
+        last[active] = active
+        last = np.maximum.accumulate(last)[:-1]
+        at = np.arange(len(n) - 1)
+        chain = (last >= 0) & (element[last] == element[1:]) & (n[1:] * percent <= n[last] * 100) & (at + 1 - last <= reach)
+        first = np.maximum.accumulate(np.where(chain & ~np.append(False, chain[:-1]), at, 0))
+        yield group[first[chain]], group[at[chain] + 1], True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, old = [], 0, 0
+
+        def links():
+            for a, b, loose in block(np.concatenate(held, 1), old):
+                keep = a != b
+                if keep.any():
+                    pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.full(len(pair), loose))], names=["a", "b", "loose"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]))
+            waiting += batch.num_rows
+            if waiting >= rows:
+                yield from links()
+                rest = np.concatenate(held, 1)[:, -reach:]
+                held, waiting, old = [rest], 0, rest.shape[1]
+        if waiting:
+            yield from links()
+
+    return run, "a long, b long, loose boolean"
+
+
+def _near(percent: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """Groups of two blocks (or one) of a chain: a forest over the pairs that their sketches allow."""
+        _, one, two = (int(k) for k in key)
+        frame = frame.sort_values(["n", "group"], kind="stable").reset_index(drop=True)
+        n, radius, at = frame["n"].to_numpy(), frame["radius"].to_numpy(), frame["block"].to_numpy()
+        short = np.ascontiguousarray(frame[SKETCH].to_numpy(np.int64)).view(np.uint64)
+        has = frame["long"].notna().to_numpy()
+        place = np.cumsum(has) - 1
+        long = np.array([np.frombuffer(x, np.uint64) for x in frame["long"][has]], np.uint64).reshape(int(has.sum()), LONG_BITS // 64)
+        label = np.arange(len(n))
+        for i in range(len(n)):
+            upto = np.searchsorted(n, n[i] * 100 // percent, side="right")
+            j = np.arange(i + 1, upto)
+            if one != two:
+                j = j[at[j] != at[i]]
+            most = most_different(n[i], n[j], percent) + radius[i] + radius[j]
+            near = np.bitwise_count(short[i] ^ short[j]).sum(1, dtype=np.int64) <= most
+            j, most = j[near], most[near]
+            if has[i] and len(j):
+                off = ~has[j]
+                off[has[j]] = np.bitwise_count(long[place[i]] ^ long[place[j[has[j]]]]).sum(1, dtype=np.int64) <= most[has[j]]
+                j = j[off]
+            found = np.unique(np.append(label[j], label[i]))
+            if len(found) > 1:
+                label[np.isin(label, found)] = found[0]
+        ids = frame["group"].to_numpy()
+        moved = label != np.arange(len(n))
+        return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+
+    return run, "a long, b long"
+
+
+def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
+    """rows (part, id) with their block of its part, once for each pair of blocks (one, two) that needs them."""
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "blocks")
+
 
-    return run, "doc_id long, print binary, n long, w long, low array<long>, tail array<long>"
+def _candidates(groups: DataFrame, percent: int, reach: int, block_groups: int) -> DataFrame:
+    """group, root of the groups (group, n, prefix, radius, sketches) that may link with another."""
+    listed = groups.select("group", "n", "radius", *SKETCH, F.explode("prefix").alias("element"))
+    run, schema = _close(percent, reach)
+    close = written(listed.repartition("element").sortWithinPartitions("element", "n", "group").mapInArrow(run, schema).distinct(), "close")
+    firm = close.where("NOT loose").select("a", "b")
+    chains = components(close.where("loose"))
+    sizes = chains.groupBy("root").agg(F.ceil(F.count("*") / block_groups).cast("int").alias("blocks")).select((F.col("root") + 0).alias("p"), "blocks")
+    chained = chains.join(sizes, F.col("root") == F.col("p")).select("node", F.col("root").alias("part"), "blocks")
+    chained = groups.select("group", "n", "radius", "long", *SKETCH).join(chained, F.col("group") == F.col("node")).withColumn("id", F.col("group"))
+    run, schema = _near(percent)
+    dealt = _in_blocks(chained, F.col("blocks")).select("part", "one", "two", "block", "group", "n", "radius", "long", *SKETCH)
+    return components(firm.unionByName(dealt.groupBy("part", "one", "two").applyInPandas(run, schema))).withColumnRenamed("node", "of")
 
 
 def _whole_sets(words: int):
@@ -104,10 +238,10 @@ def _whole_sets(words: int):
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             mine = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == p for s, p in zip(sets, batch.column("print").to_pylist(), strict=True)]
-            rest = [batch.column(c) for c in ("id", "part", "block", "blocks")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "part", "block", "blocks", "elements"]).filter(pa.array(mine))
+            rest = [batch.column(c) for c in ("id", "part", "blocks")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "part", "blocks", "elements"]).filter(pa.array(mine))
 
-    return run, "id long, part long, block int, blocks int, elements binary"
+    return run, "id long, part long, blocks int, elements binary"
 
 
 def _linked(percent: int):
@@ -157,7 +291,7 @@ def _linked(percent: int):
     return run, "a long, b long, links long"
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_elements: int = 500_000, block_members: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_elements: int = 1_000_000, block_members: int = 2000, block_groups: int = 8000, reach: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs.
 
     Rows link when 100 * intersection >= percent * union of their sets of `words`-word n-grams. component_id is the
@@ -178,23 +312,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col:
     often = often.select((F.col("element") + 0).alias("e"), "sets")
     shared = elements.join(often, F.col("element") == F.col("e")).groupBy("id").agg(F.collect_set(F.struct("sets", "element")).alias("shared"))
     shared = written(shared.withColumnRenamed("id", "of"), "shared")
-    known = sets.select("doc_id", "print", "n", "w", "tail").join(own, first).dropDuplicates(["print"]).join(shared, F.col("id") == F.col("of"), "left")
+    known = sets.select("doc_id", "print", "n", "w", "tail", "long", *SKETCH).join(own, first).dropDuplicates(["print"]).join(shared, F.col("id") == F.col("of"), "left")
     known = known.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<sets:bigint,element:bigint>>")))
     # elements in no other set fill the prefix first; as nobody shares them they need not be listed
     alone = (F.col("w") - F.size("shared")).cast("int")
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     picked = F.slice(F.sort_array("shared"), F.lit(1), F.greatest(F.lit(0), length - F.size("tail") - alone))
-    known = known.select("print", "id", "n", F.concat(F.transform(picked, lambda x: x["element"]), "tail").alias("prefix"), F.when(alone > 0, F.col("id")).alias("unlike")).where(F.size("prefix") > 0)
+    known = known.select("print", "id", "n", "long", *SKETCH, F.concat(F.transform(picked, lambda x: x["element"]), "tail").alias("prefix"), F.when(alone > 0, F.col("id")).alias("unlike")).where(F.size("prefix") > 0)
     # two hashes of 64 bits name a prefix and a size
     classes_now = written(known.select("*", F.xxhash64("prefix", "n", "unlike").alias("g"), F.xxhash64("unlike", "n", "prefix").alias("h")), "prefixes")
-    groups = written(classes_now.groupBy("g", "h").agg(F.min("id").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
-    listed = groups.select("group", "n", F.explode("prefix").alias("element"))
-    by_size = Window.partitionBy("element").orderBy("n", "group")
-    fresh = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
-    runs = listed.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    leader = F.first("group").over(Window.partitionBy("element", "run").orderBy("n", "group").rowsBetween(Window.unboundedPreceding, 0))
-    pairs = runs.select(F.col("group").alias("a"), leader.alias("b"))
-    label = components(pairs).withColumnRenamed("node", "of")
+    # a group's sketch has the bits that all its members have; from it to a member's own it is `radius` bits at most
+    radius = sum((F.bit_count(F.bit_or(c).bitwiseXOR(F.bit_and(c))) for c in SKETCH), F.lit(0)).cast("long")
+    common = [F.bit_and(c).alias(c) for c in SKETCH]
+    groups = classes_now.groupBy("g", "h").agg(F.min("id").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), radius.alias("radius"), F.when(F.count("*") == 1, F.first("long")).alias("long"), *common)
+    groups = written(groups, "groups")
+    label = _candidates(groups, percent, reach, block_groups)
 
     parts = groups.join(label, F.col("group") == F.col("of"), "left").select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.coalesce("root", "group").alias("part"))
     members = classes_now.select("id", "print", "n", "g", "h").join(parts, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
@@ -202,12 +334,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col:
     sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("elements")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("members") / block_members)).cast("int")
     sizes = sizes.select((F.col("part") + 0).alias("p"), blocks.alias("blocks"))
-    wanted = members.join(sizes, F.col("part") == F.col("p")).select("id", "print", "part", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    wanted = written(wanted, "wanted")
+    wanted = written(members.join(sizes, F.col("part") == F.col("p")).select("id", "print", "part", "blocks"), "wanted")
     run, schema = _whole_sets(words)
-    whole = wanted.join(rows, F.col("id") == F.col("doc_id")).select("id", "print", "part", "block", "blocks", "text").mapInArrow(run, schema)
-    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "part", "block", "elements", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    whole = wanted.join(rows, F.col("id") == F.col("doc_id")).select("id", "print", "part", "blocks", "text").mapInArrow(run, schema)
+    dealt = _in_blocks(whole, F.col("blocks"))
     run, schema = _linked(percent)
     links = written(dealt.groupBy("part", "one", "two").applyInPandas(run, schema), "links")
     label = components(links.select("a", "b"))
