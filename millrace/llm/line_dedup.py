@@ -1,21 +1,35 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line's fields with digits are masked; its leaf in the tree is its number of tokens and its leading tokens. Within a
-leaf the most frequent token of each position makes a template, and lines that agree with it in enough positions belong
-to it, so that its other positions are variable; what does not agree may agree with the next round's template, and else
-is its own. A template that recurs in several documents stays in the first and is dropped from the others.
+leaf lines that agree in enough positions share a template, the other positions are variable: each line owns a template
+and has the lines that agree with it. A line of a template that recurs in several documents stays in the first document
+that has one and is dropped from the others. No line of a leaf is left out, however many templates the leaf holds.
+
+Lines that agree are found without comparing all pairs. Where the choices of variable positions are few, each choice
+makes a key of the other positions, and all lines of a key agree. Longer lines are cut into one block of positions more
+than may differ, so that two lines that agree have a block in common; lines of a block are compared.
 
 Only keys of lines are shuffled to find recurring leaves; words of lines only for leaves that hold several different
-lines. All grouping is by aggregates with partial sums, so a line that is in a third of all documents is no burden.
+lines. Grouping is by aggregates with partial sums, so a line that is in a third of all documents is no burden; only the
+different long lines that have a leaf and a block in common are compared in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import written
 
+#: Up to so many choices of variable positions, and to so many tokens, each choice makes a key.
+MOST_CHOICES, MOST_TOKENS = 64, 64
+
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by single blanks; a token with a digit is <*>. Lines that need neither are only looked through."""
@@ -28,54 +42,141 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int, least: int) -> DataFrame:
-    """doc_id, masked, n (tokens), leaf of the lines with `least` tokens."""
+    """doc_id, masked, n (tokens), leaf of the lines with `least` tokens; blank lines are none."""
     rows = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", masked(F.col("line")).alias("masked"))
-    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where(F.col("n") >= least)
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where((F.col("n") >= least) & (F.col("masked") != ""))
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth)))
 
 
-def recurring(docs: DataFrame, keyed: DataFrame, depth: int = 3, similarity: float = 0.8, rounds: int = 2, min_docs: int = 2, wild_tokens: int = 10) -> DataFrame:
+def _variable(n, similarity: float):
+    """How many of n positions may differ, as a number or a column."""
+    most = n * (1 - similarity) + 1e-9
+    return F.floor(most).cast("int") if isinstance(n, Column) else int(most)
+
+
+def _choices(depth: int, similarity: float) -> dict[int, list[list[int]]]:
+    """By number of tokens, the choices of variable positions, where these are few."""
+    out = {}
+    for n in range(depth + 1, MOST_TOKENS + 1):
+        d = min(_variable(n, similarity), n - depth)
+        if d and comb(n - depth, d) <= MOST_CHOICES:
+            out[n] = [list(c) for c in combinations(range(depth, n), d)]
+    return out
+
+
+def _keys(lines: DataFrame, choices: dict[int, list[list[int]]]) -> DataFrame:
+    """key, low, group of the lines; lines of one group agree."""
+    table = lines.sparkSession.createDataFrame([(n, c) for n, of in choices.items() for c in of] or [(0, [0])], "of int, at array<int>")
+    spread = lines.join(F.broadcast(table), F.col("n") == F.col("of"))
+    kept = F.transform(F.split("masked", " "), lambda token, i: F.when(~F.array_contains("at", i), token).otherwise(""))
+    return spread.select("key", "low", F.unhex(F.md5(F.array_join(kept, " "))).alias("group"))
+
+
+def _blocks(lines: DataFrame, choices: dict[int, list[list[int]]], depth: int, similarity: float) -> DataFrame:
+    """group, n, key, low, words (hashes) of the longer lines; lines that agree have a group in common."""
+    rest, d = F.col("n") - depth, _variable(F.col("n"), similarity)
+    long = lines.where(~F.col("n").isin(*choices)) if choices else lines
+    cut = long.withColumn("blocks", F.least(d + 1, rest)).withColumn("words", F.transform(F.split("masked", " "), lambda w: F.xxhash64(w)))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    begin = lambda b: F.floor(b * rest / F.col("blocks")).cast("int")
+    # where all positions may differ, the leaf is one group
+    part = F.when(d < rest, F.slice("words", begin(F.col("block")) + depth + 1, begin(F.col("block") + 1) - begin(F.col("block"))))
+    return cut.select(F.xxhash64("leaf", "block", part).alias("group"), "n", "key", "low", "words")
+
+
+def _compared(similarity: float, every: bool, schema: pa.Schema):
+    """For Arrow batches in the order of group, n, low: key and the smallest low of the lines that agree with it, or every pair of keys."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        group, n = rows["group"].to_numpy(), rows["n"].to_numpy()
+        words = rows["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(n)])
+        edges = np.flatnonzero((np.diff(group) != 0) | (np.diff(n) != 0)) + 1
+        mine, other = [], []
+        for begin, end in zip([0, *edges], [*edges, len(n)]):
+            size = int(n[begin])
+            table, least = words[at[begin] : at[end]].reshape(end - begin, size), size - _variable(size, similarity)
+            left = np.arange(1, end - begin)
+            for j in range(end - begin - 1):
+                left = left[left > j]
+                if not len(left):
+                    break
+                same = (table[left] == table[j]).sum(axis=1) >= least
+                mine.append(left[same] + begin)
+                other.append(np.full(int(same.sum()), j + begin))
+                if not every:
+                    left = left[~same]
+        mine, other = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (mine, other))
+        if every:
+            mine, other = np.concatenate([mine, other]), np.concatenate([other, mine])
+        return pa.RecordBatch.from_arrays([rows["key"].combine_chunks().take(pa.array(mine)), rows["key" if every else "low"].combine_chunks().take(pa.array(other))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch["group"].to_numpy()
+            begin = int(np.searchsorted(group, group[-1]))  # its last group may go on
+            if begin or (held and held[-1]["group"][-1].as_py() != group[0]):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def recurring(docs: DataFrame, keyed: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
     """key (of a masked line), owner (the smallest id that has its template), for the lines whose template is in min_docs documents of (doc_id, text); keyed has leaf, key, doc_id, n of their lines."""
-    mixed = keyed.where(F.col("n") >= wild_tokens).groupBy("leaf").agg(F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"))
+    varied = (_variable(F.col("n"), similarity) > 0) & (F.col("n") > depth)
+    mixed = keyed.where(varied).groupBy("leaf").agg(F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"))
     mixed = mixed.where("a <> b AND c <> d").select((F.col("leaf") + 0).alias("of"))
     # the side of leaves is the smaller one: a hash of it spares sorting the lines
-    rest = _lines(docs, depth, wild_tokens).join(mixed.hint("shuffle_hash"), F.col("leaf") == F.col("of"), "left_semi")
-    rest = written(rest.select("leaf", "masked").distinct().select("leaf", F.unhex(F.md5("masked")).alias("key"), "masked"), "mixed")
-    assigned = None
-    for r in range(rounds):
-        split = rest.select("leaf", "key", "masked", F.split("masked", " ").alias("tokens"))
-        votes = split.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").count()
-        top = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
-        template = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("parts")).select((F.col("leaf") + 0).alias("of"), F.col("parts.token").alias("template"))
-        scored = split.join(template, F.col("leaf") == F.col("of"))
-        same = F.expr("aggregate(zip_with(tokens, template, (a, b) -> CAST(a <=> b AS int)), 0, (x, y) -> x + y)") / F.size("tokens")
-        scored = written(scored.select("leaf", "key", "masked", same.alias("share")), f"round{r}")
-        covered = scored.where(F.col("share") >= similarity).select("key", F.unhex(F.md5(F.concat_ws(" ", F.lit(f"round {r}"), F.col("leaf").cast("string")))).alias("template"))
-        assigned = covered if assigned is None else assigned.unionByName(covered)
-        rest = scored.where(F.col("share") < similarity)
-    per_key = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("docs"))
-    owned = per_key.join(assigned.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select("key", F.coalesce("template", "key").alias("template"), "low", "high", "docs")
-    # the number of documents of a template: exact for two, else a count of (template, document) pairs
-    if min_docs <= 2:
-        often = owned.groupBy("template").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner <> last" if min_docs == 2 else "true").select("template", "owner")
-    else:
-        pairs = keyed.join(owned.select(F.col("key").alias("k"), "template"), F.col("key") == F.col("k")).select("template", "doc_id").distinct()
-        often = pairs.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("owner")).where(F.col("docs") >= min_docs).select("template", "owner")
-    return owned.select("key", F.col("template").alias("t")).join(often.select(F.concat("template", F.lit(b"")).alias("template"), "owner"), F.col("t") == F.col("template")).select("key", "owner")
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8, rounds: int = 2, min_docs: int = 2, min_tokens: int = 4, wild_tokens: int = 10) -> DataFrame:
+    rest = _lines(docs, depth, depth + 1).where(varied).join(mixed.hint("shuffle_hash"), F.col("leaf") == F.col("of"), "left_semi")
+    rest = rest.groupBy("leaf", "n", "masked").agg(F.min("doc_id").alias("low"))
+    rest = written(rest.select("leaf", "n", F.unhex(F.md5("masked")).alias("key"), "masked", "low"), "mixed")
+    choices = _choices(depth, similarity)
+    shared = _keys(rest, choices)
+    blocks = _blocks(rest, choices, depth, similarity)
+    several = blocks.groupBy("group").agg(F.count("*").alias("lines")).where("lines > 1").select((F.col("group") + 0).alias("of"))
+    blocks = blocks.join(several, F.col("group") == F.col("of"), "left_semi").repartition("group").sortWithinPartitions("group", "n", "low", "key")
+    every, kind = min_docs > 2, keyed.schema["doc_id"].dataType
+    second = "other binary" if every else f"low {kind.simpleString()}"
+    schema = keyed.sparkSession.createDataFrame([], f"key binary, {second}").toArrow().schema
+    compared = blocks.mapInArrow(_compared(similarity, every, schema), f"key binary, {second}")
+    if not every:
+        first = shared.groupBy("group").agg(F.min("low").alias("first")).withColumnRenamed("group", "of")
+        near = shared.join(first, F.col("group") == F.col("of")).select("key", F.col("first").alias("low")).where("low IS NOT NULL")
+        own = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        none = F.lit(None).cast(kind).alias("high")
+        found = own.unionByName(near.select("key", "low", none)).unionByName(compared.select("key", "low", none))
+        # a template in two documents: one of the line's documents is not the first
+        return found.groupBy("key").agg(F.min("low").alias("owner"), F.max("high").alias("high")).where("owner <> high" if min_docs == 2 else "true").select("key", "owner")
+    # of a group of lines that agree, the first min_docs documents tell as much as all
+    pairs = keyed.select(F.col("key").alias("k"), "doc_id")
+    of_group = shared.select("key", "group").join(pairs, F.col("key") == F.col("k")).select("group", "doc_id").distinct()
+    of_group = of_group.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy("doc_id"))).where(F.col("at") <= min_docs).select(F.col("group").alias("of"), "doc_id")
+    near = shared.join(of_group, F.col("group") == F.col("of")).select("key", "doc_id")
+    met = compared.distinct().join(pairs, F.col("other") == F.col("k")).select("key", "doc_id")
+    found = keyed.select("key", "doc_id").unionByName(near).unionByName(met).distinct()
+    return found.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("owner")).where(F.col("docs") >= min_docs).select("key", "owner")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 4) -> DataFrame:
     """docs with all its columns, its text without the lines whose template other documents had first, and `dropped_lines` (long).
 
     A document is an id: rows that repeat an id own lines together, and a row without an id owns none and loses none.
-    Lines of fewer than min_tokens tokens always stay; lines of fewer than wild_tokens recur only when equal after
-    masking. Null text stays null and empty text empty; a text may lose all its lines and is then empty. No rows in, no rows out.
+    Blank lines and lines of fewer than min_tokens tokens always stay; lines too short for a variable position recur when
+    equal after masking. Null text stays null and empty text empty; a text may lose all its lines and is then empty. No rows in, no rows out.
     """
     docs = docs.drop("dropped_lines")
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     keyed = _lines(mine, depth, min_tokens).select("leaf", F.unhex(F.md5("masked")).alias("key"), "doc_id", "n").distinct()
     keyed = written(keyed, "lines")
-    known = written(recurring(mine, keyed, depth, similarity, rounds, min_docs, wild_tokens), "recurring").withColumnRenamed("key", "k")
+    known = written(recurring(mine, keyed, depth, similarity, min_docs), "recurring").withColumnRenamed("key", "k")
     gone = keyed.select("doc_id", "key").join(known, (F.col("key") == F.col("k")) & (F.col("doc_id") != F.col("owner")))
     gone = gone.groupBy("doc_id").agg(F.collect_list("key").alias("__gone")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")

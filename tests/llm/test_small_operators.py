@@ -149,6 +149,45 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.dropped_lines for r in more.where("doc_id IS NOT NULL").collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1, 9: 0}
 
 
+def plain_line_dedup(rows, depth=3, similarity=0.8, min_docs=2, min_tokens=1):
+    """Every line against every line of its leaf."""
+    mask = lambda line: " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split())
+    fits = lambda m: m and len(m.split()) >= min_tokens
+    having = {}
+    for i, text in rows:
+        for m in filter(fits, map(mask, text.split("\n"))):
+            having.setdefault(m, set()).add(i)
+    known = {}
+    for m in having:
+        a, docs = m.split(), set()
+        for o, ids in having.items():
+            b = o.split()
+            if len(a) == len(b) and a[:depth] == b[:depth] and sum(x == y for x, y in zip(a, b)) / len(a) >= similarity:
+                docs |= ids
+        if len(docs) >= min_docs:
+            known[m] = min(docs)
+    return {i: "\n".join(line for line in text.split("\n") if known.get(mask(line), i) == i) for i, text in rows}
+
+
+def test_line_dedup_of_many_templates(spark):
+    """Short variable lines, several templates to a leaf, long lines and unrelated lines of the same opening."""
+    draw = random.Random(5)
+    names = ["Anna", "Boris", "Carla", "Dmitri", "Edith", "Farid", "Greta"]
+    forms = ["Order was shipped to {}", "Order was shipped by {}", "Read more", "All rights reserved."]
+    forms += [f"we found that {w} was at the {v} on {{}} and then it left {{}}" for w, v in [("he", "bank"), ("she", "mill"), ("it", "farm"), ("who", "lake")]]
+    forms += [f"we found that {' '.join(f'{w}{c}' for c in 'abcdefghijklmn')} {{}} and {{}} or {{}} so {{}}" for w in ("u", "v", "w", "x")]
+    rows = []
+    for i in range(60):
+        lines = [draw.choice(forms).format(*draw.choices(names, k=4)) for _ in range(3)]
+        lines += ["we found that " + " ".join(draw.choice("abcdefgh") for _ in range(draw.choice([2, 3, 10, 19]))), ""]
+        draw.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for settings in ({}, {"min_docs": 3}, {"similarity": 0.6}, {"min_docs": 4, "similarity": 0.7}):
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, min_tokens=1, **settings).collect()}
+        assert got == plain_line_dedup(rows, **settings)
+
+
 def test_exact_dedup(spark):
     rows = [(1, "a"), (5, "a"), (3, "b"), (4, None), (9, ""), (None, "b"), (None, "c"), (7, "d"), (7, "d"), (8, "x" * 200_000), (6, "x" * 200_000)]
     docs = clashing(spark, rows, "doc_id long, text string").repartition(4)
