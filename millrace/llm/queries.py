@@ -68,7 +68,7 @@ def op8_chat_perspectives(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    cleaned = line_dedup.line_dedup(docs)
+    cleaned = line_dedup.line_dedup(docs, min_tokens=1)
     return cleaned.select("doc_id", "dropped_lines", "text")
 
 

@@ -220,3 +220,12 @@ def test_grace_spills_and_compares_contents(limit):
         largest, rows = want.get(content, (0, 0))
         want[content] = max(largest, i), rows + n
     assert got == want
+
+
+def test_line_dedup_query_drops_short_lines(spark, tmp_path):
+    from millrace.llm.queries import op9_line_dedup
+
+    rows = [(1, "Read more\nOrder was shipped to Anna\n\nyes"), (2, "Read more\n\nOrder was shipped to Boris\nno"), (3, "All rights reserved.\nyes\n\nOrder went to him")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.dropped_lines) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nno", 2), 3: ("All rights reserved.\n\nOrder went to him", 1)}
