@@ -16,17 +16,23 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+#: A pair of surrogates, another code (a lone surrogate is none), any other escape, what stands between, a last backslash.
+_CODE = r"\\u+(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
+_PAIR = r"\\u+[dD][89abAB][0-9a-fA-F]{2}\\u+[dD][c-fC-F][0-9a-fA-F]{2}"
+_PARTS = rf"(?s)({_PAIR}|{_CODE}|\\.|[^\\]+|\\)"
+
+
 def unescape(c: Column) -> Column:
-    r"""Backslash escapes \n \t \r \" \' \/ \\ and \uXXXX of the Basic Latin and Latin ranges; what is malformed stays."""
-    for code in range(0x20, 0x180):
-        c = F.replace(c, F.lit(f"\\u{code:04x}"), F.lit(chr(code))) if code in _ESCAPED else c
-    for mark, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\'", "'"), ("\\/", "/"), ("\\\\", "\\")):
-        c = F.replace(c, F.lit(mark), F.lit(char))
-    return c
+    r"""Backslash escapes \n \t \r \" \' \/ \\ and every \uXXXX from left to right, surrogate pairs as one character; what is malformed stays."""
 
+    def plain(part: Column) -> Column:
+        # the hex digits are UTF-16
+        out = F.when(part.rlike(rf"^(?:{_PAIR}|{_CODE})$"), F.decode(F.unhex(F.regexp_replace(part, r"\\u+", "")), "UTF-16BE"))
+        for mark, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\'", "'"), ("\\/", "/"), ("\\\\", "\\")):
+            out = out.when(part == mark, F.lit(char))
+        return out.otherwise(part)
 
-#: Escapes that product pages use in practice.
-_ESCAPED = {0x22, 0x26, 0x27, 0x3C, 0x3D, 0x3E, 0xA0, 0xAE, 0xE0, 0xE4, 0xE8, 0xE9, 0xF6, 0xFC}
+    return F.when(c.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1)), plain), "")).otherwise(c)
 
 
 @cache

@@ -76,3 +76,24 @@ def test_jaccard_is_symmetric_and_bounded(spark):
             assert r.x == r.y == pytest.approx(len(set(r.a) & set(r.b)) / len(set(r.a) | set(r.b)))
 
     check()
+
+
+@pytest.mark.parametrize(
+    "value, want",
+    [
+        (r"pi\u00f1a \u00E9t\u00C9 gar\u00e7on\u2019s \u4e2d\u0416", "piña étÉ garçon’s 中Ж"),
+        (r"\ud83d\ude00 \uD83D\uDE00", "😀 😀"),
+        (r"\ud83d x \ude00\u00f1", r"\ud83d x \ude00ñ"),
+        (r"C:\\new \\u00e9 \q \u12 \uu00f1" + "\\", r"C:\new \u00e9 \q \u12 ñ" + "\\"),
+        ("a\\\nb\n", "a\\\nb\n"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_unescape_every_code(spark, value, want):
+    assert one(spark, value, T.unescape) == want
+
+
+def test_names_with_escapes(spark):
+    assert one(spark, r"Jalape\u00f1o Sal\u00E7a", T.clean_name) == "Jalapeno Salca"
+    assert one(spark, r"<p>Caf\u00e9 gar\u00e7on it\u2019s a pi\u00f1a</p>", T.full_description) == "caf garon its a pia"
