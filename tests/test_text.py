@@ -1,5 +1,10 @@
 """Text rules on strings with known results."""
 
+import hashlib
+import json
+import re
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,3 +102,23 @@ def test_unescape_every_code(spark, value, want):
 def test_names_with_escapes(spark):
     assert one(spark, r"Jalape\u00f1o Sal\u00E7a", T.clean_name) == "Jalapeno Salca"
     assert one(spark, r"<p>Caf\u00e9 gar\u00e7on it\u2019s a pi\u00f1a</p>", T.full_description) == "caf garon its a pia"
+
+
+def plain_description(text):
+    """The rules on one text, with the escapes read by Python's JSON reader; null if it is none."""
+    text = json.loads(f'"{text}"') if "\\" in text else text
+    text = "".join(x for x in unicodedata.normalize("NFD", " ".join(text.split())) if x.isascii())
+    text = re.sub(r"\s+", " ", text).strip()
+    fine = len(text) >= 20 and len(text.split()) >= 10 and not text.startswith(".")
+    return text if fine else None
+
+
+def test_descriptions_with_backslashes(spark, tmp_path):
+    from millrace.plans.queries import QUERIES
+
+    words = "of a red kettle with lid for tea and more"
+    texts = [words, rf"caf\u00e9 pi\u00F1a \u00e7 {words}", rf"C:\\temp\\new {words}", rf"\"one\"\ttwo\n{words}", rf"\u4e2d\u6587 {words}", r"\u0061 b", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.digest for r in QUERIES["clean_desc_filters"](spark, str(tmp_path)).collect()}
+    want = {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(map(plain_description, texts)) if t}
+    assert len(want) == 5 and got == want
