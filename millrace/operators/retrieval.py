@@ -14,8 +14,8 @@ def postings(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     return terms.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, query: str, key: str, column: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, key, score, rank: the k best documents per query, any term matching; ties by key.
+def bm25_scores(queries: DataFrame, index: DataFrame, query: str, key: str, column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, key, score of all documents that match any term.
 
     Exact document lengths. Document counts come from the index itself. Terms of the queries alone pass the first join, so
     posting lists that nobody asks for are never moved; Spark splits those that are hot.
@@ -27,11 +27,20 @@ def bm25(queries: DataFrame, index: DataFrame, query: str, key: str, column: str
     hits = wanted.join(df, "term").join(asked, "term").crossJoin(F.broadcast(lengths))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scores = hits.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+    return hits.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def best(scores: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """scores with rank: the k best documents per query; ties by key."""
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= k)
 
 
+def bm25(queries: DataFrame, index: DataFrame, query: str, key: str, column: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, key, score, rank: the k best documents per query, any term matching; ties by key."""
+    return best(bm25_scores(queries, index, query, key, column, k1, b), query, key, k)
+
+
 def not_itself(name: Column, other: Column) -> Column:
     return F.lower(T.collapse(name)) != F.lower(T.collapse(other))
 

@@ -397,9 +397,13 @@ _INDEX = f"""x AS (SELECT doc_id, strip_accents(unnest({_TERM})) AS t FROM docum
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-def _hits(spark, sf, k=10):
+def _scores(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return retrieval.bm25(items, retrieval.postings(docs, "doc_id"), "item_id", "doc_id", k=k)
+    return retrieval.bm25_scores(items, retrieval.postings(docs, "doc_id"), "item_id", "doc_id")
+
+
+def _hits(spark, sf, k=10):
+    return retrieval.best(_scores(spark, sf), "item_id", "doc_id", k)
 
 
 @_query(f"WITH {_INDEX} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -414,7 +418,12 @@ def bm25_topk(spark, sf):
 def desc_expander(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("name"))
-    hits = _hits(spark, sf, 20).join(docs, "doc_id").join(items, "item_id").withColumn("hit_name", F.col("text"))
+    # what qualifies is told by digests: texts are joined to the hits that are taken, at most 5 of an item
+    form = lambda c: F.md5(F.lower(T.collapse(F.col(c))))
+    facts = docs.where(F.length("text") >= 20).select("doc_id", F.md5("text").alias("copy"), form("text").alias("form"))
+    fine = _scores(spark, sf).join(facts, "doc_id").join(items.select("item_id", form("name").alias("itself")), "item_id").where("form <> itself")
+    first = fine.groupBy("item_id", "copy").agg(F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), "doc_id")).alias("hit")).select("item_id", "hit.*")
+    hits = retrieval.best(first, "item_id", "doc_id", 5).join(docs, "doc_id").join(items, "item_id").withColumn("hit_name", F.col("text"))
     return retrieval.expand_descriptions(hits, "item_id", "name", "hit_name", "text", 40, 5).withColumn("expanded", F.md5("expanded"))
 
 
@@ -423,9 +432,10 @@ def desc_expander(spark, sf):
         SELECT item_id, doc_id, prefix, "at" FROM n, (VALUES (1), (5), (10)) v(prefix) WHERE "at" <= prefix AND a >= prefix""")
 def nested_prefix_corpus(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    hits = _hits(spark, sf, 20).join(docs, "doc_id").withColumn("none", F.lit("")).withColumn("hit_name", F.lit("x"))
-    fine = retrieval.corpus_hits(hits, "none", "hit_name", "text")
-    return retrieval.nested_prefixes(fine, "item_id", [1, 5, 10]).select("item_id", "doc_id", "prefix", "at")
+    sizes = [1, 5, 10]
+    fine = retrieval.corpus_hits(docs.withColumn("none", F.lit("")).withColumn("hit_name", F.lit("x")), "none", "hit_name", "text").select("doc_id")
+    hits = retrieval.best(_scores(spark, sf).join(fine, "doc_id"), "item_id", "doc_id", max(sizes))
+    return retrieval.nested_prefixes(hits, "item_id", sizes).select("item_id", "doc_id", "prefix", "at")
 
 
 @_query("""WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT p_name, unnest(string_split(lower(p_name), ' ')) AS term FROM n),

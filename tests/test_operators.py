@@ -113,6 +113,19 @@ def test_experiment(spark, tmp_path):
     assert learning.predict(str(tmp_path / "m"), learning.word_columns(rows, [("Name", None)])).where("pred <> lvl1").count() == 0
 
 
+def test_hits_beyond_copies_and_short_texts(spark, tmp_path):
+    """30 copies, 30 texts like the item itself and 30 short texts are no reason to miss what ranks after them."""
+    item = "red kettle"
+    copies, others = "red kettle red kettle of steel", [f"red kettle number{i} " + "word " * 60 for i in range(12)]
+    texts = [copies] * 30 + ["Red  Kettle"] * 30 + ["red kettle red kettle"] * 30 + others
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["desc_expander"](spark, str(tmp_path)).first()
+    assert got.hits == 5
+    at = {(r.prefix, r["at"]): r.doc_id for r in QUERIES["nested_prefix_corpus"](spark, str(tmp_path)).collect()}
+    assert at == {(p, i + 1): 90 + i for p in (1, 5, 10) for i in range(p)}
+
+
 def plain(value):
     if value is None or isinstance(value, float) and value != value:
         return None
