@@ -1,51 +1,53 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line's fields with digits are masked; its leaf in the tree is its number of tokens and its leading tokens. Within a
-leaf lines that agree in enough positions share a template, the other positions are variable: each line owns a template
-and has the lines that agree with it. A line of a template that recurs in several documents stays in the first document
-that has one and is dropped from the others. No line of a leaf is left out, however many templates the leaf holds.
-
-Lines that agree are found without comparing all pairs. Where the choices of variable positions are few, each choice
-makes a key of the other positions, and all lines of a key agree. Longer lines are cut into one block of positions more
-than may differ, so that two lines that agree have a block in common; lines of a block are compared.
-
-Only keys of lines are shuffled to find recurring leaves; words of lines only for leaves that hold several different
-lines. Grouping is by aggregates with partial sums, so a line that is in a third of all documents is no burden; only the
-different long lines that have a leaf and a block in common are compared in one task.
+A line's tokens with digits are masked; its leaf in the tree is its number of tokens and its leading tokens. Within a
+leaf, lines that agree in enough positions share a template, whose other positions are variable: each line owns a
+template and has the lines that agree with it. A line of a template that recurs in several documents stays in the first
+document that has one and is dropped from the others. Every line goes through the tree, however short, and no line of a
+leaf is left out, however many templates the leaf holds.
+
+Texts are read three times, by Arrow batches: for the keys and leaves of all lines, for the words of the lines of leaves
+that hold several different ones, and to write the texts that lose lines. Only keys are grouped, with partial sums, so
+a line that is in a third of all documents is no burden. The lines of a leaf are compared in one task if they are few
+(MOST_LINES). In a larger leaf those that agree with its first line are settled by a join; the others are dealt by
+blocks of positions, one block more than positions may differ, so that lines that agree have a block in common; and a
+block's lines that do not agree with its first are compared with all others in pairs of bounded chunks. The result is
+the same each way. Keys are hashes of 128 bits, compared words hashes of 64.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from millrace.llm.shared import written
+from millrace.llm.shared import discard, pieces, written
 
-#: Up to so many choices of variable positions, and to so many tokens, each choice makes a key.
-MOST_CHOICES, MOST_TOKENS = 64, 64
+#: Different lines of a leaf, or of a block of positions, that one task compares.
+MOST_LINES = 1000
 
+_DIGIT = re.compile("[0-9]").search
+_FIELD = re.compile(r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*")
 
-def masked(line: Column) -> Column:
-    """The line's tokens joined by single blanks; a token with a digit is <*>. Lines that need neither are only looked through."""
-    even = F.when(line.rlike(r"[^\S ]|  |^ | $"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(even, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(even)
 
+def masked(line: str) -> str:
+    """The line's tokens, as str.split cuts them, joined by blanks; a token with a digit is <*>."""
+    even = " ".join(line.split())
+    return _FIELD.sub("<*>", even) if _DIGIT(even) else even
 
-def line_key(line: Column) -> Column:
-    return F.unhex(F.md5(masked(line)))
 
+def line_key(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
-def _lines(docs: DataFrame, depth: int, least: int) -> DataFrame:
-    """doc_id, masked, n (tokens), leaf of the lines with `least` tokens; blank lines are none."""
-    rows = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", masked(F.col("line")).alias("masked"))
-    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where((F.col("n") >= least) & (F.col("masked") != ""))
-    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth)))
+
+def _leaf(line: str, n: int, depth: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{n} {' '.join(line.split(' ', depth)[:depth])}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _variable(n, similarity: float):
@@ -54,135 +56,183 @@ def _variable(n, similarity: float):
     return F.floor(most).cast("int") if isinstance(n, Column) else int(most)
 
 
-def _choices(depth: int, similarity: float) -> dict[int, list[list[int]]]:
-    """By number of tokens, the choices of variable positions, where these are few."""
-    out = {}
-    for n in range(depth + 1, MOST_TOKENS + 1):
-        d = min(_variable(n, similarity), n - depth)
-        if d and comb(n - depth, d) <= MOST_CHOICES:
-            out[n] = [list(c) for c in combinations(range(depth, n), d)]
-    return out
+def _lines(depth: int, least: int):
+    """doc_id, key, leaf, n (tokens) of each text's different masked lines with `least` tokens; blank lines are none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            row, keys, leaves, sizes = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for line in dict.fromkeys(map(masked, text.split("\n"))):
+                    n = line.count(" ") + 1
+                    if line and n >= least:
+                        row.append(i)
+                        keys.append(line_key(line))
+                        leaves.append(_leaf(line, n, depth))
+                        sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(keys, pa.binary()), pa.array(leaves, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "key", "leaf", "n"])
 
-def _keys(lines: DataFrame, choices: dict[int, list[list[int]]]) -> DataFrame:
-    """key, low, group of the lines; lines of one group agree."""
-    table = lines.sparkSession.createDataFrame([(n, c) for n, of in choices.items() for c in of] or [(0, [0])], "of int, at array<int>")
-    spread = lines.join(F.broadcast(table), F.col("n") == F.col("of"))
-    kept = F.transform(F.split("masked", " "), lambda token, i: F.when(~F.array_contains("at", i), token).otherwise(""))
-    return spread.select("key", "low", F.unhex(F.md5(F.array_join(kept, " "))).alias("group"))
+    return run, "key binary, leaf long, n int"
 
 
-def _blocks(lines: DataFrame, choices: dict[int, list[list[int]]], depth: int, similarity: float) -> DataFrame:
-    """group, n, key, low, words (hashes) of the longer lines; lines that agree have a group in common."""
-    rest, d = F.col("n") - depth, _variable(F.col("n"), similarity)
-    long = lines.where(~F.col("n").isin(*choices)) if choices else lines
-    cut = long.withColumn("blocks", F.least(d + 1, rest)).withColumn("words", F.transform(F.split("masked", " "), lambda w: F.xxhash64(w)))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    begin = lambda b: F.floor(b * rest / F.col("blocks")).cast("int")
-    # where all positions may differ, the leaf is one group
-    part = F.when(d < rest, F.slice("words", begin(F.col("block")) + depth + 1, begin(F.col("block") + 1) - begin(F.col("block"))))
-    return cut.select(F.xxhash64("leaf", "block", part).alias("group"), "n", "key", "low", "words")
-
-
-def _compared(similarity: float, every: bool, schema: pa.Schema):
-    """For Arrow batches in the order of group, n, low: key and the smallest low of the lines that agree with it, or every pair of keys."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        group, n = rows["group"].to_numpy(), rows["n"].to_numpy()
-        words = rows["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        at = np.concatenate([[0], np.cumsum(n)])
-        edges = np.flatnonzero((np.diff(group) != 0) | (np.diff(n) != 0)) + 1
-        mine, other = [], []
-        for begin, end in zip([0, *edges], [*edges, len(n)]):
-            size = int(n[begin])
-            table, least = words[at[begin] : at[end]].reshape(end - begin, size), size - _variable(size, similarity)
-            left = np.arange(1, end - begin)
-            for j in range(end - begin - 1):
-                left = left[left > j]
-                if not len(left):
-                    break
-                same = (table[left] == table[j]).sum(axis=1) >= least
-                mine.append(left[same] + begin)
-                other.append(np.full(int(same.sum()), j + begin))
-                if not every:
-                    left = left[~same]
-        mine, other = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (mine, other))
-        if every:
-            mine, other = np.concatenate([mine, other]), np.concatenate([other, mine])
-        return pa.RecordBatch.from_arrays([rows["key"].combine_chunks().take(pa.array(mine)), rows["key" if every else "low"].combine_chunks().take(pa.array(other))], schema=schema)
+def _words(schema: pa.Schema, depth: int):
+    """group (the leaf), key, n, ids, lines, words (hashes) of the lines in column `wanted`, from the texts that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for batch in pieces(batches, "text"):
+            out = []
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                known = {w["key"]: (w["ids"], w["lines"]) for w in wanted}
+                for line in dict.fromkeys(map(masked, text.split("\n"))):
+                    if (key := line_key(line)) in known:
+                        words = line.split(" ")
+                        out.append((_leaf(line, len(words), depth), key, len(words), *known[key], [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words]))
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _agreeing(similarity: float, min_docs: int, schema: pa.Schema):
+    """For rows in the order of group, part, low: key and documents of the lines that agree with it, the first of them and up to min_docs.
+
+    Role 0 is compared with, role 1 looks for lines, role 2 does both. The lines of one group have the same number of words.
+    """
+
+    def found(rows: pa.Table) -> list[tuple[bytes, list]]:
+        ids, role = rows["ids"].to_pylist(), rows["role"].to_numpy()
+        words = rows["words"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        least = words.shape[1] - _variable(words.shape[1], similarity)
+        left = np.flatnonzero(role > 0)
+        docs = {t: [] for t in left.tolist()}
+        for s in np.flatnonzero(role != 1):
+            if not len(left):
+                break
+            same = (words[left] == words[s]).sum(1) >= least
+            for t in left[same].tolist():
+                docs[t] += [i for i in ids[s] if i not in docs[t]]
+            # the first that agrees tells the owner; for two documents that is enough, as only later ones lose the line
+            left = left[[not (ok and (min_docs <= 2 or len(docs[t]) >= min_docs)) for t, ok in zip(left.tolist(), same.tolist(), strict=True)]]
+        keys = rows["key"].to_pylist()
+        return [(keys[t], d) for t, d in docs.items() if d]
+
+    def packed(pairs: list[tuple[bytes, list]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], schema.field("ids").type)], names=["key", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, pairs = [], None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = batch["group"].to_numpy()
-            begin = int(np.searchsorted(group, group[-1]))  # its last group may go on
-            if begin or (held and held[-1]["group"][-1].as_py() != group[0]):
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, begin)]))
-                held = []
-            held.append(batch.slice(begin))
+            at = np.stack([batch.column(c).to_numpy() for c in ("group", "part")])
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(at[:, begin].tolist())
+                if held and now != last:
+                    pairs += found(pa.Table.from_batches(held))
+                    held = []
+                last = now
+                held.append(batch.slice(begin, end - begin))
+            if len(pairs) > 5000:
+                yield packed(pairs)
+                pairs = []
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield packed(pairs + found(pa.Table.from_batches(held)))
+
+    return run
+
+
+def _settled(rows: DataFrame, similarity: float, min_docs: int) -> DataFrame:
+    """rows (group, key, n, ids, words) with `docs`, theirs and those of the group's first line if it agrees, and `done` if these are enough."""
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("ids")[0].alias("low"), "key", "ids", "words")).alias("first")).withColumnRenamed("group", "of")
+    both = rows.join(first, F.col("group") == F.col("of"))
+    same = F.size(F.filter(F.zip_with("words", "first.words", lambda a, b: a == b), lambda x: x))
+    both = both.withColumn("agrees", same >= F.col("n") - _variable(F.col("n"), similarity)).withColumn("docs", F.array_union("first.ids", "ids"))
+    return both.select("group", "key", "n", "ids", "words", F.when(F.col("agrees"), F.col("docs")).alias("docs"), (F.col("agrees") & (F.lit(min_docs <= 2) | (F.size("docs") >= min_docs))).alias("done"))
+
+
+def recurring(docs: DataFrame, lines: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
+    """key, owner (the smallest id that has its template) of the lines whose template is in min_docs documents of (doc_id, text); `lines` has doc_id, key, leaf, n."""
+    if min_docs > 2:  # the first min_docs documents of a line tell as much as all
+        ranked = lines.distinct().withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("at") <= min_docs)
+        each = ranked.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    else:
+        each = lines.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        each = each.select("key", "leaf", "n", F.array_distinct(F.array("low", "high")).alias("ids"))
+    each = written(each, "each")
+    varied = each.where((_variable(F.col("n"), similarity) > 0) & (F.col("n") > depth))
+    leaves = varied.groupBy("leaf").agg(F.count("*").alias("lines"), F.min(F.col("ids")[0]).alias("a"), F.max(F.element_at("ids", -1)).alias("b")).where("lines > 1 AND a <> b")
+    leaves = leaves.select((F.col("leaf") + 0).alias("of"), "lines")
+    wanted = varied.join(leaves.hint("shuffle_hash"), F.col("leaf") == F.col("of"))
+    wanted = wanted.groupBy(F.col("ids")[0].alias("__low")).agg(F.collect_list(F.struct("key", "ids", "lines")).alias("wanted"))
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__low")).select("text", "wanted")
+    schema = StructType.fromDDL("group long, key binary, n int").add("ids", each.schema["ids"].dataType).add("lines", "long").add("words", ArrayType(LongType()))
+    arrow = lines.sparkSession.createDataFrame([], schema).toArrow().schema
+    rows = written(texts.mapInArrow(_words(arrow, depth), schema).dropDuplicates(["key"]), "words")
+
+    few = rows.where(F.col("lines") <= MOST_LINES).select("group", F.lit(0).alias("part"), F.lit(2).alias("role"), "key", "ids", "words")
+    in_leaf = written(_settled(rows.where(F.col("lines") > MOST_LINES), similarity, min_docs), "in_leaf")
+    rest, d = F.col("n") - depth, _variable(F.col("n"), similarity)
+    cut = in_leaf.withColumn("blocks", F.least(d + 1, rest)).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    begin = lambda b: F.floor(b * rest / F.col("blocks")).cast("int")
+    # where all positions may differ, the leaf is one block
+    block = F.when(d < rest, F.slice("words", begin(F.col("block")) + depth + 1, begin(F.col("block") + 1) - begin(F.col("block"))))
+    blocks = cut.select(F.xxhash64("group", "block", block).alias("group"), "key", "n", "ids", "words", "done")
+    open_ = blocks.groupBy("group").agg(F.count("*").alias("lines"), F.min("done").alias("all")).where("lines > 1 AND NOT all").select((F.col("group") + 0).alias("of"), "lines")
+    blocks = written(blocks.join(open_, F.col("group") == F.col("of")).drop("of"), "blocks")
+    small = blocks.where(F.col("lines") <= MOST_LINES).select("group", F.lit(0).alias("part"), F.when(F.col("done"), 0).otherwise(2).alias("role"), "key", "ids", "words")
+    sizes = blocks.where(F.col("lines") > MOST_LINES).groupBy("group").agg(F.ceil(F.count("*") / MOST_LINES).cast("int").alias("parts")).select((F.col("group") + 0).alias("of"), "parts")
+    in_block = written(_settled(blocks.where(F.col("lines") > MOST_LINES).drop("lines", "done"), similarity, min_docs).join(sizes, F.col("group") == F.col("of")), "in_block")
+    sources = in_block.select("group", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "key", "ids", "words")
+    seekers = in_block.where("NOT done").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "key", "ids", "words")
+    dealt = few.unionByName(small).unionByName(sources).unionByName(seekers)
+    dealt = dealt.repartition("group", "part").sortWithinPartitions("group", "part", F.col("ids")[0], "key")
+    compared = dealt.mapInArrow(_agreeing(similarity, min_docs, arrow), StructType([schema["key"], schema["ids"]]))
+
+    said = [x.where("docs IS NOT NULL").select("key", F.col("docs").alias("ids")) for x in (in_leaf, in_block)]
+    found = each.select("key", "ids").unionByName(compared).unionByName(said[0]).unionByName(said[1]).select("key", F.explode("ids").alias("id"))
+    counts = [F.min("id").alias("owner"), F.max("id").alias("high")] + ([F.size(F.collect_set("id")).alias("docs")] if min_docs > 2 else [])
+    enough = "true" if min_docs < 2 else "owner <> high" if min_docs == 2 else f"docs >= {min_docs}"
+    known = written(found.groupBy("key").agg(*counts).where(enough).select("key", "owner"), "recurring")
+    discard(each, rows, in_leaf, blocks, in_block)
+    return known
+
+
+def _without(schema: pa.Schema, text_col: str):
+    """The rows, texts without the lines whose keys are in column __gone; the number of dropped lines in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = schema.get_field_index(text_col)
+        for batch in pieces(batches, text_col):
+            texts, dropped = batch.column(text_col).to_pylist(), [0] * batch.num_rows
+            for i, gone in enumerate(batch.column("__gone").to_pylist()):
+                if gone and texts[i]:
+                    gone, lines = set(gone), texts[i].split("\n")
+                    kept = [line for line in lines if line_key(masked(line)) not in gone]
+                    texts[i], dropped[i] = "\n".join(kept), len(lines) - len(kept)
+            columns = [*batch.columns[:-1], pa.array(dropped, pa.int64())]
+            columns[at] = pa.array(texts, schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def recurring(docs: DataFrame, keyed: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
-    """key (of a masked line), owner (the smallest id that has its template), for the lines whose template is in min_docs documents of (doc_id, text); keyed has leaf, key, doc_id, n of their lines."""
-    varied = (_variable(F.col("n"), similarity) > 0) & (F.col("n") > depth)
-    mixed = keyed.where(varied).groupBy("leaf").agg(F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"))
-    mixed = mixed.where("a <> b AND c <> d").select((F.col("leaf") + 0).alias("of"))
-    # the side of leaves is the smaller one: a hash of it spares sorting the lines
-    rest = _lines(docs, depth, depth + 1).where(varied).join(mixed.hint("shuffle_hash"), F.col("leaf") == F.col("of"), "left_semi")
-    rest = rest.groupBy("leaf", "n", "masked").agg(F.min("doc_id").alias("low"))
-    rest = written(rest.select("leaf", "n", F.unhex(F.md5("masked")).alias("key"), "masked", "low"), "mixed")
-    choices = _choices(depth, similarity)
-    shared = _keys(rest, choices)
-    blocks = _blocks(rest, choices, depth, similarity)
-    several = blocks.groupBy("group").agg(F.count("*").alias("lines")).where("lines > 1").select((F.col("group") + 0).alias("of"))
-    blocks = blocks.join(several, F.col("group") == F.col("of"), "left_semi").repartition("group").sortWithinPartitions("group", "n", "low", "key")
-    every, kind = min_docs > 2, keyed.schema["doc_id"].dataType
-    second = "other binary" if every else f"low {kind.simpleString()}"
-    schema = keyed.sparkSession.createDataFrame([], f"key binary, {second}").toArrow().schema
-    compared = blocks.mapInArrow(_compared(similarity, every, schema), f"key binary, {second}")
-    if not every:
-        first = shared.groupBy("group").agg(F.min("low").alias("first")).withColumnRenamed("group", "of")
-        near = shared.join(first, F.col("group") == F.col("of")).select("key", F.col("first").alias("low")).where("low IS NOT NULL")
-        own = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        none = F.lit(None).cast(kind).alias("high")
-        found = own.unionByName(near.select("key", "low", none)).unionByName(compared.select("key", "low", none))
-        # a template in two documents: one of the line's documents is not the first
-        return found.groupBy("key").agg(F.min("low").alias("owner"), F.max("high").alias("high")).where("owner <> high" if min_docs == 2 else "true").select("key", "owner")
-    # of a group of lines that agree, the first min_docs documents tell as much as all
-    pairs = keyed.select(F.col("key").alias("k"), "doc_id")
-    of_group = shared.select("key", "group").join(pairs, F.col("key") == F.col("k")).select("group", "doc_id").distinct()
-    of_group = of_group.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy("doc_id"))).where(F.col("at") <= min_docs).select(F.col("group").alias("of"), "doc_id")
-    near = shared.join(of_group, F.col("group") == F.col("of")).select("key", "doc_id")
-    met = compared.distinct().join(pairs, F.col("other") == F.col("k")).select("key", "doc_id")
-    found = keyed.select("key", "doc_id").unionByName(near).unionByName(met).distinct()
-    return found.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("owner")).where(F.col("docs") >= min_docs).select("key", "owner")
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 4) -> DataFrame:
-    """docs with all its columns, its text without the lines whose template other documents had first, and `dropped_lines` (long).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 1, count_col: str = "dropped_lines") -> DataFrame:
+    """docs with all its columns, its text without the lines whose template other documents had first, and their number in count_col (long).
 
     A document is an id: rows that repeat an id own lines together, and a row without an id owns none and loses none.
     Blank lines and lines of fewer than min_tokens tokens always stay; lines too short for a variable position recur when
-    equal after masking. Null text stays null and empty text empty; a text may lose all its lines and is then empty. No rows in, no rows out.
+    equal after masking. Null text stays null and empty text empty; a text may lose all its lines and is then empty.
+    A text is held whole by the task that reads it. A column named count_col is replaced. No rows in, no rows out.
     """
-    docs = docs.drop("dropped_lines")
+    docs = docs.drop(count_col)
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    keyed = _lines(mine, depth, min_tokens).select("leaf", F.unhex(F.md5("masked")).alias("key"), "doc_id", "n").distinct()
-    keyed = written(keyed, "lines")
-    known = written(recurring(mine, keyed, depth, similarity, min_docs), "recurring").withColumnRenamed("key", "k")
-    gone = keyed.select("doc_id", "key").join(known, (F.col("key") == F.col("k")) & (F.col("doc_id") != F.col("owner")))
-    gone = gone.groupBy("doc_id").agg(F.collect_list("key").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
-    all_lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(all_lines, lambda line: ~F.array_contains(F.col("__gone"), line_key(line)))
-    whole = F.col("__gone").isNull() | F.col(text_col).isNull()
-    out = joined.withColumn("__kept", F.when(~whole, kept))
-    columns = [F.when(whole, F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.when(whole, F.lit(0)).otherwise(F.size(all_lines) - F.size("__kept")).cast("long").alias("dropped_lines"))
+    run, schema = _lines(depth, min_tokens)
+    lines = written(mine.mapInArrow(run, StructType([mine.schema["doc_id"], *StructType.fromDDL(schema)])), "lines")
+    known = recurring(mine, lines, depth, similarity, min_docs).withColumnRenamed("key", "k")
+    gone = lines.join(known, (F.col("key") == F.col("k")) & (F.col("doc_id") != F.col("owner")))
+    gone = gone.groupBy("doc_id").agg(F.collect_set("key").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
+    out = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{count_col}` long")])
+    arrow = docs.sparkSession.createDataFrame([], out).toArrow().schema
+    return joined.mapInArrow(_without(arrow, text_col), out)

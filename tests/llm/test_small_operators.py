@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, exact_dedup, licenses, line_dedup, mixing, warc
+from tests.conftest import DATA
 
 CLASH = ", size int, hash string, words string, n string, key string, template string"
 
@@ -137,7 +138,7 @@ def test_line_dedup(spark):
         (9, "same same same same\nsame same same same"),
     ]
     docs = clashing(spark, rows, "doc_id long, text string")
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, min_tokens=4)
     assert out.columns == [*docs.columns, "dropped_lines"]
     got = sorted(((r.doc_id, r.text, r.dropped_lines) for r in out.collect()), key=str)
     want = [(i, t, 0) for i, t in rows]
@@ -145,7 +146,7 @@ def test_line_dedup(spark):
     want[8] = want[9] = (8, "", 1)
     assert got == sorted(want, key=str)
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
-    more = line_dedup.line_dedup(docs, min_docs=3)
+    more = line_dedup.line_dedup(docs, min_docs=3, min_tokens=4)
     assert {r.doc_id: r.dropped_lines for r in more.where("doc_id IS NOT NULL").collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1, 9: 0}
 
 
@@ -157,11 +158,13 @@ def plain_line_dedup(rows, depth=3, similarity=0.8, min_docs=2, min_tokens=1):
     for i, text in rows:
         for m in filter(fits, map(mask, text.split("\n"))):
             having.setdefault(m, set()).add(i)
-    known = {}
+    known, leaves = {}, {}
+    for m in having:
+        leaves.setdefault((len(m.split()), *m.split()[:depth]), []).append(m)
     for m in having:
         a, docs = m.split(), set()
-        for o, ids in having.items():
-            b = o.split()
+        for o in leaves[len(a), *a[:depth]]:
+            b, ids = o.split(), having[o]
             if len(a) == len(b) and a[:depth] == b[:depth] and sum(x == y for x, y in zip(a, b)) / len(a) >= similarity:
                 docs |= ids
         if len(docs) >= min_docs:
@@ -184,7 +187,7 @@ def test_line_dedup_of_many_templates(spark):
         rows.append((i, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for settings in ({}, {"min_docs": 3}, {"similarity": 0.6}, {"min_docs": 4, "similarity": 0.7}):
-        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, min_tokens=1, **settings).collect()}
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, **settings).collect()}
         assert got == plain_line_dedup(rows, **settings)
 
 
@@ -229,3 +232,28 @@ def test_line_dedup_query_drops_short_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.text, r.dropped_lines) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\nno", 2), 3: ("All rights reserved.\n\nOrder went to him", 1)}
+
+
+def test_line_dedup_is_the_same_by_blocks_and_chunks(spark, monkeypatch):
+    """Leaves and blocks of more lines than one task compares, on the driver's own documents and on lines of one template."""
+    draw = random.Random(8)
+    rows = [(i, "\n".join(f"one two three four {draw.choice('abcdefghij')} {draw.choice('klmnop')} {draw.choice('uvwxyz')} eight nine {draw.choice('qr')}" for _ in range(4))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for most in (1000, 5):
+        monkeypatch.setattr(line_dedup, "MOST_LINES", most)
+        for settings in ({}, {"min_docs": 3}, {"similarity": 0.7}):
+            got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, **settings).collect()}
+            assert got == plain_line_dedup(rows, **settings)
+
+
+def test_line_dedup_of_driver_rows(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).where("text IS NOT NULL")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == plain_line_dedup(rows)
+
+
+def test_line_dedup_of_long_texts(spark):
+    long = "\n".join(f"line {w} of many words" for w in ("ab " * 9000).split()) + "\n" + "w" * 300_000 + "\n" + "x y " * 100_000
+    rows = [(1, long), (2, long), (3, "w" * 300_000)]
+    got = {r.doc_id: (r.text, r.dropped_lines) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (long, 0), 2: ("", 9002), 3: ("", 1)}
