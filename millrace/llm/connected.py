@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import written
+from millrace.llm.shared import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = written(both.groupBy("a").agg(F.min(drawn("b")).alias("first")).select("a", F.least("first", drawn("a"))["node"].alias("to")), "moves")
         first, second = move.select(F.col("a").alias("x"), F.col("to").alias("p")), move.select(F.col("a").alias("y"), F.col("to").alias("q"))
-        edges = edges.join(first, F.col("a") == F.col("x")).join(second, F.col("b") == F.col("y")).where("p <> q")
-        edges = written(edges.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
+        left = edges.join(first, F.col("a") == F.col("x")).join(second, F.col("b") == F.col("y")).where("p <> q")
+        left = written(left.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
         if labels is None:
-            labels = move.select(F.col("a").alias("node"), F.col("to").alias("at"))
+            labels = written(move.select(F.col("a").alias("node"), F.col("to").alias("at")), "labels")
         else:
-            labels = written(labels.join(first, F.col("at") == F.col("x"), "left").select("node", F.coalesce("p", "at").alias("at")), "labels")
+            before, labels = labels, written(labels.join(first, F.col("at") == F.col("x"), "left").select("node", F.coalesce("p", "at").alias("at")), "labels")
+            discard(before)
+        discard(edges, move)
+        edges = left
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
     smallest = labels.groupBy("at").agg(F.min("node").alias("root")).withColumnRenamed("at", "of")
-    return labels.join(smallest, F.col("at") == F.col("of")).select("node", "root")
+    out = written(labels.join(smallest, F.col("at") == F.col("of")).select("node", "root"), "components")
+    discard(labels, edges)
+    return out

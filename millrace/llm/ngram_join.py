@@ -9,16 +9,21 @@ brings no strangers together: elements of one set only come first, and a set wit
 Classes with identical prefixes and size form a group. Groups that share a prefix element and whose sizes are close
 enough are filtered by sketches: bit i of a sketch is the parity of the elements that fall to it, so two sets differ in
 as many elements at least as their sketches in bits. What passes links groups to candidate components. Where an element
-has too many groups in reach, or sets are too large for short sketches, groups are chained instead and the chains
-filtered in blocks by longer sketches. Candidate components are expanded to their members, whose whole sets are
-compared: a component in blocks of bounded size, each pair of blocks a task of its own that counts common elements and
-returns the links as a forest with each member's number of links. No pair of documents is emitted, no link left out.
+has more groups than a task compares with one, or sets are too large for short sketches, groups are chained instead and
+the chains filtered in blocks by longer sketches. Candidate components are expanded to their members, whose whole sets are
+compared. The members of a large component are first compared with its commonest; only those that do not link with it
+are compared with all others, in blocks of bounded size. Each task gives its links as a forest, one link a member at
+most: no pair of documents is emitted, and every link holds its ends in one component.
+
+Shingles and classes are told apart by hashes of 64 bits, which are not compared with the words again: among a billion
+different texts two share a class by mistake with a chance of 3 in 100.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.connected import components
-from millrace.llm.shared import pieces, written
+from millrace.llm.shared import discard, pieces, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -35,14 +40,16 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = []
+#: Bytes of texts that are hashed at a time; a longer text is by itself and needs some 50 bytes for each of its own.
+SLICE = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), b, np.uint64)])) for b in (_BASE, _INVERSE)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
+
+
+_kept_powers = lru_cache(1)(lambda: _powers(SLICE + 2))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,7 +65,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     blank = _BLANK[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    power, inverse = _powers(len(raw) + 1)
+    n = len(raw) + 1
+    power, inverse = (x[:n] for x in _kept_powers()) if n <= SLICE + 2 else _powers(n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1])])
     word = _mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
     ends = np.cumsum([len(c) + 1 for c in coded])
@@ -78,6 +86,23 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def class_of(elements: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Brings the ends of the links (a, b) under one label, the smallest; label[label[i]] is label[i] before and after."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(nearer := label[label], label):
+            label[:] = nearer
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -104,76 +129,70 @@ def _windows(words: int, percent: int, window: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             prints, sizes, lows, tails, short, long = [], [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 w = int(np.searchsorted(s, below))
-                prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                prints.append(class_of(s))
                 sizes.append(len(s))
                 lows.append(s[:w].view(np.int64))
                 tails.append(s[w : max(w, prefix_length(len(s), percent))].view(np.int64))
                 short.append(sketch(s, 64 * SHORT))
                 long.append(sketch(s, LONG_BITS).tobytes() if len(s) > LONG else None)
             parts = [pa.array(c) for c in np.array(short, np.int64).reshape(-1, SHORT).T.copy()]
-            columns = [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lows], pa.int64()), listed(lows), listed(tails), *parts, pa.array(long, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "w", "low", "tail", *SKETCH, "long"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lows], pa.int64()), listed(lows), listed(tails), *parts, pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "class", "n", "w", "low_elements", "tail", *SKETCH, "long"])
 
-    return run, "doc_id long, print binary, n long, w long, low array<long>, tail array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", long binary"
+    return run, "doc_id long, mark long, class long, n long, w long, low_elements array<long>, tail array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", long binary"
 
 
 def _close(percent: int, reach: int, rows: int = 1 << 17):
-    """Links of groups from rows sorted by element, size and group: each row with those after it, by sketch and size.
+    """Links of groups from rows sorted by element, size and group: each row with those after it, by sketch and size, as a forest.
 
     Pairs of long sets, and rows with more than `reach` others after them in a size that can link, are chained, as loose links.
     """
     names = ["element", "n", "group", "radius", *SKETCH]
 
-    def block(c: np.ndarray, old: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def block(c: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
         """c holds a column per name; of the first `old` rows, pairs among themselves are known."""
-        element, n, group, radius, sk = c[0], c[1], c[2], c[3], c[4:].T.copy().view(np.uint64)
+        element, n, radius, sk = c[0], c[1], c[3], c[4:].T.copy().view(np.uint64)
+        names_of, group = np.unique(c[2], return_inverse=True)
+        firm, loose = np.arange(len(names_of)), np.arange(len(names_of))
         active = np.arange(len(n))
         for d in range(1, reach + 1):
             active = active[active + d < len(n)]
-            other = active + d
-            ok = (element[active] == element[other]) & (n[other] * percent <= n[active] * 100)
-            active, other = active[ok], other[ok]
+            ok = (element[active] == element[active + d]) & (n[active + d] * percent <= n[active] * 100)
+            active = active[ok]
             if not len(active):
-                return
-            new = other >= old
-            a, b = active[new], other[new]
-            both = n[a] > LONG
-            differ = np.bitwise_count(sk[a] ^ sk[b]).sum(1, dtype=np.int64)
-            hit = differ <= most_different(n[a], n[b], percent) + radius[a] + radius[b]
-            yield group[a[hit & ~both]], group[b[hit & ~both]], False
-            yield group[a[hit & both]], group[b[hit & both]], True
-        # rows that reach further: all neighbours within what they reach form a chain, linked to its first
+                break
+            a = active[active + d >= old]
+            a = a[firm[group[a]] != firm[group[a + d]]]
+            b, both = a + d, n[a] > LONG
+            hit = np.bitwise_count(sk[a] ^ sk[b]).sum(1, dtype=np.int64) <= most_different(n[a], n[b], percent) + radius[a] + radius[b]
+            unite(firm, group[a[hit & ~both]], group[b[hit & ~both]])
+            unite(loose, group[a[hit & both]], group[b[hit & both]])
+        # rows that reach further: all neighbours within what they reach form a chain
         last = np.full(len(n), -1)
         last[active] = active
         last = np.maximum.accumulate(last)[:-1]
         at = np.arange(len(n) - 1)
         chain = (last >= 0) & (element[last] == element[1:]) & (n[1:] * percent <= n[last] * 100) & (at + 1 - last <= reach)
-        first = np.maximum.accumulate(np.where(chain & ~np.append(False, chain[:-1]), at, 0))
-        yield group[first[chain]], group[at[chain] + 1], True
+        unite(loose, group[at[chain]], group[at[chain] + 1])
+        for label, kind in ((firm, False), (loose, True)):
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(names_of[label[moved]]), pa.array(names_of[moved]), pa.array(np.full(len(moved), kind))], names=["a", "b", "loose"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, old = [], 0, 0
-
-        def links():
-            for a, b, loose in block(np.concatenate(held, 1), old):
-                keep = a != b
-                if keep.any():
-                    pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.full(len(pair), loose))], names=["a", "b", "loose"])
-
         for batch in batches:
             held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]))
             waiting += batch.num_rows
             if waiting >= rows:
-                yield from links()
-                rest = np.concatenate(held, 1)[:, -reach:]
-                held, waiting, old = [rest], 0, rest.shape[1]
+                whole = np.concatenate(held, 1)
+                yield from block(whole, old)
+                held, waiting, old = [whole[:, -reach:]], 0, min(reach, whole.shape[1])
         if waiting:
-            yield from links()
+            yield from block(np.concatenate(held, 1), old)
 
     return run, "a long, b long, loose boolean"
 
@@ -222,33 +241,53 @@ def _candidates(groups: DataFrame, percent: int, reach: int, block_groups: int)
     """group, root of the groups (group, n, prefix, radius, sketches) that may link with another."""
     listed = groups.select("group", "n", "radius", *SKETCH, F.explode("prefix").alias("element"))
     run, schema = _close(percent, reach)
-    close = written(listed.repartition("element").sortWithinPartitions("element", "n", "group").mapInArrow(run, schema).distinct(), "close")
+    close = written(listed.repartition("element").sortWithinPartitions("element", "n", "group").mapInArrow(run, schema), "close")
     firm = close.where("NOT loose").select("a", "b")
-    chains = components(close.where("loose"))
+    chains = components(close.where("loose").select("a", "b"))
     sizes = chains.groupBy("root").agg(F.ceil(F.count("*") / block_groups).cast("int").alias("blocks")).select((F.col("root") + 0).alias("p"), "blocks")
     chained = chains.join(sizes, F.col("root") == F.col("p")).select("node", F.col("root").alias("part"), "blocks")
     chained = groups.select("group", "n", "radius", "long", *SKETCH).join(chained, F.col("group") == F.col("node")).withColumn("id", F.col("group"))
     run, schema = _near(percent)
     dealt = _in_blocks(chained, F.col("blocks")).select("part", "one", "two", "block", "group", "n", "radius", "long", *SKETCH)
-    return components(firm.unionByName(dealt.groupBy("part", "one", "two").applyInPandas(run, schema))).withColumnRenamed("node", "of")
+    label = components(firm.unionByName(dealt.groupBy("part", "one", "two").applyInPandas(run, schema)))
+    discard(close, chains)
+    return label
 
 
 def _whole_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
-            mine = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == p for s, p in zip(sets, batch.column("print").to_pylist(), strict=True)]
-            rest = [batch.column(c) for c in ("id", "part", "blocks")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "part", "blocks", "elements"]).filter(pa.array(mine))
+            mine = [class_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]
+            rest = [batch.column(c) for c in ("class", "part", "members", "rep")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "part", "members", "rep", "elements"]).filter(pa.array(mine))
+
+    return run, "class long, part long, members long, rep long, elements binary"
+
 
-    return run, "id long, part long, blocks int, elements binary"
+def _like_first(percent: int):
+    """Whether each row's elements link with its `first` ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "elements", 4 << 20):
+            like = []
+            for x, y in zip(batch.column("elements"), batch.column("first"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.searchsorted(y, x)
+                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                like.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "part", "rep")), pa.array(like, pa.bool_())], names=["class", "part", "rep", "like"])
+
+    return run, "class long, part long, rep long, like boolean"
 
 
 def _linked(percent: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """Members of two blocks (or one) of a component: compares each of the first with each of the second."""
-        _, one, two = (int(k) for k in key)
-        frame = frame.drop_duplicates("id").sort_values("id", kind="stable").reset_index(drop=True)
+        """Compares the members of side 0 with those of side 1 (2 is both): a forest over the links."""
+        frame = frame.sort_values("side", kind="stable").drop_duplicates(["class", "side"])
+        names, at = np.unique(frame["class"].to_numpy(), return_inverse=True)
+        side = frame["side"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         sets = [np.frombuffer(e, np.uint64) for e in frame["elements"]]
         size = np.array([len(s) for s in sets], np.int64)
         row = np.repeat(np.arange(len(sets)), size)
@@ -258,97 +297,113 @@ def _linked(percent: int):
         _, column = np.unique(column, return_inverse=True)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        left, right = (np.flatnonzero(frame["block"].to_numpy() == b) for b in (one, two))
         common = np.zeros((len(left), len(right)), np.float32)
         for c in range(0, int(column.max(initial=-1)) + 1, 4096):
             a, b = np.searchsorted(column, [c, c + 4096])
             dense = np.zeros((len(sets), 4096), np.float32)
             dense[row[a:b], column[a:b] - c] = 1
             common += dense[left] @ dense[right].T
-        common = common.astype(np.int64)
-        link = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
-        if one == two:
-            np.fill_diagonal(link, False)
-        count = np.zeros(len(sets), np.int64)
-        count[left] += link.sum(1)
-        if one != two:
-            count[right] += link.sum(0)
-        root = np.arange(len(sets))
-        while True:  # smallest linked member, again and again: a forest over the links
-            lowest = root.copy()
-            for i, r in enumerate(link):
-                if r.any():
-                    lowest[left[i]] = min(lowest[left[i]], root[right[r]].min())
-            for j in np.flatnonzero(link.any(0)):
-                lowest[right[j]] = min(lowest[right[j]], root[left[link[:, j]]].min())
-            lowest = lowest[lowest]
-            if (lowest == root).all():
-                break
-            root = lowest
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"a": ids, "b": ids[root], "links": count})
+        link = 100 * common.astype(np.int64) >= percent * (size[left][:, None] + size[right][None, :] - common.astype(np.int64))
+        i, j = np.nonzero(link)
+        label = np.arange(len(names))
+        unite(label, at[left[i]], at[right[j]])
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
 
-    return run, "a long, b long, links long"
+    return run, "a long, b long"
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_elements: int = 1_000_000, block_members: int = 2000, block_groups: int = 8000, reach: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of docs.
+def _links(wanted: DataFrame, rows: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """Links (a, b) of the classes of wanted (class, low, part, members, rep), enough for their components.
 
-    Rows link when 100 * intersection >= percent * union of their sets of `words`-word n-grams. component_id is the
-    smallest id that links reach; n_links the number of different other sets that the row's own is linked with. Null
-    and blank texts have an empty set and are linked with nothing. Repeated rows share their class. Rows without an id
-    get no component and are no bridge. No rows in, no rows out; other columns are not looked at.
+    Components of up to `most` members are a task each. Of larger ones, members that link with `rep` are linked by that,
+    and the others are compared with all in blocks of `most`.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    run, schema = _whole_sets(words)
+    whole = wanted.join(rows, F.col("low") == F.col("doc_id")).select("class", "part", "members", "rep", "text").mapInArrow(run, schema)
+    whole = written(whole, "whole")
+    run, schema = _linked(percent)
+    small = whole.where(F.col("members") <= most).select("part", F.lit(0).alias("one"), F.lit(0).alias("two"), "class", "elements", F.lit(2).alias("side"))
+    large = whole.where(F.col("members") > most)
+    first = large.where("class = rep").dropDuplicates(["part"]).select((F.col("part") + 0).alias("p"), F.col("elements").alias("first"))
+    compare, columns = _like_first(percent)
+    seen = written(large.join(first, F.col("part") == F.col("p")).select("class", "part", "rep", "elements", "first").mapInArrow(compare, columns), "seen")
+    rest = seen.where("NOT like").select((F.col("class") + 0).alias("c"), F.col("part").alias("q")).distinct()
+    counts = rest.groupBy("q").agg(F.ceil(F.count("*") / most).cast("int").alias("left"))
+    parts = large.join(counts, F.col("part") == F.col("q")).drop("q").withColumn("right", F.ceil(F.col("members") / most).cast("int"))
+    place = lambda of: F.pmod(F.xxhash64("class"), of).cast("int")
+    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    seekers = parts.join(rest, (F.col("class") == F.col("c")) & (F.col("part") == F.col("q"))).select("part", place(F.col("left")).alias("one"), upto("right").alias("two"), "class", "elements", F.lit(0).alias("side"))
+    others = parts.select("part", upto("left").alias("one"), place(F.col("right")).alias("two"), "class", "elements", F.lit(1).alias("side"))
+    dealt = small.unionByName(seekers).unionByName(others)
+    found = dealt.groupBy("part", "one", "two").applyInPandas(run, schema)
+    links = written(found.unionByName(seen.where("like").select(F.col("class").alias("a"), F.col("rep").alias("b"))), "links")
+    discard(whole, seen)
+    return links
+
+
+def _components(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_members: int = 500, block_groups: int = 8000, reach: int = 512) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component_id of every row; window, block_* and reach deal the work and change no result."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     run, schema = _windows(words, percent, min(1.0, window * (100 - percent) / 100))
-    sets = written(rows.mapInArrow(run, schema), "sets")
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
+    sets = written(rows.mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id()), "sets")
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"), F.min("at").alias("first"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    own = classes.select("id", F.col("print").alias("p"))
-    first = (F.col("doc_id") == F.col("id")) & (F.col("print") == F.col("p"))
-    elements = sets.select("doc_id", "print", "low").join(own, first).select("id", F.explode("low").alias("element"))
+    single = written(sets.join(classes.select("first"), F.col("at") == F.col("first")).drop("doc_id", "mark", "at", "first"), "single")
+    elements = single.select("class", F.explode("low_elements").alias("element"))
     often = elements.groupBy("element").agg(F.count("*").alias("sets")).where("sets > 1")
     # another expression than the grouping's, so that the join has its own exchange, which Spark can split where it is hot
     often = often.select((F.col("element") + 0).alias("e"), "sets")
-    shared = elements.join(often, F.col("element") == F.col("e")).groupBy("id").agg(F.collect_set(F.struct("sets", "element")).alias("shared"))
-    shared = written(shared.withColumnRenamed("id", "of"), "shared")
-    known = sets.select("doc_id", "print", "n", "w", "tail", "long", *SKETCH).join(own, first).dropDuplicates(["print"]).join(shared, F.col("id") == F.col("of"), "left")
+    shared = elements.join(often, F.col("element") == F.col("e")).groupBy("class").agg(F.collect_list(F.struct("sets", "element")).alias("shared"))
+    known = single.join(shared.withColumnRenamed("class", "of"), F.col("class") == F.col("of"), "left")
     known = known.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<sets:bigint,element:bigint>>")))
     # elements in no other set fill the prefix first; as nobody shares them they need not be listed
     alone = (F.col("w") - F.size("shared")).cast("int")
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     picked = F.slice(F.sort_array("shared"), F.lit(1), F.greatest(F.lit(0), length - F.size("tail") - alone))
-    known = known.select("print", "id", "n", "long", *SKETCH, F.concat(F.transform(picked, lambda x: x["element"]), "tail").alias("prefix"), F.when(alone > 0, F.col("id")).alias("unlike")).where(F.size("prefix") > 0)
+    known = known.select("class", "n", "long", *SKETCH, F.concat(F.transform(picked, lambda x: x["element"]), "tail").alias("prefix"), F.when(alone > 0, F.col("class")).alias("unlike")).where(F.size("prefix") > 0)
     # two hashes of 64 bits name a prefix and a size
     classes_now = written(known.select("*", F.xxhash64("prefix", "n", "unlike").alias("g"), F.xxhash64("unlike", "n", "prefix").alias("h")), "prefixes")
     # a group's sketch has the bits that all its members have; from it to a member's own it is `radius` bits at most
     radius = sum((F.bit_count(F.bit_or(c).bitwiseXOR(F.bit_and(c))) for c in SKETCH), F.lit(0)).cast("long")
     common = [F.bit_and(c).alias(c) for c in SKETCH]
-    groups = classes_now.groupBy("g", "h").agg(F.min("id").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), radius.alias("radius"), F.when(F.count("*") == 1, F.first("long")).alias("long"), *common)
+    groups = classes_now.groupBy("g", "h").agg(F.min("class").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), radius.alias("radius"), F.when(F.count("*") == 1, F.first("long")).alias("long"), *common)
     groups = written(groups, "groups")
     label = _candidates(groups, percent, reach, block_groups)
 
-    parts = groups.join(label, F.col("group") == F.col("of"), "left").select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.coalesce("root", "group").alias("part"))
-    members = classes_now.select("id", "print", "n", "g", "h").join(parts, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
-    members = written(members.select("part", "n", "id", "print"), "members")
-    sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("elements")).where("members > 1")
-    blocks = F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("members") / block_members)).cast("int")
-    sizes = sizes.select((F.col("part") + 0).alias("p"), blocks.alias("blocks"))
-    wanted = written(members.join(sizes, F.col("part") == F.col("p")).select("id", "print", "part", "blocks"), "wanted")
-    run, schema = _whole_sets(words)
-    whole = wanted.join(rows, F.col("id") == F.col("doc_id")).select("id", "print", "part", "blocks", "text").mapInArrow(run, schema)
-    dealt = _in_blocks(whole, F.col("blocks"))
-    run, schema = _linked(percent)
-    links = written(dealt.groupBy("part", "one", "two").applyInPandas(run, schema), "links")
-    label = components(links.select("a", "b"))
-    counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    found = classes.select("print", "id").join(label, F.col("id") == F.col("node"), "left").join(counts, F.col("id") == F.col("a"), "left")
-    found = written(found.select(F.col("print").alias("p"), F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "found")
-    out = sets.select("doc_id", "n", "print").join(found, F.col("print") == F.col("p"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    parts = groups.join(label, F.col("group") == F.col("node"), "left").select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.coalesce("root", "group").alias("part"))
+    members = classes_now.select("class", "g", "h").join(parts, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
+    members = members.select("part", F.col("class").alias("c")).join(classes, F.col("class") == F.col("c"))
+    members = written(members.select("part", "class", "low", "copies"), "members")
+    sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.max(F.struct("copies", "class"))["class"].alias("rep")).where("members > 1")
+    wanted = written(members.join(sizes.select((F.col("part") + 0).alias("p"), "members", "rep"), F.col("part") == F.col("p")).drop("p", "copies"), "wanted")
+    links = _links(wanted, rows, words, percent, block_members)
+    discard(label)
+    label = components(links)
+    # the smallest id of each component, for its classes
+    linked = label.join(classes, F.col("class") == F.col("node")).select("root", "class", "low")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("least")).withColumnRenamed("root", "r")
+    lowest = linked.join(lowest, F.col("root") == F.col("r")).select(F.col("class").alias("of"), "least")
+    found = written(classes.select("class", "low").join(lowest, F.col("class") == F.col("of"), "left").select(F.col("class").alias("c"), F.coalesce("least", "low").alias("least")), "found")
+    discard(label, classes, single, classes_now, groups, members, wanted, links)
+    out = sets.select("doc_id", "mark", "n", "class").join(found, F.col("class") == F.col("c"), "left")
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    Rows link when 100 * intersection >= percent * union of their sets of `words`-word n-grams (3 and 90 by default). component_id is the
+    smallest id that links reach. Null and blank texts have an empty set and are linked with nothing. Equal sets are one
+    class, whatever their ids; a repeated id with other texts has each text's own class and links. Rows without an id
+    get no component and are no bridge. No rows in, no rows out; other columns are not looked at. The options
+    are those of _components.
+    """
+    return _components(docs, **options).drop("mark")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with all its columns, but of each component only the rows with its smallest id; rows without an id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    gone = _components(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_anti")
