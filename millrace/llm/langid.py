@@ -140,7 +140,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     if len(picked) > max_langs * docs_per_lang:
         raise ValueError(f"more than {max_langs} languages")
     wanted = rows.where(F.col("doc_id").isin([r.doc_id for r in picked])) if picked else rows.limit(0)
-    found = wanted.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.substring("text", 1, chars_per_doc).alias("text")).dropDuplicates(["lang", "doc_id"]).collect()
+    found = wanted.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.substring("text", 1, chars_per_doc).alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r.lang, str(r.doc_id))):
         texts.setdefault(r.lang, []).append(r.text)
@@ -176,20 +176,20 @@ def predict(texts: list[str | None], model: tuple) -> tuple[list[str], list[floa
     return [names[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, np.clip(margin, 0, 1), 0.0).tolist()
 
 
-def identify(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
-    """docs with all its columns (repeated rows too), and lang_pred, lang_score; columns of these names are replaced.
+def identify(docs: DataFrame, model: tuple, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """docs with all its columns (repeated rows too), and lang_col, score_col; columns of these names are replaced.
 
     Null texts and texts without a letter are "und" with score 0, as is everything if no language was learned. Ties go to the language first in order.
     """
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop(lang_col, score_col)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             names, scores = predict(batch.column(text_col).to_pylist(), given.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_col, score_col])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

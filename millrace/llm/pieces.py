@@ -4,20 +4,26 @@ A text becomes marked words (runs of the blank mark and what follows them, which
 The distinct words of a slice of rows are sorted, which lists a trie depth first; what the forward pass knows about the
 prefix that a word shares with the one before is kept, and only the rest is computed.
 
-For a unigram model the forward pass is Viterbi: the best score of each prefix. For a BPE model sums of scores would not
-give its segmentation, so the pass keeps for each prefix the last token of the prefix's own BPE encoding. That is
-exact: a sequence of tokens is the encoding of their text if and only if each adjacent pair is the encoding of its own.
+For a unigram model the forward pass is Viterbi: the best score of each prefix and the size of its last token. A file
+with a BPE model can be taken either way. `unigram` makes a unigram model of its pieces: the score of a piece is minus
+the logarithm of its rank in the file, as token frequencies go by Zipf's law; nothing is trained, and the public
+library loads the result too. Or its own BPE ids are given: sums of scores would not give that segmentation, so the pass
+then keeps for each prefix the last token of the prefix's own BPE encoding. That is exact: a sequence of tokens is the
+encoding of their text if and only if each adjacent pair is the encoding of its own.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -25,9 +31,9 @@ from millrace.llm.shared import pieces as slices
 
 MARK = "▁"
 #: Sizes of pieces of several characters that may end where a word has so many.
-_SHORT = ((), (), (2,), (3, 2))
-#: Entries that a worker's memory of words and of token pairs holds before it is emptied.
-REMEMBER = 250_000
+_SHORT, _OTHERS = ((), (), (2,), (3, 2)), (3, 2)
+#: Words, and token pairs, that a worker remembers within a partition, some 200 bytes each; twice as many words at most.
+REMEMBER = 40_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -56,6 +62,35 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def _field(number: int, value: bytes | int) -> bytes:
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram(proto: bytes) -> bytes:
+    """A unigram model of the pieces of a .model file: a piece's score is minus the logarithm of its rank, in steps of 1/64.
+
+    In such steps sums are exact in the library's arithmetic, too, for texts of some ten thousand tokens.
+    """
+    out, rank = [], 1
+    for field, value in _fields(proto):
+        if field == 1:
+            parts = dict(_fields(value))
+            rank += parts.get(3, 1) == 1
+            score = struct.pack("<f", -round(64 * math.log(rank)) / 64 if parts.get(3, 1) == 1 else 0.0)
+            value = _field(1, parts[1]) + b"\x15" + score + _field(3, parts.get(3, 1))
+        elif field == 2:
+            value = b"".join(_field(f, v) for f, v in _fields(value) if f in (4, 24, 35)) + _field(3, 1)  # vocabulary size, blank mark's side, byte fallback
+        out.append(_field(field, value))
+    return b"".join(out)
+
+
 class Vocabulary:
     """Pieces, scores and options of a .model file's bytes."""
 
@@ -97,10 +132,12 @@ class Vocabulary:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece crosses a word's beginning")
         self.split = re.compile(self._word()).findall
-        self.lengths: dict[str, list[int]] = {}  # of pieces of four characters and more, by their last four, longest first
+        self.lengths: dict[str, list[int]] = {}  # that pieces may have, by their last four characters, longest first
         for p in sorted(self.id, key=len, reverse=True):
             if len(p) > 3 and len(p) not in (known := self.lengths.setdefault(p[-4:], [])):
                 known.append(len(p))
+        for known in self.lengths.values():
+            known += [3, 2]
         self.lowest = min(self.score.values(), default=0.0) - 10
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -139,46 +176,56 @@ class Vocabulary:
 
     def segment(self, ordered: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """Tokens of each word; the words come sorted."""
-        before, last, best = "", [""], [0.0]
-        score, pairs, whole, lengths = self.score, self.pairs, self.whole, self.lengths
+        before, last, best = "", [0], [0.0]  # for each prefix of a word: size of its last token, best score
         for word in ordered:
-            shared, n = 0, len(word)
+            shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                one = word[end - 1]
-                sizes = (*lengths.get(word[end - 4 : end], ()), 3, 2) if end > 3 else _SHORT[end]
-                if self.unigram:
-                    choice, top = one, best[end - 1] + score.get(one, self.lowest)
-                    for size in sizes:
-                        piece = word[end - size : end]
-                        if size <= end and piece in score and (best[end - size] + score[piece], size) > (top, len(choice)):
-                            choice, top = piece, best[end - size] + score[piece]
-                    best.append(top)
-                    last.append(choice)
-                    continue
-                for size in sizes:
-                    if size <= end:
-                        piece = word[end - size : end]
-                        if piece in score and (whole[piece] if piece in whole else self._whole(piece)):
-                            if size == end:
-                                one = piece
-                                break
-                            known = pairs.get((last[end - size], piece))
-                            if known or (known is None and self._follows(last[end - size], piece)):
-                                one = piece
-                                break
-                last.append(one)
-            before, out = word, []
-            at = n
+            if self.unigram:
+                self._viterbi(word, last, best)
+            else:
+                self._merged(word, last)
+            before, out, at = word, [], len(word)
             while at:
-                out.append(last[at])
-                at -= len(last[at])
+                out.append(word[at - last[at] : at])
+                at -= last[at]
             yield word, out[::-1]
 
+    def _viterbi(self, word: str, last: list[int], best: list[float]) -> None:
+        """Carries the forward pass on to the word's end; of equal scores the longer last token's."""
+        score, lengths, lowest = self.score.get, self.lengths.get, self.lowest
+        for end in range(len(last), len(word) + 1):
+            choice, top = 0, -math.inf
+            for size in lengths(word[end - 4 : end], _OTHERS) if end > 3 else _SHORT[end]:
+                if size <= end and (s := score(word[end - size : end])) is not None and (s := s + best[end - size]) > top:
+                    choice, top = size, s
+            if (s := score(word[end - 1], lowest) + best[end - 1]) > top:
+                choice, top = 1, s
+            best.append(top)
+            last.append(choice)
+
+    def _merged(self, word: str, last: list[int]) -> None:
+        """As _viterbi, by what may follow what in a BPE encoding."""
+        score, pairs, whole, lengths = self.score, self.pairs, self.whole, self.lengths
+        for end in range(len(last), len(word) + 1):
+            choice = 1
+            for size in lengths.get(word[end - 4 : end], _OTHERS) if end > 3 else _SHORT[end]:
+                if size <= end:
+                    piece = word[end - size : end]
+                    if piece in score and (whole[piece] if piece in whole else self._whole(piece)):
+                        if size == end:
+                            choice = size
+                            break
+                        left = word[end - size - last[end - size] : end - size]
+                        known = pairs.get((left, piece))
+                        if known or (known is None and self._follows(left, piece)):
+                            choice = size
+                            break
+            last.append(choice)
+
     def ids(self, tokens: list[str]) -> list[int]:
         out: list[int] = []
         for t in tokens:
@@ -204,6 +251,10 @@ class Vocabulary:
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
+    def forget(self) -> None:
+        """Empties what is remembered: an idle worker keeps nothing of its last partition."""
+        self.words, self.older, self.pairs = {}, {}, {}
+
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return data[1:] if self.prefix and data.startswith(" ") else data
@@ -214,19 +265,23 @@ def vocabulary(proto: bytes) -> Vocabulary:
     return Vocabulary(proto)
 
 
-def _proto(path: str) -> bytes:
+def _proto(path: str, kind: str) -> bytes:
     with open(path, "rb") as file:
-        return file.read()
+        proto = file.read()
+    if kind not in ("file", "unigram"):
+        raise ValueError("kind is file or unigram")
+    return proto if kind == "file" else unigram(proto)
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """docs with all its columns (repeated rows too) and `ids` (array<int>); a column of that name is replaced.
+def encode(docs: DataFrame, model: str, text_col: str = "text", kind: str = "file", ids_col: str = "ids") -> DataFrame:
+    """docs with all its columns (repeated rows too) and ids_col (array<int>); a column of that name is replaced.
 
-    The driver reads the model file and broadcasts its bytes. Null and empty texts have no ids. A literal blank mark in
-    a text is taken for a blank, as the format has it.
+    kind "file" takes the model as it is, "unigram" its pieces with scores by rank. The driver reads the model file and
+    broadcasts its bytes. Null and empty texts have no ids. A literal blank mark in a text is taken for a blank, as the
+    format has it. A text is held whole by the task that reads it, with some 100 bytes for each of its words.
     """
-    docs = docs.drop("ids")
-    proto = docs.sparkSession.sparkContext.broadcast(_proto(model))
+    docs = docs.drop(ids_col)
+    proto = docs.sparkSession.sparkContext.broadcast(_proto(model, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(proto.value)
@@ -234,22 +289,30 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             coded = known.encode(batch.column(text_col).to_pylist())
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+        known.forget()
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
+def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded", most: int = 1 << 18) -> DataFrame:
+    """rows with all its columns and the text of its ids; null ids give null, no ids the empty text, bytes that are no UTF-8 the replacement character.
 
-def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """rows with all its columns and the text of its ids; null ids give null, no ids the empty text, bytes that are no UTF-8 the replacement character."""
+    About `most` ids are decoded at a time, those of one row at least. A column named out_col is replaced.
+    """
     rows = rows.drop(out_col)
-    proto = rows.sparkSession.sparkContext.broadcast(_proto(model))
+    proto = rows.sparkSession.sparkContext.broadcast(_proto(model, "file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(proto.value)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            upto = np.cumsum(pc.list_value_length(batch.column(ids_col)).fill_null(0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(upto, most + (upto[begin - 1] if begin else 0), side="right")))
+                part = batch.slice(begin, end - begin)
                 texts = [None if ids is None else known.decode(ids) for ids in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
+                begin = end
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out_col, StringType())]))

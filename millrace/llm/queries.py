@@ -40,7 +40,7 @@ PIECES_MODEL = os.environ.get("MILLRACE_PIECES_MODEL", "/opt/tokenizers/piece_bp
 
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, PIECES_MODEL), PIECES_MODEL)
+    coded = pieces.decode(pieces.encode(docs, PIECES_MODEL, kind="unigram"), PIECES_MODEL)
     back = F.coalesce(F.translate("text", pieces.MARK, " "), F.lit("")) == F.col("decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", back.alias("round_trip"))
 

@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -56,6 +57,16 @@ def known():
         return pieces.Vocabulary(file.read())
 
 
+@lru_cache
+def unigram_models():
+    """Ours and the public library's reading of the same serialised unigram model."""
+    import sentencepiece
+
+    with open(MODEL, "rb") as file:
+        proto = pieces.unigram(file.read())
+    return pieces.Vocabulary(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcdeth ing.,\n▁é𐍈Z09'"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
 def test_encoding_equals_the_library(texts):
@@ -64,9 +75,19 @@ def test_encoding_equals_the_library(texts):
     with open(MODEL, "rb") as file:
         known = pieces.vocabulary(file.read())
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    got = [np.frombuffer(b, np.int32).tolist() for b in known.encode(texts)]
-    assert got == library.encode(texts)
-    assert [known.decode(ids) for ids in got] == [t.replace(pieces.MARK, " ") for t in texts]
+    for known, library in ((known, library), unigram_models()):
+        got = [np.frombuffer(b, np.int32).tolist() for b in known.encode(texts)]
+        assert got == library.encode(texts)
+        assert [known.decode(ids) for ids in got] == [t.replace(pieces.MARK, " ") for t in texts]
+
+
+def test_viterbi_of_driver_rows_equals_the_library():
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{DATA}/sf0.001/documents.parquet' WHERE length(text) < 20000").fetchall() if t]
+    known, library = unigram_models()
+    assert [np.frombuffer(b, np.int32).tolist() for b in known.encode(texts)] == library.encode(texts)
+    assert len(texts) > 150
 
 
 def test_unigram_forward_pass_is_viterbi(known):
@@ -75,7 +96,7 @@ def test_unigram_forward_pass_is_viterbi(known):
     model.score = {p: -float(len(p) % 3) - i * 0.01 for i, p in enumerate(["a", "b", "ab", "ba", "aba", "abab", "bb", "bbaab"])}
     model.id = {p: i for i, p in enumerate(model.score)}
     model.lowest = -20.0
-    model.lengths = {"abab": [4], "baab": [5]}
+    model.lengths = {"abab": [4, 3, 2], "baab": [5, 3, 2]}
 
     def best(word):
         top = [(0.0, ())]
@@ -90,7 +111,9 @@ def test_unigram_forward_pass_is_viterbi(known):
 
 def test_piece_columns(spark):
     docs = table(spark)
-    got = pieces.decode(pieces.encode(docs, MODEL), MODEL).collect()
+    for kind in ("file", "unigram"):
+        got = pieces.decode(pieces.encode(docs, MODEL, kind=kind), MODEL, most=1000).collect()
+        assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(i), (t or "").replace(pieces.MARK, " ")) for i, t in AWKWARD)
     assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(i), (t or "").replace(pieces.MARK, " ")) for i, t in AWKWARD)
     assert all((len(r.ids) == 0) == (not r.text) for r in got)
     assert pieces.encode(docs.limit(0), MODEL).count() == 0
