@@ -17,21 +17,21 @@ from millrace.llm.shared import written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: null texts and texts without a letter go. Learns from labelled documents."""
     model = langid.fit(docs.where(~langid.held_out()))
-    known = langid.identify(docs, model)
-    return known.where(known.lang_pred != langid.UNDETERMINED).select(*docs.columns)
+    known = langid.identify(docs, model, lang_col="__lang", score_col="__score")
+    return known.where(F.col("__lang") != langid.UNDETERMINED).drop("__lang", "__score")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document has; n_chars follows, and documents that keep no text stay, empty."""
-    cleaned = line_dedup.line_dedup(docs, min_tokens=1)
+    cleaned = line_dedup.line_dedup(docs, count_col="__dropped")
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("dropped_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.drop("__dropped")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8."""
-    return ngram_join.one_of_each(docs, words=5, percent=80).select(*docs.columns)
+    return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of documents with ids and their number, the training data themselves."""
-    coded = pieces.encode(docs, PIECES_MODEL)
+    """Columns of documents with ids and their number, the training data themselves; by the best path over the file's pieces."""
+    coded = pieces.encode(docs, PIECES_MODEL, kind="unigram")
     return coded.withColumn("n_ids", F.size("ids").cast("long"))
 
 
@@ -53,7 +53,7 @@ STAGES = [
     ("SentencePiece encoding", encoding),
 ]
 
-#: Language ID, near duplicates and encoding are beyond SQL; tests compare run() with a plain version.
+#: Language ID, line dedup, near duplicates and encoding are beyond SQL; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
