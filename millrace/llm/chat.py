@@ -6,26 +6,45 @@ users with their names; the mask holds the spans of the assistant's words. Rende
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import written
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def perspectives(turns: DataFrame, part_turns: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, said) with `place`, their number from 0 in the order of said within conv_id.
+
+    Rows are dealt by ranges and written; places are counted within each range and moved on by the counts of those
+    before, so that a conversation with a large share of all rows is numbered by many tasks.
+    """
+    order = [F.col("conv_id").asc_nulls_first(), F.col("said.turn").asc_nulls_first(), "said.role", "said.text"]
+    ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "turns")
+    inside = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range", "conv_id").orderBy(*order[1:])) - 1)
+    counts = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("conv_id").alias("of"), F.col("range").alias("r"), before.alias("before")).where("before > 0")
+    placed = inside.join(counts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("range") == F.col("r")), "left")
+    return placed.select("conv_id", "said", (F.col("place") + F.coalesce("before", F.lit(0))).alias("place"))
+
+
+def perspectives(turns: DataFrame, part_turns: int = 4096, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, perspective, part, n_turns, text, spans: the dialogue as each participant sees it.
 
-    A part holds the turns numbered part * part_turns up to the next part, so one endless conversation is many rows of
-    bounded size; spans are array<struct<start,end>> in characters of that part's text. The role "system" is rendered as
-    it is and takes no perspective; a conversation with nobody else has no rows. Null role: "unknown"; null text: empty;
-    null turn: part 0, first. Turns with one number are ordered by role, then text; repeated rows are rendered each time. A null conv_id is
-    a conversation of its own. No rows in, no rows out; other columns are ignored.
+    A dialogue of up to part_turns turns is one part, 0; a longer one, such as an endless or a null conversation, goes on
+    in parts of that many, whose texts joined in order are the whole. spans are array<struct<start,end>> in characters of
+    that part's text. The role "system" is rendered as it is and takes no perspective; a conversation with nobody else
+    has no rows. Null role: "unknown"; null text: empty; null turns come first. Turns with one number are ordered by
+    role, then text; repeated rows are rendered each time. A null conv_id is a conversation of its own. A part's text is
+    held whole by one task. No rows in, no rows out; other columns are ignored.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(0)).cast("long").alias("part"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("said"),
     )
+    rows = _placed(rows).withColumn("part", F.floor(F.col("place") / part_turns).cast("long")).drop("place")
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("said"))
     speakers = rows.select("conv_id", F.col("said.role").alias("perspective")).where("perspective <> 'system'").distinct().withColumnRenamed("conv_id", "of")
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")

@@ -103,7 +103,8 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM j
     """,
     "op8_chat_perspectives": r"""
-        WITH t AS (SELECT conv_id, coalesce(turn // 256, 0) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 4096 AS part FROM c),
         who AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
         r AS (SELECT t.*, perspective, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
               FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.conv_id),

@@ -26,7 +26,10 @@ _EMPTY = _EMPTY.compress(b"") + _EMPTY.flush()
 
 
 def roles(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """page_id, url, payload (binary), digest, refers_to: of equal payloads of `least` bytes the smallest id is referred to."""
+    """page_id, url, payload (binary), digest, refers_to: of equal payloads of `least` bytes the smallest id is referred to.
+
+    Repeated rows of that id are all responses; rows without an id are responses that nobody refers to. Null bodies are empty.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # short payloads meet nobody: a key of their own spreads them
@@ -98,7 +101,7 @@ def records_in(read, begin: int, end: int, size: int, chunk: int = 1 << 20) -> I
         if at >= end:
             return
         z, out, fed, bad = zlib.decompressobj(31), [], at, False
-        got = 0
+        got = 0  # bytes so far, of which the first seven are looked at once
         while not z.eof:
             part = data[fed - base :] if fed < base + len(data) else read(fed, chunk)
             if not part:
@@ -110,8 +113,8 @@ def records_in(read, begin: int, end: int, size: int, chunk: int = 1 << 20) -> I
             except zlib.error:
                 bad = True
                 break
-            got += len(out[-1])
-            if got >= 7 and not (b"".join(out)[:7] if len(out) > 1 else out[0][:7]).startswith(b"WARC/1."):
+            before, got = got, got + len(out[-1])
+            if before < 7 <= got and not b"".join(out).startswith(b"WARC/1."):
                 bad = True
                 break
         if bad or got < 7:
@@ -123,14 +126,17 @@ def records_in(read, begin: int, end: int, size: int, chunk: int = 1 << 20) -> I
             data, base = b"", at
 
 
-def read_warc(spark: SparkSession, path: str, split: int = 8 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split: int = 8 << 20, task_bytes: int = 128 << 20) -> DataFrame:
     """page_id, record_type, url, refers_to, payload_digest, payload_bytes, payload (null in a revisit), one row per record.
 
-    Order is not kept. Bytes that belong to no valid member are skipped, and so is a member that is cut off.
+    Ranges of `split` bytes are dealt to tasks of about task_bytes each, but to two tasks a core at least where there are
+    so many ranges. Order is not kept. Bytes that belong to no valid member are skipped, and so is a member that is cut off.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("begin"))
-    ranges = ranges.repartition(max(1, ranges.count()), "path", "begin")
+    total = files.agg(F.sum("length"), F.sum(F.ceil(F.col("length") / split))).first()
+    tasks = min(total[1] or 1, max(2 * spark.sparkContext.defaultParallelism, (total[0] or 0) // task_bytes))
+    ranges = ranges.repartition(int(tasks), "path", "begin")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])

@@ -112,14 +112,32 @@ def test_mixing(spark):
 
 def test_chat_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo é"), (1, 300, "ann", None), (2, 0, "system", "x"), (None, 0, None, "q"), (3, 1, "ann", "b"), (3, 1, "ann", "a"), (3, 1, "ann", "a")]
-    got = {(r.conv_id, r.perspective, r.part): r for r in chat.perspectives(clashing(spark, rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (None, "unknown", 0), (3, "ann", 0)}
+    docs = clashing(spark, rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.perspective, r.part): r for r in chat.perspectives(docs).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "ann", 0)}
     ann = got[1, "ann", 0]
-    assert ann.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo é<|im_end|>\n"
-    assert [ann.text[s.start : s.end] for s in ann.spans] == ["hi"]
+    assert ann.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo é<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert [ann.text[s.start : s.end] for s in ann.spans] == ["hi", ""]
     assert [got[1, "bob", 0].text[s.start : s.end] for s in got[1, "bob", 0].spans] == ["yo é"]
     assert [got[3, "ann", 0].text[s.start : s.end] for s in got[3, "ann", 0].spans] == ["a", "a", "b"] and got[3, "ann", 0].n_turns == 3
-    assert chat.perspectives(clashing(spark, rows, "conv_id long, turn long, role string, text string").limit(0)).count() == 0
+    assert chat.perspectives(docs.limit(0)).count() == 0
+
+
+def test_chat_parts_join_to_the_whole(spark):
+    """Endless conversations with null, repeated and missing turn numbers, one with a null id, cut into parts of 7 rows."""
+    draw = random.Random(3)
+    rows = [(draw.choice([None, None, 1, 2]), draw.choice([None, 1, 1, *range(40)]), draw.choice(["a", "b", None, "system"]), f"t{draw.randrange(9)}" * draw.choice([1, 1, 5000])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    whole = {(r.conv_id, r.perspective): r for r in chat.perspectives(docs).collect()}
+    parts = chat.perspectives(docs, part_turns=7).orderBy("part").collect()
+    assert {(r.conv_id, r.perspective) for r in parts} == set(whole) and max(r.n_turns for r in parts) == 7
+    for key, r in whole.items():
+        mine = [p for p in parts if (p.conv_id, p.perspective) == key]
+        assert [p.part for p in mine] == list(range(len(mine))) and "".join(p.text for p in mine) == r.text
+        assert [p.text[s.start : s.end] for p in mine for s in p.spans] == [r.text[s.start : s.end] for s in r.spans]
+        turns = sorted(((t is not None, t or 0, role or "unknown", text) for c, t, role, text in rows if c == key[0]))
+        want = "".join(f"<|im_start|>{'system' if role == 'system' else 'assistant' if role == key[1] else f'user name={role}'}\n{text}<|im_end|>\n" for _, _, role, text in turns)
+        assert r.text == want
 
 
 def test_line_dedup(spark):
