@@ -2,8 +2,8 @@
 
 Frames have 192 samples each, so that all frames of many texts are coded and decoded side by side as arrays: one step
 of the decoder reads the next Rice code of every frame. Frames are found by their headers (sync, CRC-8, running number)
-and accepted by their CRC-16; a seek table gives the place of every 64th frame, and decoded samples can be cut into
-blocks that carry their sample offset.
+and accepted by their CRC-16. A seek table gives the place of every 64th frame: the reader decodes from point to point,
+each stretch by itself, into PCM blocks that carry their sample offset, and can start at any of them.
 
 The reader takes what such a stream may hold: constant, verbatim, fixed and LPC subframes, Rice codes with partitions.
 It refuses other block sizes and sample formats, wasted bits and escaped partitions.
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from millrace.llm.shared import pieces
 
@@ -165,26 +166,35 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def _info(media: bytes) -> tuple[int, int, bytes]:
-    """Where the frames begin, how many samples there are, their MD5."""
+def _info(media: bytes) -> tuple[int, bytes, list[tuple[int, int]]]:
+    """How many samples there are, their MD5, and the points to seek: sample and place in the file, the beginning first."""
     if media[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, info = 4, b""
+    at, info, table = 4, b"", b""
     while True:
         kind, n = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
         if kind & 127 == 0:
             info = media[at + 4 : at + 4 + n]
+        elif kind & 127 == 3:
+            table = media[at + 4 : at + 4 + n]
         at += 4 + n
         if kind & 128:
             break
     packed = int.from_bytes(info[10:18], "big")
     if info[:4] != struct.pack(">HH", BLOCK, BLOCK) or packed >> 36 & 0xFF != 7:
         raise ValueError("only mono streams of 8 bits in blocks of 192 are read")
-    return at, packed & (1 << 36) - 1, info[18:34]
-
-
-def _find(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every frame of all streams in data[starts:ends], which hold `counts` frames each."""
+    samples = packed & (1 << 36) - 1
+    points = [(sample, at + place) for sample, place, _ in struct.iter_unpack(">QQH", table) if sample != 2**64 - 1]
+    if not points or points[0][0]:
+        points.insert(0, (0, at))
+    ends = [*points[1:], (samples, len(media))]
+    if any(x[0] % BLOCK or x[0] >= y[0] or x[1] >= y[1] for x, y in zip(points, ends, strict=True)):
+        raise ValueError("the seek table is wrong")
+    return samples, info[18:34], points
+
+
+def _find(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every frame of all stretches in data[starts:ends], which hold `counts` frames each, from frame `numbers` on."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)]).astype(np.int64)
     at = np.flatnonzero((padded[:-16] == 0xFF) & (padded[1:-15] == 0xF8) & (padded[2:-14] == 0x10) & (padded[3:-13] == 0x02))
     stream = np.searchsorted(starts, at, "right") - 1
@@ -202,8 +212,8 @@ def _find(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.nda
     good = crc == padded[at + 4 + size]
     at, stream, number = at[good], stream[good], number[good]
     first = np.cumsum(counts) - counts
-    if len(at) != counts.sum() or (number != np.arange(len(at)) - first[stream]).any():
-        at = _chained(padded, at, stream, number, ends, counts)
+    if len(at) != counts.sum() or (number != np.arange(len(at)) - first[stream] + numbers[stream]).any():
+        at = _chained(padded, at, stream, number - numbers[stream], counts)
         stream = np.repeat(np.arange(len(counts)), counts)
     end = np.append(at[1:], 0)
     final = np.cumsum(counts) - 1
@@ -213,7 +223,7 @@ def _find(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.nda
     return at, end
 
 
-def _chained(data, at, stream, number, ends, counts) -> np.ndarray:
+def _chained(data, at, stream, number, counts) -> np.ndarray:
     """Bytes inside a frame may look like a header: of such candidates, those in whose row every frame's checksum holds."""
     out = []
     for s, count in enumerate(counts.tolist()):
@@ -349,34 +359,53 @@ def _samples(bits: _Bits, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode_media(media: list[bytes]) -> list[bytes]:
-    """The payloads of FLAC files; raises if a checksum or the MD5 of the samples is wrong."""
-    infos = [_info(m) for m in media]
-    data = np.frombuffer(b"".join(media), np.uint8)
-    ends = np.cumsum([len(m) for m in media])
-    starts = ends - [len(m) for m in media] + [i[0] for i in infos]
-    counts = np.array([i[1] // BLOCK for i in infos])
-    begin, _ = _find(data, starts, ends, counts)
+def _stretches(parts: list[tuple[bytes, int, int, int, int]]) -> list[bytes]:
+    """PCM of stretches (file, begin, end, first sample, samples), each from a point to seek to the next."""
+    data = np.frombuffer(b"".join(m[a:b] for m, a, b, _, _ in parts), np.uint8)
+    ends = np.cumsum([b - a for _, a, b, _, _ in parts])
+    counts = np.array([n // BLOCK for *_, n in parts])
+    begin, _ = _find(data, ends - [b - a for _, a, b, _, _ in parts], ends, counts, np.array([first // BLOCK for *_, first, _ in parts]))
     bits = _Bits(data)
     raw = b"".join((_samples(bits, data, begin[i : i + AT_ONCE]) + 128).astype(np.uint8).tobytes() for i in range(0, len(begin), AT_ONCE))
-    out, at = [], 0
-    for _, n, md5 in infos:
-        payload = raw[at : at + n]
-        at += n
-        if hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes(), usedforsecurity=False).digest() != md5:
+    upto = np.cumsum(counts * BLOCK).tolist()
+    return [raw[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+
+def decode_blocks(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """The PCM blocks of FLAC files as (sample offset, unsigned samples), from seek point to seek point; raises if a checksum or the MD5 of the samples is wrong."""
+    infos = [_info(m) for m in media]
+    parts = []
+    for m, (samples, _, points) in zip(media, infos, strict=True):
+        for (first, at), (after, end) in zip(points, [*points[1:], (samples, len(m))], strict=True):
+            parts.append((m, at, end, first, after - first))
+    pcm = iter(_stretches(parts) if parts else ())
+    out = []
+    for _, md5, points in infos:
+        out.append([(first, next(pcm)) for first, _ in points])
+        if hashlib.md5((np.frombuffer(b"".join(b for _, b in out[-1]), np.uint8) ^ 0x80).tobytes(), usedforsecurity=False).digest() != md5:
             raise ValueError("the samples' MD5 is wrong")
-        out.append(payload)
     return out
 
 
+def decode_media(media: list[bytes]) -> list[bytes]:
+    """The payloads of FLAC files."""
+    return [b"".join(b for _, b in blocks) for blocks in decode_blocks(media)]
+
+
+def seek(media: bytes, sample: int, count: int) -> bytes:
+    """`count` samples from `sample` on, by the seek table: only the stretches that hold them are read; fewer at the end."""
+    samples, _, points = _info(media)
+    ends = [*points[1:], (samples, len(media))]
+    wanted = [(media, x[1], y[1], x[0], y[0] - x[0]) for x, y in zip(points, ends, strict=True) if x[0] < sample + count and y[0] > sample]
+    return b"".join(_stretches(wanted))[sample - wanted[0][3] :][:count] if wanted else b""
+
+
 def padded(content: bytes) -> bytes:
     return content + b" " * (-len(content) % BLOCK if content else BLOCK)
 
 
 def to_flac(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with all its columns, n_bytes of the UTF-8 text, and `media`, its bytes padded with blanks to whole frames as a FLAC file. Null counts as empty; empty gives one frame of blanks; equal texts give equal files."""
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
-
     docs = docs.drop("n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,32 +423,38 @@ def features(payload: bytes) -> str:
     return f"rms={np.sqrt((x * x).mean()):.4f};zero_crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max())}"
 
 
-def from_flac(rows: DataFrame, media_col: str = "media", keep_payload: bool = True) -> DataFrame:
-    """rows without the media, and payload, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, all from the decoded media. Null media give nulls."""
-    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+#: PCM blocks as from_flac() gives them.
+PCM = "array<struct<sample_offset:bigint,pcm:binary>>"
+
 
-    others = [f for f in rows.schema.fields if f.name != media_col]
-    made = [("payload", BinaryType(), pa.binary())] * keep_payload + [("payload_bytes", LongType(), pa.int64()), ("payload_sha256", StringType(), pa.string()), ("tail_crc32", LongType(), pa.int64()), ("media_bytes", LongType(), pa.int64()), ("media_sha256", StringType(), pa.string()), ("feature", StringType(), pa.string())]
+def from_flac(rows: DataFrame, media_col: str = "media", keep_pcm: bool = True) -> DataFrame:
+    """rows without the media, and payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_blocks, seek_offset, seek_crc32 and, if wanted, pcm.
+
+    All come from the decoded media. pcm holds the blocks with their sample offsets; seek_crc32 is that of the samples
+    from seek_offset on, the last point to seek, read by the seek table alone. Null media give nulls. Columns of these
+    names are replaced. A file is held whole by the task that reads it.
+    """
+    made = StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, seek_offset long, seek_crc32 long" + f", pcm {PCM}" * keep_pcm)
+    others = [f for f in rows.schema.fields if f.name != media_col and f.name not in made.names]
+    arrow = rows.sparkSession.createDataFrame([], made).toArrow().schema
+
+    def values(m: bytes, blocks: list[tuple[int, bytes]]) -> tuple:
+        p, last = b"".join(b for _, b in blocks), blocks[-1][0]
+        found = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(p), len(blocks), last, zlib.crc32(seek(m, last, BLOCK * SEEK_EVERY) if last else blocks[-1][1]))
+        return found + ([{"sample_offset": at, "pcm": b} for at, b in blocks],) * keep_pcm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, media_col, 1 << 20):
             media = batch.column(media_col).to_pylist()
-            decoded = iter(decode_media([m for m in media if m is not None]) if any(m is not None for m in media) else ())
-            values = []
-            for m in media:
-                if m is None:
-                    values.append((None,) * len(made))
-                    continue
-                p = next(decoded)
-                values.append((p,) * keep_payload + (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(p)))
-            columns = [pa.array(c, a) for c, (_, _, a) in zip(zip(*values, strict=True), made, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *columns], names=[*(f.name for f in others), *(n for n, _, _ in made)])
-
-    return rows.mapInArrow(run, StructType([*others, *(StructField(n, t) for n, t, _ in made)]))
-
-
-def pcm_blocks(decoded: DataFrame, samples: int = 4096) -> DataFrame:
-    """Rows of from_flac() as blocks: all columns but the payload, and block, sample_offset, pcm (at most `samples` unsigned bytes)."""
-    rows = decoded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.octet_length("payload") - 1) / samples))))
-    offset = F.col("block") * samples
-    return rows.select(*(c for c in decoded.columns if c != "payload"), "block", offset.alias("sample_offset"), F.substring("payload", (offset + 1).cast("int"), F.lit(samples)).alias("pcm"))
+            decoded = iter(decode_blocks([m for m in media if m is not None]))
+            found = [(None,) * len(made) if m is None else values(m, next(decoded)) for m in media]
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *columns], names=[*(f.name for f in others), *made.names])
+
+    return rows.mapInArrow(run, StructType([*others, *made.fields]))
+
+
+def pcm_blocks(decoded: DataFrame) -> DataFrame:
+    """Rows of from_flac() by block: all columns but pcm, and block (its number), sample_offset, pcm (unsigned samples)."""
+    rows = decoded.select(*(c for c in decoded.columns if c != "pcm"), F.posexplode("pcm").alias("block", "__block"))
+    return rows.select("*", "__block.sample_offset", "__block.pcm").drop("__block")

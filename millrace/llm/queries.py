@@ -31,7 +31,7 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_flac(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    return flac.from_flac(flac.to_flac(docs).drop("text"), keep_payload=False)
+    return flac.from_flac(flac.to_flac(docs).drop("text"), keep_pcm=False)
 
 
 #: The tokenizer's model file; a parameter of the operator.
