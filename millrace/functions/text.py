@@ -38,12 +38,12 @@ def unescape(c: Column) -> Column:
 @cache
 def _accents() -> tuple[str, str]:
     """Letters that decompose to an ASCII letter and marks, and that letter."""
-    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
+    pairs = [(chr(c), d[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, *_accents()), "[̀-ͯ]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, *_accents()), "[̀-ͯ]", "")).otherwise(c)
 
 
 def ascii_only(c: Column) -> Column:
@@ -61,8 +61,18 @@ def punctuated(c: Column) -> Column:
     return F.when(collapse(c).rlike(r"^<[^<>]*>$"), F.lit("")).otherwise(kept)
 
 
+#: A match begins where a run of letters, digits, commas and dots does; said first, this spares the look-ahead at all other places.
+_LETTERNUMBER = r"(?<![A-Za-z\d,.])" + LETTERNUMBER
+
+
 def mask_letternumbers(c: Column) -> Column:
-    return F.regexp_replace(c, LETTERNUMBER, "LETTERNUMBER")
+    return F.regexp_replace(c, _LETTERNUMBER, "LETTERNUMBER")
+
+
+def letternumbers(c: Column) -> tuple[Column, Column]:
+    """The masked text and the number of masks, from one pass: what stands between the matches."""
+    between = F.split(c, _LETTERNUMBER)
+    return F.array_join(between, "LETTERNUMBER"), (F.size(between) - 1).cast("long")
 
 
 def mask_numbers(c: Column) -> Column:
@@ -88,7 +98,7 @@ def word_characters(c: Column) -> Column:
 
 def normal_words(c: Column) -> Column:
     """Lower-case words of a text without its URLs; the array has an empty word where the text begins or ends with none."""
-    return F.split(F.lower(word_characters(without_urls(c))), " ")
+    return F.split(F.lower(without_urls(c)), r"(?U)\W+")
 
 
 def letters_only(c: Column) -> Column:
@@ -198,7 +208,7 @@ def english_literal(text: Column, tag: Column) -> Column:
 
 
 def numbers_in(plain: Column) -> Column:
-    return count_matches(plain, NUMBER) + count_matches(plain, LETTERNUMBER)
+    return count_matches(plain, NUMBER) + count_matches(plain, _LETTERNUMBER)
 
 
 def dense_numbers(plain: Column) -> Column:
@@ -239,6 +249,12 @@ def mt_name(c: Column) -> Column:
     return F.when(~bad, clean)
 
 
+def mt_short_name(c: Column) -> Column:
+    """For translation input, second form: lower-case words, those of letters with digits and lone numbers masked."""
+    plain = F.lower(collapse(word_characters(c)))
+    return F.regexp_replace(F.regexp_replace(plain, r"[A-Za-z]+[\d@]+[\w@]*|[\d@]+[A-Za-z]+[\w@]*", "LETTERNUMBER"), r"(?<!\S)\d+(?!\S)", "NUMBER")
+
+
 def mt_name_filter(c: Column) -> Column:
     """For translation input: masked words longer than two characters, EMPTY for URLs and for nothing."""
     clean = masked(alphanumeric(F.lower(c), ":,.;"))
@@ -328,7 +344,9 @@ def url_words(url: Column, part: str = "both") -> Column:
 
 def analyzed(c: Column) -> Column:
     """Index terms: tokens of letters and digits, folded to ASCII, without stop words, lower-cased."""
-    words = F.transform(F.regexp_extract_all(c, F.lit(r"([\p{IsAlphabetic}\p{IsDigit}]+(?:'[\p{IsAlphabetic}\p{IsDigit}]+)*)"), F.lit(1)), strip_accents)
+    # letters with accents are letters without, so the text is folded as a whole before it is cut
+    folded = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, *_accents())).otherwise(c)
+    words = F.regexp_extract_all(folded, F.lit(r"[\p{IsAlphabetic}\p{IsDigit}]+(?:'[\p{IsAlphabetic}\p{IsDigit}]+)*"), F.lit(0))
     return F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), F.lower)
 
 

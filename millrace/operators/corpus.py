@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources.tables import written
 
 
 def word_rows(rows: DataFrame, words: Column, *keys: str) -> DataFrame:
@@ -83,12 +84,23 @@ def histogram(rows: DataFrame, column: str, bins: int = 100) -> DataFrame:
 
 def heat_map(rows: DataFrame, key: str, binned: DataFrame, bins: int, column: str = "text") -> DataFrame:
     """bin, share: the mean over rows of the share of their words in each bin of (word, bin); empty bins are 0."""
-    words = word_rows(rows, T.normal_words(F.col(column)), key).groupBy(key, "word").agg(F.count("*").alias("n")).join(binned.select("word", "bin"), "word")
-    cells = words.groupBy(key, "bin").agg(F.sum("n").alias("n"))
-    whole = words.groupBy(key).agg(F.sum("n").alias("all"))
-    share = cells.join(whole, key).groupBy("bin").agg(F.sum(F.col("n") / F.col("all")).alias("sum"))
+    return heat_of_counts(word_counts(rows, key, column), key, binned, bins)
+
+
+def word_counts(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """key, word, n of each row's words, written: the table that frequencies and heat maps share."""
+    return written(word_rows(rows, T.normal_words(F.col(column)), key).groupBy(key, "word").agg(F.count("*").alias("n")), "word_counts")
+
+
+def heat_of_counts(counts: DataFrame, key: str, binned: DataFrame, bins: int) -> DataFrame:
+    """As heat_map(), of word_counts()."""
+    cells = counts.join(binned.select("word", "bin"), "word").groupBy(key, "bin").agg(F.sum("n").alias("n"))
+    # a row's cells are at most `bins`, so they are gathered by row rather than joined with its sum
+    whole = cells.groupBy(key).agg(F.sum("n").alias("all"), F.collect_list(F.struct("bin", "n")).alias("cells"))
+    each = whole.select("all", F.explode("cells").alias("c")).select("c.bin", (F.col("c.n") / F.col("all")).alias("share"), "all")
+    share = each.groupBy("bin").agg(F.sum("share").alias("sum"))
     rows_n = whole.agg(F.count("*").alias("rows"))
-    calendar = rows.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
+    calendar = counts.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
     return calendar.join(share, "bin", "left").crossJoin(F.broadcast(rows_n)).select("bin", F.coalesce(F.col("sum") / F.col("rows"), F.lit(0.0)).alias("share"))
 
 
@@ -115,17 +127,22 @@ def mean_ratio(ratios: DataFrame) -> DataFrame:
 def label_dictionary(rows: DataFrame, label: str, column: str = "text") -> DataFrame:
     """label, word, score: a word's share that falls to the label, times its share within the label; words of one label only are left out."""
     words = word_rows(rows, T.normal_words(F.col(column)), label).groupBy(label, "word").agg(F.count("*").alias("n"))
-    of_word, of_label = F.sum("n").over(Window.partitionBy("word")), F.sum("n").over(Window.partitionBy(label))
-    shares = words.withColumn("share", F.col("n") / of_word).withColumn("within", F.col("n") / of_label).where("share < 1")
+    words = written(words, "label_words")
+    of_word = words.groupBy("word").agg(F.sum("n").alias("of_word"), F.count("*").alias("labels")).where("labels > 1")
+    of_label = words.groupBy(F.col(label).alias("__label")).agg(F.sum("n").alias("of_label"))
+    shares = words.join(of_word, "word").join(of_label, F.col(label).eqNullSafe(F.col("__label")))
+    shares = shares.withColumn("share", F.col("n") / F.col("of_word")).withColumn("within", F.col("n") / F.col("of_label"))
     return shares.select(label, "word", (F.col("share") * F.col("within")).alias("score"))
 
 
-def dictionary_features(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
-    """Per row and label of (label, word, score): sum, number, largest score and presence of the dictionary's words."""
+def dictionary_features(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", most_labels: int = 1000) -> DataFrame:
+    """Per row and label of (label, word, score): sum, number, largest score and presence of the dictionary's words; more than most_labels labels are an error."""
     words = word_rows(rows, T.normal_words(F.col(column)), key).distinct()
     hits = words.join(dictionary, "word").groupBy(key, "label").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.max("score").alias("max"))
-    labels = dictionary.select("label").distinct()
-    grid = rows.select(key).distinct().crossJoin(F.broadcast(labels))
+    labels = [r.label for r in dictionary.select("label").distinct().limit(most_labels + 1).collect()]
+    if len(labels) > most_labels:
+        raise ValueError(f"more than {most_labels} labels make no features")
+    grid = rows.select(key).distinct().withColumn("label", F.explode(F.array(*map(F.lit, labels)) if labels else F.array().cast(f"array<{dictionary.schema['label'].dataType.simpleString()}>")))
     return grid.join(hits, [key, "label"], "left").select(key, "label", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("max", F.lit(0.0)).alias("max"), F.when(F.col("n") > 0, 1).otherwise(0).alias("present"))
 
 

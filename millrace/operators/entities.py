@@ -15,27 +15,29 @@ def parse_quads(lines: DataFrame) -> DataFrame:
     A literal is what stands between the first and the last quote; its language tag and the page follow.
     """
     v = F.col("value")
-    literal = r'^(\S+)\s+(\S+)\s+"(.*)"(\S*)\s+(.*)\s*$'
-    page = F.regexp_replace(F.regexp_extract(v, literal, 5), r"\s*\.?\s*$", "")
-    parts = F.split(F.trim(v), r"\s+")
-    part = lambda i: bracketless(F.get(parts, F.lit(i)))
-    is_literal = v.rlike(literal)
-    rows = lines.where(is_literal | (~v.contains('"') & (F.size(parts) >= 4)))
-    get = lambda i, j: F.when(is_literal, bracketless(F.regexp_extract(v, literal, i))).otherwise(part(j))
+    # each line is matched once: its groups, put between marks, are split off; the literal comes last and may hold anything
+    cut = F.split(F.regexp_replace(v, r'^(\S+)\s+(\S+)\s+"(.*)"(\S*)\s+(.*)\s*$', "$1\x01$2\x01$4\x01$5\x01$3"), "\x01", 5)
+    plain = F.when(~v.contains('"'), F.split(F.trim(v), r"\s+"))
+    rows = lines.select("file", "line_no", cut.alias("cut"), plain.alias("plain"))
+    literal = (F.size("cut") == 5) & F.col("plain").isNull()
+    rows = rows.withColumn("literal", literal).where(F.col("literal") | (F.size("plain") >= 4))
+    get = lambda i, j: F.when(F.col("literal"), F.get("cut", F.lit(i))).otherwise(F.get("plain", F.lit(j)))
+    page = F.regexp_extract(F.get("cut", F.lit(3)), r"^<?([^>]*?)(?:>.*|\s*\.?\s*)$", 1)
     return rows.select(
-        get(1, 0).alias("s"),
-        get(2, 1).alias("p"),
-        F.when(is_literal, F.regexp_extract(v, literal, 3)).otherwise(part(2)).alias("o"),
-        F.when(is_literal, F.regexp_extract(v, literal, 4)).otherwise(F.lit("")).alias("tag"),
-        F.when(is_literal, F.regexp_extract(page, "^<?([^>]*)", 1)).otherwise(part(3)).alias("source"),
-        F.when(is_literal, True).otherwise(False).alias("literal"),
+        bracketless(get(0, 0)).alias("s"),
+        bracketless(get(1, 1)).alias("p"),
+        F.when(F.col("literal"), F.get("cut", F.lit(4))).otherwise(bracketless(F.get("plain", F.lit(2)))).alias("o"),
+        F.when(F.col("literal"), F.get("cut", F.lit(2))).otherwise(F.lit("")).alias("tag"),
+        F.when(F.col("literal"), page).otherwise(bracketless(F.get("plain", F.lit(3)))).alias("source"),
+        "literal",
         "file",
         "line_no",
     )
 
 
 def bracketless(c: Column) -> Column:
-    return F.regexp_replace(c, "^<|>$", "")
+    begin, end = c.startswith("<").cast("int"), c.endswith(">").cast("int")
+    return F.when(begin + end > 0, F.substring(c, begin + 1, F.length(c) - begin - end)).otherwise(c)
 
 
 def with_fields(quads: DataFrame) -> DataFrame:
@@ -53,9 +55,11 @@ def runs(rows: DataFrame, key: str, order: list[str], within: list[str] | None =
 
 def assemble(quads: DataFrame, order: str = "line_no") -> DataFrame:
     """id, english, fields (map): repeated fields joined by blanks, newest first; english is that of the entity's last literal."""
-    fields = quads.groupBy("id", "field").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(order, "o")))), lambda x: x["o"]), " ").alias("value"))
-    tags = quads.groupBy("id").agg(F.coalesce(F.max_by(T.english_literal(F.col("o"), F.col("tag")), F.when(F.col("literal"), F.col(order))), F.lit(True)).alias("english"))
-    return fields.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")).join(tags, "id")
+    # one shuffle by entity serves both groupings
+    facts = quads.select("id", "field", order, "o", F.when(F.col("literal"), F.struct(F.col(order).alias("at"), T.english_literal(F.col("o"), F.col("tag")).alias("english"))).alias("said")).repartition("id")
+    value = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(order, "o")))), lambda x: x["o"]), " ")
+    fields = facts.groupBy("id", "field").agg(value.alias("value"), F.max("said").alias("said"))
+    return fields.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"), F.coalesce(F.max("said")["english"], F.lit(True)).alias("english"))
 
 
 def english_entities(entities: DataFrame) -> DataFrame:

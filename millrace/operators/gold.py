@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import placed, sized
+
 
 def hash_rank(*keys: str, seed: int = 42) -> Column:
     """A random-looking order that any run and engine repeats."""
@@ -66,23 +68,27 @@ def class_frequency(rows: DataFrame, label: str) -> DataFrame:
 
 
 def frequent_classes(rows: DataFrame, label: str, least: int = 2) -> DataFrame:
-    return rows.withColumn("class_size", F.count("*").over(Window.partitionBy(label))).where(F.col("class_size") >= least).drop("class_size")
+    return sized(rows, label, "class_size").where(F.col("class_size") >= least).select(*rows.columns)
 
 
 def with_description(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.length(F.trim(F.coalesce(column, F.lit("")))) >= 3)
 
 
+def _shuffled(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """rows with __nth, their place within the label in the order of a hash of the key."""
+    return placed(rows.withColumn("__hash", hash_rank(key, seed=seed)), ["__hash", key], [label], "__nth").drop("__hash")
+
+
 def stratified_sample(rows: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """The share of each class, rounded up, exactly."""
-    along = Window.partitionBy(label).orderBy(hash_rank(key, seed=seed), key)
-    ranked = rows.withColumn("nth", F.row_number().over(along)).withColumn("size", F.count("*").over(Window.partitionBy(label)))
-    return ranked.where(F.col("nth") <= F.ceil(F.col("size") * fraction)).drop("nth", "size")
+    ranked = sized(_shuffled(rows, label, key, seed), label, "__size")
+    return ranked.where(F.col("__nth") < F.ceil(F.col("__size") * fraction)).select(*rows.columns)
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """rows with `fold`, as even as can be within each class."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(hash_rank(key, seed=seed), key)) - 1) % k)
+    return _shuffled(rows, label, key, seed).select(*rows.columns, (F.col("__nth") % k).alias("fold"))
 
 
 def holdout(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -108,8 +114,7 @@ def isolated_classes(rows: DataFrame, label: str) -> DataFrame:
 
 def join_by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Columns of two frames side by side, by their places in stated orders of keys."""
-    place = lambda df, order: df.withColumn("place", F.row_number().over(Window.orderBy(order)))
-    return place(a, order_a).join(place(b, order_b), "place")
+    return placed(a, [order_a]).join(placed(b, [order_b]), "place")
 
 
 def append_generated(rows: DataFrame, generated: DataFrame, key: Column, sentences: int = 5) -> DataFrame:

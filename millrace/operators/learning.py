@@ -32,10 +32,10 @@ def hashed(words: str = "words", out: str = "features", size: int = 1 << 14, gra
 
 
 def classifier(name: str, features: str = "features", classes: int = 2, width: int = 0):
-    """svm (one against the rest, hinge loss), rf (20 trees), nb, lr (also for log-loss descent), mlp in place of networks."""
+    """svm (one against the rest, hinge loss, rows weighted so that classes count alike), rf (20 trees), nb, lr (also for log-loss descent), mlp in place of networks."""
     columns = {"featuresCol": features, "labelCol": "label"}
     made = {
-        "svm": lambda: OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30, **columns), **columns),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30, **columns), weightCol="weight", **columns),
         "rf": lambda: RandomForestClassifier(numTrees=20, seed=42, **columns),
         "nb": lambda: NaiveBayes(**columns),
         "lr": lambda: LogisticRegression(maxIter=50, regParam=0.001, **columns),
@@ -53,18 +53,30 @@ def reduced(kind: str, k: int, features: str = "features", out: str = "reduced")
     }[kind]
 
 
-def model_pipeline(name: str, truth: str, labels: list[str], stages: list, features: str = "features", width: int = 0) -> Pipeline:
-    index = StringIndexer(inputCol=truth, outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc")
-    back = IndexToString(inputCol="prediction", outputCol="pred", labels=sorted(labels))
-    return Pipeline(stages=[*stages, index, classifier(name, features, len(labels), width), back])
+def fit(rows: DataFrame, name: str, truth: str, stages: list, features: str = "features", width: int = 0, most_labels: int = 10_000) -> PipelineModel:
+    """A model that predicts names of classes, as `pred`, for any row; classes are indexed for fitting alone.
 
+    Rows without a class teach nothing. More than most_labels classes are an error.
+    """
+    known = rows.where(F.col(truth).isNotNull())
+    if known.select(truth).distinct().limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"more than {most_labels} classes")
+    index = StringIndexer(inputCol=truth, outputCol="label", stringOrderType="alphabetAsc").fit(known)
+    back = IndexToString(inputCol="prediction", outputCol="pred", labels=index.labels)
+    indexed = balanced(index.transform(known)) if name == "svm" else index.transform(known)
+    return Pipeline(stages=[*stages, classifier(name, features, len(index.labels), width), back]).fit(indexed)
 
-def fit(rows: DataFrame, name: str, truth: str, stages: list, features: str = "features", width: int = 0, most_labels: int = 10_000) -> PipelineModel:
-    labels = [r[0] for r in rows.select(truth).where(F.col(truth).isNotNull()).distinct().limit(most_labels).collect()]  # class names, bounded
-    return model_pipeline(name, truth, labels, stages, features, width).fit(rows)
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """rows with `weight`: all rows over the number of classes and the rows of the class."""
+    counts = rows.groupBy(F.col("label").alias("__label")).agg(F.count("*").alias("__n"))
+    sums = counts.agg(F.sum("__n").alias("__all"), F.count("*").alias("__classes"))
+    counts = counts.crossJoin(sums).select("__label", (F.col("__all") / F.col("__classes") / F.col("__n")).alias("weight"))
+    return rows.join(counts, F.col("label") == F.col("__label")).drop("__label")
 
 
 def holdout_scores(train: DataFrame, test: DataFrame, name: str, truth: str, stages: list, **options) -> DataFrame:
+    """The report over every row of test that has a class, also one that train lacks."""
     found = fit(train, name, truth, stages, **options).transform(test)
     return scoring.report(found.select("pred", F.col(truth).alias("truth")))
 

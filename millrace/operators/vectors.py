@@ -21,6 +21,17 @@ def scaled(weights: DataFrame) -> DataFrame:
     return weights.join(top, "word").select(*(c for c in weights.columns if c != "weight"), (F.col("weight") / F.col("high")).alias("weight"))
 
 
+def normed(weights: DataFrame, key: str) -> DataFrame:
+    """Weights of each row over their Euclidean length."""
+    length = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return weights.join(length, key).select(*(c for c in weights.columns if c != "weight"), (F.col("weight") / F.col("length")).alias("weight"))
+
+
+def looked_up(rows: DataFrame, vectors: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with the vector of their key; zeros where there is none."""
+    return rows.join(vectors, key, "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), size)))
+
+
 def skip_pairs(words: Column, reach: int = 2) -> Column:
     """Pairs of words at most `reach` apart, as one term each."""
     at = lambda i, j: F.get(words, i + j)

@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.functions.constants import FOREIGN_SUFFIXES, HOST_SUFFIXES, NUMBER, STOP_WORDS
 from millrace.operators import corpus, entities, gold, retrieval, scoring, vectors
 from millrace.sources import sinks
+from millrace.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -145,9 +146,8 @@ def clean_desc_filters(spark, sf):
 
 @_query(f"SELECT doc_id, md5(regexp_replace(text, '{_LN}', 'LETTERNUMBER', 'g')) AS masked, len(regexp_extract_all(text, '{_LN}')) AS n FROM documents")
 def mask_letternumber(spark, sf):
-    from millrace.functions.constants import LETTERNUMBER
-
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.mask_letternumbers(F.col("text"))).alias("masked"), T.count_matches(F.col("text"), LETTERNUMBER).cast("long").alias("n"))
+    masked, n = T.letternumbers(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(masked).alias("masked"), n.alias("n"))
 
 
 # the rule's \b is one of ASCII letters in some engines and of all letters in others: texts are made ASCII first
@@ -210,13 +210,6 @@ def category_path_normalise(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(F.filter(F.transform(F.split(path, r"[|>/\-]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 2), " ").alias("path"))
 
 
-@_query()
-def mt_normal_forms(spark, sf):
-    part = table(spark, sf, "part")
-    text = F.concat_ws(" ", "p_name", F.lit("x200"), "p_type")
-    return part.select("p_partkey", T.mt_name(text).alias("name"), T.mt_name_filter(text).alias("filtered"), T.mt_category(F.concat_ws(" > ", "p_name", "p_type", "p_brand")).alias("category"))
-
-
 @_query()
 def page_descriptions(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.full_description(F.col("html")).alias("text"), T.url_words(F.col("url")).alias("url_words"))
@@ -336,9 +329,9 @@ def freq_bins(spark, sf):
         s AS (SELECT bin, sum(n / t) AS s FROM c JOIN a ON c.doc_id = a.doc_id GROUP BY bin)
         SELECT g.bin, round(coalesce(s / (SELECT count(*) FROM a), 0), 8) AS share FROM (SELECT unnest(range(1, 101)) AS bin) g LEFT JOIN s ON g.bin = s.bin""")
 def bin_heatmap(spark, sf):
-    docs = table(spark, sf, "documents")
-    binned = corpus.with_bins(corpus.word_frequency(docs), "freq")
-    return corpus.heat_map(docs, "doc_id", binned, 100).withColumn("share", F.round("share", 8))
+    counts = corpus.word_counts(table(spark, sf, "documents"), "doc_id")
+    binned = corpus.with_bins(counts.groupBy("word").agg(F.sum("n").alias("freq")), "freq")
+    return corpus.heat_of_counts(counts, "doc_id", binned, 100).withColumn("share", F.round("share", 8))
 
 
 @_query(f"""WITH {_W}, s AS (SELECT 'lang' AS level, lang AS label, word, source FROM v UNION ALL SELECT 'source', source, word, source FROM v)
@@ -399,7 +392,8 @@ _INDEX = f"""x AS (SELECT doc_id, strip_accents(unnest({_TERM})) AS t FROM docum
 
 def _scores(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return retrieval.bm25_scores(items, retrieval.postings(docs, "doc_id"), "item_id", "doc_id")
+    index = written(retrieval.postings(docs, "doc_id"), "postings")  # read three times
+    return retrieval.bm25_scores(items, index, "item_id", "doc_id")
 
 
 def _hits(spark, sf, k=10):
@@ -479,7 +473,7 @@ def embedding_sum_mean(spark, sf):
         s AS (SELECT doc_id, item_id, round(dot / (a * b), 6) AS score FROM d JOIN na USING (doc_id) JOIN nb USING (item_id)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rn FROM s)
         SELECT doc_id, item_id, score FROM r WHERE rn = 1 AND score > 0""")
 def tfidf_cosine_taxonomy(spark, sf):
-    tf = lambda name, key: corpus.word_rows(table(spark, sf, name), T.normal_words(F.col("text")), key).groupBy(key, "word").agg(F.count("*").alias("weight"))
+    tf = lambda name, key: corpus.word_counts(table(spark, sf, name), key).withColumnRenamed("n", "weight")
     return vectors.sparse_nearest(tf("documents", "doc_id"), tf("benchmark", "item_id"), "doc_id", "item_id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import placed, sized, written
+
 
 def rolling_csv(rows: DataFrame, path: str, most_rows: int = 100_000) -> None:
     rows.write.option("maxRecordsPerFile", most_rows).csv(path)
@@ -15,11 +17,12 @@ def shards_by_words(rows: DataFrame, text: str, key: str, words_per_shard: int)
 
     Partial sums per range of keys come first, so that the running sum needs no task that sees all rows.
     """
-    sized = rows.withColumn("words", F.size(F.split(F.trim(F.col(text)), r"\s+")).cast("long")).repartitionByRange(key).withColumn("range", F.spark_partition_id())
-    sums = sized.groupBy("range").agg(F.sum("words").alias("of_range"))
+    dealt = rows.withColumn("words", F.size(F.split(F.trim(F.col(text)), r"\s+")).cast("long")).repartitionByRange(key).withColumn("range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")  # both branches see the same ranges
+    sums = dealt.groupBy("range").agg(F.sum("words").alias("of_range"))
     before = sums.select("range", F.coalesce(F.sum("of_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     running = F.sum("words").over(Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    out = sized.withColumn("within", running).join(F.broadcast(before), "range")  # a row per range of the shuffle
+    out = dealt.withColumn("within", running).join(F.broadcast(before), "range")  # a row per range of the shuffle
     return out.withColumn("shard", F.floor((F.col("before") + F.col("within") - F.col("words")) / words_per_shard)).drop("range", "within", "before")
 
 
@@ -35,8 +38,7 @@ def word_log(rows: DataFrame, key: str, name: str, description: str) -> DataFram
 
 def in_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """rows with `batch`: so many distinct values of the order's columns each, counted from 0."""
-    distinct = rows.select(*order).distinct()
-    numbered = distinct.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    numbered = placed(rows.select(*order).distinct(), order, out="batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
     return rows.join(numbered, order)
 
 
@@ -47,7 +49,7 @@ def slice_lines(rows: DataFrame, key: str, parts: int) -> DataFrame:
 
 def fasttext_lines(rows: DataFrame, label: str, text: str) -> DataFrame:
     """Training lines "__label__X<TAB>text" of labels with two rows at least; blanks in labels are bars."""
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(label))).where("n > 1")
+    counted = sized(rows.select(label, text), label, "n").where("n > 1")
     return counted.select(F.concat(F.lit("__label__"), F.replace(F.col(label), F.lit(" "), F.lit("|")), F.lit("\t"), F.col(text)).alias("line"))
 
 
@@ -63,7 +65,7 @@ def embedding_lines(vectors: DataFrame) -> DataFrame:
 
 def repair_cells(rows: DataFrame) -> DataFrame:
     """Strings without quotes at their ends."""
-    return rows.select(*(F.regexp_replace(c, '"$', "").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
+    return rows.select(*(F.regexp_replace(c, '"+$', "").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
 
 
 def per_cluster(rows: DataFrame, path: str) -> None:
