@@ -320,7 +320,8 @@ def _links(wanted: DataFrame, rows: DataFrame, words: int, percent: int, most: i
     and the others are compared with all in blocks of `most`.
     """
     run, schema = _whole_sets(words)
-    whole = wanted.join(rows, F.col("low") == F.col("doc_id")).select("class", "part", "members", "rep", "text").mapInArrow(run, schema)
+    # texts are dealt by id whether few of them are wanted or many: no list of documents goes to every task
+    whole = rows.join(wanted.hint("shuffle_hash"), F.col("low") == F.col("doc_id")).select("class", "part", "members", "rep", "text").mapInArrow(run, schema)
     whole = written(whole, "whole")
     run, schema = _linked(percent)
     small = whole.where(F.col("members") <= most).select("part", F.lit(0).alias("one"), F.lit(0).alias("two"), "class", "elements", F.lit(2).alias("side"))
