@@ -227,7 +227,7 @@ def masked(plain: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    c = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return collapse(c)

@@ -115,11 +115,10 @@ def english(c: Column) -> Column:
 def name_category_rows(wide_rows: DataFrame) -> DataFrame:
     """A row for the product and one for the offer, whose id ends in _sgoffer; an invalid product half hides the offer half."""
 
-    def half(kind: str):
-        name, cat = T.clean_name_category(F.col(f"{kind}_name")), T.clean_name_category(F.col(f"{kind}_category"))
-        return name, strip_name(cat, name)
-
-    (pn, pc), (on, oc) = half("product"), half("offer")
+    fields = ("product_name", "product_category", "offer_name", "offer_category")
+    wide_rows = wide_rows.select("id", "source_host", "source_page", *(F.col(c) for c in fields), *(T.clean_name_category(F.col(c)).alias(f"clean_{c}") for c in fields))
+    pn, on = F.col("clean_product_name"), F.col("clean_offer_name")
+    pc, oc = strip_name(F.col("clean_product_category"), pn), strip_name(F.col("clean_offer_category"), on)
     has = F.col("product_name").isNotNull() & F.col("product_category").isNotNull()
     product = F.when(has & pn.isNotNull() & pc.isNotNull(), F.struct(F.col("id"), pn.alias("name"), pc.alias("category"), F.col("source_page").alias("url")))
     offer = F.when((~has | product.isNotNull()) & on.isNotNull() & oc.isNotNull(), F.struct(F.concat("id", F.lit("_sgoffer")).alias("id"), on.alias("name"), oc.alias("category"), F.when(product.isNotNull(), F.col("source_page")).alias("url")))

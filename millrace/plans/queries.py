@@ -210,11 +210,6 @@ def category_path_normalise(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(F.filter(F.transform(F.split(path, r"[|>/\-]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 2), " ").alias("path"))
 
 
-@_query()
-def page_descriptions(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.full_description(F.col("html")).alias("text"), T.url_words(F.col("url")).alias("url_words"))
-
-
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
@@ -362,13 +357,13 @@ def label_dictionary(spark, sf):
     return corpus.label_dictionary(docs, "toxic").withColumn("score", F.round("score", 10))
 
 
-@_query(f"""WITH {_W}, dict AS (SELECT word, lang AS label, count(*)::DOUBLE AS score FROM v GROUP BY word, lang HAVING count(*) > 200), d AS (SELECT DISTINCT doc_id, word FROM v),
+@_query(f"""WITH {_W}, dict AS (SELECT word, lang AS label, count(*)::DOUBLE AS score FROM v GROUP BY word, lang), d AS (SELECT DISTINCT doc_id, word FROM v),
         h AS (SELECT doc_id, label, sum(score) AS s, count(*) AS n, max(score) AS m FROM d JOIN dict USING (word) GROUP BY doc_id, label)
         SELECT g.doc_id, g.label, coalesce(s, 0) AS sum, coalesce(n, 0) AS n, coalesce(m, 0) AS max, CASE WHEN n > 0 THEN 1 ELSE 0 END AS present
         FROM (SELECT doc_id, label FROM (SELECT DISTINCT doc_id FROM documents), (SELECT DISTINCT label FROM dict)) g LEFT JOIN h ON g.doc_id = h.doc_id AND g.label = h.label""")
 def dictionary_features(spark, sf):
     docs = table(spark, sf, "documents")
-    words = corpus.word_rows(docs, T.normal_words(F.col("text")), "lang").groupBy("word", F.col("lang").alias("label")).agg(F.count("*").cast("double").alias("score")).where("score > 200")
+    words = corpus.word_rows(docs, T.normal_words(F.col("text")), "lang").groupBy("word", F.col("lang").alias("label")).agg(F.count("*").cast("double").alias("score"))
     return corpus.dictionary_features(docs, "doc_id", words)
 
 
@@ -442,15 +437,6 @@ def similar_products_band(spark, sf):
     return retrieval.similar_band(hits, "query", "name", "hit").select("query", "hit", "similarity", "rank")
 
 
-@_query()
-def attribute_extractor(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
-    index = retrieval.postings(names.withColumn("key", F.col("p_name")), "key", "p_name")
-    hits = retrieval.bm25(names.withColumn("query", F.col("p_name")), index, "query", "key", "p_name", k=20)
-    hits = hits.withColumn("name", F.col("query")).withColumn("hit_name", F.col("key"))
-    return retrieval.name_attributes(names.select(F.col("p_name").alias("query"), F.col("p_name").alias("name")), hits, "query", "name", "hit_name", 1, 10)
-
-
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 
@@ -478,10 +464,10 @@ def tfidf_cosine_taxonomy(spark, sf):
 
 
 @_query(f"""WITH {_W}, t AS (SELECT doc_id, word, count(*) AS tf FROM v GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM v), d AS (SELECT word, count(*) AS df, sum(tf) AS a FROM t GROUP BY word),
-        k AS (SELECT word, ln(n / df) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= n * 0.99 ORDER BY a DESC, word LIMIT 5000) SELECT doc_id, word, round(tf * idf, 6) AS weight FROM t JOIN k USING (word)""")
+        k AS (SELECT word, ln(n / df) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= n * 0.99 ORDER BY a DESC, word LIMIT 50000) SELECT doc_id, word, round(tf * idf, 6) AS weight FROM t JOIN k USING (word)""")
 def tfidf_features(spark, sf):
     words = corpus.word_rows(table(spark, sf, "documents"), T.normal_words(F.col("text")), "doc_id")
-    return vectors.tfidf(words, "doc_id", 2, 0.99, 5000).withColumn("weight", F.round("weight", 6))
+    return vectors.tfidf(words, "doc_id", 2, 0.99).withColumn("weight", F.round("weight", 6))
 
 
 @_query("SELECT embedding[1] > 0 AS cluster, count(*) AS members, count(DISTINCT label) AS label_labels FROM embeddings GROUP BY 1")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import corpus, entities, gold, layouts, learning, retrieval, scoring, vectors
-from millrace.plans.queries import _ASCII, _HOST, _LN, _R, _W, _WORDS, NUMBER, _query, table
+from millrace.plans.queries import _ASCII, _HOST, _LN, _R, _STOPS, _TERM, _W, _WORDS, NUMBER, _query, table
 from millrace.sources import readers, sinks
+from millrace.sources.tables import placed, written
 
 _text = lambda *parts: F.concat(*(F.lit(p[1:-1]) if p.startswith("'") else F.col(p).cast("string") for p in parts))
 
@@ -170,6 +171,15 @@ def category_or_breadcrumb(spark, sf):
     return part.select("p_partkey", T.category(_text("p_name", "'%20'", "p_type", "'<br> › '", "p_brand")).alias("category"), T.category_or_breadcrumb(cat, F.lit("crumb")).alias("chosen"))
 
 
+_TEXT = r"replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@_query(rf"""WITH t AS (SELECT page_id, {_MT.format(c=f"lower({_TEXT})", k=":,.;")} AS p FROM pages), n AS (SELECT *, len(string_split(p, ' ')) AS n, len(regexp_extract_all(p, '{NUMBER}')) + len(regexp_extract_all(p, '{_LN}')) AS m FROM t)
+        SELECT page_id, CASE WHEN NOT m >= n // 3 AND n BETWEEN 5 AND 200 THEN {_MASK.format(c="p")} END AS text FROM n""")
+def page_descriptions(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.full_description(F.col("html")).alias("text"))
+
+
 _SIGNS = ("//", " ?", "::", ":", "›", "»", "|", "/ ", "  ")
 
 
@@ -202,6 +212,21 @@ def large_enough_beginnings(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(T.large_enough(T.collapse(text), 40, 0) & (F.size(T.tokens(text)) > 8), T.first_words(text, 5)).alias("first"))
 
 
+@_query(f"""WITH p AS (SELECT DISTINCT p_name FROM part), x AS (SELECT p_name, strip_accents(unnest({_TERM.replace("text", "p_name")})) AS t FROM p), i AS (SELECT p_name, lower(t) AS term FROM x WHERE t NOT IN {_STOPS}),
+        l AS (SELECT p_name, count(*) AS dl FROM i GROUP BY 1), g AS (SELECT p_name, term, count(*) AS tf FROM i GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM l), df AS (SELECT term, count(*) AS df FROM g GROUP BY 1),
+        sc AS (SELECT q.p_name AS query, g.p_name AS hit, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * g.tf * 2.2 / (g.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM g JOIN g q USING (term) JOIN df USING (term) JOIN l ON l.p_name = g.p_name CROSS JOIN st GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit) AS rank FROM sc QUALIFY rank <= 20), o AS (SELECT query, hit FROM r WHERE lower(query) <> lower(hit) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 10),
+        f AS (SELECT query, word, count(*) AS n FROM (SELECT query, unnest(string_split(lower(hit), ' ')) AS word FROM o) GROUP BY ALL),
+        w AS (SELECT p_name AS query, unnest(string_split(lower(p_name), ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM p)
+        SELECT w.query, w.word AS attributes FROM w LEFT JOIN f ON w.query = f.query AND w.word = f.word WHERE length(w.word) >= 3 QUALIFY row_number() OVER (PARTITION BY w.query ORDER BY coalesce(n, 0) DESC, pos DESC) = 1""")
+def attribute_extractor(spark, sf):
+    names = table(spark, sf, "part").select("p_name").distinct()
+    index = written(retrieval.postings(names.withColumn("key", F.col("p_name")), "key", "p_name"), "postings")
+    hits = retrieval.bm25(names.withColumn("query", F.col("p_name")), index, "query", "key", "p_name", k=20)
+    hits = hits.withColumn("name", F.col("query")).withColumn("hit_name", F.col("key"))
+    return retrieval.name_attributes(names.select(F.col("p_name").alias("query"), F.col("p_name").alias("name")), hits, "query", "name", "hit_name", 1, 10)
+
+
 # --- readers and sinks -----------------------------------------------------------------------------------------------
 
 
@@ -309,16 +334,11 @@ def isolated_classes(spark, sf):
         r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY rank, word) AS "at" FROM w JOIN k USING (word)), s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY "at") AS keywords FROM r WHERE "at" <= 3 GROUP BY doc_id)
         SELECT d.doc_id, coalesce(keywords, 'unknown') AS keywords FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
 def keywords_by_rank(spark, sf):
-    from millrace.sources.tables import placed
-
     words = corpus.word_frequency(table(spark, sf, "benchmark")).where(F.length("word") > 4)
     ranks = placed(words, [F.desc("freq"), "word"], out="rank")
     return corpus.keywords_by_rank(table(spark, sf, "documents"), "doc_id", ranks)
 
 
-_IDF = r"w AS (SELECT p_partkey, p_brand, x AS part, unnest(regexp_extract_all(lower(x), '\b\w\w+\b')) AS word, {at} FROM s)"
-
-
 @_query(r"""WITH s AS (SELECT p_partkey, p_brand, p_name AS x, 0 AS "at" FROM part UNION ALL SELECT p_partkey, p_brand, p_type, 1 FROM part), w AS (SELECT p_partkey, p_brand, x, "at", unnest(regexp_extract_all(lower(x), '\b\w\w+\b')) AS word FROM s),
         n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), d AS (SELECT p_brand, word, count(DISTINCT p_partkey) AS df FROM w GROUP BY ALL), i AS (SELECT p_brand, word, ln((1 + n) / (1 + df)) + 1 AS idf FROM d JOIN n USING (p_brand)),
         m AS (SELECT p_partkey, x, "at", round(avg(idf), 9) AS score FROM w JOIN i USING (p_brand, word) GROUP BY ALL) SELECT p_partkey, x AS category FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, "at" DESC) = 1""")
@@ -409,8 +429,6 @@ def sequence_matrices(spark, sf):
 @_query(f"""WITH {_PW}, k AS (SELECT word, row_number() OVER (ORDER BY word) AS i FROM (SELECT DISTINCT word FROM pw WHERE length(word) > 4)), s AS (SELECT p_partkey, pos, coalesce(i, 0) AS i FROM pw LEFT JOIN k USING (word) WHERE pos < 3)
         SELECT p_partkey, string_agg(i::VARCHAR, ',' ORDER BY pos) || repeat(',0', 3 - count(*)) AS ids FROM s GROUP BY p_partkey""")
 def word_indices(spark, sf):
-    from millrace.sources.tables import placed
-
     words = _part_words(spark, sf).select("word").distinct().where(F.length("word") > 4)
     vocabulary = placed(words, ["word"]).select("word", (F.col("place") + 1).cast("int").alias("index"))
     out = vectors.word_indices(table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words")), "p_partkey", "words", vocabulary, 3)
@@ -433,8 +451,6 @@ def looked_up_vectors(spark, sf):
 
 @_query(f"""WITH {_PW}, k AS (SELECT word, row_number() OVER (ORDER BY word) AS position FROM (SELECT DISTINCT word FROM pw WHERE length(word) > 4)) SELECT p_partkey, pos, word, round(coalesce(pow(100 - position, 2) / 10000.0, 0.5), 8) AS weight FROM pw LEFT JOIN k USING (word)""")
 def rank_weights(spark, sf):
-    from millrace.sources.tables import placed
-
     words = table(spark, sf, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
     ranks = placed(words.select("word").distinct().where(F.length("word") > 4), ["word"]).select("word", (F.col("place") + 1).alias("position"))
     return vectors.rank_weights(words, ranks, 100).select("p_partkey", F.col("pos").cast("long").alias("pos"), "word", F.round("weight", 8).alias("weight"))
