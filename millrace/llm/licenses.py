@@ -62,8 +62,11 @@ def license_scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, k: int = 3
     Phrases of k words at least count where they stand whole (one diagonal with all their votes). Passages count where
     diagonals at most `slack` apart cover `coverage` of their k-grams. spans: template label, first and last word, share covered.
     score is 1 with a whole phrase, else the best share that a passage covers. Null or empty text, and texts of fewer
-    than k words, have no hits: zero counts, null positions, empty labels. Repeated rows are scanned each on its own.
+    than k words, have no hits: zero counts, null positions, empty labels. Repeated rows are scanned each on its own. A phrase
+    of fewer than k words is an error. No rows in, no rows out; other columns are not looked at.
     """
+    if short := [text for _, text in phrases if len(text.split()) < k]:
+        raise ValueError(f"phrases of fewer than {k} words: {short}")
     templates = [(label, text, True) for label, text in phrases] + [(label, text, False) for label, text in passages]
     positions = template_positions(docs.sparkSession, templates, k)
     # ids of rows are made in the scan and used within one plan branch

@@ -265,6 +265,17 @@ def test_phrases_are_longest_matches(texts, one, two):
     assert got.tolist() == want
 
 
+def test_predictions_have_the_fewest_phrases(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
+    letters, samples = langid.fit(docs.where(~langid.held_out()))
+    rows = docs.where("length(text) < 1500").orderBy("doc_id").limit(40).collect()
+    names, scores = langid.predict([r.text for r in rows], (letters, samples))
+    for r, name, score in zip(rows, names, scores, strict=True):
+        coded = langid.symbols([r.text], letters)[0].tobytes()
+        rate = sorted((brute_phrases(coded, s) * np.log2(len(s) + 1) / len(coded), lang) for lang, s in samples)
+        assert name == rate[0][1] and score == pytest.approx(1 - rate[0][0] / rate[1][0])
+
+
 def test_language_columns(spark):
     rows = [(i, t, lang, "l") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the end", None), (None, "en"), ("123 !!", "de"), ("", None), ("the dog and the cat " * 600, None)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")

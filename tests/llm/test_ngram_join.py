@@ -1,13 +1,17 @@
 """Jaccard join, components and the pipeline against brute force."""
 
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import connected, ngram_join
+from millrace.llm import connected, mixing, ngram_join, pieces
+from millrace.llm.queries import PIECES_MODEL
 from tests.conftest import DATA
+from tests.llm.test_small_operators import plain_line_dedup
 
 AWKWARD = [(1, None), (2, ""), (3, " \t"), (4, "One two"), (5, "one  TWO"), (6, "one"), (7, "É one two"), (8, "é one two"), (9, "a b c d"), (9, "a b c d"), (9, "x y z"), (None, "a b c d"), (10, "a b c d " * 3000)]
 
@@ -134,30 +138,71 @@ def test_sketches_never_differ_in_more_bits_than_sets(spark):
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
-def test_pipeline_stages_take_effect(spark, tmp_path):
-    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
-    extra = [(90001, None, None, "web", 0), (90002, "123 ... 456", "en", None, 11), (90003, "", "en", "web", 0)]
+def plain_mix(rows):
+    """Copies of each row (doc_id, text, source): shares by weight, cut at twice the source and shared again, then floor and one draw."""
+    sizes = {}
+    size = lambda text: len(re.findall(mixing.TOKEN, text or ""))
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + size(text)
+    left, targets = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}, {}
+    while left:
+        level = (1.5 * sum(sizes.values()) - sum(targets.values())) / sum(left.values())
+        over = [s for s, w in left.items() if w * level > 2 * sizes[s]]
+        for s in over or list(left):
+            targets[s] = 2.0 * sizes[s] if over else left[s] * level
+            del left[s]
+    out = {}
+    for i, _, source in rows:
+        rate = round(targets[source], 6) / sizes[source] if sizes[source] else 0
+        draw = int(hashlib.md5(f"mix|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        out[i] = int(rate) + (draw < rate - int(rate))
+    return out
+
+
+def plain_stages(rows):
+    """The pipeline by plain versions: rows (doc_id, text, source) after each stage."""
+    import sentencepiece
+
+    letter = lambda text: any(c.isalpha() for c in text or "")
+    one = [r for r in rows if letter(r[1])]
+    yield one
+    cut = plain_line_dedup([(i, text) for i, text, _ in one])
+    two = [(i, cut[i], source) for i, _, source in one]
+    yield two
+    keep = {i for i, _, root in brute([r[:2] for r in two], 5, 80) if i == root}
+    three = [r for r in two if r[0] in keep]
+    yield three
+    copies = plain_mix(three)
+    four = [r for r in three for _ in range(copies[r[0]])]
+    yield four
+    with open(PIECES_MODEL, "rb") as file:
+        library = sentencepiece.SentencePieceProcessor(model_proto=pieces.unigram(file.read()))
+    yield [(*r, tuple(library.encode(r[1]))) for r in four]
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Every stage of the driver's documents and awkward rows, with columns of clashing names, which keep their values."""
+    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).where("text IS NULL OR length(text) < 20000")
+    extra = [(90001, None, None, "web", 0), (90002, "123 ... 456", "en", None, 11), (90003, "", "en", "web", 0), (90004, "a null source", "en", None, 13)]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    clash = {c: F.lit(f"own {c}") for c in ("lang_pred", "lang_score", "dropped_lines", "component_id", "mark", "copies", "size", "row")}
+    docs = docs.withColumns(clash)
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    source = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept, seen = source, []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, kept, str(tmp_path))
-        out.write.parquet(str(tmp_path / f"stage{len(seen)}"))
-        before, kept = kept, spark.read.parquet(str(tmp_path / f"stage{len(seen)}"))
-        seen.append(name)
-        ids = lambda d: [r.doc_id for r in d.select("doc_id").collect()]
-        if len(seen) == 1:
-            assert set(ids(before)) - set(ids(kept)) == {90001, 90002, 90003} | {r.doc_id for r in before.where("text IS NULL OR NOT text RLIKE '[\\\\p{L}]'").collect()}
-        if len(seen) == 2:
-            assert sorted(ids(before)) == sorted(ids(kept))
-            assert kept.where(F.col("n_chars") != F.length("text")).join(before, ["doc_id", "n_chars"]).count() == kept.where(F.col("n_chars") != F.length("text")).count()
-        if len(seen) == 3:
-            classes = brute([(r.doc_id, r.text) for r in before.collect()], 5, 80)
-            assert sorted(ids(kept)) == sorted(i for i, _, root in classes if i == root)
-        if len(seen) == 4:
-            assert set(ids(kept)) <= set(ids(before)) and kept.count() > 0
-        if len(seen) < 5:
-            assert kept.columns == docs.columns
-    assert kept.columns == [*docs.columns, "ids", "n_ids"] and kept.where(F.size("ids") != F.col("n_ids")).count() == 0
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = plain_stages([(r.doc_id, r.text, r.source) for r in kept.collect()])
+    for at, ((name, stage), rows) in enumerate(zip(corpus_pipeline.STAGES, want, strict=True)):
+        stage(spark, kept, str(tmp_path)).write.parquet(str(tmp_path / f"stage{at}"))
+        kept = spark.read.parquet(str(tmp_path / f"stage{at}"))
+        got = [(r.doc_id, r.text, r.source, *([tuple(r.ids)] if at == 4 else [])) for r in kept.collect()]
+        assert sorted(got, key=str) == sorted(rows, key=str), name
+        assert kept.columns == docs.columns + ["ids", "n_ids"] * (at == 4)
+        assert all(kept.where(F.col(c) != f"own {c}").isEmpty() for c in clash)
+        assert kept.where("n_chars <> length(text) AND n_chars = 0").isEmpty()
+    assert kept.where(F.size("ids") != F.col("n_ids")).isEmpty()
     assert corpus_pipeline.run(spark, str(tmp_path)).exceptAll(kept).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

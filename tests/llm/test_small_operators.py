@@ -53,6 +53,58 @@ def test_license_scan(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def plain_scan(text, k=3, slack=8, coverage=0.8):
+    """Diagonal voting with loops: (n_words, n_base, first, last, base labels, labels, score)."""
+    cut = lambda t: re.findall(licenses.WORD, (t or "").translate(str.maketrans(licenses.CAPITALS, licenses.SMALL)))
+    words, base, labels, score = cut(text), [], set(), 0.0
+    grams = {}
+    for i in range(len(words) - k + 1):
+        grams.setdefault(tuple(words[i : i + k]), []).append(i)
+    for label, body, whole in [(*x, True) for x in licenses.PHRASES] + [(*x, False) for x in licenses.PASSAGES]:
+        t = cut(body)
+        n, diagonals = len(t) - k + 1, {}
+        for p in range(n):
+            for i in grams.get(tuple(t[p : p + k]), ()):
+                diagonals.setdefault(i - p, set()).add(p)
+        if whole:
+            base += [(d, label) for d, seen in diagonals.items() if len(seen) == n]
+            continue
+        runs = []
+        for d in sorted(diagonals):
+            if runs and d - runs[-1][-1] <= slack:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            share = len(set().union(*(diagonals[d] for d in run))) / n
+            begin, end = min(d + min(diagonals[d]) for d in run), max(d + max(diagonals[d]) for d in run) + k - 1
+            score = max(score, share)
+            if share >= coverage and end - begin + 1 <= len(t) * 2 + slack:
+                labels.add(label)
+    starts, own = [d for d, _ in base], {label for _, label in base}
+    return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels | own)), 1.0 if base else score
+
+
+def test_license_scan_equals_plain_voting(spark):
+    """The driver's documents, and passages with words changed, left out, put in and moved."""
+    draw = random.Random(6)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).select("doc_id", "text").collect()]
+    for i in range(60):
+        words = draw.choice(licenses.PASSAGES)[1].split()
+        for _ in range(draw.randrange(9)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.choice([0, 1, 1, 2])] = draw.choice([[], ["other"], ["put", "in"] * draw.choice([1, 6])])
+        if i % 5 == 0:
+            words = words[len(words) // 2 :] + ["between"] * draw.choice([0, 30]) + words[: len(words) // 2]
+        docs.append((10_000_000 + i, " ".join([*("before " * draw.randrange(5)).split(), *words, "under the MIT license" * (i % 7 == 0)])))
+    got = {r.doc_id: tuple(r)[1:8] for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        want = plain_scan(text)
+        assert got[i][:6] == want[:6] and got[i][6] == pytest.approx(want[6])
+    with pytest.raises(ValueError):
+        licenses.license_scan(spark.createDataFrame(docs[:1], "doc_id long, text string"), phrases=(("x", "two words"),))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "".join(chr(random.Random(3).randrange(32, 0x2000)) for _ in range(30000))
     rows = [(i, f"http://a/{i}\r\n%", text) for i, text in enumerate([big, big, "short", "short", None, "", "x" * 100, "x" * 100, "x" * 99, "x" * 99, "\x1f\x8b\x08 WARC/1.1\r\n\r\n" * 50])] + [(None, None, "y" * 200), (20, None, "y" * 200)]
