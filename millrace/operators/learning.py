@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, HashingTF, IndexToString, MinMaxScaler, NGram, StandardScaler, StringIndexer, VectorSlicer, Word2Vec
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -31,6 +31,15 @@ def hashed(words: str = "words", out: str = "features", size: int = 1 << 14, gra
     return [NGram(n=grams, inputCol=words, outputCol="grams"), HashingTF(inputCol="grams", outputCol=out, numFeatures=size)]
 
 
+def subword_terms(words: Column, low: int = 4, high: int = 10, grams: int = 3) -> Column:
+    """Word n-grams of one to `grams` words, and the words' beginnings, middles and ends of low to high characters, marked by < and >."""
+    none = F.array().cast("array<string>")
+    span = lambda size, first, make: F.when(size >= first, F.transform(F.sequence(F.lit(1), size - first + 1), make)).otherwise(none)
+    runs = [span(F.size(words), n, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, grams + 1)]
+    parts = F.flatten(F.transform(words, lambda w: F.concat(*(span(F.length(w) + 2, n, lambda i, n=n, w=w: F.substring(F.concat(F.lit("<"), w, F.lit(">")), i, F.lit(n))) for n in range(low, high + 1)))))
+    return F.concat(*runs, parts)
+
+
 def classifier(name: str, features: str = "features", classes: int = 2, width: int = 0):
     """svm (one against the rest, hinge loss, rows weighted so that classes count alike), rf (20 trees), nb, lr (also for log-loss descent), mlp in place of networks."""
     columns = {"featuresCol": features, "labelCol": "label"}

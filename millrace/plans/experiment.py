@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators import learning
 
@@ -21,9 +22,10 @@ def run(settings: dict[str, str], train: DataFrame, test: DataFrame | None = Non
     truth = settings["class_fieldname"]
     fields = fields_of(settings["text_fieldnames"])
     name = settings.get("algorithm", "lr")
-    stages = learning.hashed(grams=3 if name == "fasttext" else 1)
-    name = "lr" if name == "fasttext" else name
-    words = lambda df: learning.word_columns(df, fields)
+    stages, words = learning.hashed(), lambda df: learning.word_columns(df, fields)
+    if name == "fasttext":  # a linear model of word n-grams and parts of words
+        name, plain = "lr", words
+        words = lambda df: plain(df).withColumn("words", learning.subword_terms(F.col("words")))
     if test is not None:
         return learning.holdout_scores(words(train), words(test), name, truth, stages)
     found = learning.cross_validated(words(train), name, truth, settings["key"], stages, int(settings.get("n_fold", "10")))

@@ -427,13 +427,24 @@ def nested_prefix_corpus(spark, sf):
     return retrieval.nested_prefixes(hits, "item_id", sizes).select("item_id", "doc_id", "prefix", "at")
 
 
-@_query("""WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT p_name, unnest(string_split(lower(p_name), ' ')) AS term FROM n),
-        c AS (SELECT DISTINCT a.p_name AS q, b.p_name AS h FROM t a JOIN t b USING (term) WHERE a.p_name <> b.p_name), s AS (SELECT q, h, round(jaccard(lower(q), lower(h)), 6) AS similarity FROM c),
+#: Names ranked by BM25 against all names, as query, hit, rank.
+_NAMES = f"""p AS (SELECT DISTINCT p_name FROM part), x AS (SELECT p_name, strip_accents(unnest({_TERM.replace("text", "p_name")})) AS t FROM p), i AS (SELECT p_name, lower(t) AS term FROM x WHERE t NOT IN {_STOPS}),
+        l AS (SELECT p_name, count(*) AS dl FROM i GROUP BY 1), g AS (SELECT p_name, term, count(*) AS tf FROM i GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM l), df AS (SELECT term, count(*) AS df FROM g GROUP BY 1),
+        sc AS (SELECT q.p_name AS query, g.p_name AS hit, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * g.tf * 2.2 / (g.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM g JOIN g q USING (term) JOIN df USING (term) JOIN l ON l.p_name = g.p_name CROSS JOIN st GROUP BY ALL),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit) AS rank FROM sc)"""
+
+
+def _name_hits(spark, sf, k):
+    names = table(spark, sf, "part").select("p_name").distinct()
+    index = written(retrieval.postings(names.withColumn("key", F.col("p_name")), "key", "p_name"), "postings")
+    hits = retrieval.bm25(names.withColumn("query", F.col("p_name")), index, "query", "key", "p_name", k=k)
+    return hits.withColumn("name", F.col("query")).withColumn("hit_name", F.col("key"))
+
+
+@_query(f"""WITH {_NAMES}, s AS (SELECT query AS q, hit AS h, round(jaccard(lower(query), lower(hit)), 6) AS similarity FROM rk WHERE rank <= 50 AND lower(query) <> lower(hit)),
         r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, h) AS rank FROM s WHERE similarity BETWEEN 0.55 AND 0.95) SELECT q AS query, h AS hit, similarity, rank FROM r WHERE rank <= 10""")
 def similar_products_band(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
-    terms = names.select("p_name", F.explode(T.analyzed(F.col("p_name"))).alias("term"))
-    hits = terms.select(F.col("p_name").alias("query"), "term").join(terms.select(F.col("p_name").alias("hit"), "term"), "term").where("query <> hit").withColumn("name", F.col("query"))
+    hits = _name_hits(spark, sf, 50).where(retrieval.not_itself(F.col("name"), F.col("hit_name"))).withColumnRenamed("hit_name", "hit")
     return retrieval.similar_band(hits, "query", "name", "hit").select("query", "hit", "similarity", "rank")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import corpus, entities, gold, layouts, learning, retrieval, scoring, vectors
-from millrace.plans.queries import _ASCII, _HOST, _LN, _R, _STOPS, _TERM, _W, _WORDS, NUMBER, _query, table
+from millrace.plans.queries import _ASCII, _HOST, _LN, _NAMES, _R, _W, _WORDS, NUMBER, _name_hits, _query, table
 from millrace.sources import readers, sinks
-from millrace.sources.tables import placed, written
+from millrace.sources.tables import placed
 
 _text = lambda *parts: F.concat(*(F.lit(p[1:-1]) if p.startswith("'") else F.col(p).cast("string") for p in parts))
 
@@ -212,19 +212,13 @@ def large_enough_beginnings(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(T.large_enough(T.collapse(text), 40, 0) & (F.size(T.tokens(text)) > 8), T.first_words(text, 5)).alias("first"))
 
 
-@_query(f"""WITH p AS (SELECT DISTINCT p_name FROM part), x AS (SELECT p_name, strip_accents(unnest({_TERM.replace("text", "p_name")})) AS t FROM p), i AS (SELECT p_name, lower(t) AS term FROM x WHERE t NOT IN {_STOPS}),
-        l AS (SELECT p_name, count(*) AS dl FROM i GROUP BY 1), g AS (SELECT p_name, term, count(*) AS tf FROM i GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM l), df AS (SELECT term, count(*) AS df FROM g GROUP BY 1),
-        sc AS (SELECT q.p_name AS query, g.p_name AS hit, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * g.tf * 2.2 / (g.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM g JOIN g q USING (term) JOIN df USING (term) JOIN l ON l.p_name = g.p_name CROSS JOIN st GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit) AS rank FROM sc QUALIFY rank <= 20), o AS (SELECT query, hit FROM r WHERE lower(query) <> lower(hit) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 10),
+@_query(f"""WITH {_NAMES}, o AS (SELECT query, hit FROM rk WHERE rank <= 20 AND lower(query) <> lower(hit) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 10),
         f AS (SELECT query, word, count(*) AS n FROM (SELECT query, unnest(string_split(lower(hit), ' ')) AS word FROM o) GROUP BY ALL),
         w AS (SELECT p_name AS query, unnest(string_split(lower(p_name), ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM p)
         SELECT w.query, w.word AS attributes FROM w LEFT JOIN f ON w.query = f.query AND w.word = f.word WHERE length(w.word) >= 3 QUALIFY row_number() OVER (PARTITION BY w.query ORDER BY coalesce(n, 0) DESC, pos DESC) = 1""")
 def attribute_extractor(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
-    index = written(retrieval.postings(names.withColumn("key", F.col("p_name")), "key", "p_name"), "postings")
-    hits = retrieval.bm25(names.withColumn("query", F.col("p_name")), index, "query", "key", "p_name", k=20)
-    hits = hits.withColumn("name", F.col("query")).withColumn("hit_name", F.col("key"))
-    return retrieval.name_attributes(names.select(F.col("p_name").alias("query"), F.col("p_name").alias("name")), hits, "query", "name", "hit_name", 1, 10)
+    names = table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
+    return retrieval.name_attributes(names.withColumn("name", F.col("query")), _name_hits(spark, sf, 20), "query", "name", "hit_name", 1, 10)
 
 
 # --- readers and sinks -----------------------------------------------------------------------------------------------

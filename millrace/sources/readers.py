@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import placed
+
 CLASSIFICATION = "ID string, Name string, Description string, CategoryText string, URL string, lvl1 string, lvl2 string, lvl3 string"
 CLUSTERS = "id long, size long, cluster_size_in_offers long, id_values string, categoryDensity double, category string"
 OFFERS = "id long, cluster_id string, identifiers string, category string, title string, description string, brand string, price string, specTableContent string, keyValuePairs string"
@@ -22,7 +24,7 @@ def quad_lines(spark: SparkSession, path: str) -> DataFrame:
     several, whose numbers follow their places in it.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seen"), "value")
-    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("block", "seen")).cast("long")).select("file", "line_no", "value")
+    return placed(lines, ["block", "seen"], ["file"]).select("file", (F.col("place") + 1).alias("line_no"), "value")
 
 
 def line_range(lines: DataFrame, start: int, end: int) -> DataFrame:

@@ -100,7 +100,7 @@ def test_vectors(spark):
     assert {r.id: r.vector for r in vectors.embed_text(words, table, "id").collect()} == {1: [4, 6], 2: [1, 2]}
     assert {r.id: r.vector for r in vectors.embed_text(words, table, "id", "mean").collect()}[1] == [2, 3]
     with pytest.raises(ValueError):
-        vectors.nearest(table, table.withColumnRenamed("word", "t"), "word", "t", most_targets=1)
+        vectors.nearest(table, table.withColumnRenamed("word", "t"), "word", "t", most_bytes=8)
 
 
 def test_experiment(spark, tmp_path):
