@@ -181,6 +181,10 @@ def clean_description(c: Column, least_chars: int = 20, least_tokens: int = 10)
     return F.when(~bad, plain)
 
 
+def differs(a: Column, b: Column) -> Column:
+    return F.lower(a) != F.lower(b)
+
+
 def large_enough(c: Column, chars: int, words: int) -> Column:
     """More than so many characters and tokens."""
     return (F.length(c) > chars) & (F.size(tokens(c)) > words)

@@ -63,6 +63,17 @@ def instance_stats(rows: DataFrame, key: str, dictionary: DataFrame, column: str
     return base.join(per, key, "left").select(key, "tokens", F.coalesce("clean", F.lit(0)).alias("clean"), F.coalesce("known", F.lit(0)).alias("known"))
 
 
+def pair_stats(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """side, tokens, clean, known: mean numbers per row of tokens, words of letters, and words of a dictionary, of both sides of pairs."""
+    stacked = pairs.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("left", "right")))).alias("c")).select("row", "c.side", "c.text")
+    tokens = stacked.groupBy("side").agg(F.count("*").alias("rows"), F.sum(F.size(T.tokens(F.trim("text")))).alias("tokens"))
+    words = word_rows(stacked, T.letters_only(F.col("text")), "side").groupBy("side", "word").agg(F.count("*").alias("n"))
+    known = words.join(dictionary.select("word").distinct().withColumn("is_known", F.lit(1)), "word", "left")
+    sums = known.groupBy("side").agg(F.sum("n").alias("clean"), F.sum(F.when(F.col("is_known") == 1, F.col("n")).otherwise(0)).alias("known"))
+    mean = lambda c: (F.coalesce(c, F.lit(0)) / F.col("rows")).alias(c)
+    return tokens.join(sums, "side", "left").select("side", *map(mean, ("tokens", "clean", "known")))
+
+
 def side_stats(pairs: DataFrame) -> DataFrame:
     """Largest, smallest and mean number of words of the two sides of pairs."""
     sides = pairs.select(F.explode(F.array("left", "right")).alias("text"))

@@ -88,6 +88,11 @@ def select_products(wide_rows: DataFrame, need: str = "name") -> DataFrame:
     return wide_rows.where(typed & needs[need])
 
 
+def product_before_offer(field: str) -> Column:
+    """The product's value of a field, or else the offer's."""
+    return F.coalesce(f"product_{field}", f"offer_{field}")
+
+
 def strip_name(category: Column, name: Column) -> Column:
     """The category without the name that it begins with; null if fewer than three characters are left."""
     rest = F.trim(F.when(category.startswith(name), F.substring(category, F.length(name) + 1, F.length(category))).otherwise(category))
@@ -96,9 +101,9 @@ def strip_name(category: Column, name: Column) -> Column:
 
 def product_records(wide_rows: DataFrame, source: str = "") -> DataFrame:
     """Name, category and description of products, cleaned, the product's before the offer's; valid hosts and English descriptions only."""
-    rows = wide_rows.withColumn("name", T.clean_name(F.coalesce("product_name", "offer_name"))).where("name IS NOT NULL")
-    rows = rows.withColumn("category", strip_name(T.clean_name_category(F.coalesce("product_category", "offer_category")), F.col("name")))
-    raw = F.coalesce("product_description", "offer_description")
+    rows = wide_rows.withColumn("name", T.clean_name(product_before_offer("name"))).where("name IS NOT NULL")
+    rows = rows.withColumn("category", strip_name(T.clean_name_category(product_before_offer("category")), F.col("name")))
+    raw = product_before_offer("description")
     rows = rows.withColumn("desc", T.clean_description(raw)).where(raw.isNull() | F.col("desc").isNull() | english(F.col("desc")))
     rows = rows.where(T.valid_host(F.col("source_host")))
     blank = lambda c: F.coalesce(c, F.lit(""))

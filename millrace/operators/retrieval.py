@@ -86,8 +86,10 @@ def name_attributes(names: DataFrame, hits: DataFrame, query: str, name: str, hi
     return best.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("attributes"))
 
 
-def similar_band(hits: DataFrame, query: str, name: str, hit_name: str, low: float = 0.55, high: float = 0.95, k: int = 10) -> DataFrame:
-    """Of the distinct names hit, the k most similar by characters within a band."""
+def similar_band(hits: DataFrame, query: str, name: str, hit_name: str, low: float = 0.55, high: float = 0.95, k: int = 10, text: str | None = None, most_words: int = 500) -> DataFrame:
+    """Of the distinct names hit, the k most similar by characters within a band; hits whose text has more words than most_words are out."""
+    if text is not None:
+        hits = hits.where(F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))) <= most_words)
     distinct = hits.select(query, name, hit_name).distinct().withColumn("similarity", F.round(T.char_jaccard(F.lower(name), F.lower(hit_name)), 6))
     band = distinct.where(F.col("similarity").between(low, high))
     return band.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), hit_name))).where(F.col("rank") <= k)

@@ -30,8 +30,10 @@ def report(rows: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFra
     return out.select("line", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")), "support")
 
 
-def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """n, agreement, kappa of two columns of labels."""
+def kappa(rows: DataFrame, a: str, b: str, number: str | None = None, skip: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """n, agreement, kappa of two columns of labels, without the rows whose number is in a range of skip (its end left out)."""
+    for begin, end in skip:
+        rows = rows.where((F.col(number) < begin) | (F.col(number) >= end))
     cells = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     total = cells.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     of_a, of_b = cells.groupBy("a").agg(F.sum("n").alias("x")), cells.groupBy("b").agg(F.sum("n").alias("y"))

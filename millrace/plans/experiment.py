@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ def fields_of(spec: str) -> list[tuple[str, int | None]]:
     return out
 
 
+def run_levels(settings: dict[str, str], levels: list[str], train: DataFrame, test: DataFrame | None = None) -> DataFrame:
+    """Reports of one model per class column, with the column's name as `level`."""
+    reports = [run(settings | {"class_fieldname": level}, train, test).withColumn("level", F.lit(level)) for level in levels]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def run(settings: dict[str, str], train: DataFrame, test: DataFrame | None = None) -> DataFrame:
     """Scores of settings["algorithm"] (svm, rf, nb, lr, fasttext) on class_fieldname, by holdout, or by n_fold folds of train over settings["key"]."""
     truth = settings["class_fieldname"]

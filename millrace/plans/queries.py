@@ -114,16 +114,17 @@ def run_detection(spark, sf):
     return entities.runs(table(spark, sf, "events"), "event_type", ["ts", "event_id"], ["user_id"]).select("user_id", "event_id", "event_type", "run")
 
 
-@_query("""SELECT doc_id, lang FROM documents WHERE length(text) < 10 OR length(regexp_replace(text, '\\\\u[0-9A-Fa-f]{4}', '', 'g')) > length(text) / 2""")
+@_query("""SELECT doc_id, lang FROM documents WHERE CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, 'x') = 'en' ELSE length(text) < 10 OR length(regexp_replace(text, '\\\\u[0-9A-Fa-f]{4}', '', 'g')) > length(text) / 2 END""")
 def english_literals(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.where(T.english_literal(F.col("text"), F.lit(""))).select("doc_id", "lang")
+    tag = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("@"), F.coalesce("lang", F.lit("x")))).otherwise("")
+    return docs.where(T.english_literal(F.col("text"), tag)).select("doc_id", "lang")
 
 
 @_query("""SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = d.doc_id AND o.lang <> 'en')""")
 def non_english_anti(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.join(docs.where("lang <> 'en'").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return gold.disjoint(docs, docs.where("lang <> 'en'").select("doc_id"), "doc_id").select("doc_id", "source")
 
 
 # --- text rules ------------------------------------------------------------------------------------------------------
@@ -180,8 +181,8 @@ def strip_name_prefix(spark, sf):
 def prefer_product_else_offer(spark, sf):
     offers = table(spark, sf, "lineitem").where("l_quantity > 45").select("l_partkey").distinct()
     rows = table(spark, sf, "part").join(offers, F.col("p_partkey") == F.col("l_partkey"), "left")
-    name = F.coalesce(F.when(F.col("p_size") > 10, F.col("p_name")), F.when(F.col("l_partkey").isNotNull(), "offer"))
-    return rows.select("p_partkey", name.alias("name")).where("name IS NOT NULL")
+    rows = rows.withColumn("product_name", F.when(F.col("p_size") > 10, F.col("p_name"))).withColumn("offer_name", F.when(F.col("l_partkey").isNotNull(), "offer"))
+    return rows.select("p_partkey", entities.product_before_offer("name").alias("name")).where("name IS NOT NULL")
 
 
 @_query("""SELECT event_id, list_aggregate(string_split(regexp_replace(props, '[\\[\\]{}"]', '', 'g'), ','), 'string_agg', ';') AS flat FROM events""")
@@ -248,13 +249,14 @@ def gold_corrections(spark, sf):
     return gold.apply_corrections(part.select("p_partkey", "p_type"), fixed, "p_partkey", ["p_type"])
 
 
-@_query("""WITH m AS (SELECT DISTINCT p_type AS k, 'T-' || p_type AS v FROM part WHERE p_type < 'M'), n AS (SELECT DISTINCT p_brand AS k, 'B-' || p_brand AS v FROM part)
-        SELECT p_partkey, coalesce(m.v, n.v, p_type) AS mapped FROM part LEFT JOIN m ON p_type = m.k LEFT JOIN n ON p_brand = n.k""")
+@_query("""WITH m AS (SELECT DISTINCT p_type AS k, 'T-' || p_type AS v FROM part WHERE p_type < 'M'), o AS (SELECT DISTINCT p_type AS k, 'U-' || p_type AS v FROM part WHERE p_type > 'E' AND p_type < 'P'), n AS (SELECT DISTINCT p_brand AS k, 'B-' || p_brand AS v FROM part)
+        SELECT p_partkey, coalesce(nullif(concat_ws(';', m.v, o.v), ''), n.v, p_type) AS mapped FROM part LEFT JOIN m ON p_type = m.k LEFT JOIN o ON p_type = o.k LEFT JOIN n ON p_brand = n.k""")
 def category_mapping(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
-    by_category = part.where("p_type < 'M'").select(F.col("p_type").alias("key"), F.concat(F.lit("T-"), "p_type").alias("value")).distinct()
+    mapping = lambda mark, rows: rows.select(F.col("p_type").alias("key"), F.concat(F.lit(mark), "p_type").alias("value")).distinct()
+    by_category = [mapping("T-", part.where("p_type < 'M'")), mapping("U-", part.where("p_type > 'E' AND p_type < 'P'"))]
     by_name = part.select(F.col("p_brand").alias("key"), F.concat(F.lit("B-"), "p_brand").alias("value")).distinct()
-    return gold.map_categories(part, "p_type", "p_brand", [by_category], by_name).select("p_partkey", "mapped")
+    return gold.map_categories(part, "p_type", "p_brand", by_category, by_name).select("p_partkey", "mapped")
 
 
 @_query("""SELECT p_name, arg_min(p_type, p_partkey) AS p_type, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY p_name""")

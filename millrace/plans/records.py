@@ -500,3 +500,32 @@ def holdout_of_an_unseen_class(spark, sf):
     test = learning.word_columns(part.where("p_partkey % 3 = 0"), [("p_type", None)])
     found = learning.fit(train, "nb", "p_type", learning.hashed()).transform(test)
     return found.groupBy("pred", F.col("p_type").alias("truth")).agg(F.count("*").alias("n"))
+
+
+@_query("""WITH t AS (SELECT count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) AS q, avg(toxic) AS t FROM labels WHERE doc_id NOT BETWEEN 10 AND 49 AND doc_id NOT BETWEEN 100 AND 139), e AS (SELECT *, q * t + (1 - q) * (1 - t) AS pe FROM t)
+        SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM e""")
+def cohen_kappa_of_ranges(spark, sf):
+    return scoring.kappa(table(spark, sf, "labels"), "quality", "toxic", "doc_id", ((10, 50), (100, 140)))
+
+
+@_query(rf"""WITH {_R}, s AS (SELECT 'left' AS side, u.text AS t FROM conversations u WHERE role = 'user' UNION ALL SELECT 'right', text FROM conversations WHERE role = 'user'),
+        w AS (SELECT side, unnest(string_split_regex(lower(t), '[^a-z]+')) AS word FROM s), c AS (SELECT side, count(*) AS clean, count(ref.word) AS known FROM w LEFT JOIN ref ON w.word = ref.word WHERE w.word <> '' GROUP BY side),
+        n AS (SELECT side, count(*) AS rows, sum(len(string_split_regex(trim(t), '\s+'))) AS tokens FROM s GROUP BY side) SELECT side, round(tokens / rows, 6) AS tokens, round(clean / rows, 6) AS clean, round(known / rows, 6) AS known FROM n JOIN c USING (side)""")
+def pair_word_stats(spark, sf):
+    pairs = table(spark, sf, "conversations").where("role = 'user'").select(F.col("text").alias("left"), F.col("text").alias("right"))
+    out = corpus.pair_stats(pairs, corpus.word_frequency(table(spark, sf, "benchmark")))
+    return out.select("side", *(F.round(c, 6).alias(c) for c in ("tokens", "clean", "known")))
+
+
+@_query("SELECT p_partkey, p_name AS name, p_type AS category, CASE WHEN p_size > 20 THEN lower(p_brand) ELSE '' END AS keywords FROM part WHERE lower(p_name) <> lower(p_type)")
+def example_rows(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("category"), "p_size", "p_brand")
+    keywords = part.where("p_size > 20").select("p_partkey", F.lower("p_brand").alias("keywords"))
+    return layouts.examples(part.where(T.differs(F.col("name"), F.col("category"))), keywords, "p_partkey", "name", "category")
+
+
+@_query("""SELECT p_partkey::VARCHAR AS file, 'mac avg' AS measure, p_size / 100 AS p, 0.5::DOUBLE AS r, 0.25::DOUBLE AS f1 FROM part UNION ALL SELECT p_partkey::VARCHAR, 'accuracy', p_size / 50, p_size / 50, p_size / 50 FROM part""")
+def score_file_lines(spark, sf):
+    number = lambda d: (F.col("p_size") / d).cast("string")
+    lines = F.array(F.concat(F.lit("mac avg, "), number(100), F.lit(", 0.5, 0.25")), F.concat(F.lit("accuracy="), number(50)), F.lit("other, 1"))
+    return scoring.score_lines(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("file"), F.explode(lines).alias("value")))

@@ -103,6 +103,12 @@ def frequencies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.try_element_at("p", F.lit(1)).try_cast("long").alias("freq"), F.try_element_at("p", F.lit(2)).alias("word")).where("word IS NOT NULL")
 
 
+def corpus_words(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, words of text files: lower-case tokens of each line that has any."""
+    rows = quad_lines(spark, path).select("file", "line_no", F.filter(F.split(F.lower("value"), r"\s+"), lambda w: w != "").alias("words"))
+    return rows.where(F.size("words") > 0)
+
+
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
     """word, vector of a text file with a word and its numbers per line; a head line of two numbers is left out."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("p")).where(F.size("p") > 2)

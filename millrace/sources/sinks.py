@@ -73,8 +73,10 @@ def per_cluster(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("cluster_id").csv(path)
 
 
-def compact(spark, path: str, out: str, files: int) -> None:
-    spark.read.parquet(path).coalesce(files).write.parquet(out)
+def compact(spark, path: str, out: str, file_bytes: int = 256 << 20) -> None:
+    """Writes a Parquet table anew in files of about file_bytes each, as many as its size asks for."""
+    total = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    spark.read.parquet(path).repartition(max(1, -(-total // file_bytes))).write.parquet(out)
 
 
 def upsert(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import entities, gold, learning, retrieval, scoring, vectors
 from millrace.plans import experiment
 from millrace.plans.queries import ORACLE_SQL, QUERIES
-from millrace.sources import readers, sinks
+from millrace.sources import readers, sinks, tables
 from millrace.streaming import ingest
 from tests.conftest import DATA
 
@@ -113,6 +113,69 @@ def test_experiment(spark, tmp_path):
     assert learning.predict(str(tmp_path / "m"), learning.word_columns(rows, [("Name", None)])).where("pred <> lvl1").count() == 0
 
 
+def test_unseen_classes_count(spark):
+    """Rows of a class that training lacks are wrong, not left out; rows without a class teach nothing; the bound on classes is an error."""
+    rows = spark.createDataFrame([(i, ("red kettle", "oak table", "silk scarf")[i % 3], ("kitchen", "furniture", "fashion")[i % 3] if i < 58 else None) for i in range(60)], "id long, Name string, lvl1 string")
+    train, test = rows.where("lvl1 IS NULL OR lvl1 <> 'fashion'"), rows.where("id < 30")
+    words = lambda df: learning.word_columns(df, [("Name", None)])
+    for name in ("lr", "nb", "svm", "rf"):
+        got = {r.line: r for r in learning.holdout_scores(words(train), words(test), name, "lvl1", learning.hashed()).collect()}
+        assert got["accuracy"].p == pytest.approx(2 / 3, abs=1e-6) and got["accuracy"].support == 30
+        assert (got["fashion"].r, got["fashion"].support) == (0, 10)
+    with pytest.raises(ValueError):
+        learning.fit(words(rows), "lr", "lvl1", learning.hashed(), most_labels=2)
+    alone = learning.fit(words(rows.where("lvl1 = 'fashion'")), "nb", "lvl1", learning.hashed()).transform(words(test))
+    assert {r.pred for r in alone.collect()} == {"fashion"}
+
+
+def test_experiment_of_sub_words_and_levels(spark):
+    rows = spark.createDataFrame([(i, f"{'kettles' if i % 2 else 'tables'} {i}x", "kitchen" if i % 2 else "furniture", "a" if i % 4 else "b") for i in range(40)], "id long, Name string, lvl1 string, lvl2 string")
+    settings = {"class_fieldname": "lvl1", "text_fieldnames": "Name", "algorithm": "fasttext", "n_fold": "2", "key": "id"}
+    test = spark.createDataFrame([(1, "kettle", "kitchen", "a"), (2, "stable", "furniture", "b")], rows.schema)
+    got = {(r.level, r.line): r for r in experiment.run_levels(settings, ["lvl1", "lvl2"], rows, test).collect()}
+    assert got["lvl1", "accuracy"].p == 1 and got["lvl2", "accuracy"].support == 2
+    terms = rows.limit(1).select(learning.subword_terms(F.split(F.lit("ab cd"), " "), 3, 4, 2).alias("t")).first().t
+    assert terms == ["ab", "cd", "ab cd", "<ab", "ab>", "<ab>", "<cd", "cd>", "<cd>"]
+
+
+def test_places(spark):
+    """Numbers along an order, whole and within labels, one of which has most rows, with nulls and equals."""
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "b" if i % 11 == 0 else "a", i * 7 % 400) for i in range(400)], "id long, label string, at long").repartition(5)
+    assert {r.at: r.place for r in tables.placed(rows, ["at"]).collect()} == {i: i for i in range(400)}
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: -r.at):
+        want.setdefault(r.label, []).append(r.id)
+    got = {(r.label, r.nth): r.id for r in tables.placed(rows, [F.desc("at")], ["label"], "nth").collect()}
+    assert got == {(k, n): i for k, ids in want.items() for n, i in enumerate(ids)}
+    assert tables.placed(rows.limit(0), ["at"]).count() == 0
+    assert {(r.label, r.n) for r in tables.sized(rows, "label", "n").collect()} == {(k, len(ids)) for k, ids in want.items()}
+
+
+def test_quad_lines_of_every_form(spark):
+    lines = ['<a> <p> "x "y" z"@en <http://h/1> .', '<a> <p> "no tag" http://h/2 .', "<a> <p> <o> <http://h/3> .", '_:b <p> "\x01 odd" <http://h/4> <more> .', "<a> <p> <o>", '<a> <p> "open', '<a> <p> "t"^^<int> <http://h/5>']
+    frame = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, line_no long, value string")
+    got = [(r.s, r.p, r.o, r.tag, r.source, r.literal) for r in entities.parse_quads(frame).orderBy("line_no").collect()]
+    assert got == [
+        ("a", "p", 'x "y" z', "@en", "http://h/1", True),
+        ("a", "p", "no tag", "", "http://h/2", True),
+        ("a", "p", "o", "", "http://h/3", False),
+        ("_:b", "p", "\x01 odd", "", "http://h/4", True),
+        ("a", "p", "t", "^^<int>", "http://h/5", True),
+    ]
+
+
+def test_compact_and_corpus_words(spark, tmp_path):
+    spark.range(1000).repartition(7).write.parquet(str(tmp_path / "p"))
+    sinks.compact(spark, str(tmp_path / "p"), str(tmp_path / "one"))
+    sinks.compact(spark, str(tmp_path / "p"), str(tmp_path / "more"), 3000)
+    files = lambda name: len(list((tmp_path / name).glob("*.parquet")))
+    assert files("one") == 1 and files("more") > 2 and spark.read.parquet(str(tmp_path / "more")).count() == 1000
+    (tmp_path / "t.txt").write_text("The Red  kettle\n\n and more\n")
+    assert [(r.line_no, r.words) for r in readers.corpus_words(spark, str(tmp_path / "t.txt")).orderBy("line_no").collect()] == [(1, ["the", "red", "kettle"]), (3, ["and", "more"])]
+    sentences = readers.corpus_words(spark, str(tmp_path / "t.txt"))
+    assert {r.word for r in learning.word_vectors(sentences, size=4, least=1).collect()} == {"the", "red", "kettle", "and", "more"}
+
+
 def test_hits_beyond_copies_and_short_texts(spark, tmp_path):
     """30 copies, 30 texts like the item itself and 30 short texts are no reason to miss what ranks after them."""
     item = "red kettle"

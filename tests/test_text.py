@@ -32,6 +32,10 @@ CASES = [
     (T.mask_numbers, "costs 15.6 or 7", "costs NUMBER or NUMBER"),
     (T.breadcrumb, "Home // Garden // Tools", "Home > Garden > Tools"),
     (T.breadcrumb, "http://x", ""),
+    (lambda c: F.concat_ws("|", *T.letternumbers(c)), "x200, and 4GB 3pcs. plain 12.5", "LETTERNUMBER, and LETTERNUMBER LETTERNUMBER. plain 12.5|3"),
+    (lambda c: F.concat_ws("|", *T.letternumbers(c)), "none", "none|0"),
+    (T.mt_short_name, "Red-Kettle X200 12 1.7l", "red kettle LETTERNUMBER NUMBER NUMBER LETTERNUMBER"),
+    (T.strip_accents, "Việt Nam", "Viet Nam"),
     (T.breadcrumb, "A » B", "A > B"),
     (T.category, "a%20b<br>\tc", "a b > c"),
     (T.parent_category, "Home > Tools", "Home"),
