@@ -11,7 +11,7 @@ from millrace.functions import text as T
 from millrace.functions.constants import FOREIGN_SUFFIXES, HOST_SUFFIXES, NUMBER, STOP_WORDS
 from millrace.operators import corpus, entities, gold, retrieval, scoring, vectors
 from millrace.sources import sinks
-from millrace.sources.tables import written
+from millrace.sources.tables import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,7 +28,7 @@ def _query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 #: The letter-digit pattern without look-around, for engines that have none.
@@ -402,7 +402,7 @@ def bm25_topk(spark, sf):
     return _hits(spark, sf)
 
 
-@_query(f"""WITH {_INDEX}, h AS (SELECT r.item_id, rank, d.text FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 20 AND length(d.text) >= 20 AND lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))),
+@_query(f"""WITH {_INDEX}, h AS (SELECT r.item_id, rank, d.text FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE length(d.text) >= 20 AND lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))),
         f AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY rank) AS again FROM h), c AS (SELECT item_id, rank, text, len(string_split(text, '.')) AS s FROM f WHERE again = 1),
         t AS (SELECT *, coalesce(sum(s) OVER w, 0) AS had, count(*) OVER w AS taken FROM c WINDOW w AS (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT item_id, md5(string_agg(text, ' ' ORDER BY rank)) AS expanded, count(*) AS hits FROM t WHERE had < 40 AND taken < 5 GROUP BY item_id""")
@@ -418,7 +418,7 @@ def desc_expander(spark, sf):
     return retrieval.expand_descriptions(hits, "item_id", "name", "hit_name", "text", 40, 5).withColumn("expanded", F.md5("expanded"))
 
 
-@_query(f"""WITH {_INDEX}, h AS (SELECT r.item_id, r.doc_id, rank FROM r JOIN documents d USING (doc_id) WHERE rank <= 20 AND len(string_split_regex(d.text, '\\s+')) >= 50 AND length(d.text) > 20),
+@_query(f"""WITH {_INDEX}, h AS (SELECT r.item_id, r.doc_id, rank FROM r JOIN documents d USING (doc_id) WHERE len(string_split_regex(d.text, '\\s+')) >= 50 AND length(d.text) > 20),
         n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS "at", count(*) OVER (PARTITION BY item_id) AS a FROM h)
         SELECT item_id, doc_id, prefix, "at" FROM n, (VALUES (1), (5), (10)) v(prefix) WHERE "at" <= prefix AND a >= prefix""")
 def nested_prefix_corpus(spark, sf):
