@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.connected import components
+from millrace.llm.connected import components, unite
 from millrace.llm.shared import discard, pieces, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -90,19 +90,6 @@ def class_of(elements: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Brings the ends of the links (a, b) under one label, the smallest; label[label[i]] is label[i] before and after."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(nearer := label[label], label):
-            label[:] = nearer
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 

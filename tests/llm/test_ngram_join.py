@@ -123,7 +123,9 @@ def test_join_of_awkward_rows(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [10_000, 3, 0])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(connected, "LAST_EDGES", last)
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 60), (60, 55), (70, 70), (60, 50)]
     got = {r.node: r.root for r in connected.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 55: 50, 60: 50}
