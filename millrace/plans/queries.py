@@ -66,7 +66,7 @@ def _quads(spark, sf):
     page = F.concat(F.lit("http://shop.example.com/p/"), F.col("p_partkey"))
     quad = lambda n, p, o, tag="": F.struct((F.col("p_partkey") * 10 + n).alias("line_no"), F.concat(F.lit(f"_:n <{p}> "), o, F.lit(f"{tag} <"), page, F.lit("> .")).alias("value"))
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), least=1 << 16)  # few bytes, but much to parse
     quads = [
         quad(1, "http://schema.org/Product/name", text(F.col("p_name")), "@en"),
         quad(2, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", F.lit("<http://schema.org/Product>")),

@@ -28,12 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(rows: DataFrame, least: int = 1 << 20, per_core: int = 8 << 20) -> DataFrame:
     """A table as it is read, but a small one of few row groups dealt to all cores.
 
-    A row group is read by one task, so a file of one keeps one core busy. Tables of over per_core bytes for each core have
-    splits enough and are not touched; below that the shuffle is of bounded size.
+    A row group is read by one task, so a file of one keeps one core busy. Tables of many files, or of over per_core bytes
+    for each core, have splits enough and are not touched; below that the shuffle is of bounded size.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(2 * cores) if least < size < per_core * cores else rows
+    cores, plan = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    small = least < size < per_core * cores and plan.toRdd().getNumPartitions() < 2 * cores
+    return rows.repartition(2 * cores) if small else rows
 
 
 def placed(rows: DataFrame, order: list[str | Column], within: list[str] | None = None, out: str = "place") -> DataFrame:
