@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chat, exact_dedup, flac, langid, licenses, line_dedup, mixing, ngram_join, pieces, warc
 from millrace.llm.shared import shared_dir
+from millrace.sources.tables import spread
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
