@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.llm import langid, line_dedup, mixing, ngram_join, pieces
 from millrace.llm.queries import PIECES_MODEL
 from millrace.llm.shared import written
+from millrace.sources.tables import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
