@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.constants import EMPTY_NAMES, FOREIGN_SUFFIXES, HOST_SUFFIXES, LETTERNUMBER, MORE_STOP_WORDS, NUMBER, PAGE_WORDS, STOP_WORDS
+from millrace.functions.constants import (
+    BREADCRUMB_SEPARATORS,
+    CATEGORY_PATH,
+    CATEGORY_SIGNS,
+    EMPTY_HEAD,
+    EMPTY_NAMES,
+    FOREIGN_SUFFIXES,
+    HOST_SUFFIXES,
+    LETTERNUMBER,
+    MORE_STOP_WORDS,
+    NO_CATEGORY,
+    NUMBER,
+    OFFER_OR_PRICE,
+    PAGE_WORDS,
+    STOP_WORDS,
+)
 
 
 def collapse(c: Column) -> Column:
@@ -283,34 +298,30 @@ def percent_decode(c: Column) -> Column:
     return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-_PATH = r" [>/|]+[ >]*"
-
-
 def breadcrumb(c: Column) -> Column:
     """Breadcrumbs with " > " for the first separator that occurs; addresses and comments are empty."""
     text = F.trim(F.coalesce(percent_decode(c), c))
-    steps = [("//", r"\s*//\s*"), (" ?", r"\s*\?\s*"), ("::", r"\s*::\s*"), (":", r"\s*:\s*"), ("›", r"\s*›\s*"), ("»", r"\s*»\s*"), ("\\|", r"\s*[\\|]+\s*"), ("|", r"\s*\|\s*"), ("/ ", r"\s*/\s+"), ("  ", r" \s+")]
     out = F.when(F.lit(False), text)
-    for sign, pattern in steps:
+    for sign, pattern in BREADCRUMB_SEPARATORS:
         out = out.when(text.contains(sign), F.regexp_replace(text, pattern, " > "))
     out = F.regexp_replace(out.otherwise(text), r"\s+>\s+>\s+", " > ")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), _PATH, " > "))
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), CATEGORY_PATH, " > "))
     return F.when(no_category(c), F.lit("")).otherwise(out)
 
 
 def no_category(c: Column) -> Column:
-    return c.contains("http") | c.contains("node") | c.contains("<!--") | c.contains("-->")
+    return reduce(Column.__or__, (c.contains(sign) for sign in NO_CATEGORY))
 
 
 def category(c: Column) -> Column:
     text = F.replace(F.coalesce(percent_decode(c), c), F.lit("<br>"), F.lit(""))
-    for sign in ("\t", " › ", "\\|"):
+    for sign in CATEGORY_SIGNS:
         text = F.replace(text, F.lit(sign), F.lit(" > "))
-    return F.trim(F.regexp_replace(text, _PATH, " > "))
+    return F.trim(F.regexp_replace(text, CATEGORY_PATH, " > "))
 
 
 def category_parts(c: Column) -> Column:
-    return F.when(c.rlike(_PATH), F.split(c, _PATH)).when(c.rlike(r"[^\s],[^\s]"), F.split(c, ",")).otherwise(F.array(c))
+    return F.when(c.rlike(CATEGORY_PATH), F.split(c, CATEGORY_PATH)).when(c.rlike(r"[^\s],[^\s]"), F.split(c, ",")).otherwise(F.array(c))
 
 
 def category_or_breadcrumb(cat: Column, crumb: Column) -> Column:
@@ -325,11 +336,11 @@ def cleaned_parts(parts: Column) -> Column:
     """Category elements without league or "College" heads, repeated heads and prices."""
     trimmed = F.transform(parts, lambda p: F.trim(p))
     tail = lambda a: F.when(F.size(a) > 1, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    headless = F.when(F.get(trimmed, F.lit(0)).rlike("^(College|[A-Z]{3,6})$"), tail(trimmed)).otherwise(trimmed)
+    headless = F.when(F.get(trimmed, F.lit(0)).rlike(EMPTY_HEAD), tail(trimmed)).otherwise(trimmed)
     head = F.get(headless, F.lit(0))
     again = F.exists(tail(headless), lambda p: p.contains(head))
     freed = F.transform(tail(headless), lambda p: F.when(p == head, p).otherwise(F.trim(F.replace(p, F.concat(head, F.lit(" ")), F.lit("")))))
-    return F.filter(F.when(again, freed).otherwise(headless), lambda p: ~p.rlike(r"Sale|Deals|[$£€]+\s*[0-9]+"))
+    return F.filter(F.when(again, freed).otherwise(headless), lambda p: ~p.rlike(OFFER_OR_PRICE))
 
 
 def label_words(c: Column) -> Column:

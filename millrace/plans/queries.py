@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions.constants import FOREIGN_SUFFIXES, HOST_SUFFIXES, NUMBER, STOP_WORDS
+from millrace.functions.constants import FOREIGN_SUFFIXES, HOST_SUFFIXES, MORE_STOP_WORDS, NUMBER, STOP_WORDS
 from millrace.operators import corpus, entities, gold, retrieval, scoring, vectors
 from millrace.sources import sinks
 from millrace.sources.tables import spread, written
@@ -36,7 +36,8 @@ _LN = "[A-Za-z0-9,.]*(?:[A-Za-z][,.]*[0-9]|[0-9][,.]*[A-Za-z])(?:[A-Za-z0-9,.]*[
 _suffixes = lambda s: "(" + "|".join(x.replace(".", "\\.") for x in s) + ")$"
 _HOST = "nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '')"
 _WORDS = r"string_split(lower(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '[^\pL\pN_]+', ' ', 'g')), ' ')"
-_STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + ")"
+_quoted = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_STOPS, _MORE_STOPS = _quoted(STOP_WORDS), _quoted(MORE_STOP_WORDS)
 
 
 # --- hosts -----------------------------------------------------------------------------------------------------------
@@ -370,7 +371,7 @@ def dictionary_features(spark, sf):
 
 
 @_query(rf"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents),
-        c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN {_STOPS} AND word NOT IN ('http', 'tweet', 'retweet', 'rt', 'twitter', 'https', 'tweets', 'home', 'sale', 'number', 'ff') GROUP BY doc_id, word),
+        c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN {_STOPS} AND word NOT IN {_MORE_STOPS} GROUP BY doc_id, word),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) SELECT doc_id, rank, word, n FROM r WHERE rank <= 5""")
 def keyword_topk(spark, sf):
     return corpus.keywords(table(spark, sf, "documents"), "doc_id")
