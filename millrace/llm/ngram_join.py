@@ -184,44 +184,81 @@ def _close(percent: int, reach: int, rows: int = 1 << 17):
     return run, "a long, b long, loose boolean"
 
 
+def _long(column) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a long sketch, and the sketches, a row for each of the rows."""
+    has = np.array([x is not None for x in column], bool)
+    long = np.zeros((len(has), LONG_BITS // 64), np.uint64)
+    if has.any():
+        long[has] = np.frombuffer(b"".join(x for x in column if x is not None), np.uint64).reshape(-1, LONG_BITS // 64)
+    return has, long
+
+
+def _may_link(percent: int, n, radius, short, has, long, m, radius2, short2, has2, long2) -> np.ndarray:
+    """Whether sizes and sketches of groups allow links with those of others."""
+    most = most_different(n, m, percent) + radius + radius2
+    ok = (n * percent <= m * 100) & (m * percent <= n * 100) & (np.bitwise_count(short ^ short2).sum(-1, dtype=np.int64) <= most)
+    both = ok & has & has2
+    if both.any():
+        pick = lambda x: x[both] if x.ndim > 1 else x
+        ok[both] = np.bitwise_count(pick(long) ^ pick(long2)).sum(-1, dtype=np.int64) <= most[both]
+    return ok
+
+
+def _near_first(percent: int):
+    """Whether each group may link with its part's `rep`, whose columns end in 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                number = lambda c, b=batch: b.column(c).to_numpy(zero_copy_only=False)
+                short = lambda end: np.stack([number(c + end) for c in SKETCH], 1).view(np.uint64)
+                sides = [(number("n" + e), number("radius" + e), short(e), *_long(batch.column("long" + e).to_pylist())) for e in ("", "2")]
+                like = _may_link(percent, *sides[0], *sides[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "part", "rep")), pa.array(like)], names=["group", "part", "rep", "like"])
+
+    return run, "group long, part long, rep long, like boolean"
+
+
 def _near(percent: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """Groups of two blocks (or one) of a chain: a forest over the pairs that their sketches allow."""
-        _, one, two = (int(k) for k in key)
-        frame = frame.sort_values(["n", "group"], kind="stable").reset_index(drop=True)
-        n, radius, at = frame["n"].to_numpy(), frame["radius"].to_numpy(), frame["block"].to_numpy()
+        """Groups of side 0 with those of side 1 (2 is both): a forest over the pairs that sizes and sketches allow."""
+        frame = frame.sort_values("n", kind="stable")
+        names, at = np.unique(frame["group"].to_numpy(), return_inverse=True)
+        n, radius, side = (frame[c].to_numpy() for c in ("n", "radius", "side"))
         short = np.ascontiguousarray(frame[SKETCH].to_numpy(np.int64)).view(np.uint64)
-        has = frame["long"].notna().to_numpy()
-        place = np.cumsum(has) - 1
-        long = np.array([np.frombuffer(x, np.uint64) for x in frame["long"][has]], np.uint64).reshape(int(has.sum()), LONG_BITS // 64)
-        label = np.arange(len(n))
-        for i in range(len(n)):
-            upto = np.searchsorted(n, n[i] * 100 // percent, side="right")
-            j = np.arange(i + 1, upto)
-            if one != two:
-                j = j[at[j] != at[i]]
-            most = most_different(n[i], n[j], percent) + radius[i] + radius[j]
-            near = np.bitwise_count(short[i] ^ short[j]).sum(1, dtype=np.int64) <= most
-            j, most = j[near], most[near]
-            if has[i] and len(j):
-                off = ~has[j]
-                off[has[j]] = np.bitwise_count(long[place[i]] ^ long[place[j[has[j]]]]).sum(1, dtype=np.int64) <= most[has[j]]
-                j = j[off]
-            found = np.unique(np.append(label[j], label[i]))
-            if len(found) > 1:
-                label[np.isin(label, found)] = found[0]
-        ids = frame["group"].to_numpy()
-        moved = label != np.arange(len(n))
-        return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+        has, long = _long(frame["long"])
+        label, right = np.arange(len(names)), np.flatnonzero(side != 0)
+        for i in np.flatnonzero(side != 1):
+            j = right[np.searchsorted(n[right], -(-n[i] * percent // 100)) : np.searchsorted(n[right], n[i] * 100 // percent, side="right")]
+            j = j[label[at[j]] != label[at[i]]]
+            j = j[_may_link(percent, n[j], radius[j], short[j], has[j], long[j], n[i], radius[i], short[i], has[i], long[i])]
+            unite(label, np.full(len(j), at[i]), at[j])
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
 
     return run, "a long, b long"
 
 
-def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
-    """rows (part, id) with their block of its part, once for each pair of blocks (one, two) that needs them."""
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "blocks")
+def _dealt(rows: DataFrame, rest: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (part, members, key, ...) to be compared, with one, two and side.
+
+    Parts of up to `most` members are whole (side 2). Of larger ones those of rest (c, q: key and part), side 0, meet all
+    members, side 1, in blocks of about `most`, each pair of blocks by itself.
+    """
+    columns = [c for c in rows.columns if c not in ("members", "rep")]
+    small = rows.where(F.col("members") <= most).select(*columns, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(2).alias("side"))
+    counts = rest.groupBy("q").agg(F.ceil(F.count("*") / most).cast("int").alias("left")).withColumnRenamed("q", "p")
+    parts = rows.where(F.col("members") > most).join(counts, F.col("part") == F.col("p")).withColumn("right", F.ceil(F.col("members") / most).cast("int"))
+    place = lambda of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    seekers = parts.join(rest, (F.col(key) == F.col("c")) & (F.col("part") == F.col("q"))).select(*columns, place("left").alias("one"), upto("right").alias("two"), F.lit(0).alias("side"))
+    others = parts.select(*columns, upto("left").alias("one"), place("right").alias("two"), F.lit(1).alias("side"))
+    return small.unionByName(seekers).unionByName(others)
+
+
+def _unlike(seen: DataFrame, key: str) -> DataFrame:
+    return seen.where("NOT like").select((F.col(key) + 0).alias("c"), F.col("part").alias("q")).distinct()
 
 
 def _candidates(groups: DataFrame, percent: int, reach: int, block_groups: int) -> DataFrame:
@@ -231,13 +268,18 @@ def _candidates(groups: DataFrame, percent: int, reach: int, block_groups: int)
     close = written(listed.repartition("element").sortWithinPartitions("element", "n", "group").mapInArrow(run, schema), "close")
     firm = close.where("NOT loose").select("a", "b")
     chains = components(close.where("loose").select("a", "b"))
-    sizes = chains.groupBy("root").agg(F.ceil(F.count("*") / block_groups).cast("int").alias("blocks")).select((F.col("root") + 0).alias("p"), "blocks")
-    chained = chains.join(sizes, F.col("root") == F.col("p")).select("node", F.col("root").alias("part"), "blocks")
-    chained = groups.select("group", "n", "radius", "long", *SKETCH).join(chained, F.col("group") == F.col("node")).withColumn("id", F.col("group"))
+    loose = groups.select("group", "n", "radius", "copies", "long", *SKETCH).join(chains, F.col("group") == F.col("node")).withColumnRenamed("root", "part")
+    sizes = loose.groupBy("part").agg(F.count("*").alias("members"), F.max(F.struct("copies", "group"))["group"].alias("rep")).withColumnRenamed("part", "p")
+    loose = written(loose.drop("node", "copies").join(sizes, F.col("part") == F.col("p")).drop("p"), "loose")
+    # as with whole sets: a large chain's groups first with its commonest, what is left with all
+    large = loose.where(F.col("members") > block_groups)
+    first = large.where("group = rep").select((F.col("part") + 0).alias("p"), *(F.col(c).alias(f"{c}2") for c in ("n", "radius", "long", *SKETCH)))
+    compare, columns = _near_first(percent)
+    seen = written(large.join(first, F.col("part") == F.col("p")).mapInArrow(compare, columns), "near_first")
     run, schema = _near(percent)
-    dealt = _in_blocks(chained, F.col("blocks")).select("part", "one", "two", "block", "group", "n", "radius", "long", *SKETCH)
-    label = components(firm.unionByName(dealt.groupBy("part", "one", "two").applyInPandas(run, schema)))
-    discard(close, chains)
+    near = _dealt(loose, _unlike(seen, "group"), "group", block_groups).groupBy("part", "one", "two").applyInPandas(run, schema)
+    label = components(firm.unionByName(near).unionByName(seen.where("like").select(F.col("group").alias("a"), F.col("rep").alias("b"))))
+    discard(close, chains, loose, seen)
     return label
 
 
@@ -310,21 +352,12 @@ def _links(wanted: DataFrame, rows: DataFrame, words: int, percent: int, most: i
     # texts are dealt by id whether few of them are wanted or many: no list of documents goes to every task
     whole = rows.join(wanted.hint("shuffle_hash"), F.col("low") == F.col("doc_id")).select("class", "part", "members", "rep", "text").mapInArrow(run, schema)
     whole = written(whole, "whole")
-    run, schema = _linked(percent)
-    small = whole.where(F.col("members") <= most).select("part", F.lit(0).alias("one"), F.lit(0).alias("two"), "class", "elements", F.lit(2).alias("side"))
     large = whole.where(F.col("members") > most)
     first = large.where("class = rep").dropDuplicates(["part"]).select((F.col("part") + 0).alias("p"), F.col("elements").alias("first"))
     compare, columns = _like_first(percent)
-    seen = written(large.join(first, F.col("part") == F.col("p")).select("class", "part", "rep", "elements", "first").mapInArrow(compare, columns), "seen")
-    rest = seen.where("NOT like").select((F.col("class") + 0).alias("c"), F.col("part").alias("q")).distinct()
-    counts = rest.groupBy("q").agg(F.ceil(F.count("*") / most).cast("int").alias("left"))
-    parts = large.join(counts, F.col("part") == F.col("q")).drop("q").withColumn("right", F.ceil(F.col("members") / most).cast("int"))
-    place = lambda of: F.pmod(F.xxhash64("class"), of).cast("int")
-    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    seekers = parts.join(rest, (F.col("class") == F.col("c")) & (F.col("part") == F.col("q"))).select("part", place(F.col("left")).alias("one"), upto("right").alias("two"), "class", "elements", F.lit(0).alias("side"))
-    others = parts.select("part", upto("left").alias("one"), place(F.col("right")).alias("two"), "class", "elements", F.lit(1).alias("side"))
-    dealt = small.unionByName(seekers).unionByName(others)
-    found = dealt.groupBy("part", "one", "two").applyInPandas(run, schema)
+    seen = written(large.join(first, F.col("part") == F.col("p")).select("class", "part", "rep", "elements", "first").mapInArrow(compare, columns), "like_first")
+    run, schema = _linked(percent)
+    found = _dealt(whole, _unlike(seen, "class"), "class", most).groupBy("part", "one", "two").applyInPandas(run, schema)
     links = written(found.unionByName(seen.where("like").select(F.col("class").alias("a"), F.col("rep").alias("b"))), "links")
     discard(whole, seen)
     return links
@@ -355,7 +388,7 @@ def _components(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str
     # a group's sketch has the bits that all its members have; from it to a member's own it is `radius` bits at most
     radius = sum((F.bit_count(F.bit_or(c).bitwiseXOR(F.bit_and(c))) for c in SKETCH), F.lit(0)).cast("long")
     common = [F.bit_and(c).alias(c) for c in SKETCH]
-    groups = classes_now.groupBy("g", "h").agg(F.min("class").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), radius.alias("radius"), F.when(F.count("*") == 1, F.first("long")).alias("long"), *common)
+    groups = classes_now.groupBy("g", "h").agg(F.min("class").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), radius.alias("radius"), F.when(F.count("*") == 1, F.first("long")).alias("long"), F.count("*").alias("copies"), *common)
     groups = written(groups, "groups")
     label = _candidates(groups, percent, reach, block_groups)
 
