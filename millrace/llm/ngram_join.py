@@ -41,7 +41,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of texts that are hashed at a time; a longer text is by itself and needs some 50 bytes for each of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,27 +240,25 @@ def _near(percent: int):
     return run, "a long, b long"
 
 
-def _dealt(rows: DataFrame, rest: DataFrame, key: str, most: int) -> DataFrame:
-    """rows (part, members, key, ...) to be compared, with one, two and side.
+def _dealt(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """rows (part, blocks, key, ...) to be compared, with one, two and side.
 
-    Parts of up to `most` members are whole (side 2). Of larger ones those of rest (c, q: key and part), side 0, meet all
-    members, side 1, in blocks of about `most`, each pair of blocks by itself.
+    Parts of one block are whole (side 2). Of larger ones those that seen says are not like the first, side 0, meet all
+    members, side 1, in blocks, each pair of blocks by itself; both sides have blocks of about the same size.
     """
-    columns = [c for c in rows.columns if c not in ("members", "rep")]
-    small = rows.where(F.col("members") <= most).select(*columns, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(2).alias("side"))
-    counts = rest.groupBy("q").agg(F.ceil(F.count("*") / most).cast("int").alias("left")).withColumnRenamed("q", "p")
-    parts = rows.where(F.col("members") > most).join(counts, F.col("part") == F.col("p")).withColumn("right", F.ceil(F.col("members") / most).cast("int"))
+    columns = [c for c in rows.columns if c not in ("blocks", "members", "rep")]
+    small = rows.where("blocks = 1").select(*columns, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(2).alias("side"))
+    rest = seen.where("NOT like").select((F.col(key) + 0).alias("c"), F.col("part").alias("q")).distinct()
+    counts = rest.groupBy("q").agg(F.count("*").alias("rest")).withColumnRenamed("q", "p")
+    parts = rows.where("blocks > 1").join(counts, F.col("part") == F.col("p"))
+    parts = parts.withColumn("left", F.ceil(F.col("rest") * F.col("blocks") / F.col("members")).cast("int"))
     place = lambda of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
     upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    seekers = parts.join(rest, (F.col(key) == F.col("c")) & (F.col("part") == F.col("q"))).select(*columns, place("left").alias("one"), upto("right").alias("two"), F.lit(0).alias("side"))
-    others = parts.select(*columns, upto("left").alias("one"), place("right").alias("two"), F.lit(1).alias("side"))
+    seekers = parts.join(rest, (F.col(key) == F.col("c")) & (F.col("part") == F.col("q"))).select(*columns, place("left").alias("one"), upto("blocks").alias("two"), F.lit(0).alias("side"))
+    others = parts.select(*columns, upto("left").alias("one"), place("blocks").alias("two"), F.lit(1).alias("side"))
     return small.unionByName(seekers).unionByName(others)
 
 
-def _unlike(seen: DataFrame, key: str) -> DataFrame:
-    return seen.where("NOT like").select((F.col(key) + 0).alias("c"), F.col("part").alias("q")).distinct()
-
-
 def _candidates(groups: DataFrame, percent: int, reach: int, block_groups: int) -> DataFrame:
     """group, root of the groups (group, n, prefix, radius, sketches) that may link with another."""
     listed = groups.select("group", "n", "radius", *SKETCH, F.explode("prefix").alias("element"))
@@ -269,15 +267,15 @@ def _candidates(groups: DataFrame, percent: int, reach: int, block_groups: int)
     firm = close.where("NOT loose").select("a", "b")
     chains = components(close.where("loose").select("a", "b"))
     loose = groups.select("group", "n", "radius", "copies", "long", *SKETCH).join(chains, F.col("group") == F.col("node")).withColumnRenamed("root", "part")
-    sizes = loose.groupBy("part").agg(F.count("*").alias("members"), F.max(F.struct("copies", "group"))["group"].alias("rep")).withColumnRenamed("part", "p")
+    sizes = loose.groupBy("part").agg(F.count("*").alias("members"), F.ceil(F.count("*") / block_groups).cast("int").alias("blocks"), F.max(F.struct("copies", "group"))["group"].alias("rep")).withColumnRenamed("part", "p")
     loose = written(loose.drop("node", "copies").join(sizes, F.col("part") == F.col("p")).drop("p"), "loose")
     # as with whole sets: a large chain's groups first with its commonest, what is left with all
-    large = loose.where(F.col("members") > block_groups)
+    large = loose.where("blocks > 1")
     first = large.where("group = rep").select((F.col("part") + 0).alias("p"), *(F.col(c).alias(f"{c}2") for c in ("n", "radius", "long", *SKETCH)))
     compare, columns = _near_first(percent)
     seen = written(large.join(first, F.col("part") == F.col("p")).mapInArrow(compare, columns), "near_first")
     run, schema = _near(percent)
-    near = _dealt(loose, _unlike(seen, "group"), "group", block_groups).groupBy("part", "one", "two").applyInPandas(run, schema)
+    near = _dealt(loose, seen, "group").groupBy("part", "one", "two").applyInPandas(run, schema)
     label = components(firm.unionByName(near).unionByName(seen.where("like").select(F.col("group").alias("a"), F.col("rep").alias("b"))))
     discard(close, chains, loose, seen)
     return label
@@ -288,10 +286,10 @@ def _whole_sets(words: int):
         for batch in pieces(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             mine = [class_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]
-            rest = [batch.column(c) for c in ("class", "part", "members", "rep")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "part", "members", "rep", "elements"]).filter(pa.array(mine))
+            rest = ["class", "part", "members", "blocks", "rep"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*rest, "elements"]).filter(pa.array(mine))
 
-    return run, "class long, part long, members long, rep long, elements binary"
+    return run, "class long, part long, members long, blocks int, rep long, elements binary"
 
 
 def _like_first(percent: int):
@@ -342,28 +340,28 @@ def _linked(percent: int):
     return run, "a long, b long"
 
 
-def _links(wanted: DataFrame, rows: DataFrame, words: int, percent: int, most: int) -> DataFrame:
-    """Links (a, b) of the classes of wanted (class, low, part, members, rep), enough for their components.
+def _links(wanted: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of the classes of wanted (class, low, part, members, blocks, rep), enough for their components.
 
-    Components of up to `most` members are a task each. Of larger ones, members that link with `rep` are linked by that,
-    and the others are compared with all in blocks of `most`.
+    Components of one block are a task each. Of larger ones, members that link with `rep` are linked by that, and the
+    others are compared with all in blocks.
     """
     run, schema = _whole_sets(words)
     # texts are dealt by id whether few of them are wanted or many: no list of documents goes to every task
-    whole = rows.join(wanted.hint("shuffle_hash"), F.col("low") == F.col("doc_id")).select("class", "part", "members", "rep", "text").mapInArrow(run, schema)
+    whole = rows.join(wanted.hint("shuffle_hash"), F.col("low") == F.col("doc_id")).select("class", "part", "members", "blocks", "rep", "text").mapInArrow(run, schema)
     whole = written(whole, "whole")
-    large = whole.where(F.col("members") > most)
+    large = whole.where("blocks > 1")
     first = large.where("class = rep").dropDuplicates(["part"]).select((F.col("part") + 0).alias("p"), F.col("elements").alias("first"))
     compare, columns = _like_first(percent)
     seen = written(large.join(first, F.col("part") == F.col("p")).select("class", "part", "rep", "elements", "first").mapInArrow(compare, columns), "like_first")
     run, schema = _linked(percent)
-    found = _dealt(whole, _unlike(seen, "class"), "class", most).groupBy("part", "one", "two").applyInPandas(run, schema)
+    found = _dealt(whole, seen, "class").groupBy("part", "one", "two").applyInPandas(run, schema)
     links = written(found.unionByName(seen.where("like").select(F.col("class").alias("a"), F.col("rep").alias("b"))), "links")
     discard(whole, seen)
     return links
 
 
-def _components(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_members: int = 500, block_groups: int = 8000, reach: int = 512) -> DataFrame:
+def _components(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", window: float = 1.3, block_members: int = 500, block_elements: int = 500_000, block_groups: int = 8000, reach: int = 512) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, component_id of every row; window, block_* and reach deal the work and change no result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     run, schema = _windows(words, percent, min(1.0, window * (100 - percent) / 100))
@@ -393,12 +391,15 @@ def _components(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str
     label = _candidates(groups, percent, reach, block_groups)
 
     parts = groups.join(label, F.col("group") == F.col("node"), "left").select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.coalesce("root", "group").alias("part"))
-    members = classes_now.select("class", "g", "h").join(parts, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
-    members = members.select("part", F.col("class").alias("c")).join(classes, F.col("class") == F.col("c"))
-    members = written(members.select("part", "class", "low", "copies"), "members")
-    sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.max(F.struct("copies", "class"))["class"].alias("rep")).where("members > 1")
-    wanted = written(members.join(sizes.select((F.col("part") + 0).alias("p"), "members", "rep"), F.col("part") == F.col("p")).drop("p", "copies"), "wanted")
-    links = _links(wanted, rows, words, percent, block_members)
+    members = classes_now.select("class", "n", "g", "h").join(parts, (F.col("g") == F.col("g2")) & (F.col("h") == F.col("h2")))
+    members = members.select("part", "n", F.col("class").alias("c")).join(classes, F.col("class") == F.col("c"))
+    members = written(members.select("part", "n", "class", "low", "copies"), "members")
+    sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.max(F.struct("copies", "class"))["class"].alias("rep")).where("members > 1")
+    # a block has block_members members and block_elements elements, about; at least one member
+    blocks = F.greatest(F.ceil(F.col("members") / block_members), F.ceil(F.col("elements") / block_elements))
+    sizes = sizes.select((F.col("part") + 0).alias("p"), "members", F.least(blocks, "members").cast("int").alias("blocks"), "rep")
+    wanted = written(members.join(sizes, F.col("part") == F.col("p")).drop("p", "n", "copies"), "wanted")
+    links = _links(wanted, rows, words, percent)
     discard(label)
     label = components(links)
     # the smallest id of each component, for its classes

@@ -43,8 +43,8 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about `most` bytes in column `text` (one row at least): bounds memory."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about `most` bytes in column `text` (one row at least): bounds memory. At the end an idle worker gives back what it does not use."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         begin, total = 0, 0
@@ -55,3 +55,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()

@@ -72,6 +72,7 @@ def varied(seed, n=160):
     (2, {"words": 5, "percent": 80}),
     (3, {"words": 3, "percent": 90, "reach": 2, "block_groups": 7, "block_members": 6}),
     (4, {"words": 2, "percent": 60, "reach": 1, "block_members": 3}),
+    (5, {"words": 3, "percent": 90, "block_elements": 900, "block_groups": 5, "reach": 3}),
 ])
 def test_join_equals_brute_force(spark, seed, options):
     rows = varied(seed)
