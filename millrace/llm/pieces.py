@@ -33,7 +33,7 @@ MARK = "▁"
 #: Sizes of pieces of several characters that may end where a word has so many.
 _SHORT, _OTHERS = ((), (), (2,), (3, 2)), (3, 2)
 #: Words, and token pairs, that a worker remembers within a partition, some 200 bytes each; twice as many words at most.
-REMEMBER = 40_000
+REMEMBER = 80_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", kind: str = "fil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(proto.value)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2 << 20):
             coded = known.encode(batch.column(text_col).to_pylist())
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
