@@ -392,12 +392,21 @@ def decode_media(media: list[bytes]) -> list[bytes]:
     return [b"".join(b for _, b in blocks) for blocks in decode_blocks(media)]
 
 
+def seeks(wanted: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """For each (file, sample, count) the samples from there on, by the seek tables: only the stretches that hold them are read; fewer at the end."""
+    parts, each = [], []
+    for media, sample, count in wanted:
+        samples, _, points = _info(media)
+        ends = [*points[1:], (samples, len(media))]
+        own = [(media, x[1], y[1], x[0], y[0] - x[0]) for x, y in zip(points, ends, strict=True) if x[0] < sample + count and y[0] > sample]
+        parts += own
+        each.append((len(own), sample - own[0][3] if own else 0, count))
+    pcm = iter(_stretches(parts) if parts else ())
+    return [b"".join(next(pcm) for _ in range(n))[begin:][:count] for n, begin, count in each]
+
+
 def seek(media: bytes, sample: int, count: int) -> bytes:
-    """`count` samples from `sample` on, by the seek table: only the stretches that hold them are read; fewer at the end."""
-    samples, _, points = _info(media)
-    ends = [*points[1:], (samples, len(media))]
-    wanted = [(media, x[1], y[1], x[0], y[0] - x[0]) for x, y in zip(points, ends, strict=True) if x[0] < sample + count and y[0] > sample]
-    return b"".join(_stretches(wanted))[sample - wanted[0][3] :][:count] if wanted else b""
+    return seeks([(media, sample, count)])[0]
 
 
 def padded(content: bytes) -> bytes:
@@ -438,16 +447,20 @@ def from_flac(rows: DataFrame, media_col: str = "media", keep_pcm: bool = True)
     others = [f for f in rows.schema.fields if f.name != media_col and f.name not in made.names]
     arrow = rows.sparkSession.createDataFrame([], made).toArrow().schema
 
-    def values(m: bytes, blocks: list[tuple[int, bytes]]) -> tuple:
-        p, last = b"".join(b for _, b in blocks), blocks[-1][0]
-        found = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(p), len(blocks), last, zlib.crc32(seek(m, last, BLOCK * SEEK_EVERY) if last else blocks[-1][1]))
+    def values(m: bytes, blocks: list[tuple[int, bytes]], end: bytes) -> tuple:
+        p = b"".join(b for _, b in blocks)
+        found = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(p), len(blocks), blocks[-1][0], zlib.crc32(end))
         return found + ([{"sample_offset": at, "pcm": b} for at, b in blocks],) * keep_pcm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, media_col, 1 << 20):
             media = batch.column(media_col).to_pylist()
-            decoded = iter(decode_blocks([m for m in media if m is not None]))
-            found = [(None,) * len(made) if m is None else values(m, next(decoded)) for m in media]
+            there = [m for m in media if m is not None]
+            decoded = decode_blocks(there)
+            # a file of one block has no other point to seek to
+            ends = iter(seeks([(m, blocks[-1][0], BLOCK * SEEK_EVERY) for m, blocks in zip(there, decoded, strict=True) if len(blocks) > 1]))
+            rows = iter([values(m, blocks, next(ends) if len(blocks) > 1 else blocks[0][1]) for m, blocks in zip(there, decoded, strict=True)])
+            found = [(None,) * len(made) if m is None else next(rows) for m in media]
             columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *columns], names=[*(f.name for f in others), *made.names])
 
