@@ -35,9 +35,15 @@ def subword_terms(words: Column, low: int = 4, high: int = 10, grams: int = 3) -
     """Word n-grams of one to `grams` words, and the words' beginnings, middles and ends of low to high characters, marked by < and >."""
     none = F.array().cast("array<string>")
     span = lambda size, first, make: F.when(size >= first, F.transform(F.sequence(F.lit(1), size - first + 1), make)).otherwise(none)
-    runs = [span(F.size(words), n, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, grams + 1)]
-    parts = F.flatten(F.transform(words, lambda w: F.concat(*(span(F.length(w) + 2, n, lambda i, n=n, w=w: F.substring(F.concat(F.lit("<"), w, F.lit(">")), i, F.lit(n))) for n in range(low, high + 1)))))
-    return F.concat(*runs, parts)
+
+    def gram(n: int) -> Column:
+        return span(F.size(words), n, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def part(word: Column, n: int) -> Column:
+        return span(F.length(word) + 2, n, lambda i: F.substring(F.concat(F.lit("<"), word, F.lit(">")), i, F.lit(n)))
+
+    parts = F.flatten(F.transform(words, lambda w: F.concat(*(part(w, n) for n in range(low, high + 1)))))
+    return F.concat(*(gram(n) for n in range(1, grams + 1)), parts)
 
 
 def classifier(name: str, features: str = "features", classes: int = 2, width: int = 0):

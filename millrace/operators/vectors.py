@@ -38,9 +38,12 @@ def looked_up(rows: DataFrame, vectors: DataFrame, key: str, size: int) -> DataF
 
 def skip_pairs(words: Column, reach: int = 2) -> Column:
     """Pairs of words at most `reach` apart, as one term each."""
-    at = lambda i, j: F.get(words, i + j)
-    pairs = [F.transform(F.when(F.size(words) > j, F.sequence(F.lit(0), F.size(words) - 1 - j)).otherwise(F.array().cast("array<int>")), lambda i, j=j: F.concat(at(i, F.lit(0)), F.lit(" "), at(i, F.lit(j)))) for j in range(1, reach + 1)]
-    return F.flatten(F.array(*pairs))
+
+    def apart(j: int) -> Column:
+        begins = F.when(F.size(words) > j, F.sequence(F.lit(0), F.size(words) - 1 - j)).otherwise(F.array().cast("array<int>"))
+        return F.transform(begins, lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + j)))
+
+    return F.flatten(F.array(*map(apart, range(1, reach + 1))))
 
 
 def embed_text(words: DataFrame, vectors: DataFrame, key: str, how: str = "sum", weight: str | None = None) -> DataFrame:

@@ -472,12 +472,11 @@ def tfidf_nearest_path(spark, sf):
     return vectors.sparse_nearest(weigh(docs, "doc_id"), weigh(items, "item_id"), "doc_id", "item_id")
 
 
-@_query("""SELECT p_partkey, p_name[1:1] || '|' AS first, len(string_split(p_name, ' ')) AS words, greatest(len(string_split(p_name, ' ')) - 1, 0) + greatest(len(string_split(p_name, ' ')) - 2, 0) AS pairs FROM part""")
+@_query("""WITH s AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_size, ' ') AS s FROM part)
+        SELECT p_partkey, array_to_string(list_concat(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]), list_transform(range(1, len(s) - 1), lambda i: s[i] || ' ' || s[i + 2])), ',') AS pairs FROM s""")
 def skip_pairs(spark, sf):
-    words = F.split("p_name", " ")
-    pairs = vectors.skip_pairs(words)
-    first = F.concat(F.substring(F.coalesce(F.get(pairs, F.lit(0)), F.col("p_name")), 1, 1), F.lit("|"))
-    return table(spark, sf, "part").select("p_partkey", first.alias("first"), F.size(words).cast("long").alias("words"), F.size(pairs).cast("long").alias("pairs"))
+    words = F.split(_text("p_name", "' '", "p_type", "' '", "p_size"), " ")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(vectors.skip_pairs(words), ",").alias("pairs"))
 
 
 @_query("SELECT vec_id, label FROM embeddings WHERE vec_id % 5 = 0")
