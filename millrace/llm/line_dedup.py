@@ -29,8 +29,8 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from millrace.llm.shared import discard, pieces, written
 
-#: Different lines of a leaf, or of a block of positions, that one task compares.
-MOST_LINES = 1000
+#: Different lines of a leaf, or of a block of positions, that one task compares; fewer where they have many words in all.
+MOST_LINES, MOST_WORDS = 1000, 4_000_000
 
 _DIGIT = re.compile("[0-9]").search
 _FIELD = re.compile(r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*")
@@ -170,8 +170,10 @@ def recurring(docs: DataFrame, lines: DataFrame, depth: int = 3, similarity: flo
     arrow = lines.sparkSession.createDataFrame([], schema).toArrow().schema
     rows = written(texts.mapInArrow(_words(arrow, depth), schema).dropDuplicates(["key"]), "words")
 
-    few = rows.where(F.col("lines") <= MOST_LINES).select("group", F.lit(0).alias("part"), F.lit(2).alias("role"), "key", "ids", "words")
-    in_leaf = written(_settled(rows.where(F.col("lines") > MOST_LINES), similarity, min_docs), "in_leaf")
+    # lines of one group have the same number of words
+    most = F.greatest(F.lit(2), F.least(F.lit(MOST_LINES), F.floor(F.lit(MOST_WORDS) / F.col("n"))))
+    few = rows.where(F.col("lines") <= most).select("group", F.lit(0).alias("part"), F.lit(2).alias("role"), "key", "ids", "words")
+    in_leaf = written(_settled(rows.where(F.col("lines") > most), similarity, min_docs), "in_leaf")
     rest, d = F.col("n") - depth, _variable(F.col("n"), similarity)
     cut = in_leaf.withColumn("blocks", F.least(d + 1, rest)).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     begin = lambda b: F.floor(b * rest / F.col("blocks")).cast("int")
@@ -180,9 +182,9 @@ def recurring(docs: DataFrame, lines: DataFrame, depth: int = 3, similarity: flo
     blocks = cut.select(F.xxhash64("group", "block", block).alias("group"), "key", "n", "ids", "words", "done")
     open_ = blocks.groupBy("group").agg(F.count("*").alias("lines"), F.min("done").alias("all")).where("lines > 1 AND NOT all").select((F.col("group") + 0).alias("of"), "lines")
     blocks = written(blocks.join(open_, F.col("group") == F.col("of")).drop("of"), "blocks")
-    small = blocks.where(F.col("lines") <= MOST_LINES).select("group", F.lit(0).alias("part"), F.when(F.col("done"), 0).otherwise(2).alias("role"), "key", "ids", "words")
-    sizes = blocks.where(F.col("lines") > MOST_LINES).groupBy("group").agg(F.ceil(F.count("*") / MOST_LINES).cast("int").alias("parts")).select((F.col("group") + 0).alias("of"), "parts")
-    in_block = written(_settled(blocks.where(F.col("lines") > MOST_LINES).drop("lines", "done"), similarity, min_docs).join(sizes, F.col("group") == F.col("of")), "in_block")
+    small = blocks.where(F.col("lines") <= most).select("group", F.lit(0).alias("part"), F.when(F.col("done"), 0).otherwise(2).alias("role"), "key", "ids", "words")
+    sizes = blocks.where(F.col("lines") > most).groupBy("group", "n").agg(F.count("*").alias("lines")).withColumn("parts", F.ceil(F.col("lines") / most).cast("int")).select((F.col("group") + 0).alias("of"), "parts")
+    in_block = written(_settled(blocks.where(F.col("lines") > most).drop("lines", "done"), similarity, min_docs).join(sizes, F.col("group") == F.col("of")), "in_block")
     sources = in_block.select("group", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "key", "ids", "words")
     seekers = in_block.where("NOT done").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "key", "ids", "words")
     dealt = few.unionByName(small).unionByName(sources).unionByName(seekers)

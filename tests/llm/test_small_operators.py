@@ -309,7 +309,7 @@ def test_line_dedup_is_the_same_by_blocks_and_chunks(spark, monkeypatch):
     draw = random.Random(8)
     rows = [(i, "\n".join(f"one two three four {draw.choice('abcdefghij')} {draw.choice('klmnop')} {draw.choice('uvwxyz')} eight nine {draw.choice('qr')}" for _ in range(4))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for most in (1000, 5):
+    for most in (1000, 5, 2):
         monkeypatch.setattr(line_dedup, "MOST_LINES", most)
         for settings in ({}, {"min_docs": 3}, {"similarity": 0.7}):
             got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, **settings).collect()}
