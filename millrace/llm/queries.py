@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, flac, langid, licenses, line_dedup, mixing, ngram_join, pieces, warc
+from millrace.llm import chat, divergence, exact_dedup, flac, langid, language_model, licenses, line_dedup, merkle, mixing, ngram_join, pieces, warc
 from millrace.llm.shared import shared_dir
 from millrace.sources.tables import spread
 
@@ -77,7 +77,22 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_flac, op4_sentencepiece, op5_language_id, op6_mixing, op7_ngram_jaccard, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup)}
+def op11_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    found = divergence.divergence(_table(spark, sf, "documents"))
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(docs, claimed={"n_chars": F.col("n_chars") + F.when(tampered, 1).otherwise(0)})
+
+
+def op13_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.score(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_flac, op4_sentencepiece, op5_language_id, op6_mixing, op7_ngram_jaccard, op8_chat_perspectives, op9_line_dedup, op10_exact_dedup, op11_divergence, op12_merkle, op13_language_model)}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -119,4 +134,59 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang,'') AS lang, coalesce(source,'') AS source,
+         unnest(regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        k AS (SELECT lang, term, count(*) AS overall FROM d GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        g AS (SELECT DISTINCT coalesce(lang,'') AS lang, coalesce(source,'') AS source FROM documents),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(overall)::HUGEINT AS n FROM k GROUP BY lang),
+        c AS (SELECT g.lang, g.source, k.term, count(d.term)::HUGEINT AS n, any_value(k.overall)::HUGEINT AS overall
+              FROM g JOIN k ON g.lang=k.lang LEFT JOIN d ON d.lang=g.lang AND d.source=g.source AND d.term=k.term GROUP BY ALL),
+        p AS (SELECT c.*, 1 + (1000000000::HUGEINT*(c.n+5)) // (sum(c.n) OVER (PARTITION BY c.lang, c.source) + 5*v.v) AS p,
+              1 + (1000000000::HUGEINT*(overall+5)) // (v.n + 5*v.v) AS q FROM c JOIN v ON c.lang=v.lang),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p-b.p)) AS value FROM p a JOIN p b ON a.lang=b.lang AND a.term=b.term AND a.source<>b.source GROUP BY ALL),
+        pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value,0)::BIGINT AS value FROM g JOIN g h ON g.lang=h.lang AND g.source<>h.source LEFT JOIN s ON s.lang=g.lang AND s.source=g.source AND s.item=h.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p-q)::BIGINT AS value FROM p WHERE n>0 AND p>q),
+        u AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part='pair' OR rank<=50
+    """,
+    "op12_merkle": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, source, n_chars, text,
+                   list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda k, i: xor(k >> 1, (k & 1::UBIGINT) * 3988292384::UBIGINT))) AS rest
+            FROM documents),
+        f AS (SELECT doc_id, lang, n_chars IS NOT NULL AND xor(rest, 4294967295::UBIGINT) % 7 = 0 AS tampered,
+                     coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                     n_chars, coalesce(strlen(text) || ':' || text, '-') AS z FROM d),
+        leaves AS (SELECT doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS h,
+                          CASE WHEN tampered THEN sha256(a || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || z) END AS claimed FROM f),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, row_number() OVER () AS r FROM leaves),
+        up(tree, level, pos, h) AS (
+            SELECT lang, 0, pos, h FROM numbered
+            UNION ALL
+            SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY tree, level, pos // 2),
+        subroots AS (SELECT tree, arg_max(h, level) AS h, max(level) AS high, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos FROM up GROUP BY tree),
+        top(level, pos, h) AS (
+            SELECT 0, pos, h FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, pos // 2),
+        root AS (SELECT arg_max(h, level) AS root, max(level) AS high FROM top),
+        steps AS (
+            SELECT r, n.level, (n.pos >> n.level) % 2 = 1 AS on_right, s.h AS sibling
+            FROM (SELECT r, lang, n.pos, unnest(range(high)) AS level FROM numbered n JOIN subroots t ON n.lang IS NOT DISTINCT FROM t.tree) n
+            LEFT JOIN up s ON s.tree IS NOT DISTINCT FROM n.lang AND s.level = n.level AND s.pos = xor(n.pos >> n.level, 1)
+            UNION ALL
+            SELECT n.r, below + n.level, (n.pos >> n.level) % 2 = 1, s.h
+            FROM (SELECT r, t.high AS below, t.pos, unnest(range(root.high)) AS level FROM numbered n JOIN subroots t ON n.lang IS NOT DISTINCT FROM t.tree, root) n
+            LEFT JOIN top s ON s.level = n.level AND s.pos = xor(n.pos >> n.level, 1)),
+        proofs AS (SELECT r, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY level)) AS proof FROM steps GROUP BY r),
+        fold(r, level, h) AS (
+            SELECT r, 0::BIGINT, coalesce(claimed, h) FROM numbered
+            UNION ALL
+            SELECT f.r, f.level + 1, sha256(CASE WHEN on_right THEN coalesce(sibling, '') || h ELSE h || coalesce(sibling, '') END) FROM fold f JOIN steps s ON s.r = f.r AND s.level = f.level),
+        folded AS (SELECT r, arg_max(h, level) AS h FROM fold GROUP BY r)
+        SELECT n.doc_id, n.h AS leaf, t.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+        FROM numbered n JOIN subroots t ON n.lang IS NOT DISTINCT FROM t.tree JOIN folded f ON f.r = n.r LEFT JOIN proofs p ON p.r = n.r, root
+    """,
 }
