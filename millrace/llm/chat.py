@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import written
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
+#: Turns that a task renders at a time; any number gives the same rows.
+BLOCK = 256
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -30,24 +32,28 @@ def _placed(rows: DataFrame) -> DataFrame:
     return placed.select("conv_id", "said", (F.col("place") + F.coalesce("before", F.lit(0))).alias("place"))
 
 
-def perspectives(turns: DataFrame, part_turns: int = 4096, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def perspectives(turns: DataFrame, part_turns: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, perspective, part, n_turns, text, spans: the dialogue as each participant sees it.
 
-    A dialogue of up to part_turns turns is one part, 0; a longer one, such as an endless or a null conversation, goes on
-    in parts of that many, whose texts joined in order are the whole. spans are array<struct<start,end>> in characters of
-    that part's text. The role "system" is rendered as it is and takes no perspective; a conversation with nobody else
-    has no rows. Null role: "unknown"; null text: empty; null turns come first. Turns with one number are ordered by
-    role, then text; repeated rows are rendered each time. A null conv_id is a conversation of its own. A part's text is
-    held whole by one task. No rows in, no rows out; other columns are ignored.
+    spans are array<struct<start,end>> in characters of the text. The role "system" is rendered as it is and takes no
+    perspective; a conversation with nobody else has no rows. Null role: "unknown"; null text: empty; null turns come
+    first. Turns with one number are ordered by role, then text; repeated rows are rendered each time. A null conv_id is
+    a conversation of its own. No rows in, no rows out; other columns are ignored.
+
+    BLOCK turns at a time are rendered by one task; running sums over a dialogue's blocks move their spans to where the
+    block stands. A dialogue of any length is one part, 0, whose text is one value; part_turns asks for parts of so many
+    turns instead, each with spans in its own text, which joined in order are the whole.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("said"),
     )
-    rows = _placed(rows).withColumn("part", F.floor(F.col("place") / part_turns).cast("long")).drop("place")
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    part = F.floor(F.col("place") / part_turns) if part_turns else F.lit(0)
+    within = F.col("place") % part_turns if part_turns else F.col("place")
+    rows = _placed(rows).select("conv_id", "said", part.cast("long").alias("part"), F.floor(within / BLOCK).cast("long").alias("block"))
+    blocks = rows.groupBy("conv_id", "part", "block").agg(F.sort_array(F.collect_list("said")).alias("said"))
     speakers = rows.select("conv_id", F.col("said.role").alias("perspective")).where("perspective <> 'system'").distinct().withColumnRenamed("conv_id", "of")
-    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    both = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     head = f"concat('{BEGIN}', CASE WHEN s.role = 'system' THEN 'system' WHEN s.role = perspective THEN 'assistant' ELSE concat('user name=', s.role) END, '\\n')"
     end = END.replace("\n", "\\n")
     lines = both.withColumn("lines", F.expr(f"transform(said, s -> struct({head} AS head, s.text AS text, s.role = perspective AS own))"))
@@ -58,11 +64,9 @@ def perspectives(turns: DataFrame, part_turns: int = 4096, conv_col: str = "conv
         " 'spans', CASE WHEN l.own THEN concat(acc.spans, array(named_struct('start', acc.at + length(l.head), 'end', acc.at + length(l.head) + length(l.text)))) ELSE acc.spans END),"
         " acc -> acc.spans)"
     )
-    return lines.select(
-        "conv_id",
-        "perspective",
-        "part",
-        F.size("said").cast("long").alias("n_turns"),
-        F.expr(f"array_join(transform(lines, l -> concat(l.head, l.text, '{end}')), '')").alias("text"),
-        spans.alias("spans"),
-    )
+    rendered = lines.select("conv_id", "perspective", "part", "block", F.size("said").cast("long").alias("n"), F.expr(f"array_join(transform(lines, l -> concat(l.head, l.text, '{end}')), '')").alias("text"), spans.alias("spans"))
+    before = Window.partitionBy("conv_id", "perspective", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    moved = rendered.withColumn("at", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0).cast("long")))
+    moved = moved.withColumn("spans", F.expr("transform(spans, s -> struct(s.start + at AS start, s.end + at AS end))"))
+    whole = moved.groupBy("conv_id", "perspective", "part").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("block", "text", "spans"))).alias("blocks"))
+    return whole.select("conv_id", "perspective", "part", "n_turns", F.array_join("blocks.text", "").alias("text"), F.flatten("blocks.spans").alias("spans"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import pieces
+from millrace.llm.shared import new_names, pieces
 
 _HEAD = struct.Struct("<32s?qqI")
 
@@ -145,6 +145,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    mine = [F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256) == F.col("__sha")]
+    here, sha = new_names(docs, "id", "sha")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(here), F.col("text_sha256").alias(sha)).distinct()
+    mine = [F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(here)), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256) == F.col(sha)]
     return docs.join(kept, mine[0] & mine[1], "left_semi")

@@ -11,7 +11,9 @@ It refuses other block sizes and sample formats, wasted bits and escaped partiti
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from millrace.llm.shared import pieces
+from millrace.llm.shared import new_names, pieces, written
 
 BLOCK, SEEK_EVERY, PRECISION, SHIFT = 192, 64, 12, 9
 #: Frames that are worked on at a time.
@@ -467,7 +469,44 @@ def from_flac(rows: DataFrame, media_col: str = "media", keep_pcm: bool = True)
     return rows.mapInArrow(run, StructType([*others, *made.fields]))
 
 
+def stored_pcm(decoded: DataFrame) -> DataFrame:
+    """Rows of from_flac() with their PCM blocks, written to the shared folder and read from there."""
+    return written(decoded, "pcm", compression="zstd")
+
+
+def from_pcm(rows: DataFrame) -> DataFrame:
+    """rows without pcm; payload_bytes, payload_sha256, tail_crc32, feature, n_blocks and seek_crc32 are those of the blocks.
+
+    Blocks must stand at the sums of the lengths before them, else it is an error; seek_crc32 is that of the block found
+    at seek_offset by its sample offset. Rows without blocks (null) have nulls.
+    """
+    made = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_blocks", "seek_crc32"]
+    others = [f for f in rows.schema.fields if f.name not in (*made, "pcm")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def values(blocks: list[dict] | None, seek_offset: int) -> tuple:
+        if blocks is None:
+            return (None,) * len(made)
+        offsets, pcm = [b["sample_offset"] for b in blocks], [b["pcm"] for b in blocks]
+        if offsets != [0, *itertools.accumulate(map(len, pcm[:-1]))]:
+            raise ValueError("PCM blocks are not where their offsets say")
+        payload = b"".join(pcm)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), features(payload), len(pcm), zlib.crc32(pcm[bisect.bisect_right(offsets, seek_offset) - 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [values(b, o) for b, o in zip(part.column("pcm").to_pylist(), part.column("seek_offset").to_pylist(), strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), *columns], names=[*(f.name for f in others), *made])
+
+    schema = StructType([*others, *StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_blocks long, seek_crc32 long").fields])
+    return rows.mapInArrow(run, schema)
+
+
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
     """Rows of from_flac() by block: all columns but pcm, and block (its number), sample_offset, pcm (unsigned samples)."""
-    rows = decoded.select(*(c for c in decoded.columns if c != "pcm"), F.posexplode("pcm").alias("block", "__block"))
-    return rows.select("*", "__block.sample_offset", "__block.pcm").drop("__block")
+    (inner,) = new_names(decoded, "inner")
+    rows = decoded.select(*(F.col(f"`{c}`") for c in decoded.columns if c != "pcm"), F.posexplode("pcm").alias("block", inner))
+    return rows.select("*", f"{inner}.sample_offset", f"{inner}.pcm").drop(inner)

@@ -21,8 +21,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from millrace.llm.shared import pieces
 
 UNDETERMINED = "und"
-#: Parsing starts afresh every so many symbols, so that long texts are walked in parallel.
+#: Long texts are walked in stretches of so many symbols side by side; where a stretch's own parse differs from that of the
+#: whole text, it is mended, so the number changes no result.
 STRETCH = 1024
+#: Symbols of a text that are held at a time; and those of a slice of texts, times the languages.
+WINDOW, WALKED = 1 << 20, 1 << 22
 
 
 def symbols(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,7 @@ def automaton(sample: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _tables(model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One flat table for all languages, each language's start in it, and log2 of each sample's length.
 
@@ -102,36 +105,88 @@ def _tables(model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def phrases(coded: np.ndarray, begins: np.ndarray, model: tuple) -> np.ndarray:
-    """Number of phrases per language (rows) and text (columns)."""
+    """Number of phrases per language (rows) and text (columns), each text parsed as one from its first to its last symbol."""
+    _, starts, _ = _tables(model)
+    out, sizes = np.zeros((len(starts), len(begins) - 1), np.int64), np.diff(begins)
+    for i in np.flatnonzero(sizes > WINDOW):
+        state = starts[:, None]
+        for at in range(int(begins[i]), int(begins[i + 1]), WINDOW):
+            end = min(at + WINDOW, int(begins[i + 1]))
+            count, state = _parsed(coded, np.array([at]), np.array([end - at]), state, model)
+            out[:, i] += count[:, 0]
+        out[:, i] += (state != starts[:, None])[:, 0]
+    rest = np.flatnonzero(sizes <= WINDOW)
+    count, state = _parsed(coded, begins[:-1][rest], sizes[rest], np.repeat(starts[:, None], len(rest), 1), model)
+    out[:, rest] = count + (state != starts[:, None])
+    return out
+
+
+def _parsed(coded: np.ndarray, begins: np.ndarray, sizes: np.ndarray, state: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that ended in each text, and the states at its end, from the states before it; by language and text.
+
+    Every stretch is first parsed from the start. Then each goes on from the state in which the one before it ends, until
+    both parses are in one state: from there they are the same. A stretch that ends in another state than before has its
+    successor mended again.
+    """
     table, starts, _ = _tables(model)
-    sizes = np.diff(begins)
-    cuts = -(-sizes // STRETCH)
+    cuts = np.maximum(-(-sizes // STRETCH), 1)
     text = np.repeat(np.arange(len(sizes)), cuts)
-    lane = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = begins[:-1][text] + lane * STRETCH
-    size = np.minimum(STRETCH, begins[1:][text] - begin)
+    part = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin, size = begins[text] + part * STRETCH, np.minimum(STRETCH, sizes[text] - part * STRETCH)
     order = np.argsort(-size, kind="stable")
-    text, begin, size = text[order], begin[order], size[order]
-    state = np.repeat(starts[:, None], len(text), 1)
-    count = np.zeros_like(state)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    # stretches by falling size; which one follows each, or -1
+    follows = np.where(np.arange(len(text)) + 1 < np.repeat(np.cumsum(cuts), cuts), np.roll(place, -1), -1)[order]
+    last, first = place[np.cumsum(cuts) - 1], place[np.cumsum(cuts) - cuts]
+    begin, size, text = begin[order], size[order], text[order]
+    end = np.repeat(starts[:, None], len(text), 1)
+    end[:, first] = state
+    low = int(begins.min()) if len(begins) else 0
+    steps = np.zeros((len(starts), int((begins + sizes).max()) - low if len(begins) else 0), np.int32)
+    count = np.zeros(end.shape, np.int64)
     active = np.searchsorted(-size, -np.arange(1, STRETCH + 1), side="right")
     for t in range(int(size[0]) if len(size) else 0):
         k = active[t]
-        step = table[state[:, :k] + coded[begin[:k] + t]]
+        at = begin[:k] + t
+        step = table[end[:, :k] + coded[at]]
+        steps[:, at - low] = step
         count[:, :k] += step & 3
-        state[:, :k] = step >> 2
-    count += state != starts[:, None]
-    out = np.zeros((len(starts), len(sizes)), np.int64)
+        end[:, :k] = step >> 2
+
+    change, alone = np.zeros_like(count), end.copy()
+    lang, lane = (x.ravel() for x in np.meshgrid(np.arange(len(starts)), np.flatnonzero(follows >= 0), indexing="ij"))
+    while len(lane):
+        came, lane = end[lang, lane], follows[lane]
+        left, gain, told = np.arange(len(lane)), np.zeros(len(lane), np.int64), alone[lang, lane]
+        for t in range(STRETCH):
+            at = begin[lane[left]] + t
+            step, known = table[came[left] + coded[at]], steps[lang[left], at - low]
+            gain[left] += (step & 3) - (known & 3)
+            came[left] = step >> 2
+            ends = t + 1 == size[lane[left]]
+            apart = came[left] != known >> 2
+            told[left[apart & ends]] = came[left[apart & ends]]
+            left = left[apart & ~ends]
+            if not len(left):
+                break
+        change[lang, lane] = gain
+        other = (told != end[lang, lane]) & (follows[lane] >= 0)
+        end[lang, lane] = told
+        lang, lane = lang[other], lane[other]
+    total = np.zeros((len(starts), len(sizes)), np.int64)
     for i in range(len(starts)):
-        out[i] = np.bincount(text, count[i], len(sizes))
-    return out
+        total[i] = np.bincount(text, count[i] + change[i], len(sizes)).astype(np.int64)
+    return total, end[:, last]
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = 64, chars_per_doc: int = 2048, symbols_per_lang: int = 32768, max_letters: int = 60, max_langs: int = 100) -> tuple:
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = 64, chars_per_doc: int = 2048, symbols_per_lang: int = 32768, max_letters: int = 60, max_langs: int = 100, max_symbols: int = 1 << 19) -> tuple:
     """(letters, ((lang, sample), ...)): at most docs_per_lang labelled texts of each language, those with the smallest hashes of their ids.
 
     The driver gets max_langs * docs_per_lang beginnings of chars_per_doc characters at most; more languages are an
-    error. Rows without language or text teach nothing.
+    error. Languages share max_symbols evenly where that leaves less than symbols_per_lang for each; a worker's table
+    takes some 500 bytes for each of them at 60 letters. Letters beyond the max_letters most frequent of the sample share one symbol, so
+    scripts of thousands of letters are told apart by their script alone. Rows without language or text teach nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     ranked = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id")
@@ -153,7 +208,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     samples = []
     for lang, t in texts.items():
         coded, begins = symbols(t, letters)
-        each = symbols_per_lang // len(t)
+        each = min(symbols_per_lang, max_symbols // len(texts)) // len(t)
         sample = np.concatenate([coded[a : min(b, a + each)] for a, b in zip(begins[:-1], begins[1:], strict=True)])
         if (sample > 0).any():
             samples.append((lang, sample.tobytes()))
@@ -185,7 +240,7 @@ def identify(docs: DataFrame, model: tuple, text_col: str = "text", lang_col: st
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, max(WALKED // max(len(given.value[1]), 4), 1)):
             names, scores = predict(batch.column(text_col).to_pylist(), given.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_col, score_col])
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.connected import components, unite
-from millrace.llm.shared import discard, pieces, written
+from millrace.llm.shared import discard, new_names, pieces, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -427,5 +427,6 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with all its columns, but of each component only the rows with its smallest id; rows without an id stay."""
     gone = _components(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_anti")
+    here, mark = new_names(docs, "id", "mark")
+    gone = gone.select(F.col("doc_id").alias(here), F.col("mark").alias(mark)).distinct()
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col(here)) & (F.xxhash64(f"`{text_col}`") == F.col(mark)), "left_anti")

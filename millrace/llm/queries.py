@@ -32,7 +32,7 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_flac(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    return flac.from_flac(flac.to_flac(docs).drop("text"), keep_pcm=False)
+    return flac.from_pcm(flac.stored_pcm(flac.from_flac(flac.to_flac(docs).drop("text"))))
 
 
 #: The tokenizer's model file; a parameter of the operator.
@@ -120,7 +120,7 @@ ORACLE_SQL = {
     """,
     "op8_chat_perspectives": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-        t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 4096 AS part FROM c),
+        t AS (SELECT *, 0::BIGINT AS part FROM c),
         who AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
         r AS (SELECT t.*, perspective, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
               FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.conv_id),

@@ -27,10 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def new_names(table: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for the table to have none of them, in any case."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows of df from a Parquet table in the shared folder: cuts lineage, survives lost executors. options are the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

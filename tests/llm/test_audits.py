@@ -157,7 +157,7 @@ def stirling_tables(c, room, base, discount):
 def test_seating_has_the_exact_distribution(c, room, base, discount):
     n = 8000
     customers, start, more = np.full(n, c), np.full(n, room * base), np.full(n, discount * base)
-    seats, seen = language_model.NOBODY, np.zeros(c + 1)
+    seats, seen = None, np.zeros(c + 1)
     for step in range(60):
         seats = language_model.sweep(customers, start, more, discount, np.arange(n, dtype=np.uint64), step, seats)
         if step >= 30:
@@ -165,16 +165,30 @@ def test_seating_has_the_exact_distribution(c, room, base, discount):
     assert np.abs(seen / seen.sum() - stirling_tables(c, room, base, discount)).max() < 0.01
 
 
-def test_arrivals_follow_the_restaurant():
-    """Births found by inversion against customers who come in one by one."""
-    n, c, start, more, discount = 20000, 30, 0.8, 0.2, 0.5
-    rng, plain = np.random.default_rng(1), np.ones(n)
-    for j in range(1, c):
-        plain += rng.random(n) < (start + more * plain) / (start + more * plain + j - discount * plain)
-    got = language_model.tables(np.full(n, c), language_model.seated(np.full(n, c), np.full(n, start), np.full(n, more), discount, np.arange(n, dtype=np.uint64), 0))
-    assert abs(got.mean() - plain.mean()) < 0.05 and abs(got.std() - plain.std()) < 0.05
-    dish, places = language_model.seated(np.array([1_000_000_000]), np.array([2.0]), np.array([0.5]), 0.5, np.array([1], np.uint64), 0)
-    assert len(dish) > 5 and places.max() < 1_000_000_000 and (np.diff(places) > 0).all()
+@pytest.mark.parametrize(("c", "room", "base", "discount"), [(400, 1e6, 1e-5, 0.8), (300, 100.0, 0.1, 0.5), (600, 10.0, 0.01, 0.8)])
+def test_seating_of_many_customers(c, room, base, discount):
+    """Mean number of tables against the exact one; sums over numbers of tables in logarithms."""
+    s = np.full(c + 2, -np.inf)
+    s[0] = 0
+    for n in range(c):
+        stay = np.maximum(n - discount * np.arange(c + 2), 0)
+        with np.errstate(divide="ignore"):
+            s = np.logaddexp(np.concatenate([[-np.inf], s[:-1]]), s + np.log(stay))
+    t = np.arange(1, c + 1)
+    w = np.array([math.lgamma(room / discount + x) + x * math.log(discount * base) for x in t]) + s[1 : c + 1]
+    w = np.exp(w - w.max())
+    n, seats, means = 1500, None, []
+    for step in range(30):
+        seats = language_model.sweep(np.full(n, c), np.full(n, room * base), np.full(n, discount * base), discount, np.arange(n, dtype=np.uint64), step, seats)
+        means.append(language_model.tables(np.full(n, c), seats).mean())
+    assert abs(np.mean(means[15:]) / ((w * t).sum() / w.sum()) - 1) < 0.03
+
+
+def test_a_billion_customers_take_few_steps():
+    dish, places = language_model.seated(np.array([1_000_000_000]), np.array([20.0]), np.array([0.5]), 0.5, np.array([1], np.uint64), 0)
+    assert 10 < len(dish) < 1000 and places.max() < 1_000_000_000 and (np.diff(places) > 0).all()
+    one = language_model._one_by_one(1_000_000_000, 20.0, 0.5, 0.5, 1, 1, 0, np.random.default_rng(1))
+    assert 10 < len(one) < 1000 and one == sorted(set(one))
 
 
 def test_letters_are_a_distribution():

@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,6 +54,12 @@ def test_flac_columns(spark):
     blocks = flac.pcm_blocks(rows.where("doc_id = 6")).orderBy("sample_offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == flac.padded(b"long " * 9000) and [b.block for b in blocks] == [0, 1, 2, 3]
     assert flac.from_flac(flac.to_flac(docs.limit(0))).count() == 0
+    back = flac.from_pcm(flac.stored_pcm(rows))
+    assert sorted(map(str, back.select(*(c for c in rows.columns if c != "pcm")).collect())) == sorted(map(str, rows.drop("pcm").collect()))
+    moved = rows.withColumn("pcm", F.transform("pcm", lambda b: F.struct((b["sample_offset"] + 1).alias("sample_offset"), b["pcm"].alias("pcm"))))
+    with pytest.raises(Exception, match="PCM blocks"):
+        flac.from_pcm(moved).collect()
+    assert flac.from_pcm(rows.limit(0)).count() == 0
 
 
 def test_flac_seeks():
@@ -244,14 +251,12 @@ def test_piece_columns(spark):
 
 
 def brute_phrases(coded: bytes, sample: bytes) -> int:
-    count = 0
-    for k in range(0, len(coded), langid.STRETCH):
-        part, at = coded[k : k + langid.STRETCH], 0
-        while at < len(part):
-            end = at
-            while end < len(part) and part[at : end + 1] in sample:
-                end += 1
-            count, at = count + 1, max(end, at + 1)
+    count = at = 0
+    while at < len(coded):
+        end = at
+        while end < len(coded) and coded[at : end + 1] in sample:
+            end += 1
+        count, at = count + 1, max(end, at + 1)
     return count
 
 
@@ -260,15 +265,33 @@ def brute_phrases(coded: bytes, sample: bytes) -> int:
 def test_phrases_are_longest_matches(texts, one, two):
     samples = tuple((name, langid.symbols([t], "abc")[0].tobytes()) for name, t in (("x", one), ("y", two)))
     coded, begins = langid.symbols(texts, "abc")
-    got = langid.phrases(coded, begins, ("abc", samples))
+    cut, window = langid.STRETCH, langid.WINDOW
+    got = []
+    try:
+        for langid.STRETCH, langid.WINDOW in ((cut, window), (3, window), (5, 11)):
+            got.append(langid.phrases(coded, begins, ("abc", samples)).tolist())
+    finally:
+        langid.STRETCH, langid.WINDOW = cut, window
     want = [[brute_phrases(coded[a:b].tobytes(), s) for a, b in zip(begins[:-1], begins[1:], strict=True)] for _, s in samples]
-    assert got.tolist() == want
+    assert got == [want] * 3
+
+
+@pytest.mark.parametrize("size", [1025, 5_000, 100_000])
+def test_phrases_of_long_texts(size):
+    """No restart inside a text: words in any order, a text that its sample holds whole, and one letter over and over."""
+    rng = np.random.default_rng(size)
+    sample = " ".join(rng.choice(["abc", "acb", "bca", "c", "ab"], 900).tolist())
+    texts = [" ".join(rng.choice(["abc", "bca", "cab", "aa"], size // 3).tolist())[:size], (sample * (size // len(sample) + 1))[:size], "a" * size, "ab"]
+    samples = tuple((name, langid.symbols([t], "abc")[0].tobytes()) for name, t in (("x", sample), ("y", "a" * 2000)))
+    coded, begins = langid.symbols(texts, "abc")
+    want = [[brute_phrases(coded[a:b].tobytes(), s) for a, b in zip(begins[:-1], begins[1:], strict=True)] for _, s in samples]
+    assert langid.phrases(coded, begins, ("abc", samples)).tolist() == want
 
 
 def test_predictions_have_the_fewest_phrases(spark):
     docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
     letters, samples = langid.fit(docs.where(~langid.held_out()))
-    rows = docs.where("length(text) < 1500").orderBy("doc_id").limit(40).collect()
+    rows = docs.orderBy(F.abs(F.length("text") - 3000)).limit(40).collect()
     names, scores = langid.predict([r.text for r in rows], (letters, samples))
     for r, name, score in zip(rows, names, scores, strict=True):
         coded = langid.symbols([r.text], letters)[0].tobytes()

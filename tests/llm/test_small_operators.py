@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, licenses, line_dedup, mixing, warc
+from millrace.llm import chat, exact_dedup, licenses, line_dedup, mixing, ngram_join, warc
 from tests.conftest import DATA
 
 CLASH = ", size int, hash string, words string, n string, key string, template string"
@@ -175,6 +175,18 @@ def test_chat_perspectives(spark):
     assert chat.perspectives(docs.limit(0)).count() == 0
 
 
+def test_a_long_chat_is_whole(spark):
+    """5,000 turns of three speakers, and as many without a conversation."""
+    said = [(c, i, ["ann", "bob", "eve"][i * i % 3], f"{i} é" * (i % 4)) for c in (1, None) for i in range(5000)]
+    docs = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.perspectives(docs).collect()
+    assert sorted((str(r.conv_id), r.perspective, r.part, r.n_turns) for r in got) == sorted((c, who, 0, 5000) for c in ("1", "None") for who in {s[2] for s in said})
+    for r in got:
+        mine = [s for s in said if s[0] == r.conv_id]
+        assert r.text == "".join(f"<|im_start|>{'assistant' if who == r.perspective else 'user name=' + who}\n{text}<|im_end|>\n" for _, _, who, text in mine)
+        assert [r.text[s.start : s.end] for s in r.spans] == [text for _, _, who, text in mine if who == r.perspective]
+
+
 def test_chat_parts_join_to_the_whole(spark):
     """Endless conversations with null, repeated and missing turn numbers, one with a null id, cut into parts of 7 rows."""
     draw = random.Random(3)
@@ -221,27 +233,53 @@ def test_line_dedup(spark):
 
 
 def plain_line_dedup(rows, depth=3, similarity=0.8, min_docs=2, min_tokens=1):
-    """Every line against every line of its leaf."""
+    """Line by line through the tree: a line joins the first template that it agrees with, or becomes one."""
     mask = lambda line: " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split())
     fits = lambda m: m and len(m.split()) >= min_tokens
-    having = {}
+    having, leaves, template = {}, {}, {}
     for i, text in rows:
         for m in filter(fits, map(mask, text.split("\n"))):
             having.setdefault(m, set()).add(i)
-    known, leaves = {}, {}
-    for m in having:
-        leaves.setdefault((len(m.split()), *m.split()[:depth]), []).append(m)
-    for m in having:
-        a, docs = m.split(), set()
-        for o in leaves[len(a), *a[:depth]]:
-            b, ids = o.split(), having[o]
-            if len(a) == len(b) and a[:depth] == b[:depth] and sum(x == y for x, y in zip(a, b)) / len(a) >= similarity:
-                docs |= ids
+    for m in sorted(having, key=lambda m: (min(having[m]), line_dedup.line_key(m))):
+        a = m.split()
+        leaf = leaves.setdefault((len(a), *a[:depth]), [])
+        template[m] = next((t for t in leaf if sum(x == y for x, y in zip(a, t.split(), strict=True)) / len(a) >= similarity), m)
+        if template[m] == m:
+            leaf.append(m)
+    known = {}
+    for m, t in template.items():
+        docs = having[m] | having[t] if min_docs <= 2 else set().union(*(having[o] for o, of in template.items() if of == t))
         if len(docs) >= min_docs:
             known[m] = min(docs)
     return {i: "\n".join(line for line in text.split("\n") if known.get(mask(line), i) == i) for i, text in rows}
 
 
+def test_a_line_goes_only_for_one_that_stays(spark):
+    """The line of 2 agrees with that of 1, the line of 3 with that of 2 alone; and a longer chain, whole and in chunks."""
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h x y"), (3, "a b c d e f z w x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == {1: rows[0][1], 2: "", 3: rows[2][1]}
+    words = list("abcdefghij")
+    chain = []
+    for i in range(40):
+        words[3 + i % 7] = f"w{'xyz'[i % 3]}{chr(97 + i // 7)}"
+        chain.append((i, " ".join(words)))
+    assert 0 < sum(not t for t in plain_line_dedup(chain).values()) < 39
+    for most in (1000, 4):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(line_dedup, "MOST_LINES", most)
+            assert {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(chain, "doc_id long, text string")).collect()} == plain_line_dedup(chain)
+
+
+def test_names_inside_do_not_clash(spark):
+    """Columns called as those that operators join with, in either case."""
+    rows = [(i, "one line here\nand another one", *range(9)) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, id long, _ID long, __gone long, gone long, mark long, __mark long, sha long, __block long")
+    assert {r.doc_id: (r.text, r["__id"], r["id"], r["gone"]) for r in line_dedup.line_dedup(docs).collect()} == {1: (rows[0][1], 0, 1, 4), 2: ("", 0, 1, 4)}
+    assert [tuple(r) for r in ngram_join.one_of_each(docs, words=2, percent=80).collect()] == [rows[0]]
+    assert [tuple(r) for r in exact_dedup.survivors(docs).collect()] == [rows[1]]
+
+
 def test_line_dedup_of_many_templates(spark):
     """Short variable lines, several templates to a leaf, long lines and unrelated lines of the same opening."""
     draw = random.Random(5)
