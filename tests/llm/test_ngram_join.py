@@ -170,7 +170,7 @@ def plain_stages(rows):
     one = [r for r in rows if letter(r[1])]
     yield one
     cut = plain_line_dedup([(i, text) for i, text, _ in one])
-    two = [(i, cut[i], source) for i, _, source in one]
+    two = [(i, cut[i], source) for i, text, source in one if cut[i] == text or cut[i].strip()]
     yield two
     keep = {i for i, _, root in brute([r[:2] for r in two], 5, 80) if i == root}
     three = [r for r in two if r[0] in keep]
@@ -188,7 +188,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).where("text IS NULL OR length(text) < 20000")
     extra = [(90001, None, None, "web", 0), (90002, "123 ... 456", "en", None, 11), (90003, "", "en", "web", 0), (90004, "a null source", "en", None, 13)]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
-    clash = {c: F.lit(f"own {c}") for c in ("lang_pred", "lang_score", "dropped_lines", "component_id", "mark", "copies", "size", "row")}
+    clash = {c: F.lit(f"own {c}") for c in ("lang_pred", "lang_score", "score", "__lang", "__score", "dropped_lines", "dropped", "__dropped", "__id", "id", "_id", "gone", "__gone", "component_id", "mark", "__mark", "copies", "size", "row")}
     docs = docs.withColumns(clash)
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
