@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 
 from millrace.llm import langid, line_dedup, mixing, ngram_join, pieces
 from millrace.llm.queries import PIECES_MODEL
-from millrace.llm.shared import written
+from millrace.llm.shared import discard, new_names, written
 from millrace.sources.tables import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: null texts and texts without a letter go. Learns from labelled documents."""
     model = langid.fit(docs.where(~langid.held_out()))
-    known = langid.identify(docs, model, lang_col="__lang", score_col="__score")
-    return known.where(F.col("__lang") != langid.UNDETERMINED).drop("__lang", "__score")
+    lang, score = new_names(docs, "lang_pred", "score")
+    known = langid.identify(docs, model, lang_col=lang, score_col=score)
+    return known.where(F.col(lang) != langid.UNDETERMINED).drop(lang, score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document has; n_chars follows, and documents that keep no text stay, empty."""
-    cleaned = line_dedup.line_dedup(docs, count_col="__dropped")
+    """Texts without lines that an earlier document has; n_chars follows, and documents of which only blank lines are left go."""
+    (dropped,) = new_names(docs, "dropped")
+    cleaned = line_dedup.line_dedup(docs, count_col=dropped)
+    cleaned = cleaned.where((F.col(dropped) == 0) | F.col("text").rlike(r"(?U)\S"))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.drop("__dropped")
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.drop(dropped)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
