@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import clustering, languages, neighbours
+from millrace.operators import clustering, discriminative, languages, neighbours
 
 ROWS = "id long, label string, vector array<double>"
 
@@ -104,3 +104,72 @@ def test_languages(spark):
     assert languages.profiles(docs.limit(0)) == {}
     with pytest.raises(ValueError, match="languages"):
         languages.profiles(docs, most=1)
+
+
+def plain_machine(x, y, s, c, steps=4000):
+    """Gradient descent with momentum on the squared hinge, for one class."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    rate = 1 / (1 + 2 * c * np.linalg.norm(x * np.sqrt(s)[:, None], 2) ** 2)
+    w = before = np.zeros(x.shape[1])
+    for t in range(steps):
+        at = w + t / (t + 3) * (w - before)
+        short = np.maximum(0, 1 - y * (x @ at))
+        w, before = at - rate * (at - 2 * c * ((s * short * y) @ x)), w
+    return w
+
+
+@pytest.mark.parametrize("dense", [512, 2])
+def test_squared_hinge(spark, monkeypatch, dense):
+    monkeypatch.setattr(discriminative, "DENSE", dense)
+    rows = [r for r in points(5, 80, 4, 3) if r[1] != "c2" or r[0] % 2]
+    table = spark.createDataFrame([*rows, (900, None, [0.0] * 4), (901, "c0", None)], ROWS).repartition(3)
+    classes, w = discriminative.squared_hinge(table, "label", "vector", c=0.05)
+    assert classes == ["c0", "c1", "c2"]
+    x, names = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    for j, name in enumerate(classes):
+        y = np.where(names == name, 1, -1)
+        s = len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+        assert np.abs(plain_machine(x, y, s, 0.05) - w[j]).max() < 1e-4
+    got = {r.id: r.pred for r in discriminative.decided(table, "vector", classes, w).collect()}
+    assert sum(got[i] == name for i, name, _ in rows) > 0.95 * len(rows) and got[901] is None
+    with pytest.raises(ValueError, match="two classes"):
+        discriminative.squared_hinge(table.where("label = 'c0'"), "label", "vector")
+
+
+def test_discriminants(spark):
+    rows = points(6, 90, 4, 3)
+    x, names = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    found = discriminative.discriminants(spark.createDataFrame(rows, ROWS).repartition(4), "label", "vector")
+    assert found.shape == (4, 2)
+    within = sum((o := x[names == c] - x[names == c].mean(0)).T @ o for c in set(names)) / len(x)
+    assert np.allclose(found.T @ within @ found, np.eye(2), atol=1e-4)
+    mean = np.array([x[names == c].mean(0) for c in sorted(set(names))]) - x.mean(0)
+    values = np.sort(np.linalg.eigvals(np.linalg.solve(within, mean.T @ mean / 3)).real)[::-1][:2]
+    assert np.allclose(np.diag(found.T @ (mean.T @ mean / 3) @ found), values, rtol=1e-3)
+    out = discriminative.projected(spark.createDataFrame([*rows[:5], (99, "n", None)], ROWS), "vector", found, "p").collect()
+    assert all(np.allclose(r.p, np.array(r.vector) @ found) if r.vector else r.p is None for r in out)
+
+
+def test_rbf_machine(spark):
+    """A ring around a disc: no line parts them, the kernel does."""
+    rng = np.random.default_rng(7)
+    turn, far = rng.uniform(0, 2 * math.pi, 200), np.where(np.arange(200) % 2, rng.uniform(2, 3, 200), rng.uniform(0, 1, 200))
+    rows = [(i, "ring" if i % 2 else "disc", [float(far[i] * math.cos(turn[i])), float(far[i] * math.sin(turn[i]))]) for i in range(200)]
+    table = spark.createDataFrame(rows, ROWS)
+    make, missed = discriminative.rbf_features(table, "vector", landmarks=60)
+    x = np.array([r[2] for r in rows])
+    gamma = 1 / (2 * x.var())
+    exact = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.abs(make(x) @ make(x).T - exact).max() < 0.05 and 0 <= missed < 0.01
+    seen = discriminative.mapped(table, "vector", "seen", make)
+    classes, w = discriminative.squared_hinge(seen, "label", "seen", c=1.0)
+    good = discriminative.decided(seen, "seen", classes, w).where("pred = label").count()
+    flat = discriminative.squared_hinge(table, "label", "vector", c=1.0)
+    assert good > 195 and discriminative.decided(table, "vector", *flat).where("pred = label").count() < 150
+
+
+def test_elimination_keeps_what_tells(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"c{i % 2}", [float(rng.normal()), float(3 * (i % 2) + rng.normal() / 2), float(rng.normal())]) for i in range(90)]
+    found = discriminative.eliminated(spark.createDataFrame(rows, ROWS), "id", "label", "vector", folds=2, c=1.0)
+    assert found[0][0] == [0, 1, 2] and found[-1][0] == [1] and all(good > 0.9 for _, good in found)
