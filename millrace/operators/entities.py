@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +101,15 @@ def strip_name(category: Column, name: Column) -> Column:
     return F.when(F.length(rest) >= 3, rest)
 
 
-def product_records(wide_rows: DataFrame, source: str = "") -> DataFrame:
-    """Name, category and description of products, cleaned, the product's before the offer's; valid hosts and English descriptions only."""
+def product_records(wide_rows: DataFrame, source: str = "", is_english: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Name, category and description of products, cleaned, the product's before the offer's; valid hosts and English descriptions only.
+
+    is_english judges a description: english() as a default, better a fitted profile, languages.spoken().
+    """
     rows = wide_rows.withColumn("name", T.clean_name(product_before_offer("name"))).where("name IS NOT NULL")
     rows = rows.withColumn("category", strip_name(T.clean_name_category(product_before_offer("category")), F.col("name")))
     raw = product_before_offer("description")
-    rows = rows.withColumn("desc", T.clean_description(raw)).where(raw.isNull() | F.col("desc").isNull() | english(F.col("desc")))
+    rows = rows.withColumn("desc", T.clean_description(raw)).where(raw.isNull() | F.col("desc").isNull() | (is_english or english)(F.col("desc")))
     rows = rows.where(T.valid_host(F.col("source_host")))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return rows.select("id", "name", F.lit(source).alias("source_entity_index"), blank("category").alias("category"), blank("category").alias("category_str"), blank("desc").alias("desc"), blank("desc").alias("text"), F.col("source_host").alias("host"), F.col("source_page").alias("url"))

@@ -95,6 +95,11 @@ def similar_band(hits: DataFrame, query: str, name: str, hit_name: str, low: flo
     return band.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), hit_name))).where(F.col("rank") <= k)
 
 
+def first_hits(hits: DataFrame, query: str, k: int) -> DataFrame:
+    """The first k hits of each query, numbered anew."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank"))).where(F.col("rank") <= k)
+
+
 def annotation_rows(with_category: DataFrame, without: DataFrame, name: str = "ref_name") -> DataFrame:
     """Candidates with categories (marked cat_) and without, for annotation."""
     return with_category.withColumn(name, F.concat(F.lit("cat_"), name)).unionByName(without, allowMissingColumns=True)

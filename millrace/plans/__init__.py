@@ -1,3 +1,3 @@
 """Queries over the test tables, with their SQL."""
 
-from millrace.plans import queries, records  # noqa: F401
+from millrace.plans import models, queries, records  # noqa: F401

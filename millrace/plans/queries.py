@@ -133,10 +133,13 @@ def non_english_anti(spark, sf):
 _ASCII = r"trim(regexp_replace(regexp_replace(strip_accents(regexp_replace({c}, '\s+', ' ', 'g')), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@_query(f"""WITH n AS (SELECT p_partkey, {_ASCII.format(c="p_name")} AS name FROM part)
+@_query(f"""WITH r AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN ' http://' || p_name WHEN 2 THEN left(p_name, 4) WHEN 3 THEN 'HOME ' WHEN 4 THEN '.' || p_name ELSE p_name END AS p_name FROM part), n AS (SELECT p_partkey, {_ASCII.format(c="p_name")} AS name FROM r)
         SELECT p_partkey, CASE WHEN NOT (starts_with(name, 'http') OR lower(name) IN ('product', 'home', 'null') OR length(name) < 5 OR starts_with(name, '.')) THEN name END AS name FROM n""")
 def clean_name(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.clean_name(F.col("p_name")).alias("name"))
+    """Names of parts, some made into addresses, stop names, short names and names that begin with a dot."""
+    n, name = F.col("p_partkey") % 7, F.col("p_name")
+    made = F.when(n == 1, F.concat(F.lit(" http://"), name)).when(n == 2, F.substring(name, 1, 4)).when(n == 3, "HOME ").when(n == 4, F.concat(F.lit("."), name)).otherwise(name)
+    return table(spark, sf, "part").select("p_partkey", T.clean_name(made).alias("name"))
 
 
 @_query(f"""WITH t AS (SELECT doc_id, {_ASCII.format(c="text")} AS t FROM documents WHERE NOT contains(text, chr(92)))

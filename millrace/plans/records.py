@@ -63,10 +63,13 @@ _ENGLISH = "the of and to in is for with a this that it on are be by or as you y
 _RATE = "len(list_filter({w}, lambda x: x IN (" + ", ".join(f"'{w}'" for w in _ENGLISH.split()) + "))) >= len({w}) * 0.1"
 
 
-@_query(rf"""WITH p AS (SELECT {_ASCII.format(c="text")} AS t FROM documents WHERE NOT contains(text, chr(92))), w AS (SELECT t, string_split_regex(lower(t), '[^a-z'']+') AS w FROM p)
+@_query(rf"""WITH p AS (SELECT {_ASCII.format(c="text")} AS t FROM documents UNION ALL SELECT CASE n_nationkey % 4 WHEN 0 THEN 'Home' WHEN 1 THEN '. ' || n_name WHEN 2 THEN left(n_name, 2) ELSE 'the ' || n_name END FROM nation), w AS (SELECT t, string_split_regex(lower(t), '[^a-z'']+') AS w FROM p)
         SELECT CASE WHEN lower(t) IN ('product', 'home', 'null') THEN 'stop word' WHEN starts_with(t, '.') THEN 'unicode' WHEN length(t) < 3 THEN 'short' WHEN NOT {_RATE.format(w="w")} THEN 'language' ELSE 'kept' END AS reason, count(*) AS count FROM w GROUP BY 1""")
 def rejection_counts(spark, sf):
-    return entities.rejections(table(spark, sf, "documents").where(~F.col("text").contains("\\")), "text")
+    """All texts, and names of nations made to be refused for every reason."""
+    n = F.col("n_nationkey") % 4
+    made = table(spark, sf, "nation").select(F.when(n == 0, "Home").when(n == 1, F.concat(F.lit(". "), "n_name")).when(n == 2, F.substring("n_name", 1, 2)).otherwise(F.concat(F.lit("the "), "n_name")).alias("text"))
+    return entities.rejections(table(spark, sf, "documents").select("text").unionByName(made), "text")
 
 
 @_query("""WITH h AS (SELECT p_brand AS cluster, p_name AS title, CASE WHEN p_size > 25 THEN reverse(p_name) ELSE p_type END AS hit, p_type AS category FROM part)
@@ -276,10 +279,11 @@ def prediction_flags(spark, sf):
     return sinks.predictions(table(spark, sf, "labels"), "quality", "toxic").groupBy("pred", "truth", "flag").agg(F.count("*").alias("n"))
 
 
-@_query("""SELECT 'w' || vec_id AS word, 65 AS columns FROM embeddings""")
+@_query("""SELECT 'w' || vec_id AS word, len(embedding) + 1 AS columns, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[-1]::DOUBLE, 5) AS last, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings""")
 def embedding_lines(spark, sf):
     lines = sinks.embedding_lines(table(spark, sf, "embeddings").select(_text("'w'", "vec_id").alias("word"), F.col("embedding").alias("vector")))
-    return lines.select(F.substring_index("line", " ", 1).alias("word"), F.size(F.split("line", " ")).cast("long").alias("columns"))
+    parts = lines.select(F.split("line", " ").alias("p")).select(F.get("p", F.lit(0)).alias("word"), F.size("p").cast("long").alias("columns"), F.transform(F.slice("p", 2, 1 << 20), lambda x: x.cast("float").cast("double")).alias("v"))
+    return parts.select("word", "columns", F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.element_at("v", -1), 5).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @_query("SELECT p_partkey, p_name, p_type FROM part")
@@ -410,14 +414,15 @@ def weighted_embeddings(spark, sf):
 
 
 @_query(f"""WITH {_PW}, {_VEC}, l AS (SELECT p_partkey, word, pos, row_number() OVER (PARTITION BY p_partkey ORDER BY pos DESC) AS back, count(*) OVER (PARTITION BY p_partkey) AS n FROM pw),
-        f AS (SELECT p_partkey, back, least(n, 3) AS n, coalesce(v[1], 9) AS x FROM l LEFT JOIN vw USING (word) WHERE back <= 3)
-        SELECT p_partkey, max(CASE WHEN back = n THEN x END) AS first, coalesce(max(CASE WHEN back = n - 1 THEN x END), 0) AS second, coalesce(max(CASE WHEN back = n - 2 THEN x END), 0) AS third FROM f GROUP BY p_partkey""")
+        f AS (SELECT p_partkey, least(n, 3) - back AS row, coalesce(v, [9, 9, 9]::DOUBLE[]) AS v FROM l LEFT JOIN vw USING (word) WHERE back <= 3), r AS (SELECT p_partkey, unnest([0, 1, 2]) AS row FROM part)
+        SELECT p_partkey, string_agg(array_to_string(list_transform(coalesce(v, [0, 0, 0]::DOUBLE[]), lambda x: round(x * 10)::INT), ' '), ',' ORDER BY row) AS tenths FROM r LEFT JOIN f USING (p_partkey, row) GROUP BY p_partkey""")
 def sequence_matrices(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
     vec = _word_vectors(spark, sf).withColumn("vector", F.col("vector").cast("array<float>"))
     substitute = F.array(*(F.lit(9.0).cast("float") for _ in range(3)))
     out = vectors.sequence_matrix(rows, vec, "p_partkey", "words", 3, 3, substitute)
-    return out.select("p_partkey", *(F.get(F.get("matrix", F.lit(i)), F.lit(0)).cast("double").alias(c) for i, c in enumerate(("first", "second", "third"))))
+    row = lambda r: F.array_join(F.transform(r, lambda x: F.round(x * 10).cast("int").cast("string")), " ")
+    return out.select("p_partkey", F.array_join(F.transform("matrix", row), ",").alias("tenths"))
 
 
 @_query(f"""WITH {_PW}, k AS (SELECT word, row_number() OVER (ORDER BY word) AS i FROM (SELECT DISTINCT word FROM pw WHERE length(word) > 4)), s AS (SELECT p_partkey, pos, coalesce(i, 0) AS i FROM pw LEFT JOIN k USING (word) WHERE pos < 3)
@@ -429,16 +434,16 @@ def word_indices(spark, sf):
     return out.select("p_partkey", F.array_join("ids", ",").alias("ids"))
 
 
-@_query(f"""WITH {_PW}, {_VEC} SELECT word, coalesce(v[1], -1) AS x FROM (SELECT DISTINCT word FROM pw) LEFT JOIN vw USING (word)""")
+@_query(f"""WITH {_PW}, {_VEC} SELECT word, coalesce(v[1], -1) AS x, coalesce(v[2], 0) AS y, coalesce(v[3], 0) AS z FROM (SELECT DISTINCT word FROM pw) LEFT JOIN vw USING (word)""")
 def vocabulary_vectors(spark, sf):
     words = _part_words(spark, sf).select("word").distinct().withColumn("index", F.lit(0))
     out = vectors.vocabulary_matrix(words, _word_vectors(spark, sf), F.array(F.lit(-1.0), F.lit(0.0), F.lit(0.0)))
-    return out.select("word", F.get("vector", F.lit(0)).alias("x"))
+    return out.select("word", *(F.get("vector", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
 
 
-@_query(f"""WITH {_PW}, {_VEC} SELECT p_partkey, coalesce(v[1], 0) AS x, coalesce(v[3], 0) AS z FROM part LEFT JOIN vw ON p_name = word""")
+@_query(f"""WITH {_PW}, {_VEC} SELECT p_partkey, coalesce(v[1], 0) AS x, coalesce(v[3], 0) AS z FROM part LEFT JOIN vw ON string_split(p_name, ' ')[1] = word""")
 def looked_up_vectors(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("word"))
+    rows = table(spark, sf, "part").select("p_partkey", F.get(F.split("p_name", " "), F.lit(0)).alias("word"))
     out = vectors.looked_up(rows, _word_vectors(spark, sf), "word", 3)
     return out.select("p_partkey", F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(2)).alias("z"))
 
@@ -507,11 +512,11 @@ def cohen_kappa_of_ranges(spark, sf):
     return scoring.kappa(table(spark, sf, "labels"), "quality", "toxic", "doc_id", ((10, 50), (100, 140)))
 
 
-@_query(rf"""WITH {_R}, s AS (SELECT 'left' AS side, u.text AS t FROM conversations u WHERE role = 'user' UNION ALL SELECT 'right', text FROM conversations WHERE role = 'user'),
+@_query(rf"""WITH {_R}, s AS (SELECT 'left' AS side, u.text AS t FROM conversations u WHERE role = 'user' UNION ALL SELECT 'right', role || ' says ' || left(text, 40) FROM conversations WHERE role = 'user'),
         w AS (SELECT side, unnest(string_split_regex(lower(t), '[^a-z]+')) AS word FROM s), c AS (SELECT side, count(*) AS clean, count(ref.word) AS known FROM w LEFT JOIN ref ON w.word = ref.word WHERE w.word <> '' GROUP BY side),
         n AS (SELECT side, count(*) AS rows, sum(len(string_split_regex(trim(t), '\s+'))) AS tokens FROM s GROUP BY side) SELECT side, round(tokens / rows, 6) AS tokens, round(clean / rows, 6) AS clean, round(known / rows, 6) AS known FROM n JOIN c USING (side)""")
 def pair_word_stats(spark, sf):
-    pairs = table(spark, sf, "conversations").where("role = 'user'").select(F.col("text").alias("left"), F.col("text").alias("right"))
+    pairs = table(spark, sf, "conversations").where("role = 'user'").select(F.col("text").alias("left"), F.concat("role", F.lit(" says "), F.substring("text", 1, 40)).alias("right"))
     out = corpus.pair_stats(pairs, corpus.word_frequency(table(spark, sf, "benchmark")))
     return out.select("side", *(F.round(c, 6).alias(c) for c in ("tokens", "clean", "known")))
 

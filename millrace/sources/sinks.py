@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +89,33 @@ def upsert(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def last_write(rows: DataFrame, keys: list[str], value: Column, order: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias("value"))
+
+
+def merge_entities(batch: DataFrame, path: str, key: str, order: list[str], buckets: int = 64) -> None:
+    """Brings a batch into a stored table of entities, field by field: of each field the latest non-null value stays.
+
+    Entities lie in folders by a hash of their key; only the folders that the batch touches are read and written anew, by
+    dynamic overwrite from a finished table, so a run that breaks off can be repeated. Each field is kept with what `order`
+    said of it, so batches may come in any order and more than once; of one moment the larger value stays. Null keys
+    are an entity of their own. An empty batch changes nothing.
+    """
+    spark = batch.sparkSession
+    fields = [c for c in batch.columns if c != key and c not in order]
+    said = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.struct(*order).alias("when"), F.col(c).alias("value")))
+    new = written(batch.groupBy(key).agg(*(F.max(said(c)).alias(c) for c in fields)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    try:
+        new = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)).select(new.columns).unionByName(new)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    merged = written(new.groupBy(key, "bucket").agg(*(F.max(c).alias(c) for c in fields)), "merged")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored_entities(spark, path: str, key: str) -> DataFrame:
+    """The entities of merge_entities, with the values of their fields."""
+    rows = spark.read.parquet(path).drop("bucket")
+    return rows.select(key, *(F.col(f"{c}.value").alias(c) for c in rows.columns if c != key))

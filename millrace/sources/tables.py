@@ -9,18 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table below spark.checkpoint.dir, which driver and executors share.
+def new_folder(spark, name: str) -> str:
+    """A path for a table below spark.checkpoint.dir, which driver and executors share.
 
-    It cuts the lineage: what it holds is the same for all who read it, and survives lost executors. Only where the
-    setting is missing (local tests) a temporary folder takes its place.
+    Only where the setting is missing (local tests) a temporary folder takes its place.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df from a Parquet table in a new folder.
+
+    It cuts the lineage: what it holds is the same for all who read it, and survives lost executors.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import clustering, discriminative, languages, neighbours
+from millrace.sources import sinks
 
 ROWS = "id long, label string, vector array<double>"
 
@@ -173,3 +174,23 @@ def test_elimination_keeps_what_tells(spark):
     rows = [(i, f"c{i % 2}", [float(rng.normal()), float(3 * (i % 2) + rng.normal() / 2), float(rng.normal())]) for i in range(90)]
     found = discriminative.eliminated(spark.createDataFrame(rows, ROWS), "id", "label", "vector", folds=2, c=1.0)
     assert found[0][0] == [0, 1, 2] and found[-1][0] == [1] and all(good > 0.9 for _, good in found)
+
+
+def test_entities_are_merged_by_buckets(spark, tmp_path):
+    """Late batches, batches that come twice, null keys and values; buckets without news keep their files."""
+    path = str(tmp_path / "entities")
+    schema = "k string, at int, name string, kind string"
+    one = spark.createDataFrame([("a", 2, "A2", None), ("a", 1, "A1", "x"), ("b", 5, None, "y"), (None, 1, "n", None)], schema)
+    two = spark.createDataFrame([("a", 3, None, "z"), ("a", 0, "A0", "w"), ("c", 1, "C", None)], schema)
+    sinks.merge_entities(one, path, "k", ["at"], buckets=8)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "entities").rglob("*.parquet")}
+    sinks.merge_entities(two, path, "k", ["at"], buckets=8)
+    sinks.merge_entities(one.limit(0), path, "k", ["at"], buckets=8)
+    want = {("a", "A2", "z"), ("b", None, "y"), (None, "n", None), ("c", "C", None)}
+    assert {tuple(r) for r in sinks.stored_entities(spark, path, "k").collect()} == want
+    touched = {r.b for r in two.select(F.pmod(F.xxhash64("k"), F.lit(8)).alias("b")).collect()}
+    kept = [p for p in files if int(p.parent.name.split("=")[1]) not in touched]
+    assert kept and all(p.stat().st_mtime_ns == files[p] for p in kept)
+    sinks.merge_entities(two, path, "k", ["at"], buckets=8)
+    sinks.merge_entities(one, path, "k", ["at"], buckets=8)
+    assert {tuple(r) for r in sinks.stored_entities(spark, path, "k").collect()} == want
