@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions import text as T
-from millrace.operators import clustering, discriminative, entities, languages, neighbours, retrieval
+from millrace.operators import clustering, discriminative, embedding, entities, languages, learning, neighbours, retrieval
 from millrace.plans.queries import _NAMES, _name_hits, _query, table
 from millrace.sources import sinks
 from millrace.sources.tables import new_folder
@@ -171,3 +171,25 @@ def escaped_literals(spark, sf):
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), "\n", r"\\t"), "[éä]", r"\\u00E4"), '"', r'\\"')
     docs = table(spark, sf, "documents").select("doc_id", T.unescape(text).alias("text"))
     return docs.select("doc_id", F.md5("text").alias("digest"), F.col("text").rlike("[éä]").alias("accented"))
+
+
+# --- embeddings ------------------------------------------------------------------------------------------------------
+
+
+@_query()
+def cbow_neighbours(spark, sf):
+    """Word vectors of the benchmark's and conversations' texts, and the word nearest to each."""
+    texts = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text").unionByName(table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text"))
+    rows = texts.select("id", T.letters_only(F.coalesce("text", F.lit(""))).alias("words"))
+    found = embedding.cbow(rows, "id", dims=32, passes=3)
+    unit = found.select("word", F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))).alias("vector"))
+    return neighbours.nearest(unit, unit, "word", "word", skip_own=True).select("word", "nearest", F.round("distance", 4).alias("distance"))
+
+
+@_query()
+def shared_heads(spark, sf):
+    """Language and source of held-out documents by two classifiers on the same hashed words and sub-words."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    rows = docs.withColumn("terms", learning.subword_terms(T.letters_only(F.coalesce("text", F.lit(""))), low=3, high=4, grams=1))
+    model = embedding.fit_shared(rows.where("doc_id % 3 <> 0"), "doc_id", "terms", ["lang", "source"], size=1 << 14, dims=16, passes=3)
+    return embedding.predict_shared(rows.where("doc_id % 3 = 0").select("doc_id", "lang", "source", "terms"), "terms", model).drop("terms")

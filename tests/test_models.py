@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import clustering, discriminative, languages, neighbours
+from millrace.operators import clustering, discriminative, embedding, languages, neighbours
 from millrace.sources import sinks
 
 ROWS = "id long, label string, vector array<double>"
@@ -194,3 +194,49 @@ def test_entities_are_merged_by_buckets(spark, tmp_path):
     sinks.merge_entities(two, path, "k", ["at"], buckets=8)
     sinks.merge_entities(one, path, "k", ["at"], buckets=8)
     assert {tuple(r) for r in sinks.stored_entities(spark, path, "k").collect()} == want
+
+
+def test_alias_draws_in_proportion():
+    w = np.array([5.0, 1.0, 0.5, 3.5])
+    share, other = embedding.alias_table(w)
+    chance = np.array([share[i] + sum(1 - share[j] for j in range(4) if other[j] == i and j != i) for i in range(4)]) / 4
+    assert np.allclose(chance, w / w.sum())
+
+
+def topics(n, seed=3):
+    """Texts of two topics with words of their own."""
+    rng = random.Random(seed)
+    words = [["kettle", "boil", "steam", "spout", "lid", "tea"], ["tyre", "wheel", "brake", "pedal", "chain", "road"]]
+    return [(i, f"t{i % 2}", ["even", "odd"][i // 2 % 2] if i % 5 else None, rng.choices(words[i % 2], k=12) + [["left", "right"][i // 2 % 2]]) for i in range(n)]
+
+
+def test_cbow(spark):
+    """Words of a topic are nearer to each other than to those of the other; reruns agree to the last digit."""
+    docs = spark.createDataFrame(topics(160), "id long, topic string, half string, words array<string>").repartition(3)
+    make = lambda rows: {r.word: np.array(r.vector) for r in embedding.cbow(rows, "id", dims=16, window=3, passes=6, rate=0.3, parts=3).collect()}
+    found = make(docs)
+    again = make(docs.repartition(5))
+    assert set(found) == {w for r in topics(160) for w in r[3]} and all((found[w] == again[w]).all() for w in found)
+    cos = lambda a, b: found[a] @ found[b] / np.linalg.norm(found[a]) / np.linalg.norm(found[b])
+    same = np.mean([cos("kettle", w) for w in ("boil", "steam", "spout", "lid", "tea")])
+    other = np.mean([cos("kettle", w) for w in ("tyre", "wheel", "brake", "pedal", "chain", "road")])
+    assert same > other + 0.3
+    assert embedding.cbow(docs.limit(0), "id").count() == 0
+    with pytest.raises(ValueError, match="words"):
+        embedding.cbow(docs, "id", most_words=3)
+
+
+def test_heads_share_their_words(spark):
+    rows = topics(240)
+    docs = spark.createDataFrame([*rows, (900, None, None, ["zzz"]), (901, "t0", "odd", [])], "id long, topic string, half string, words array<string>")
+    model = embedding.fit_shared(docs.where("id % 3 <> 0 OR id >= 900"), "id", "words", ["topic", "half"], size=1 << 10, dims=8, passes=8, parts=2)
+    assert model.classes == {"topic": ["t0", "t1"], "half": ["even", "odd"]}
+    got = {r.id: r for r in embedding.predict_shared(docs, "words", model).collect()}
+    asked = [r for r in rows if r[0] % 3 == 0]
+    assert sum(got[i].pred_topic == t for i, t, _, _ in asked) >= 0.95 * len(asked)
+    assert sum(got[i].pred_half == ["even", "odd"][i // 2 % 2] for i, *_ in asked) >= 0.95 * len(asked)
+    assert got[901].pred_topic is None and len(got) == len(rows) + 2
+    with pytest.raises(ValueError, match="classes"):
+        embedding.fit_shared(docs, "id", "words", ["topic"], most_classes=1)
+    with pytest.raises(ValueError, match="bytes"):
+        embedding.train(docs, "id", {"x": np.zeros((10, 10))}, None, 1, 1, 1, most_bytes=10)
