@@ -86,3 +86,9 @@ CATEGORY_PATH = r" [>/|]+[ >]*"
 # fixed values: first elements that say nothing, and elements that are offers or prices
 EMPTY_HEAD = "^(College|[A-Z]{3,6})$"
 OFFER_OR_PRICE = r"Sale|Deals|[$£€]+\s*[0-9]+"
+
+#: Columns of the newer gold-standard layout, its name and that of the older one, or a constant.
+GOLD_LAYOUT = (
+    ("URL", "url"), ("Name", "name"), ("Site specific category", "category"), ("Description", "description"),
+    ("Lvl1", "lvl1"), ("Lvl2", "lvl2"), ("Lvl3", "lvl3"), ("Solr index", None), ("Record ID", None),
+)

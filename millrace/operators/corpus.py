@@ -178,6 +178,13 @@ def keywords_by_rank(rows: DataFrame, key: str, ranks: DataFrame, k: int = 3, co
     return rows.select(key).join(picked, key, "left").select(key, F.coalesce("keywords", F.lit("unknown")).alias("keywords"))
 
 
+def keywords_by_votes(rows: DataFrame, key: str, first: DataFrame, second: DataFrame, k: int = 3, column: str = "text") -> DataFrame:
+    """Words of each row with the least sum of their positions in two ranked lists (word, rank), a missing one counting 0; "unknown" if there is no word."""
+    words = word_rows(rows, T.letters_only(F.col(column)), key).distinct()
+    voted = words.join(first.select("word", F.col("rank").alias("a")), "word", "left").join(second.select("word", F.col("rank").alias("b")), "word", "left")
+    return keywords_by_rank(rows, key, voted.select("word", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("rank")).distinct(), k, column)
+
+
 def best_category_part(rows: DataFrame, key: str, host: str, parts: str) -> DataFrame:
     """Of several elements the one with the highest mean idf of its words within the host, the last of equals.
 

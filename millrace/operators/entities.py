@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions.constants import FIELDS
+from millrace.functions.constants import EMPTY_NAMES, FIELDS
 
 
 def parse_quads(lines: DataFrame) -> DataFrame:
@@ -48,9 +48,9 @@ def with_fields(quads: DataFrame) -> DataFrame:
     return quads.withColumn("id", F.concat_ws("|", "s", "source")).withColumn("field", F.coalesce(F.try_element_at(known, F.lower("p")), F.concat("p", F.lit("_t"))))
 
 
-def runs(rows: DataFrame, key: str, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """rows with `run`: numbers of the runs of equal keys (case ignored) along the order, from 1."""
-    along = Window.partitionBy(*(within or [])).orderBy(*order)
+def runs(rows: DataFrame, key: str, order: list[str], within: list[str]) -> DataFrame:
+    """rows with `run`: numbers of the runs of equal keys (case ignored) along the order, from 1 in each group of `within`."""
+    along = Window.partitionBy(*within).orderBy(*order)
     changed = F.when(F.lower(key) != F.lag(F.lower(key)).over(along), 1).otherwise(0)
     return rows.withColumn("changed", changed).withColumn("run", (F.sum("changed").over(along.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("long")).drop("changed")
 
@@ -180,5 +180,5 @@ def id_host_counts(pairs: DataFrame) -> DataFrame:
 
 def rejections(rows: DataFrame, column: str) -> DataFrame:
     plain = T.ascii_only(T.basic_clean(F.col(column)))
-    reason = F.when(F.lower(plain).isin("product", "home", "null"), "stop word").when(plain.startswith(".") | plain.startswith("\\u"), "unicode").when(F.length(plain) < 3, "short").when(~english(plain), "language").otherwise("kept")
+    reason = F.when(F.lower(plain).isin(*EMPTY_NAMES["product"]), "stop word").when(plain.startswith(".") | plain.startswith("\\u"), "unicode").when(F.length(plain) < 3, "short").when(~english(plain), "language").otherwise("kept")
     return rows.groupBy(reason.alias("reason")).count()

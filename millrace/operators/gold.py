@@ -13,8 +13,13 @@ def hash_rank(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def apply_corrections(original: DataFrame, correction: DataFrame, key: str, levels: list[str]) -> DataFrame:
-    """original with the correction's levels where the last level differs, case ignored."""
+def apply_corrections(original: DataFrame, correction: DataFrame, key: str, levels: list[str], strict: bool = False) -> DataFrame:
+    """original with the correction's levels where the last level differs, case ignored; rows without a correction go, or if strict are an error."""
+    if strict:
+        found = correction.select(F.col(key).alias("_key"), F.lit(True).alias("_found")).distinct()
+        missing = F.raise_error(F.concat(F.lit("no correction of "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(original.schema[key].dataType)
+        checked = original.join(found, F.col(key) == F.col("_key"), "left")
+        original = checked.select(*(F.when(F.col("_found").isNull(), missing).otherwise(F.col(c)).alias(c) if c == key else F.col(c) for c in original.columns))
     fixed = correction.select(key, *(F.col(c).alias(f"new_{c}") for c in levels))
     differs = F.lower(levels[-1]) != F.lower(f"new_{levels[-1]}")
     rest = [c for c in original.columns if c not in levels]

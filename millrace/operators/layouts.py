@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-
-#: Columns of the newer gold-standard layout: its name, and that of the older one, or a constant.
-GOLD_LAYOUT = (
-    ("URL", "url"), ("Name", "name"), ("Site specific category", "category"), ("Description", "description"),
-    ("Lvl1", "lvl1"), ("Lvl2", "lvl2"), ("Lvl3", "lvl3"), ("Solr index", None), ("Record ID", None),
-)
-
+from millrace.functions.constants import GOLD_LAYOUT
 
 def gold_layout(rows: DataFrame) -> DataFrame:
     """The older layout's columns in the newer's order and names; what the older one lacks is "N/A"."""
@@ -78,3 +72,8 @@ def category_set(rows: DataFrame, category: str, stem: bool = True) -> DataFrame
 def examples(rows: DataFrame, keywords: DataFrame, key: str, name: str, category: str) -> DataFrame:
     """Name, category and keywords of each row, side by side."""
     return rows.join(keywords, key, "left").select(key, name, category, F.coalesce("keywords", F.lit("")).alias("keywords"))
+
+
+def copied_column(rows: DataFrame, to: str, source: str) -> DataFrame:
+    """rows, in their order of columns, with one column's values in place of another's."""
+    return rows.select(*(F.col(f"`{source}`").alias(c) if c == to else F.col(f"`{c}`") for c in rows.columns))

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, HashingTF, IndexToString, MinMaxScaler, NGram, StandardScaler, StringIndexer, VectorSlicer, Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,19 +114,6 @@ def word_vectors(rows: DataFrame, words: str = "words", size: int = 300, window:
     return Word2Vec(inputCol=words, vectorSize=size, windowSize=window, minCount=least, seed=42).fit(rows).getVectors().select("word", F.col("vector"))
 
 
-def cluster(rows: DataFrame, k: int, features: str = "features") -> DataFrame:
-    """rows with `cluster` by bisecting k-means, in place of agglomerative clustering."""
-    return BisectingKMeans(k=k, seed=42, featuresCol=features, predictionCol="cluster").fit(rows).transform(rows)
-
-
-def best_k(rows: DataFrame, sizes: list[int], vector: str, features: str = "features") -> int:
-    """The number of clusters with the highest Calinski-Harabasz score."""
-    from millrace.operators.vectors import calinski_harabasz
-
-    scores = {k: calinski_harabasz(cluster(rows, k, features), "cluster", vector).first().score for k in sizes}
-    return max(scores, key=lambda k: (scores[k] if scores[k] is not None else float("-inf"), -k))
-
-
 def predict(path: str, rows: DataFrame) -> DataFrame:
     """rows with the predictions of a saved model."""
     return PipelineModel.load(path).transform(rows)

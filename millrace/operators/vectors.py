@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import placed
+
 
 def tfidf(words: DataFrame, key: str, min_df: int = 1, max_df: float = 1.0, most: int = 50_000) -> DataFrame:
     """key, word, weight = tf * (ln(n / df) + 1) of (key, word) rows; words within the df limits, the most frequent ones."""
@@ -79,6 +81,33 @@ def vocabulary_matrix(vocabulary: DataFrame, vectors: DataFrame, substitute: Col
     return vocabulary.join(vectors, "word", "left").select("word", "index", F.coalesce("vector", substitute).alias("vector"))
 
 
+def substitutes(vocabulary: DataFrame, vectors: DataFrame, strategy: int, dims: int) -> DataFrame:
+    """word, index, vector of a vocabulary; words that have no vector get zeros (0), numbers between 0 and 1 (1) or that of a word outside the vocabulary (2).
+
+    Numbers come from hashes of word and place. With 2 no two words get one vector, in the order of their hashes; if there are
+    too few words outside, the rest get zeros.
+    """
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    digits = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("word"), i.cast("string"))), 1, 8), 16, 10).cast("double")
+    if strategy != 2:
+        other = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: digits(i) / F.lit(float(1 << 32))) if strategy == 1 else zeros
+        return vocabulary_matrix(vocabulary, vectors, other)
+    lost = placed(vocabulary.join(vectors.select("word"), "word", "left_anti"), [F.md5("word"), "word"])
+    free = placed(vectors.join(vocabulary.select("word"), "word", "left_anti").select(F.col("word").alias("w"), "vector"), [F.md5("w"), "w"]).select("vector", "place")
+    known = vocabulary.join(vectors, "word").select("word", "index", "vector")
+    return known.unionByName(lost.join(free, "place", "left").select("word", "index", F.coalesce("vector", zeros).alias("vector")))
+
+
+def sentence_indices(rows: DataFrame, key: str, column: str, vocabulary: DataFrame, sentences: int, length: int) -> DataFrame:
+    """key, ids: for the first sentences of a row (arrays of words) the indices of their first words in (word, index), both padded with 0."""
+    each = rows.select(key, F.posexplode_outer(F.slice(column, 1, sentences)).alias("line", "words"))
+    words = each.select(key, "line", F.posexplode_outer(F.slice("words", 1, length)).alias("at", "word")).join(vocabulary, "word", "left")
+    lines = words.groupBy(key, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("index", F.lit(0)).alias("i")))), lambda p: p["i"]).alias("ids"))
+    pad = lambda ids, n, what: F.slice(F.concat(ids, F.array_repeat(what, n)), 1, n)
+    lists = lines.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "ids"))), lambda s: pad(s["ids"], length, F.lit(0))).alias("ids"))
+    return lists.select(key, pad("ids", sentences, F.array_repeat(F.lit(0), length)).alias("ids"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

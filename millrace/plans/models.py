@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions import text as T
-from millrace.operators import clustering, discriminative, embedding, entities, languages, learning, neighbours, retrieval
+from millrace.operators import clustering, corpus, discriminative, embedding, entities, languages, layouts, learning, neighbours, retrieval, vectors
 from millrace.plans.queries import _NAMES, _name_hits, _query, table
-from millrace.sources import sinks
-from millrace.sources.tables import new_folder
+from millrace.sources import readers, sinks
+from millrace.sources.tables import new_folder, placed
 
 # --- neighbours and clusters -----------------------------------------------------------------------------------------
 
@@ -188,8 +188,85 @@ def cbow_neighbours(spark, sf):
 
 @_query()
 def shared_heads(spark, sf):
-    """Language and source of held-out documents by two classifiers on the same hashed words and sub-words."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    rows = docs.withColumn("terms", learning.subword_terms(T.letters_only(F.coalesce("text", F.lit(""))), low=3, high=4, grams=1))
-    model = embedding.fit_shared(rows.where("doc_id % 3 <> 0"), "doc_id", "terms", ["lang", "source"], size=1 << 14, dims=16, passes=3)
-    return embedding.predict_shared(rows.where("doc_id % 3 = 0").select("doc_id", "lang", "source", "terms"), "terms", model).drop("terms")
+    """Type and brand of held-out parts by two classifiers on the same hashed words and sub-words."""
+    part = table(spark, sf, "part")
+    words = T.letters_only(F.concat_ws(" ", "p_name", "p_type", F.translate("p_brand", "0123456789", "abcdefghij")))
+    rows = part.select("p_partkey", "p_type", "p_brand", learning.subword_terms(words, low=3, high=5, grams=2).alias("terms"))
+    model = embedding.fit_shared(rows.where("p_partkey % 3 <> 0"), "p_partkey", "terms", ["p_type", "p_brand"], size=1 << 14, dims=16, passes=10, rate=1.0, parts=2)
+    return embedding.predict_shared(rows.where("p_partkey % 3 = 0"), "terms", model).drop("terms")
+
+
+# --- vocabularies and layouts ----------------------------------------------------------------------------------------
+
+_OOV = "v AS (SELECT word, min(p_partkey) AS index FROM (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS word FROM part) GROUP BY word), m AS (SELECT word, [length(word), ord(word) % 7]::DOUBLE[] AS vector FROM (SELECT DISTINCT unnest(string_split(p_name || ' ' || lower(p_type) || ' ' || p_brand, ' ')) AS word FROM part))"
+
+
+def _vocabulary(spark, sf):
+    part = table(spark, sf, "part")
+    words = part.select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("word")).groupBy("word").agg(F.min("p_partkey").alias("index"))
+    model = part.select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand"), " ")).alias("word")).distinct()
+    return words, model.select("word", F.array(F.length("word").cast("double"), (F.ascii("word") % 7).cast("double")).alias("vector"))
+
+
+@_query(f"""WITH {_OOV}, o AS (SELECT *, row_number() OVER (ORDER BY md5(word), word) AS nth FROM v WHERE word NOT IN (SELECT word FROM m)), f AS (SELECT vector, row_number() OVER (ORDER BY md5(word), word) AS nth FROM m WHERE word NOT IN (SELECT word FROM v)),
+        u AS (SELECT 0 AS strategy, word, index, coalesce(vector, [0, 0]::DOUBLE[]) AS x FROM v LEFT JOIN m USING (word)
+              UNION ALL SELECT 1, word, index, coalesce(vector, list_transform([1, 2], lambda i: ('0x' || left(md5(word || '|' || i), 8))::BIGINT / 4294967296.0)) FROM v LEFT JOIN m USING (word)
+              UNION ALL SELECT 2, word, index, vector FROM v JOIN m USING (word) UNION ALL SELECT 2, word, index, coalesce(vector, [0, 0]::DOUBLE[]) FROM o LEFT JOIN f USING (nth))
+        SELECT strategy, word, index, round(x[1], 6) AS a, round(x[2], 6) AS b FROM u""")
+def vocabulary_substitutes(spark, sf):
+    """A vocabulary with vectors, its unknown words by all three strategies."""
+    words, model = _vocabulary(spark, sf)
+    parts = [vectors.substitutes(words, model, s, 2).select(F.lit(s).alias("strategy"), "word", "index", *(F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate("ab"))) for s in (0, 1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(text), '[.!?]'), lambda x: list_filter(string_split_regex(x, '[^a-z]+'), lambda w: w <> '')), lambda x: len(x) > 0)[1:3] AS s FROM benchmark),
+        w AS (SELECT item_id, line, s[line][1:4] AS w FROM (SELECT item_id, s, unnest([1, 2, 3]) AS line FROM s)),
+        x AS (SELECT item_id, line, list_transform([1, 2, 3, 4], lambda i: CASE WHEN w[i] IS NULL OR length(w[i]) < 3 THEN 0 ELSE length(w[i]) * 100 + ord(w[i]) END) AS ids FROM w)
+        SELECT item_id, string_agg(array_to_string(ids, ' '), ',' ORDER BY line) AS ids FROM x GROUP BY item_id""")
+def sentence_indices(spark, sf):
+    """The first four words of the first three sentences as numbers, short words having none."""
+    words = lambda c: F.filter(F.split(c, "[^a-z]+"), lambda w: w != "")
+    lines = table(spark, sf, "benchmark").select("item_id", F.filter(F.transform(F.split(F.lower("text"), "[.!?]"), words), lambda x: F.size(x) > 0).alias("lines"))
+    vocabulary = lines.select(F.explode(F.flatten("lines")).alias("word")).distinct().where(F.length("word") >= 3).select("word", (F.length("word") * 100 + F.ascii("word")).alias("index"))
+    out = vectors.sentence_indices(lines, "item_id", "lines", vocabulary, 3, 4)
+    return out.select("item_id", F.array_join(F.transform("ids", lambda x: F.array_join(x.cast("array<string>"), " ")), ",").alias("ids"))
+
+
+@_query("""WITH w AS (SELECT p_partkey, unnest(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z]+')) AS word FROM part), a AS (SELECT word, row_number() OVER (ORDER BY word) AS r FROM (SELECT DISTINCT word FROM w WHERE length(word) > 4)), b AS (SELECT word, row_number() OVER (ORDER BY word DESC) AS r FROM (SELECT DISTINCT word FROM w WHERE length(word) > 3)),
+        v AS (SELECT DISTINCT p_partkey, w.word, coalesce(a.r, 0) + coalesce(b.r, 0) AS r FROM w LEFT JOIN a USING (word) LEFT JOIN b USING (word) WHERE w.word <> '')
+        SELECT p_partkey, string_agg(word, ' ' ORDER BY r, word) AS keywords FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY r, word) <= 2) GROUP BY p_partkey""")
+def keywords_by_votes(spark, sf):
+    """The two words of a part with the least sum of places in an alphabetical list and a reversed one."""
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    words = part.select(F.explode(T.letters_only(F.col("text"))).alias("word")).distinct()
+    listed = lambda least, order: placed(words.where(F.length("word") > least), [order]).select("word", (F.col("place") + 1).alias("rank"))
+    return corpus.keywords_by_votes(part, "p_partkey", listed(4, F.col("word")), listed(3, F.col("word").desc()), k=2)
+
+
+@_query("SELECT p_partkey, p_brand AS p_name, p_brand, p_size FROM part")
+def copied_column(spark, sf):
+    return layouts.copied_column(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_name", "p_brand")
+
+
+@_query("WITH w AS (SELECT p_brand AS word, count(*) AS freq FROM part GROUP BY 1) SELECT min(freq) AS least, sum(freq)::BIGINT AS total FROM w")
+def frequency_bounds(spark, sf):
+    """Counts of brands written as lines, read back as a list of frequencies."""
+    path = new_folder(spark, "frequencies")
+    counts = table(spark, sf, "part").groupBy(F.regexp_replace("p_brand", r"\s", "_").alias("word")).count()
+    counts.select(F.concat_ws(" ", F.col("count").cast("string"), "word").alias("value")).write.text(path)
+    return readers.frequency_bounds(readers.frequencies(spark, path))
+
+
+@_query("""WITH d AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), t AS (SELECT DISTINCT p_brand || ' > ' || p_type AS path FROM part), w AS (SELECT path, unnest(string_split_regex(lower(path), '[^a-z0-9]+')) AS word FROM t UNION ALL SELECT path, unnest(string_split(lower(p_name), ' ')) FROM (SELECT DISTINCT p_brand || ' > ' || p_type AS path, p_name FROM part)),
+        wt AS (SELECT path, word, count(*) AS y FROM w GROUP BY ALL), dt AS (SELECT p_partkey, word, count(*) AS x FROM d GROUP BY ALL), na AS (SELECT p_partkey, sqrt(sum(x * x)) AS a FROM dt GROUP BY 1), nb AS (SELECT path, sqrt(sum(y * y)) AS b FROM wt GROUP BY 1),
+        s AS (SELECT p_partkey, path, round(sum(x * y) / any_value(a * b), 6) AS score FROM dt JOIN wt USING (word) JOIN na USING (p_partkey) JOIN nb USING (path) GROUP BY ALL)
+        SELECT p_partkey, path, score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, path) = 1""")
+def nearest_taxonomy_path(spark, sf):
+    """Names against the joined levels of a taxonomy, each path with its own words and those of its members."""
+    part = table(spark, sf, "part")
+    levels = vectors.taxonomy_paths(part, ["p_brand", "p_type"]).select("path", F.explode(F.split(F.lower("path"), "[^a-z0-9]+")).alias("word"))
+    members = part.select(F.concat_ws(" > ", "p_brand", "p_type").alias("path"), "p_name").distinct().select("path", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    targets = levels.unionByName(members).groupBy("path", "word").agg(F.count("*").alias("weight"))
+    names = part.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("p_partkey", "word").agg(F.count("*").alias("weight"))
+    return vectors.sparse_nearest(names, targets, "p_partkey", "path")

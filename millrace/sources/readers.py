@@ -103,6 +103,11 @@ def frequencies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.try_element_at("p", F.lit(1)).try_cast("long").alias("freq"), F.try_element_at("p", F.lit(2)).alias("word")).where("word IS NOT NULL")
 
 
+def frequency_bounds(counts: DataFrame) -> DataFrame:
+    """least, total: the smallest count of a list of frequencies and the sum of all."""
+    return counts.agg(F.min("freq").alias("least"), F.sum("freq").alias("total"))
+
+
 def corpus_words(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, words of text files: lower-case tokens of each line that has any."""
     rows = quad_lines(spark, path).select("file", "line_no", F.filter(F.split(F.lower("value"), r"\s+"), lambda w: w != "").alias("words"))

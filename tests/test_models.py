@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import clustering, discriminative, embedding, languages, neighbours
-from millrace.sources import sinks
+from millrace.operators import clustering, discriminative, embedding, gold, languages, learning, neighbours
+from millrace.sources import readers, sinks
 
 ROWS = "id long, label string, vector array<double>"
 
@@ -240,3 +240,44 @@ def test_heads_share_their_words(spark):
         embedding.fit_shared(docs, "id", "words", ["topic"], most_classes=1)
     with pytest.raises(ValueError, match="bytes"):
         embedding.train(docs, "id", {"x": np.zeros((10, 10))}, None, 1, 1, 1, most_bytes=10)
+
+
+def test_corrections_that_are_missing(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, l1 string, l2 string")
+    both = spark.createDataFrame([(1, "x", "B"), (2, "y", "z")], "id int, l1 string, l2 string")
+    assert sorted(map(tuple, gold.apply_corrections(rows, both, "id", ["l1", "l2"], strict=True).collect())) == [(1, "a", "b"), (2, "y", "z")]
+    assert gold.apply_corrections(rows, both.where("id = 1"), "id", ["l1", "l2"]).count() == 1
+    with pytest.raises(Exception, match="no correction of 2"):
+        gold.apply_corrections(rows, both.where("id = 1"), "id", ["l1", "l2"], strict=True).collect()
+
+
+def test_files_by_cluster_and_dictionaries(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "cluster_id int, name string")
+    sinks.per_cluster(rows, str(tmp_path / "clusters"))
+    assert sorted(p.name for p in (tmp_path / "clusters").glob("cluster_id=*")) == ["cluster_id=1", "cluster_id=2"]
+    folder = tmp_path / "words"
+    folder.mkdir()
+    (folder / "kettle_noun.csv").write_text("lid,2.5\nspout,3\nbody,1\n")
+    (folder / "big_red_adj.csv").write_text("dark,1\n")
+    got = {tuple(r) for r in readers.dictionaries(spark, str(folder), 2).collect()}
+    assert got == {("kettle", "noun", "spout", 3.0), ("kettle", "noun", "lid", 2.5), ("big_red", "adj", "dark", 1.0)}
+
+
+def test_reduction_and_importance(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    table = spark.createDataFrame(points(4, 60, 4, 2), ROWS).select("id", F.col("label").alias("kind"), array_to_vector("vector").alias("features"))
+    x = np.array([r[2] for r in points(4, 60, 4, 2)])
+    for kind in ("pca", "scale", "minmax"):
+        found = np.array([r.v for r in Pipeline(stages=learning.reduced(kind, 2)).fit(table).transform(table).orderBy("id").select(vector_to_array("reduced").alias("v")).collect()])
+        if kind == "minmax":
+            assert np.allclose(found, (x - x.min(0)) / (x.max(0) - x.min(0)))
+        elif kind == "scale":
+            assert np.allclose(found, x / x.std(0, ddof=1))
+        else:
+            s = x / x.std(0, ddof=1)
+            assert np.allclose(found.var(0, ddof=1), np.linalg.eigvalsh(np.cov(s.T))[::-1][:2])
+    model = learning.fit(table, "rf", "kind", [])
+    picked = learning.important(model, 2).transform(model.transform(table))
+    assert all(len(r.selected) == 2 for r in picked.collect())
