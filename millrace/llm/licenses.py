@@ -48,8 +48,10 @@ def _grams(name: str, k: int) -> str:
 def template_positions(spark: SparkSession, templates, k: int) -> DataFrame:
     """t_hash, t_gram, t_pos, template, label, base, t_grams: a row for each k-gram of each (label, text, base)."""
     rows = [(i, label, text, base) for i, (label, text, base) in enumerate(templates)]
-    if sum(len(r[2]) for r in rows) > 16 << 20:
-        raise ValueError("the templates are broadcast and may have 16 MB at most")
+    # each word is a row of its k-gram and label; a word's length counts k times
+    size = sum((len(text) + 1) * k + len(text.split()) * (len(label) + 64) for _, label, text, _ in rows)
+    if size > 32 << 20:
+        raise ValueError(f"the templates' k-grams are broadcast, take {size} bytes and may have 32 MB at most")
     frame = spark.createDataFrame(rows, "template int, label string, body string, base boolean")
     frame = frame.withColumn("w", words(F.col("body"))).withColumn("grams", F.expr(_grams("w", k)))
     frame = frame.select("template", "label", "base", F.size("grams").alias("t_grams"), F.posexplode("grams").alias("t_pos", "t_gram"))

@@ -15,15 +15,17 @@ from millrace.llm.shared import written
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target of rows (source, size); one row per source.
+def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, most_sources: int = 1_000_000) -> DataFrame:
+    """source, source_size, target of rows (source, size); one row per source, of which more than most_sources are an error.
 
     Sources in code-point order, null last, take the weights in turn and share budget times all sizes. No target
     exceeds `most` times its source; what is above is reshared by weight until none is. That fixed point is
     min(most * size, weight * level): going up the sources by most * size / weight, the level is the first share of
-    what those before leave over that its own source need not be cut to. The windows see one row per source.
+    what those before leave over that its own source need not be cut to. The windows see those rows in one task.
     """
-    per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    per = written(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
+    if per.count() > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("double"))
     per = per.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))

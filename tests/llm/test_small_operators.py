@@ -175,6 +175,15 @@ def test_chat_perspectives(spark):
     assert chat.perspectives(docs.limit(0)).count() == 0
 
 
+def test_bounds_are_checked(spark):
+    """What is broadcast or seen by one task has a stated size."""
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d", "y")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="32 MB"):
+        licenses.license_scan(docs, passages=[("long", "word " * 500_000)])
+    with pytest.raises(ValueError, match="more than 1 sources"):
+        mixing.source_targets(docs.select("source", docs.doc_id.alias("size")), most_sources=1)
+
+
 def test_a_long_chat_is_whole(spark):
     """5,000 turns of three speakers, and as many without a conversation."""
     said = [(c, i, ["ann", "bob", "eve"][i * i % 3], f"{i} é" * (i % 4)) for c in (1, None) for i in range(5000)]
