@@ -103,9 +103,18 @@ def word_counts(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
     return written(word_rows(rows, T.normal_words(F.col(column)), key).groupBy(key, "word").agg(F.count("*").alias("n")), "word_counts")
 
 
-def heat_of_counts(counts: DataFrame, key: str, binned: DataFrame, bins: int) -> DataFrame:
-    """As heat_map(), of word_counts()."""
-    cells = counts.join(binned.select("word", "bin"), "word").groupBy(key, "bin").agg(F.sum("n").alias("n"))
+def heat_of_counts(counts: DataFrame, key: str, binned: DataFrame, bins: int, complete: bool = False, most: int = 100_000) -> DataFrame:
+    """As heat_map(), of word_counts(). complete says that every word has a bin.
+
+    Then those beyond the first bin, the frequent ones, go to every task where they are `most` at most, which is checked,
+    and the counts need not be moved to meet all words.
+    """
+    common = written(binned.where("bin <> 1").select("word", "bin"), "common") if complete else None
+    if common is not None and common.count() <= most:
+        told = counts.join(F.broadcast(common), "word", "left").withColumn("bin", F.coalesce("bin", F.lit(1).cast("long")))
+    else:
+        told = counts.join(binned.select("word", "bin"), "word")
+    cells = told.groupBy(key, "bin").agg(F.sum("n").alias("n"))
     # a row's cells are at most `bins`, so they are gathered by row rather than joined with its sum
     whole = cells.groupBy(key).agg(F.sum("n").alias("all"), F.collect_list(F.struct("bin", "n")).alias("cells"))
     each = whole.select("all", F.explode("cells").alias("c")).select("c.bin", (F.col("c.n") / F.col("all")).alias("share"), "all")

@@ -332,7 +332,7 @@ def freq_bins(spark, sf):
 def bin_heatmap(spark, sf):
     counts = corpus.word_counts(table(spark, sf, "documents"), "doc_id")
     binned = corpus.with_bins(counts.groupBy("word").agg(F.sum("n").alias("freq")), "freq")
-    return corpus.heat_of_counts(counts, "doc_id", binned, 100).withColumn("share", F.round("share", 8))
+    return corpus.heat_of_counts(counts, "doc_id", binned, 100, complete=True).withColumn("share", F.round("share", 8))
 
 
 @_query(f"""WITH {_W}, s AS (SELECT 'lang' AS level, lang AS label, word, source FROM v UNION ALL SELECT 'source', source, word, source FROM v)
