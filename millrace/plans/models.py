@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions import text as T
-from millrace.operators import clustering, corpus, discriminative, embedding, entities, languages, layouts, learning, neighbours, retrieval, vectors
+from millrace.operators import clustering, corpus, discriminative, embedding, entities, forests, languages, layouts, learning, neighbours, retrieval, vectors
 from millrace.plans.queries import _NAMES, _name_hits, _query, table
 from millrace.sources import readers, sinks
 from millrace.sources.tables import new_folder, placed
@@ -270,3 +270,11 @@ def nearest_taxonomy_path(spark, sf):
     targets = levels.unionByName(members).groupBy("path", "word").agg(F.count("*").alias("weight"))
     names = part.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("p_partkey", "word").agg(F.count("*").alias("weight"))
     return vectors.sparse_nearest(names, targets, "p_partkey", "path")
+
+
+@_query()
+def extra_tree_labels(spark, sf):
+    """Classes of held-out vectors by a forest of random cuts on the others."""
+    rows, train = _halves(spark, sf)
+    forest = forests.extra_trees(train, "truth", "embedding", depth=6)
+    return forests.decided(rows.where("vec_id % 3 = 0"), "embedding", forest).select("vec_id", "truth", "pred")

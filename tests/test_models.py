@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import clustering, discriminative, embedding, gold, languages, learning, neighbours
+from millrace.operators import clustering, discriminative, embedding, forests, gold, languages, learning, neighbours
 from millrace.sources import readers, sinks
 
 ROWS = "id long, label string, vector array<double>"
@@ -281,3 +281,27 @@ def test_reduction_and_importance(spark):
     model = learning.fit(table, "rf", "kind", [])
     picked = learning.important(model, 2).transform(model.transform(table))
     assert all(len(r.selected) == 2 for r in picked.collect())
+
+
+def test_extra_trees(spark):
+    """Leaves hold the rows that reach them, classes are told apart by the column that tells, and reruns agree."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"c{i % 3}", [float(rng.normal()), float(4 * (i % 3) + rng.normal() / 2), float(rng.normal()), 1.0]) for i in range(150)]
+    table = spark.createDataFrame([*rows, (900, None, [0.0] * 4), (901, "c0", None)], ROWS)
+    forest = forests.extra_trees(table.repartition(3), "label", "vector", trees=6, depth=5, tried=2)
+    again = forests.extra_trees(table.repartition(7), "label", "vector", trees=6, depth=5, tried=2)
+    assert (forest.column == again.column).all() and (forest.cut == again.cut).all() and (forest.counts == again.counts).all()
+    x, y = np.array([r[2] for r in rows]), np.array([r[0] % 3 for r in rows])
+    for t in range(6):
+        at = forest.nodes(x, t)
+        assert (forest.column[t][at] == -1).all()
+        for node in set(at.tolist()):
+            assert forest.counts[t][node].tolist() == np.bincount(y[at == node], minlength=3).tolist()
+    assert forest.importance.argmax() == 1 and forest.importance[3] == 0 and math.isclose(forest.importance.sum(), 1)
+    got = {r.id: r.pred for r in forests.decided(table, "vector", forest).collect()}
+    assert sum(got[i] == name for i, name, _ in rows) > 140 and got[901] is None
+    assert forests.important(table, "vector", forest, 1).where("id = 0").first().selected == [rows[0][2][1]]
+    with pytest.raises(ValueError, match="bytes"):
+        forests.extra_trees(table, "label", "vector", depth=20)
+    with pytest.raises(ValueError, match="no rows"):
+        forests.extra_trees(table.limit(0), "label", "vector")
