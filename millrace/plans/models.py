@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 from millrace.functions import text as T
 from millrace.operators import clustering, corpus, discriminative, embedding, entities, forests, languages, layouts, learning, neighbours, retrieval, vectors
 from millrace.plans.queries import _NAMES, _name_hits, _query, table
-from millrace.sources import readers, sinks
+from millrace.sources import binary_vectors, readers, sinks
 from millrace.sources.tables import new_folder, placed
 
 # --- neighbours and clusters -----------------------------------------------------------------------------------------
@@ -278,3 +278,21 @@ def extra_tree_labels(spark, sf):
     rows, train = _halves(spark, sf)
     forest = forests.extra_trees(train, "truth", "embedding", depth=6)
     return forests.decided(rows.where("vec_id % 3 = 0"), "embedding", forest).select("vec_id", "truth", "pred")
+
+
+@_query("SELECT 'w' || vec_id AS word, len(embedding) AS columns, round(list_sum(embedding::DOUBLE[]), 4) AS total, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[-1]::DOUBLE, 5) AS last FROM embeddings")
+def binary_word_vectors(spark, sf):
+    """Vectors written in the binary form and read back by byte ranges."""
+    path = new_folder(spark, "vectors")
+    binary_vectors.write(table(spark, sf, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vector")), path)
+    back = binary_vectors.read(spark, path, split=1 << 20)
+    numbers = F.transform("vector", lambda x: x.cast("double"))
+    return back.select("word", F.size("vector").cast("long").alias("columns"), F.round(F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.get(numbers, F.lit(0)), 5).alias("first"), F.round(F.element_at(numbers, -1), 5).alias("last"))
+
+
+@_query()
+def eliminated_columns(spark, sf):
+    """Subsets of the vectors' columns by recursive elimination, with the share of rows that models of the other fold get right."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("truth"), "embedding")
+    found = discriminative.eliminated(rows, "vec_id", "truth", "embedding", least=8, share=0.75, folds=2)
+    return spark.createDataFrame([(len(c), c, round(good, 6)) for c, good in found], "columns int, kept array<int>, right double")

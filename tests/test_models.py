@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import clustering, discriminative, embedding, forests, gold, languages, learning, neighbours
-from millrace.sources import readers, sinks
+from millrace.sources import binary_vectors, readers, sinks
 
 ROWS = "id long, label string, vector array<double>"
 
@@ -305,3 +305,32 @@ def test_extra_trees(spark):
         forests.extra_trees(table, "label", "vector", depth=20)
     with pytest.raises(ValueError, match="no rows"):
         forests.extra_trees(table.limit(0), "label", "vector")
+
+
+@pytest.mark.parametrize("split", [64 << 20, 500, 97, 7])
+def test_binary_vectors(spark, tmp_path, split):
+    """Words of every length, floats that look like words, newlines and blanks inside the floats, any cut."""
+    rng = np.random.default_rng(split)
+    odd = np.frombuffer(b"\n a \nab \n\nword \n \n x", "<f4")
+    rows = [(f"w{'ä' * (i % 40)}{i}", [float(x) for x in (np.resize(odd, 5) if i % 3 else rng.normal(size=5).astype("f4"))]) for i in range(120)]
+    table = spark.createDataFrame(rows, "word string, vector array<float>").repartition(3)
+    path = str(tmp_path / "vectors")
+    assert binary_vectors.write(table, path) == 120
+    got = binary_vectors.read(spark, path, split)
+    assert sorted((r.word, np.array(r.vector, "f4").tobytes()) for r in got.collect()) == sorted((w, np.array(v, "f4").tobytes()) for w, v in rows)
+
+
+def test_binary_vectors_of_other_writers(spark, tmp_path):
+    plain = b"2 2\nab " + np.array([1, 2], "<f4").tobytes() + b"c " + np.array([3, 4], "<f4").tobytes()
+    (tmp_path / "v.bin").write_bytes(plain)
+    assert sorted((r.word, list(r.vector)) for r in binary_vectors.read(spark, str(tmp_path / "v.bin"), 9).collect()) == [("ab", [1, 2]), ("c", [3, 4])]
+    (tmp_path / "cut.bin").write_bytes(plain[:-3])
+    with pytest.raises(Exception, match="no record at byte"):
+        binary_vectors.read(spark, str(tmp_path / "cut.bin")).collect()
+    (tmp_path / "bad.bin").write_bytes(b"words\n")
+    with pytest.raises(Exception, match="head line"):
+        binary_vectors.read(spark, str(tmp_path / "bad.bin")).collect()
+    for word, vector in (("a b", [1.0]), (None, [1.0]), ("a", None), ("x" * 2000, [1.0])):
+        with pytest.raises(Exception, match="no word or vector"):
+            binary_vectors.write(spark.createDataFrame([(word, vector)], "word string, vector array<float>"), str(tmp_path / "w"))
+    assert binary_vectors.write(spark.createDataFrame([], "word string, vector array<float>"), str(tmp_path / "none")) == 0
