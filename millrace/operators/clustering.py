@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import vectors
 from millrace.operators.neighbours import BLOCK, matrix
-from millrace.sources.tables import placed, written
+from millrace.sources.tables import discard, written
 
 #: So many clusters are merged in one task.
 LAST = 2048
@@ -30,7 +30,7 @@ def growth(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.nda
 
 
 def _chosen(clusters: DataFrame) -> DataFrame:
-    """id, other, height: the cluster that each would merge with, the first id of equals; by blocks of clusters against blocks."""
+    """Written rows id, other, height: the cluster that each would merge with, the first id of equals; by blocks of clusters against blocks."""
     size = F.ceil(F.lit(clusters.count() / BLOCK)).cast("int")
     dealt = clusters.withColumn("block", F.pmod(F.xxhash64("id"), size).cast("int"))
     blocks = written(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "n", "centroid"))).alias("rows")), "blocks")
@@ -50,7 +50,9 @@ def _chosen(clusters: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[best][some]), pa.array(height[some])], names=["id", "other", "height"])
 
     found = pairs.select("own", "met").mapInArrow(run, "id long, other long, height double")
-    return found.groupBy("id").agg(F.min(F.struct("height", "other")).alias("best")).select("id", "best.other", "best.height")
+    best = written(found.groupBy("id").agg(F.min(F.struct("height", "other")).alias("best")).select("id", "best.other", "best.height"), "chosen")
+    discard(blocks)
+    return best
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +93,9 @@ def ward(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """
     start = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
     clusters = written(start.select(F.col(key).cast("long").alias("id"), F.lit(1).cast("long").alias("n"), F.col(vector).cast("array<double>").alias("centroid")), "clusters")
-    merges = []
+    merges, stale = [], [clusters]
     while clusters.count() > LAST:
-        chosen = written(_chosen(clusters), "chosen")
+        chosen = _chosen(clusters)
         back = chosen.select(F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = written(chosen.join(back, ["id", "other"]).where("id < other").select(F.col("other").alias("gone"), F.col("id").alias("into"), "height"), "pairs")
         gone = clusters.select(F.col("id").alias("gone"), F.col("n").alias("m"), F.col("centroid").alias("c"))
@@ -102,17 +104,20 @@ def ward(rows: DataFrame, key: str, vector: str) -> DataFrame:
         mean = F.when(F.col("m").isNull(), F.col("centroid")).otherwise(F.zip_with("centroid", "c", lambda a, b: (a * F.col("n") + b * F.col("m")) / (F.col("n") + F.col("m"))))
         total = F.col("n") + F.coalesce("m", F.lit(0))
         clusters = written(joined.select("id", total.cast("long").alias("total"), mean.alias("mean")).toDF("id", "n", "centroid"), "clusters")
+        stale += [chosen, pairs, clusters]
         merges.append(pairs.join(clusters.select(F.col("id").alias("into"), F.col("n").alias("size")), "into").select(F.col("gone").alias("id"), "into", "height", "size"))
     merges.append(clusters.coalesce(1).mapInArrow(_finished, "id long, into long, height double, size long"))
     out = merges[0]
     for more in merges[1:]:
         out = out.unionByName(more)
-    return written(out, "dendrogram")
+    tree = written(out, "dendrogram")
+    discard(*stale)
+    return tree
 
 
 def cut(rows: DataFrame, dendrogram: DataFrame, key: str, k: int) -> DataFrame:
     """rows with `cluster`, the least key of theirs when the dendrogram is cut at k clusters; rows that it does not have keep null."""
-    top = dendrogram.withColumn("at", F.row_number().over(Window.orderBy(F.desc("height"), F.desc("size"), F.desc("id")))).where(F.col("at") < k).select("id")
+    top = dendrogram.orderBy(F.desc("height"), F.desc("size"), F.desc("id")).limit(k - 1).select("id")
     kept = dendrogram.join(top, "id", "left_anti").select("id", "into")
     known = dendrogram.select("id").unionByName(dendrogram.select(F.col("into").alias("id"))).distinct()
     labels = written(known.join(kept, "id", "left").select("id", F.coalesce("into", "id").alias("root")), "labels")
@@ -120,7 +125,9 @@ def cut(rows: DataFrame, dendrogram: DataFrame, key: str, k: int) -> DataFrame:
         further = labels.join(labels.select(F.col("id").alias("root"), F.col("root").alias("next")), "root")
         if further.where("next <> root").isEmpty():
             break
-        labels = written(further.select("id", F.col("next").alias("root")), "labels")
+        longer = written(further.select("id", F.col("next").alias("root")), "labels")
+        discard(labels)
+        labels = longer
     return rows.join(labels.select(F.col("id").alias(key), F.col("root").alias("cluster")), key, "left")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.neighbours import matrix
-from millrace.sources.tables import written
+from millrace.sources.tables import discard, written
 
 FAN, SLICE = 16, 4096
 #: Longer vectors than this are learned by products with the curvature, not by the curvature itself.
@@ -103,7 +103,9 @@ def discriminants(rows: DataFrame, label: str, vector: str, k: int | None = None
             out[f"class {name}"] = np.concatenate([[len(own)], own.sum(0)])
         return out
 
-    sums = tree_sum(_prepared(rows, label, vector), each)
+    prepared = _prepared(rows, label, vector)
+    sums = tree_sum(prepared, each)
+    discard(prepared)
     classes = [v for name, v in sorted(sums.items()) if name.startswith("class ")]
     if len(classes) < 2:
         raise ValueError("discriminants need two classes")
@@ -198,6 +200,7 @@ def squared_hinge(rows: DataFrame, label: str, vector: str, c: float = 0.01, bal
                 break
             scale[worse] /= 2
         w, now = w + scale * step, after
+    discard(rows)
     return classes, w
 
 
@@ -252,6 +255,7 @@ def eliminated(rows: DataFrame, key: str, label: str, vector: str, least: int =
             right, total = right + found[0], total + found[1]
         out.append((columns, right / max(total, 1)))
         if len(columns) <= least:
+            discard(rows)
             return out
         _, w = squared_hinge(own, "label", "v", c)
         weight = (w[:, :-1] ** 2).sum(0)

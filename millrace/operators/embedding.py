@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import written
+from millrace.sources.tables import discard, written
 
 CHANGES = "name string, row long, times double, change array<double>"
 _KINDS = pa.schema([("name", pa.string()), ("row", pa.int64()), ("times", pa.float64()), ("change", pa.list_(pa.float64()))])
@@ -51,7 +51,8 @@ def train(rows: DataFrame, key: str, parameters: dict[str, np.ndarray], learn: C
     size = sum(p.nbytes for p in parameters.values())
     if size > most_bytes:
         raise ValueError(f"parameters of {size} bytes are more than {most_bytes}")
-    dealt = written(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "parts").repartition(parts, "_part").sortWithinPartitions("_part", key)
+    kept = written(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "parts")
+    dealt = kept.repartition(parts, "_part").sortWithinPartitions("_part", key)
     for turn in range(passes):
         given = rows.sparkSession.sparkContext.broadcast(parameters)
 
@@ -83,6 +84,7 @@ def train(rows: DataFrame, key: str, parameters: dict[str, np.ndarray], learn: C
                 own = batch.filter(pc.equal(batch.column("name"), name))
                 parameters[name][own.column("row").to_numpy()] += own.column("change").flatten().to_numpy().reshape(own.num_rows, -1)
         given.unpersist()
+    discard(kept)
     return parameters
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.discriminative import _prepared, mapped, tree_sum
 from millrace.operators.neighbours import matrix
+from millrace.sources.tables import discard
 
 
 @dataclass
@@ -116,6 +117,7 @@ def extra_trees(rows: DataFrame, label: str, vector: str, trees: int = 20, depth
                 open_nodes[t, child] = True
         if not open_nodes[:, 2 * first + 1 : 2 * (first + many) + 1].any():
             break
+    discard(rows)
     forest.importance /= max(forest.importance.sum(), 1e-300)
     return forest
 

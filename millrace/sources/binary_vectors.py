@@ -31,8 +31,9 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 def write(vectors: DataFrame, path: str, word: str = "word", vector: str = "vector") -> int:
     """Writes a file per partition into the folder, and returns the number of words.
 
-    A task writes under a name of its own and moves the finished file to its place, so one that is repeated leaves the same file. Vectors
-    have one length; a task holds its partition until it knows their number. Null or empty words or vectors, words with blanks or newlines and those of over LONGEST bytes are an error.
+    A task writes under a name of its own and moves the finished file to its place, so one that is repeated leaves the same
+    file; it holds its partition until it knows the number of words. Vectors have one length; null or empty words or
+    vectors, words with blanks or newlines and those of over LONGEST bytes are an error.
     """
     rows = vectors.select(F.col(word).cast("string").alias("word"), F.col(vector).cast("array<float>").alias("vector"))
 

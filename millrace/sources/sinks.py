@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import placed, sized, written
+from millrace.sources.tables import discard, placed, sized, written
 
 
 def rolling_csv(rows: DataFrame, path: str, most_rows: int = 100_000) -> None:
@@ -102,17 +102,18 @@ def merge_entities(batch: DataFrame, path: str, key: str, order: list[str], buck
     spark = batch.sparkSession
     fields = [c for c in batch.columns if c != key and c not in order]
     said = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.struct(*order).alias("when"), F.col(c).alias("value")))
-    new = written(batch.groupBy(key).agg(*(F.max(said(c)).alias(c) for c in fields)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
-    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    came = written(batch.groupBy(key).agg(*(F.max(said(c)).alias(c) for c in fields)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+    touched, new = [r.bucket for r in came.select("bucket").distinct().collect()], came
     if not touched:
         return
     try:
-        new = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)).select(new.columns).unionByName(new)
+        new = spark.read.schema(came.schema).parquet(path).where(F.col("bucket").isin(touched)).select(came.columns).unionByName(came)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     merged = written(new.groupBy(key, "bucket").agg(*(F.max(c).alias(c) for c in fields)), "merged")
     merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    discard(came, merged)
 
 
 def stored_entities(spark, path: str, key: str) -> DataFrame:

@@ -28,7 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` has stored, once nothing that is still to run reads it."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def spread(rows: DataFrame, least: int = 1 << 20, per_core: int = 8 << 20) -> DataFrame:
