@@ -226,6 +226,15 @@ def test_scores(spark):
     assert -common[0] / common[1] < math.log10(12)  # of a handful of words, learned from the other half
 
 
+def test_words_longer_than_a_slice(spark):
+    """Words of which each fills a slice of a batch by itself, among short ones."""
+    rows = [(i, f"{'xyz'[i % 3] * (700_000 + i)} short words {i}", "en", "s", 1) for i in range(6)]
+    got = {r.doc_id: r for r in language_model.score(table(spark, rows), held=F.lit(False), rounds=2).collect()}
+    again = {r.doc_id: r for r in language_model.score(table(spark, [*rows, (9, "q" * 700_001, "en", "s", 1)]), held=F.col("doc_id") == 9, rounds=2).collect()}
+    assert all(got[i].n_tokens == got[i].n_known == 5 and again[i].base_score == got[i].base_score for i in range(6))
+    assert again[9].n_tokens == 2 and again[9].n_known == 1 and again[9].score < -100_000
+
+
 def test_scores_without_teachers(spark):
     empty = table(spark, [(1, "a b", "en", "s", 1)])
     assert language_model.score(empty.limit(0)).count() == 0
