@@ -143,6 +143,7 @@ class Vocabulary:
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.gather: tuple = ()
 
     def _word(self) -> str:
         """Pattern of marked words; signs that no piece joins to letters, directly or over others, make words of their own."""
@@ -196,12 +197,14 @@ class Vocabulary:
 
     def _viterbi(self, word: str, last: list[int], best: list[float]) -> None:
         """Carries the forward pass on to the word's end; of equal scores the longer last token's."""
-        score, lengths, lowest = self.score.get, self.lengths.get, self.lowest
+        score, lengths, lowest, none = self.score.get, self.lengths.get, self.lowest, -math.inf
         for end in range(len(last), len(word) + 1):
             choice, top = 0, -math.inf
             for size in lengths(word[end - 4 : end], _OTHERS) if end > 3 else _SHORT[end]:
-                if size <= end and (s := score(word[end - size : end])) is not None and (s := s + best[end - size]) > top:
-                    choice, top = size, s
+                if size <= end:
+                    s = score(word[end - size : end], none) + best[end - size]
+                    if s > top:
+                        choice, top = size, s
             if (s := score(word[end - 1], lowest) + best[end - 1]) > top:
                 choice, top = 1, s
             best.append(top)
@@ -260,6 +263,35 @@ class Vocabulary:
         return data[1:] if self.prefix and data.startswith(" ") else data
 
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """decode() of each list; null lists give null. The pieces' bytes are gathered by number where all texts are sound UTF-8."""
+        if not self.gather:
+            sizes = np.array([len(r) for r in self.raw], np.int64)
+            self.gather = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([r[:1] == b" " for r in self.raw])
+        pool, starts, sizes, blank = self.gather
+        flat = ids.flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
+        begin, size = starts[flat], sizes[flat]
+        if self.prefix:
+            first = upto[:-1][upto[1:] > upto[:-1]]
+            first = first[blank[flat[first]]]
+            begin[first] += 1
+            size[first] -= 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        offsets = ends[upto]
+        try:
+            data.tobytes().decode()
+            inner = offsets[offsets < len(data)]
+            sound = not (len(inner) and ((data[inner] & 0xC0) == 0x80).any()) and ends[-1] < 1 << 31
+        except UnicodeDecodeError:
+            sound = False
+        if not sound:
+            return pa.array([None if x is None else self.decode(x) for x in ids.to_pylist()], pa.string())
+        texts = pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string())) if ids.null_count else texts
+
+
 @lru_cache(2)
 def vocabulary(proto: bytes) -> Vocabulary:
     return Vocabulary(proto)
@@ -311,8 +343,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
             while begin < batch.num_rows:
                 end = max(begin + 1, int(np.searchsorted(upto, most + (upto[begin - 1] if begin else 0), side="right")))
                 part = batch.slice(begin, end - begin)
-                texts = [None if ids is None else known.decode(ids) for ids in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, known.decode_all(part.column(ids_col))], names=[*part.schema.names, out_col])
                 begin = end
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out_col, StringType())]))

@@ -212,6 +212,23 @@ def test_encoding_equals_the_library(texts):
         assert [known.decode(ids) for ids in got] == [t.replace(pieces.MARK, " ") for t in texts]
 
 
+def test_decoding_by_gathering_is_decoding():
+    """Lists of any ids, with nulls, empty ones, slices, and bytes that are sound only across two lists."""
+    import pyarrow as pa
+
+    known, _ = unigram_models()
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, len(known.raw), n).tolist() for n in (0, 1, 5, 300, 0, 2)]
+    texts = [np.frombuffer(b, np.int32).tolist() for b in known.encode(["a é text", "", " x", "𐍈 ok"])]
+    split = [[known.bytes[0xC3]], [known.bytes[0xA9]]] if known.bytes else []
+    for some in (lists, texts, [None, *texts, None], split + texts, [[]], []):
+        ids = pa.array(some, pa.list_(pa.int32()))
+        want = [None if x is None else known.decode(x) for x in some]
+        assert known.decode_all(ids).to_pylist() == want
+        if len(some) > 2:
+            assert known.decode_all(ids.slice(1, 2)).to_pylist() == want[1:3]
+
+
 def test_viterbi_of_driver_rows_equals_the_library():
     import duckdb
 
