@@ -18,39 +18,45 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import discard, written
 
-CHANGES = "name string, row long, times double, change array<double>"
-_KINDS = pa.schema([("name", pa.string()), ("row", pa.int64()), ("times", pa.float64()), ("change", pa.list_(pa.float64()))])
+CHANGES = "name string, row long, part int, times double, change array<double>"
+_KINDS = pa.schema([("name", pa.string()), ("row", pa.int64()), ("part", pa.int32()), ("times", pa.float64()), ("change", pa.list_(pa.float64()))])
+#: A part has about so many rows at most.
+PART_ROWS = 1 << 13
 
 
-def _changes(name: str, rows: np.ndarray, times: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _changes(name: str, rows: np.ndarray, part: int, times: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 4096):
-        part = slice(at, at + 4096)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows[part])), pa.array(rows[part]), pa.array(times[part]), pa.array(list(change[part]), pa.list_(pa.float64()))], schema=_KINDS)
+        own = slice(at, at + 4096)
+        n = len(rows[own])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * change.shape[1]), pa.array(change[own].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(rows[own]), pa.array(np.full(n, part, np.int32)), pa.array(times[own]), lists], schema=_KINDS)
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Mean change of each parameter row, weighted by times."""
-    held: dict[tuple[str, int], list] = {}
-    for batch in batches:
-        for name, row, times, change in zip(batch.column("name").to_pylist(), batch.column("row").to_pylist(), batch.column("times").to_pylist(), batch.column("change"), strict=True):
-            held.setdefault((name, row), []).append((times, change.values.to_numpy()))
-    for name in sorted({n for n, _ in held}):
-        own = {r: x for (n, r), x in held.items() if n == name}
-        rows = np.array(sorted(own), np.int64)
-        # added in the order of their values, whichever came first
-        each = [sorted(own[r], key=lambda x: (x[0], x[1].tobytes())) for r in rows.tolist()]
-        times = np.array([sum(t for t, _ in x) for x in each])
-        yield from _changes(name, rows, times, np.stack([sum(t * c for t, c in x) for x in each]) / times[:, None])
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    for name in sorted(set(whole.column("name").unique().to_pylist())):
+        own = whole.filter(pc.equal(whole.column("name"), name)).combine_chunks()
+        row, part, times = (own.column(c).to_numpy() for c in ("row", "part", "times"))
+        change = own.column("change").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
+        order = np.lexsort((part, row))  # added in the order of parts, whichever came first
+        rows, edges = np.unique(row[order], return_index=True)
+        total = np.add.reduceat(times[order], edges)
+        yield from _changes(name, rows, -1, total, np.add.reduceat(change[order] * times[order][:, None], edges, 0) / total[:, None])
 
 
 def train(rows: DataFrame, key: str, parameters: dict[str, np.ndarray], learn: Callable, passes: int, parts: int, seed: int, most_bytes: int = 256 << 20) -> dict[str, np.ndarray]:
     """Parameters after some passes. learn(batch, own, times, random, done) changes `own` in place, counts changes of rows in `times`; done is the share of passes done.
 
-    Parameters of more than most_bytes are an error.
+    There are `parts` parts, and more where these would have over PART_ROWS rows each. Parameters of more than most_bytes are an error.
     """
     size = sum(p.nbytes for p in parameters.values())
     if size > most_bytes:
         raise ValueError(f"parameters of {size} bytes are more than {most_bytes}")
+    parts = max(parts, -(-rows.count() // PART_ROWS))
     kept = written(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "parts")
     dealt = kept.repartition(parts, "_part").sortWithinPartitions("_part", key)
     for turn in range(passes):
@@ -62,7 +68,7 @@ def train(rows: DataFrame, key: str, parameters: dict[str, np.ndarray], learn: C
             def told() -> Iterator[pa.RecordBatch]:
                 for name, t in times.items():
                     at = np.flatnonzero(t)
-                    yield from _changes(name, at, t[at], own[name][at] - given.value[name][at])
+                    yield from _changes(name, at, int(part), t[at], own[name][at] - given.value[name][at])
 
             for batch in batches:
                 which = batch.column("_part").to_numpy()
@@ -79,7 +85,7 @@ def train(rows: DataFrame, key: str, parameters: dict[str, np.ndarray], learn: C
 
         changed = dealt.mapInArrow(run, CHANGES).repartition("name", "row").mapInArrow(_averaged, CHANGES)
         parameters = {k: v.copy() for k, v in parameters.items()}
-        for batch in changed.toArrow().to_batches():
+        for batch in changed.select("name", "row", "change").toArrow().to_batches():
             for name in set(batch.column("name").to_pylist()):
                 own = batch.filter(pc.equal(batch.column("name"), name))
                 parameters[name][own.column("row").to_numpy()] += own.column("change").flatten().to_numpy().reshape(own.num_rows, -1)
@@ -174,6 +180,20 @@ def _means(vectors: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return total / np.maximum(sizes, 1)[:, None], flat, sizes
 
 
+def _bend(x: np.ndarray) -> float:
+    """The largest eigenvalue of x' x: twice the bound of a softmax loss's curvature in weights of x; steps below 4 / _bend(x) never raise the loss."""
+    return float(np.linalg.eigvalsh(x @ x.T if len(x) < x.shape[1] else x.T @ x)[-1])
+
+
+def _missed(x: np.ndarray, w: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes, less one for the true one."""
+    z = x @ w.T
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(x)), truth] -= 1
+    return p
+
+
 def fit_shared(rows: DataFrame, key: str, terms: str, heads: list[str], size: int = 1 << 16, dims: int = 32, passes: int = 5, rate: float = 0.5, parts: int = 8, seed: int = 42, most_classes: int = 10_000) -> Shared:
     """A table of `size` vectors for hashed terms, whose mean tells the class of every label column by a softmax of its own.
 
@@ -187,31 +207,31 @@ def fit_shared(rows: DataFrame, key: str, terms: str, heads: list[str], size: in
         classes[h] = found
     random = np.random.default_rng(seed)
     start = {"terms": (random.random((size, dims)) - 0.5) / dims, **{f"head {h}": np.zeros((len(classes[h]), dims)) for h in heads if classes[h]}}
-    place = {h: {c: i for i, c in enumerate(classes[h])} for h in heads}
-    numbered = rows.select(key, features(F.col(terms), size).alias("_ids"), *(F.col(h).cast("string").alias(h) for h in heads)).where(F.size("_ids") > 0)
+    numbered = rows.select(key, features(F.col(terms), size).cast("array<int>").alias("_ids"), *(F.col(h).cast("string").alias(h) for h in heads)).where(F.size("_ids") > 0)
 
     def learn(batch: pa.RecordBatch, own: dict, times: dict, random: np.random.Generator, done: float) -> None:
         now = rate * (1 - done)
+        flat, ends = batch.column("_ids").flatten().to_numpy(), np.cumsum(pc.list_value_length(batch.column("_ids")).to_numpy())
+        label = {h: pc.fill_null(pc.index_in(batch.column(h), pa.array(classes[h], pa.string())), -1).to_numpy() for h in heads if classes[h]}
+        times["terms"] += np.bincount(flat, minlength=size)
         for a in range(0, batch.num_rows, 32):
-            part = batch.slice(a, 32)
-            ids = pa.array(part.column("_ids").to_pylist(), pa.list_(pa.int64()))
-            mean, flat, sizes = _means(own["terms"], ids)
-            back = np.zeros_like(mean)
-            for h in heads:
-                label = np.array([place[h].get(c, -1) for c in part.column(h).to_pylist()])
-                some = np.flatnonzero(label >= 0)
+            to = ends[a : a + 32]
+            sizes = np.diff(to, prepend=ends[a - 1] if a else 0)
+            met, at = np.unique(flat[to[0] - sizes[0] : to[-1]], return_inverse=True)
+            share = np.bincount(np.repeat(np.arange(len(to)), sizes) * len(met) + at, minlength=len(to) * len(met)).reshape(len(to), -1) / sizes[:, None]
+            mean = share @ own["terms"][met]
+            back, bend = np.zeros_like(mean), 0.0
+            for h in label:
+                some = np.flatnonzero(label[h][a : a + 32] >= 0)
                 if not len(some):
                     continue
-                w = own[f"head {h}"]
-                z = mean[some] @ w.T
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(some)), label[some]] -= 1
-                back[some] += p @ w
-                w -= now * p.T @ mean[some]
+                w, seen, truth = own[f"head {h}"], mean[some], label[h][a : a + 32][some]
+                # rows alike add up: a step of the whole rate may go beyond where they lead, and ever further
+                w -= min(now, 3 / max(_bend(seen), 1e-12)) * _missed(seen, w, truth).T @ seen
+                back[some] += _missed(seen, w, truth) @ w
+                bend += _bend(w)
                 times[f"head {h}"] += len(some)
-            np.add.at(own["terms"], flat, np.repeat(-now * back / np.maximum(sizes, 1)[:, None], sizes, 0))
-            np.add.at(times["terms"], flat, 1)
+            own["terms"][met] -= min(now, 3 / max(bend * _bend(share), 1e-12)) * share.T @ back
 
     return Shared(train(numbered, key, start, learn, passes, parts, seed), classes)
 

@@ -242,6 +242,19 @@ def test_heads_share_their_words(spark):
         embedding.train(docs, "id", {"x": np.zeros((10, 10))}, None, 1, 1, 1, most_bytes=10)
 
 
+def test_heads_of_rows_that_are_much_alike(spark, monkeypatch):
+    """Steps of many equal rows stay finite, and more rows make more parts of the same size."""
+    made = [(i, ["large ring", "small cog", "red bolt"][i % 3].split() + ["widget", "item"]) for i in range(600)]
+    rows = spark.createDataFrame([(i, w[0], w) for i, w in made], "id long, kind string, words array<string>")
+    monkeypatch.setattr(embedding, "PART_ROWS", 100)
+    seen, kept = [], embedding.written
+    monkeypatch.setattr(embedding, "written", lambda df, name: seen.append(df.select("_part").distinct().count()) or kept(df, name))
+    model = embedding.fit_shared(rows, "id", "words", ["kind"], size=1 << 8, dims=8, passes=10, rate=8.0, parts=2)
+    assert all(np.isfinite(p).all() for p in model.parameters.values())
+    assert embedding.predict_shared(rows, "words", model).where("pred_kind = kind").count() == 600
+    assert seen == [6]
+
+
 def test_corrections_that_are_missing(spark):
     rows = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, l1 string, l2 string")
     both = spark.createDataFrame([(1, "x", "B"), (2, "y", "z")], "id int, l1 string, l2 string")
