@@ -56,7 +56,7 @@ def train(rows: DataFrame, key: str, parameters: dict[str, np.ndarray], learn: C
     size = sum(p.nbytes for p in parameters.values())
     if size > most_bytes:
         raise ValueError(f"parameters of {size} bytes are more than {most_bytes}")
-    parts = max(parts, -(-rows.count() // PART_ROWS))
+    parts = max(parts, -(-rows.select(key).count() // PART_ROWS))
     kept = written(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "parts")
     dealt = kept.repartition(parts, "_part").sortWithinPartitions("_part", key)
     for turn in range(passes):
@@ -121,38 +121,49 @@ def cbow(rows: DataFrame, key: str, words: str = "words", dims: int = 100, windo
         raise ValueError(f"more than {most_words} words")
     if not known:
         return rows.sparkSession.createDataFrame([], "word string, vector array<float>")
-    share, other = alias_table(np.array([r.n for r in known]) ** 0.75)
-    ids = rows.sparkSession.sparkContext.broadcast({r.word: i for i, r in enumerate(known)})
+    alias = alias_table(np.array([r.n for r in known]) ** 0.75)
+    names = rows.sparkSession.sparkContext.broadcast([r.word for r in known])
     random = np.random.default_rng(seed)
     start = {"in": (random.random((len(known), dims)) - 0.5) / dims, "out": np.zeros((len(known), dims))}
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as numbers of their known words."""
+        place = {w: i for i, w in enumerate(names.value)}
+        for batch in batches:
+            ids = [[i for i in map(place.get, text or []) if i is not None] for text in batch.column(words).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.list_(pa.int32()))], names=[key, "_ids"])
+
     def learn(batch: pa.RecordBatch, own: dict, times: dict, random: np.random.Generator, done: float) -> None:
         now = rate * max(1 - done, 0.1)
-        for text in batch.column(words).to_pylist():
-            at = np.array([i for i in map(ids.value.get, text or []) if i is not None])
-            for a in range(0, len(at), 64):
-                middle = np.arange(a, min(a + 64, len(at)))
-                around = middle[:, None] + np.array([*range(-window, 0), *range(1, window + 1)])[None]
-                there = (around >= 0) & (around < len(at))
-                middle, around, there = middle[there.any(1)], around[there.any(1)], there[there.any(1)]
-                if not len(middle):
-                    continue
-                near = at[np.clip(around, 0, len(at) - 1)]
-                mean = (own["in"][near] * there[..., None]).sum(1) / there.sum(1)[:, None]
-                drawn = random.integers(0, len(share), (len(middle), negatives))
-                drawn = np.where(random.random(drawn.shape) < share[drawn], drawn, other[drawn])
-                told = np.concatenate([at[middle][:, None], drawn], 1)
-                truth = (np.arange(1 + negatives) == 0) | (told == at[middle][:, None])
-                out = own["out"][told]
-                slope = (truth - 1 / (1 + np.exp(-np.clip((out * mean[:, None]).sum(2), -30, 30)))) * now
-                np.add.at(own["out"], told, slope[..., None] * mean[:, None])
-                back = (slope[..., None] * out).sum(1)
-                np.add.at(own["in"], near[there], np.repeat(back / there.sum(1)[:, None], there.sum(1), 0))
-                np.add.at(times["out"], told, 1)
-                np.add.at(times["in"], near[there], 1)
-
-    found = train(rows.select(key, words), key, start, learn, passes, parts, seed)["in"]
-    return rows.sparkSession.createDataFrame([(r.word, [float(x) for x in v]) for r, v in zip(known, found, strict=True)], "word string, vector array<float>")
+        at, sizes = batch.column("_ids").flatten().to_numpy(), pc.list_value_length(batch.column("_ids")).to_numpy()
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        for a in range(0, len(at), 64):
+            middle, low = np.arange(a, min(a + 64, len(at))), max(a - window, 0)
+            place = np.arange(low, min(middle[-1] + 1 + window, len(at)))
+            there = (np.abs(middle[:, None] - place) <= window) & (middle[:, None] != place) & (text[middle][:, None] == text[place])
+            some = there.any(1)
+            middle, there = middle[some], there[some]
+            if not len(middle):
+                continue
+            share = there / there.sum(1)[:, None]
+            mean = share @ own["in"][at[place]]
+            drawn = random.integers(0, len(alias[0]), (len(middle), negatives))
+            drawn = np.where(random.random(drawn.shape) < alias[0][drawn], drawn, alias[1][drawn])
+            told = np.concatenate([at[middle][:, None], drawn], 1)
+            truth = (np.arange(1 + negatives) == 0) | (told == at[middle][:, None])
+            out = own["out"][told]
+            slope = (truth - 1 / (1 + np.exp(-np.clip((out @ mean[:, :, None])[..., 0], -30, 30)))) * now
+            met, which = np.unique(told, return_inverse=True)
+            pull = np.bincount(which.ravel() * len(middle) + np.repeat(np.arange(len(middle)), 1 + negatives), slope.ravel(), len(met) * len(middle)).reshape(len(met), -1)
+            own["out"][met] += pull @ mean
+            times["out"][met] += np.bincount(which.ravel(), minlength=len(met))
+            np.add.at(own["in"], at[place], share.T @ (slope[:, None] @ out)[:, 0])
+            np.add.at(times["in"], at[place], there.sum(0))
+
+    texts = rows.select(key, words).mapInArrow(numbered, f"`{key}` {rows.schema[key].dataType.simpleString()}, _ids array<int>")
+    found = train(texts, key, start, learn, passes, parts, seed)["in"]
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel().astype(np.float32)), dims).cast(pa.list_(pa.float32()))
+    return rows.sparkSession.createDataFrame(pa.table({"word": [r.word for r in known], "vector": vectors}))
 
 
 # --- classifiers that share their words ------------------------------------------------------------------------------

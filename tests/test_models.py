@@ -85,6 +85,16 @@ def test_ward(spark, monkeypatch, last, block):
         assert clustering.best_k(table.where("id < 99"), "id", "vector", [2, 4, 5, 6]) == 5
 
 
+def test_ward_joins_pass_no_vectors_through_the_driver(spark, monkeypatch):
+    """What a round joins is shuffled, and its merges are written before the next: the last plan only reads tables."""
+    monkeypatch.setattr(clustering, "LAST", 2)
+    seen, kept = {}, clustering.written
+    monkeypatch.setattr(clustering, "written", lambda df, name: seen.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    assert clustering.ward(spark.createDataFrame(points(3, 45), ROWS), "id", "vector").count() == 44
+    assert not [name for name, plans in seen.items() for plan in plans if "Broadcast" in plan]
+    assert "Join" not in seen["dendrogram"][0] and len(seen["merges"]) > 1
+
+
 def test_ward_of_few_rows(spark):
     table = spark.createDataFrame(points(1, 2), ROWS)
     assert clustering.ward(table.limit(0), "id", "vector").count() == 0
@@ -226,6 +236,16 @@ def test_cbow(spark):
         embedding.cbow(docs, "id", most_words=3)
 
 
+def test_cbow_reads_numbers_in_more_parts(spark, monkeypatch):
+    """Passes read texts as numbers of known words, in more parts as rows grow."""
+    seen, kept = [], embedding.written
+    monkeypatch.setattr(embedding, "PART_ROWS", 40)
+    monkeypatch.setattr(embedding, "written", lambda df, name: seen.append((dict(df.dtypes)["_ids"], df.select("_part").distinct().count())) or kept(df, name))
+    docs = spark.createDataFrame(topics(160), "id long, topic string, half string, words array<string>")
+    assert embedding.cbow(docs, "id", dims=4, passes=1, parts=2).count() == 14
+    assert seen == [("array<int>", 4)]
+
+
 def test_heads_share_their_words(spark):
     rows = topics(240)
     docs = spark.createDataFrame([*rows, (900, None, None, ["zzz"]), (901, "t0", "odd", [])], "id long, topic string, half string, words array<string>")
