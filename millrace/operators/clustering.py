@@ -34,8 +34,8 @@ def _chosen(clusters: DataFrame) -> DataFrame:
     size = F.ceil(F.lit(clusters.count() / BLOCK)).cast("int")
     dealt = clusters.withColumn("block", F.pmod(F.xxhash64("id"), size).cast("int"))
     blocks = written(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "n", "centroid"))).alias("rows")), "blocks")
-    # every block meets every block; a block's own best are merged with those of its other meetings below
-    pairs = blocks.select(F.col("block").alias("a"), F.col("rows").alias("own")).withColumn("b", F.explode(F.sequence(F.lit(0), size - 1))).join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("met")), "b")
+    # joins are sorted, as what is broadcast passes the driver; every block meets every block; a block's own best are merged with those of its other meetings below
+    pairs = blocks.select(F.col("block").alias("a"), F.col("rows").alias("own")).withColumn("b", F.explode(F.sequence(F.lit(0), size - 1))).join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("met")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,15 +97,17 @@ def ward(rows: DataFrame, key: str, vector: str) -> DataFrame:
     while clusters.count() > LAST:
         chosen = _chosen(clusters)
         back = chosen.select(F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = written(chosen.join(back, ["id", "other"]).where("id < other").select(F.col("other").alias("gone"), F.col("id").alias("into"), "height"), "pairs")
+        pairs = written(chosen.join(back.hint("merge"), ["id", "other"]).where("id < other").select(F.col("other").alias("gone"), F.col("id").alias("into"), "height"), "pairs")
         gone = clusters.select(F.col("id").alias("gone"), F.col("n").alias("m"), F.col("centroid").alias("c"))
-        both = pairs.join(gone, "gone").select("into", "height", "gone", "m", "c")
-        joined = clusters.join(both, F.col("id") == F.col("into"), "left").join(pairs.select(F.col("gone").alias("id")), "id", "left_anti")
+        both = pairs.join(gone.hint("merge"), "gone").select("into", "height", "gone", "m", "c")
+        joined = clusters.join(both.hint("merge"), F.col("id") == F.col("into"), "left").join(pairs.select(F.col("gone").alias("id")).hint("merge"), "id", "left_anti")
         mean = F.when(F.col("m").isNull(), F.col("centroid")).otherwise(F.zip_with("centroid", "c", lambda a, b: (a * F.col("n") + b * F.col("m")) / (F.col("n") + F.col("m"))))
         total = F.col("n") + F.coalesce("m", F.lit(0))
         clusters = written(joined.select("id", total.cast("long").alias("total"), mean.alias("mean")).toDF("id", "n", "centroid"), "clusters")
-        stale += [chosen, pairs, clusters]
-        merges.append(pairs.join(clusters.select(F.col("id").alias("into"), F.col("n").alias("size")), "into").select(F.col("gone").alias("id"), "into", "height", "size"))
+        sized = pairs.join(clusters.select(F.col("id").alias("into"), F.col("n").alias("size")).hint("merge"), "into").select(F.col("gone").alias("id"), "into", "height", "size")
+        merges.append(written(sized, "merges"))
+        discard(chosen, pairs, stale.pop())
+        stale += [merges[-1], clusters]
     merges.append(clusters.coalesce(1).mapInArrow(_finished, "id long, into long, height double, size long"))
     out = merges[0]
     for more in merges[1:]:

@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import clustering, corpus, discriminative, embedding, entities, forests, languages, layouts, learning, neighbours, retrieval, vectors
 from millrace.plans.queries import _NAMES, _name_hits, _query, table
 from millrace.sources import binary_vectors, readers, sinks
-from millrace.sources.tables import new_folder, placed
+from millrace.sources.tables import new_folder, placed, written
 
 # --- neighbours and clusters -----------------------------------------------------------------------------------------
 
@@ -47,7 +47,7 @@ def ward_clusters(spark, sf):
 def ward_scores(spark, sf):
     """The Calinski-Harabasz score of the dendrogram's cuts, and whether it is the best."""
     rows, tree = _tree(spark, sf)
-    found = clustering.scores(rows, tree, "vec_id", "embedding", [2, 4, 8, 16, 32])
+    found = written(clustering.scores(rows, tree, "vec_id", "embedding", [2, 4, 8, 16, 32]), "scores")  # read twice
     best = found.agg(F.max("score").alias("best"))
     return found.crossJoin(best).select("k", "clusters", "rows", "score", (F.col("score") == F.col("best")).alias("is_best"))
 
