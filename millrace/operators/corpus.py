@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.sources.tables import written
+from millrace.sources.tables import each_once, written
 
 
 def word_rows(rows: DataFrame, words: Column, *keys: str) -> DataFrame:
@@ -14,6 +19,27 @@ def word_rows(rows: DataFrame, words: Column, *keys: str) -> DataFrame:
     return rows.select(*keys, F.explode(words).alias("word")).where("word <> ''")
 
 
+def words_of(column: str) -> Column:
+    """The normal words of a text that are not empty, in place."""
+    return F.array_remove(T.normal_words(F.col(column)), "")
+
+
+def bags(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Rows (key, words) counted some `most` words at a time (a row whole): keys; of each row's distinct words its place, the word's number and count; the words by number."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < len(sizes):
+            b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")), a + 1)
+            flat = pc.list_flatten(batch.column("words").slice(a, b - a)).dictionary_encode()
+            codes = pc.fill_null(flat.indices, len(flat.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            wide = len(flat.dictionary) + 1
+            cells, n = np.unique(np.repeat(np.arange(b - a), sizes[a:b]) * wide + codes, return_counts=True)
+            real = cells % wide < wide - 1  # a null is no word
+            yield batch.column("key").slice(a, b - a), cells[real] // wide, cells[real] % wide, n[real], flat.dictionary
+            a = b
+
+
 def word_frequency(rows: DataFrame, column: str = "text") -> DataFrame:
     return word_rows(rows, T.normal_words(F.col(column))).groupBy("word").agg(F.count("*").alias("freq"))
 

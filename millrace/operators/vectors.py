@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import placed
+from millrace.operators.corpus import bags
+from millrace.sources.tables import each_once, placed
 
 
 def tfidf(words: DataFrame, key: str, min_df: int = 1, max_df: float = 1.0, most: int = 50_000) -> DataFrame:
@@ -154,6 +157,65 @@ def sparse_nearest(queries: DataFrame, targets: DataFrame, key: str, target: str
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), target))).where("rank = 1 AND score > 0").drop("rank")
 
 
+def nearest_of_rows(rows: DataFrame, key: str, words: Column, targets: DataFrame, target: str, factors: DataFrame | None = None, most: int = 1 << 20) -> DataFrame:
+    """sparse_nearest() of rows, each with an array of words; a word weighs its count, times its factor where there are (word, factor), without which it weighs nothing.
+
+    Up to `most` rows (target, word, weight) go to every task, and rows are compared where they are read, without a
+    shuffle; more, or keys that are null or come twice, are joined.
+    """
+    given = targets.select(F.col(target).alias("t"), "word", F.col("weight").cast("double").alias("y")).where("t IS NOT NULL AND word IS NOT NULL")
+    if factors is not None:
+        given = given.join(factors.select("word", F.col("factor").cast("double")).where("word IS NOT NULL"), "word", "full").select("t", "word", F.coalesce("y", F.lit(0.0)).alias("y"), "factor")
+    found = given.limit(most + 1).toArrow()
+    names = sorted(set(found.column("t").to_pylist()) - {None})
+    if not names or found.num_rows > most or not each_once(rows, key):
+        counts = rows.select(key, F.explode(words).alias("word")).where("word IS NOT NULL").groupBy(key, "word").agg(F.count("*").alias("n"))
+        weights = counts.withColumnRenamed("n", "weight") if factors is None else counts.join(factors, "word").select(key, "word", (F.col("n") * F.col("factor")).alias("weight"))
+        return sparse_nearest(weights, targets, key, target)
+    vocabulary = found.column("word").combine_chunks().dictionary_encode()
+    word, place = vocabulary.indices.to_numpy(zero_copy_only=False), pc.index_in(found.column("t").combine_chunks(), value_set=pa.array(names, found.schema.field("t").type)).fill_null(0).to_numpy(zero_copy_only=False)  # a factor's word of no target weighs 0 in the first
+    order = np.argsort(word, kind="stable")
+    y, place = found.column("y").to_numpy()[order], place[order]
+    begins = np.searchsorted(word[order], np.arange(len(vocabulary.dictionary) + 1))
+    factor = None if factors is None else np.nan_to_num(found.column("factor").to_numpy()[order][begins[:-1]])
+    length = np.sqrt(np.bincount(place, y * y, len(names)))
+    told = rows.sparkSession.sparkContext.broadcast((names, vocabulary.dictionary, begins, place, y, factor, length))
+    kind = found.schema.field("t").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, begins, place, y, factor, length = told.value
+        names = pa.array(names, kind)
+        for keys, row, code, n, dictionary in bags(batches):
+            at = pc.fill_null(pc.index_in(dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)[code]
+            x = n.astype(np.float64)
+            if factor is not None:
+                row, x, at = (c[at >= 0] for c in (row, x, at))
+                x = x * factor[at]
+            own = np.sqrt(np.bincount(row, x * x, len(keys)))
+            row, x, at = (c[at >= 0] for c in (row, x, at))
+            each = begins[at + 1] - begins[at]
+            # some rows at a time, so that the products held are of bounded number
+            work = np.cumsum(np.bincount(row, each, len(keys)) + len(names))
+            first = np.searchsorted(row, np.arange(len(keys) + 1))
+            a = 0
+            while a < len(keys):
+                b = max(int(np.searchsorted(work, (work[a - 1] if a else 0) + (1 << 21), side="right")), a + 1)
+                part = slice(first[a], first[b])
+                many = each[part]
+                inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begins[at[part]], many)
+                dots = np.bincount(np.repeat(row[part] - a, many) * len(names) + place[inside], np.repeat(x[part], many) * y[inside], (b - a) * len(names)).reshape(b - a, len(names))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.floor(np.nan_to_num(dots / (own[a:b, None] * length)) * 1e6 + 0.5) / 1e6
+                best = score.argmax(1)
+                top = score[np.arange(b - a), best]
+                hit = np.flatnonzero(top > 0)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(hit + a)), names.take(pa.array(best[hit])), pa.array(top[hit])], names=[key, target, "score"])
+                a = b
+
+    types = [rows.schema[key].dataType.simpleString(), targets.schema[target].dataType.simpleString()]
+    return rows.select(F.col(key).alias("key"), words.alias("words")).mapInArrow(run, f"`{key}` {types[0]}, `{target}` {types[1]}, score double")
+
+
 def taxonomy_paths(rows: DataFrame, levels: list[str]) -> DataFrame:
     return rows.select(F.concat_ws(" > ", *levels).alias("path")).distinct()
 

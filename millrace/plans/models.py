@@ -268,8 +268,7 @@ def nearest_taxonomy_path(spark, sf):
     levels = vectors.taxonomy_paths(part, ["p_brand", "p_type"]).select("path", F.explode(F.split(F.lower("path"), "[^a-z0-9]+")).alias("word"))
     members = part.select(F.concat_ws(" > ", "p_brand", "p_type").alias("path"), "p_name").distinct().select("path", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
     targets = levels.unionByName(members).groupBy("path", "word").agg(F.count("*").alias("weight"))
-    names = part.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("p_partkey", "word").agg(F.count("*").alias("weight"))
-    return vectors.sparse_nearest(names, targets, "p_partkey", "path")
+    return vectors.nearest_of_rows(part, "p_partkey", F.split(F.lower("p_name"), " "), targets, "path")
 
 
 @_query()

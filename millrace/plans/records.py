@@ -471,10 +471,9 @@ def normed_and_scaled_tfidf(spark, sf):
 def tfidf_nearest_path(spark, sf):
     items = corpus.word_counts(table(spark, sf, "benchmark"), "item_id")
     n = items.select("item_id").distinct().count()
-    idf = items.groupBy("word").agg((F.log(F.lit(float(n)) / F.count("*")) + 1).alias("idf"))
-    weigh = lambda counts, key: counts.join(idf, "word").select(key, "word", (F.col("n") * F.col("idf")).alias("weight"))
-    docs = corpus.word_counts(table(spark, sf, "documents"), "doc_id")
-    return vectors.sparse_nearest(weigh(docs, "doc_id"), weigh(items, "item_id"), "doc_id", "item_id")
+    idf = items.groupBy("word").agg((F.log(F.lit(float(n)) / F.count("*")) + 1).alias("factor"))
+    weighed = items.join(idf, "word").select("item_id", "word", (F.col("n") * F.col("factor")).alias("weight"))
+    return vectors.nearest_of_rows(table(spark, sf, "documents"), "doc_id", corpus.words_of("text"), weighed, "item_id", idf)
 
 
 @_query("""WITH s AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_size, ' ') AS s FROM part)

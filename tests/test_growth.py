@@ -3,9 +3,10 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import languages
+from millrace.operators import languages, vectors
 
 LETTERS = ["a", "B", "é", "ß", "中", "𐐀", " ", "1", "\n", "!", "'"]
 
@@ -32,3 +33,19 @@ def test_triples_are_counted_in_place(spark, monkeypatch):
     want = {i: min(known, key=lambda n: (-sum(known[n][b] for b in plain[i]), n)) if any(c.isalpha() for c in t or "") else None for i, t in enumerate(texts)}
     assert {r.id: r.l for r in said.collect()} == want
     assert "lambdafunction" not in explained(said)  # no sum over letters by an interpreted lambda
+
+
+@pytest.mark.parametrize("weighed", [False, True])
+def test_rows_meet_targets_in_place(spark, weighed):
+    rng = random.Random(9)
+    words = ["a", "b", "c", "d", "é", "zz", ""]
+    rows = spark.createDataFrame([(i, None if i == 3 else [*rng.choices(words, k=rng.randrange(9)), *[None] * (i % 2)]) for i in range(80)], "id int, words array<string>")
+    targets = spark.createDataFrame([(f"t{i % 7}", w, float(1 + i % 3)) for i, w in enumerate(words[:5] * 3)], "target string, word string, weight double").distinct().groupBy("target", "word").agg(F.max("weight").alias("weight"))
+    factors = spark.createDataFrame([("a", 0.5), ("b", 2.0), ("zz", 3.0), ("é", 1.0)], "word string, factor double") if weighed else None
+    near = lambda rows, **how: vectors.nearest_of_rows(rows, "id", F.col("words"), targets, "target", factors, **how)
+    got = near(rows)
+    assert "Exchange" not in explained(got)
+    assert sorted(got.collect()) == sorted(near(rows, most=1).collect()) and got.count() > 40
+    twice = rows.unionByName(rows.where("id = 5"))
+    assert sorted(near(twice).collect()) == sorted(near(twice, most=1).collect())
+    assert near(rows.limit(0)).count() == 0
