@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.corpus import bags
-from millrace.sources.tables import each_once, placed
+from millrace.sources.tables import distinct_keys, placed
 
 
 def tfidf(words: DataFrame, key: str, min_df: int = 1, max_df: float = 1.0, most: int = 50_000) -> DataFrame:
@@ -168,7 +168,7 @@ def nearest_of_rows(rows: DataFrame, key: str, words: Column, targets: DataFrame
         given = given.join(factors.select("word", F.col("factor").cast("double")).where("word IS NOT NULL"), "word", "full").select("t", "word", F.coalesce("y", F.lit(0.0)).alias("y"), "factor")
     found = given.limit(most + 1).toArrow()
     names = sorted(set(found.column("t").to_pylist()) - {None})
-    if not names or found.num_rows > most or not each_once(rows, key):
+    if not names or found.num_rows > most or not distinct_keys(rows, key):
         counts = rows.select(key, F.explode(words).alias("word")).where("word IS NOT NULL").groupBy(key, "word").agg(F.count("*").alias("n"))
         weights = counts.withColumnRenamed("n", "weight") if factors is None else counts.join(factors, "word").select(key, "word", (F.col("n") * F.col("factor")).alias("weight"))
         return sparse_nearest(weights, targets, key, target)

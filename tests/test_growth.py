@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import languages, vectors
+from millrace.operators import languages, retrieval, vectors
 
 LETTERS = ["a", "B", "é", "ß", "中", "𐐀", " ", "1", "\n", "!", "'"]
 
@@ -49,3 +49,24 @@ def test_rows_meet_targets_in_place(spark, weighed):
     twice = rows.unionByName(rows.where("id = 5"))
     assert sorted(near(twice).collect()) == sorted(near(twice, most=1).collect())
     assert near(rows.limit(0)).count() == 0
+
+
+def test_candidates_hold_the_best(spark):
+    """The first hits by candidates, of which batches send few, equal those by all pairs, with and without what is left out."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["kettle", "lid", "steel", "Handle", "spout", "tea", "é"], k=rng.randrange(8))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t if i % 9 else None) for i, t in enumerate(texts)], "id int, text string").repartition(2)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:9], "", "nowhere"])], "q int, text string")
+    pairs = retrieval.bm25_scores(asked, retrieval.postings(docs, "id"), "q", "id")
+    rows = lambda hits: sorted(map(tuple, retrieval.best(hits.select("q", "id", "score"), "q", "id", 3).collect()))
+    found = retrieval.bm25_candidates(asked, docs, "q", "id", k=3)
+    assert rows(found) == rows(pairs) and found.count() < pairs.count() / 4
+    fine = F.col("id") % 2 == 0
+    assert rows(retrieval.bm25_candidates(asked, docs, "q", "id", k=3, fine=fine)) == rows(pairs.where(fine))
+    texts_of = docs.select("id", "text").join(pairs, "id").join(asked.select("q", F.col("text").alias("own")), "q").where("text <> own")
+    once = lambda hits: hits.groupBy("q", "copy").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("hit")).select("q", "hit.*")
+    part = retrieval.bm25_candidates(asked, docs, "q", "id", k=3, copy=F.md5("text"), itself=(F.col("text"), F.col("text")))
+    assert rows(once(part)) == rows(once(texts_of.withColumn("copy", F.md5("text"))))
+    assert retrieval.bm25_candidates(asked, docs, "q", "id", most=3) is None
+    assert retrieval.bm25_candidates(asked, docs.unionByName(docs), "q", "id") is None
+    assert retrieval.bm25_candidates(asked.limit(0), docs, "q", "id").count() == 0 == retrieval.bm25_candidates(asked, docs.limit(0), "q", "id").count()
