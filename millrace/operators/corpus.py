@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.sources.tables import written
+from millrace.sources.tables import distinct_keys, written
 
 
 def word_rows(rows: DataFrame, words: Column, *keys: str) -> DataFrame:
@@ -80,11 +80,18 @@ def out_of_dictionary(rows: DataFrame, dictionary: DataFrame, column: str = "tex
     return known.agg(F.sum("freq").alias("words"), missing.alias("missing"), (missing / F.sum("freq")).alias("ratio"))
 
 
-def instance_stats(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
-    """Per row: blank-separated tokens, cleaned words, words of the dictionary."""
+def instance_stats(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", most: int = 100_000) -> DataFrame:
+    """Per row: blank-separated tokens, cleaned words, words of the dictionary.
+
+    A dictionary of `most` words at most goes to every task, which sums its rows' words as they come; with a larger one counts meet it by a join.
+    """
     base = rows.select(key, F.size(F.split(F.trim(F.col(column)), r"\s+")).cast("long").alias("tokens"))
-    words = word_rows(rows, T.normal_words(F.col(column)), key).groupBy(key, "word").agg(F.count("*").alias("n"))
-    known = words.join(dictionary.select("word").distinct().withColumn("known", F.lit(1)), "word", "left")
+    listed = written(dictionary.select("word").distinct().withColumn("known", F.lit(1)), "dictionary")
+    words = word_rows(rows, T.normal_words(F.col(column)), key)
+    if listed.count() <= most:
+        known = words.withColumn("n", F.lit(1).cast("long")).join(F.broadcast(listed), "word", "left")
+    else:
+        known = words.groupBy(key, "word").agg(F.count("*").alias("n")).join(listed, "word", "left")
     per = known.groupBy(key).agg(F.sum("n").alias("clean"), F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("known"))
     return base.join(per, key, "left").select(key, "tokens", F.coalesce("clean", F.lit(0)).alias("clean"), F.coalesce("known", F.lit(0)).alias("known"))
 
@@ -125,8 +132,21 @@ def heat_map(rows: DataFrame, key: str, binned: DataFrame, bins: int, column: st
 
 
 def word_counts(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, word, n of each row's words, written: the table that frequencies and heat maps share."""
-    return written(word_rows(rows, T.normal_words(F.col(column)), key).groupBy(key, "word").agg(F.count("*").alias("n")), "word_counts")
+    """key, word, n of each row's words, written: the table that frequencies and heat maps share.
+
+    Rows of distinct keys are counted where they are read, without a shuffle.
+    """
+    if not distinct_keys(rows, key):
+        return written(word_rows(rows, T.normal_words(F.col(column)), key).groupBy(key, "word").agg(F.count("*").alias("n")), "word_counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, code, n, words in bags(batches):
+            for a in range(0, len(row), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[part])), words.take(pa.array(code[part])), pa.array(n[part])], names=[key, "word", "n"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return written(rows.select(F.col(key).alias("key"), words_of(column).alias("words")).mapInArrow(run, f"`{key}` {kind}, word string, n long"), "word_counts")
 
 
 def heat_of_counts(counts: DataFrame, key: str, binned: DataFrame, bins: int, complete: bool = False, most: int = 100_000) -> DataFrame:

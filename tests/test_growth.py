@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import languages, retrieval, vectors
+from millrace.functions import text as T
+from millrace.operators import corpus, languages, retrieval, vectors
 
 LETTERS = ["a", "B", "é", "ß", "中", "𐐀", " ", "1", "\n", "!", "'"]
 
@@ -70,3 +71,17 @@ def test_candidates_hold_the_best(spark):
     assert retrieval.bm25_candidates(asked, docs, "q", "id", most=3) is None
     assert retrieval.bm25_candidates(asked, docs.unionByName(docs), "q", "id") is None
     assert retrieval.bm25_candidates(asked.limit(0), docs, "q", "id").count() == 0 == retrieval.bm25_candidates(asked, docs.limit(0), "q", "id").count()
+
+
+def test_words_are_counted_in_place(spark):
+    rng = random.Random(4)
+    texts = [None if i == 4 else " ".join(rng.choices(["Kettle", "lid,", "http://x.y/z", "--", "tea", "é"], k=rng.randrange(12))) for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    twice = docs.unionByName(docs)  # keys that repeat are counted together, by a shuffle
+    want = corpus.word_rows(docs, T.normal_words(F.col("text")), "id").groupBy("id", "word").agg(F.count("*").alias("n"))
+    assert sorted(corpus.word_counts(docs, "id").collect()) == sorted(want.collect())
+    assert sorted(corpus.word_counts(twice, "id").collect()) == sorted((r.id, r.word, 2 * r.n) for r in want.collect())
+    known = spark.createDataFrame([("tea",), ("lid",), ("tea",)], "word string")
+    small, large = (corpus.instance_stats(docs, "id", known, most=most) for most in (9, 1))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert "word" not in "".join(line for line in explained(small).splitlines() if "Exchange hashpartitioning" in line)  # words go nowhere
