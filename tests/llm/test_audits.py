@@ -226,6 +226,27 @@ def test_scores(spark):
     assert -common[0] / common[1] < math.log10(12)  # of a handful of words, learned from the other half
 
 
+def test_words_stand_in_contexts(spark):
+    """Texts of the same words in another order score less."""
+    rows = [(i, "one two three " * 8, "en", "s", 1) for i in range(40)]
+    rows += [(100, "one two three one two three", "en", "s", 1), (101, "three two one three two one", "en", "s", 1)]
+    held = F.col("doc_id") >= 100
+    by = {r.doc_id: r for r in language_model.score(table(spark, rows), held=held).collect()}
+    assert by[100].base_score == pytest.approx(by[101].base_score) and by[100].score > by[101].score + 5
+    assert by[100].score / by[100].n_tokens > -0.4  # a word's place tells the next one
+
+
+def test_pairs_dealt_by_both_words(spark, monkeypatch):
+    """Parts of few tokens, and first words whose pairs are dealt over all parts, give the same scores; so do blocks of few documents."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{x}" for x in range(12)], range(1, 13), k=rng.randrange(1, 60))), "en", "s", 1) for i in range(150)]
+    want = sorted((r.doc_id, round(r.score, 9)) for r in language_model.score(table(spark, rows)).collect())
+    monkeypatch.setattr(language_model, "PART_TOKENS", 300)
+    assert sorted((r.doc_id, round(r.score, 9)) for r in language_model.score(table(spark, rows)).collect()) == want
+    monkeypatch.setattr(language_model, "FREQUENT", 100)
+    assert sorted((r.doc_id, round(r.score, 9)) for r in language_model.score(table(spark, rows).repartition(7)).collect()) == want
+
+
 def test_words_longer_than_a_slice(spark):
     """Words of which each fills a slice of a batch by itself, among short ones."""
     rows = [(i, f"{'xyz'[i % 3] * (700_000 + i)} short words {i}", "en", "s", 1) for i in range(6)]
