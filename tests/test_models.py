@@ -113,6 +113,64 @@ def test_ward_joins_pass_no_vectors_through_the_driver(spark, monkeypatch):
     assert "Join" not in seen["dendrogram"][0] and len(seen["merges"]) > 1
 
 
+def shuffled(spark, run):
+    """Bytes that a run writes to shuffles, and its result."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return sum(n for stage, n in stages().items() if stage not in before), out
+
+
+def test_ward_shuffles_no_vector_for_each_block_it_meets(spark, monkeypatch):
+    """What is shuffled stays in proportion to the rows: four times the rows met sixteen times as many blocks, each shuffled with its vectors."""
+    monkeypatch.setattr(clustering, "BLOCK", 4)
+    sizes = []
+    for n, last in ((128, 100), (512, 400)):  # one round or two
+        monkeypatch.setattr(clustering, "LAST", last)
+        rows = np.random.default_rng(5).normal(size=(n, 48)).tolist()
+        table = spark.createDataFrame([(i, "x", v) for i, v in enumerate(rows)], ROWS).repartition(4).localCheckpoint()
+        size, count = shuffled(spark, lambda t=table: clustering.ward(t, "id", "vector").count())
+        assert count == n - 1
+        sizes.append(size)
+    assert sizes[1] < 6 * sizes[0]
+
+
+def test_ward_merges_copies_at_once(spark, monkeypatch):
+    """Copies of a vector are joined before the rounds, in the order of their keys, with the sequential result."""
+    monkeypatch.setattr(clustering, "LAST", 7)
+    rounds, kept = [], clustering.written
+    monkeypatch.setattr(clustering, "written", lambda df, name: rounds.append(name) or kept(df, name))
+    rows = [*points(3, 20), *((100 + 3 * i, "copy", [1.0, 2.0, 4.0]) for i in range(12)), *((101 + 3 * i, "copy", [-1.0, 0.5, 0.25]) for i in range(5))]
+    tree = clustering.ward(spark.createDataFrame(rows, ROWS), "id", "vector")
+    assert {r.id: (r.into, round(r.height, 8), r["size"]) for r in tree.collect()} == plain_ward(rows)
+    assert rounds.count("chosen") < 8  # one copy in a round needed eleven
+
+
+def test_ward_meets_in_either_precision():
+    """Far from the origin, and where single precision tells nothing apart, choices are those of plain distances."""
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(60, 5)) + 1e4, rng.normal(size=(60, 5)) * 1e-30, np.vstack([rng.normal(size=(59, 5)) * 1e-4, np.full((1, 5), 1e5)]), np.eye(60)):
+        n = np.sort(rng.integers(1, 4, 60))  # packs are in the order of n
+        packs = []
+        for block, at in enumerate((np.arange(0, 25), np.arange(25, 60))):
+            pack = clustering._Pack.__new__(clustering._Pack)
+            pack.block, pack.ids, pack.n, pack.x, pack.other, pack.height = block, at, n[at], x[at], at, np.full(len(at), np.inf)
+            pack.asks = np.isinf(pack.height)
+            packs.append(pack)
+        known = [clustering._Known(p) for p in packs]
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            clustering._meet(packs[i], packs[j], np.arange(len(packs[i].ids)), np.arange(len(packs[j].ids)), known[i], known[j], 8)
+        d = np.sqrt(2 * n[:, None] * n[None] / (n[:, None] + n[None]) * ((x[:, None] - x[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        assert np.concatenate([k.other for k in known]).tolist() == d.argmin(1).tolist()
+        assert np.allclose(np.concatenate([k.height for k in known]), d.min(1), rtol=1e-12)
+
+
 def test_ward_of_few_rows(spark):
     table = spark.createDataFrame(points(1, 2), ROWS)
     assert clustering.ward(table.limit(0), "id", "vector").count() == 0
