@@ -140,6 +140,22 @@ def test_ward_shuffles_no_vector_for_each_block_it_meets(spark, monkeypatch):
     assert sizes[1] < 6 * sizes[0]
 
 
+def test_ward_scores_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    """The query whole: four times the vectors shuffle some four times the bytes, and cuts have the clusters asked for."""
+    from millrace.plans.queries import QUERIES
+
+    monkeypatch.setattr(clustering, "BLOCK", 4)
+    sizes = []
+    for n, last in ((128, 100), (512, 400)):
+        monkeypatch.setattr(clustering, "LAST", last)
+        rows = np.random.default_rng(6).normal(size=(n, 48)).tolist()
+        spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<float>").repartition(4).write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        size, found = shuffled(spark, lambda n=n: QUERIES["ward_scores"](spark, f"{tmp_path}/{n}").collect())
+        assert sorted((r.k, r.clusters, r.rows) for r in found) == [(k, k, n) for k in (2, 4, 8, 16, 32)] and sum(r.is_best for r in found) == 1
+        sizes.append(size)
+    assert sizes[1] < 6 * sizes[0]
+
+
 def test_ward_merges_copies_at_once(spark, monkeypatch):
     """Copies of a vector are joined before the rounds, in the order of their keys, with the sequential result."""
     monkeypatch.setattr(clustering, "LAST", 7)
